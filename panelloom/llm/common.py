@@ -70,3 +70,32 @@ def text_of(column: str) -> Column:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def map_texts(df: DataFrame, make, fields: str, id_col: str = "doc_id", text: str = "text", also: tuple[str, ...] = ()) -> DataFrame:
+    """One row out for each row in: the id, the columns of also, and those of fields.
+
+    make() is called once for each task and gives a function from (ids, list of UTF-8 texts, null as
+    empty) to the fields' columns, as Arrow arrays or lists. Only the named columns leave the scan.
+    """
+    from pyspark.sql.types import StructType
+
+    keep = df.select(F.col(id_col), *also)
+    added = StructType.fromDDL(fields)
+    schema = StructType([*keep.schema.fields, *added.fields])
+    n_keep = len(keep.columns)
+
+    def run(batches):
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        out = to_arrow_schema(schema)
+        fn = make()
+        for b in batches:
+            texts = [t or b"" for t in b.column(n_keep).to_pylist()]
+            cols = fn(b.column(0).to_pylist(), texts)
+            made = [c if isinstance(c, pa.Array) else pa.array(c, type=out.field(n_keep + i).type) for i, c in enumerate(cols)]
+            yield pa.RecordBatch.from_arrays([*[b.column(i).cast(out.field(i).type) for i in range(n_keep)], *made], schema=out)
+
+    source = df.select(F.col(id_col), *also, F.col(text).cast("binary").alias("_utf8"))
+    return source.mapInArrow(run, schema)

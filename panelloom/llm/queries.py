@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import quality_gate
+from . import covering_lsh, language_id, piece_codec, quality_gate
 
-_MODULES = (quality_gate,)
+_MODULES = (piece_codec, language_id, quality_gate, covering_lsh)
 
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 ORACLES = {k: s for m in _MODULES for k, s in getattr(m, "ORACLES", {}).items()}
