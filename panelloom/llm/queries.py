@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import covering_lsh, language_id, mixing, pii_labels, piece_codec, quality_gate
+from . import covering_lsh, language_id, mixing, ngram_lm, pii_labels, piece_codec, quality_gate
 
-_MODULES = (piece_codec, pii_labels, mixing, language_id, quality_gate, covering_lsh)
+_MODULES = (piece_codec, pii_labels, mixing, language_id, quality_gate, covering_lsh, ngram_lm)
 
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 ORACLES = {k: s for m in _MODULES for k, s in getattr(m, "ORACLES", {}).items()}
