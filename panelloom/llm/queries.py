@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import covering_lsh, fingerprints, language_id, mixing, ngram_lm, pii_labels, piece_codec, quality_gate
+from . import covering_lsh, fingerprints, language_id, mixing, ngram_lm, pii_labels, piece_codec, quality_gate, suffix_dedup, window_dedup
 
-_MODULES = (piece_codec, pii_labels, mixing, fingerprints, language_id, quality_gate, covering_lsh, ngram_lm)
+_MODULES = (suffix_dedup, piece_codec, pii_labels, mixing, window_dedup, fingerprints, language_id, quality_gate, covering_lsh, ngram_lm)
 
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 ORACLES = {k: s for m in _MODULES for k, s in getattr(m, "ORACLES", {}).items()}
