@@ -1,15 +1,63 @@
-"""The corpus pipeline (stages follow)."""
+"""The corpus pipeline: documents become token ids of a clean, deduplicated, mixed corpus.
+
+Each stage calls one operator of panelloom.llm, takes what its predecessor kept, and returns the columns of
+`documents`; the last returns the encoded texts. run() writes each stage's rows as Parquet in the shared
+folder and reads them again for the next.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from panelloom.llm import covering_lsh, mixing, pii_labels, piece_codec, quality_gate
+from panelloom.llm.common import materialise
+
+#: Bits of 64 in which fingerprints of near copies may differ.
+RADIUS = 3
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules reject go."""
+    return quality_gate.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the document of the smallest id stays."""
+    return covering_lsh.keep_one(docs, radius=RADIUS)
+
+
+def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data is replaced by its kind."""
+    return pii_labels.redact_documents(docs, pii_labels.fit(docs))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents repeat, or stay out, as their source's target weight asks."""
+    return mixing.mix(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, source, n_tokens, ids_sha256, decoded_sha256, ids) of each document."""
+    return piece_codec.encode_decode(docs, public_tokenizers.path("piece_bpe_32k.model"), also=("source",), with_ids=True)
+
+
+STAGES = [
+    ("quality rules", quality),
+    ("simhash near-dedup", near_dedup),
+    ("pii", pii),
+    ("mix sources", mix),
+    ("sentencepiece", encode),
+]
+
+#: The stages learn models and draw by hashes, which SQL cannot express; tests hold them against plain versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = materialise(docs, f"stage{k + 1}")
     return docs

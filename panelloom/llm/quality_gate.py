@@ -165,21 +165,31 @@ def judge(measured: DataFrame, cutoffs: DataFrame, stratum: str, rules: tuple[Ru
 
 
 def quality_gate(docs: DataFrame, labels: DataFrame, text: str = "text", stratum: str = "lang", id_col: str = "doc_id", keep: list[str] | None = None, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    """docs (its columns in keep, all by default) with the q_ columns; the counts are taken once and written."""
+    """The columns of docs in keep (all by default), named k_<name>, and the q_ columns.
+
+    Counts are taken once and written; with the text among them it is written too, so that it is never shuffled.
+    """
     keep = list(docs.columns if keep is None else keep)
     need = list(dict.fromkeys([*keep, id_col, stratum, text]))
-    measured = measure(docs.select(*need), text)
+    measured = measure(docs.select(*[F.col(f"`{c}`").alias(f"k_{c}") for c in need]), f"k_{text}")
     if text not in keep:
-        measured = measured.drop(text)
+        measured = measured.drop(f"k_{text}")
     measured = materialise(measured, "quality")
-    cutoffs = materialise(calibrate(measured, labels, stratum, id_col, alpha=alpha, delta=delta), "cutoffs")
-    return judge(measured, cutoffs, stratum)
+    known = labels.withColumnRenamed(id_col, f"k_{id_col}")
+    cutoffs = materialise(calibrate(measured, known, f"k_{stratum}", f"k_{id_col}", alpha=alpha, delta=delta), "cutoffs")
+    return judge(measured, cutoffs, f"k_{stratum}")
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
+    """The rows of docs that neither the base rule nor a certified cutoff rejects."""
+    out = quality_gate(docs, labels, **how).where("q_kept")
+    return out.select(*[F.col(f"`k_{c}`").alias(c) for c in docs.columns])
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     out = quality_gate(documents(spark, sf_dir), labels, keep=["doc_id", "lang"])
-    return out.select("doc_id", *[F.col(f"q_{c}").alias(c) for c in COUNTS], F.col("q_base_failed").alias("base_failed"), F.col("q_kept").alias("kept"))
+    return out.select(F.col("k_doc_id").alias("doc_id"), *[F.col(f"q_{c}").alias(c) for c in COUNTS], F.col("q_base_failed").alias("base_failed"), F.col("q_kept").alias("kept"))
 
 
 def _oracle() -> str:
