@@ -55,7 +55,7 @@ def _fields(b: bytes):
 class PieceCodec:
     """Encoder and decoder of one BPE model with the identity normaliser."""
 
-    def __init__(self, model: bytes, keep: int = 300_000):
+    def __init__(self, model: bytes, keep: int = 350_000):
         import ahocorasick
 
         self.pieces: list[tuple[str, float, int]] = []
@@ -84,27 +84,45 @@ class PieceCodec:
         self.bytes_of = [bytes([int(p[3:5], 16)]) if kind == BYTE else b"" if kind == CONTROL else " ⁇ ".encode() if kind == UNKNOWN_TYPE else p.replace(SPACE, " ").encode() for p, _, kind in self.pieces]
         self.pair: dict[tuple[int, int], bool] = {}
         self.tokens = ahocorasick.Automaton()
-        for p, i in self.ids.items():
-            if len(p) == 1 or self._merge(p) == [p]:  # others never come out of merging
-                self.tokens.add_word(p, (len(p), i))
+        # How each piece comes about on its own: its last merge, and when; pieces that never do are left out.
+        self.halves: dict[str, tuple[str, str]] = {}
+        self.odd: set[str] = set()
+        for p, i in sorted(self.ids.items(), key=lambda x: len(x[0])):
+            if len(p) > 1:
+                parts, halves = self._merge(p)
+                if parts != [p]:
+                    continue
+                self.halves[p] = halves
+                if any(self._time(h) >= self._time(p) or h in self.odd for h in halves):
+                    self.odd.add(p)
+            self.tokens.add_word(p, (len(p), i))
+        self.spines: dict[tuple[str, int], list[tuple[str, float, float]]] = {}
         self.tokens.make_automaton()
-        codec, self.keep = self, keep
+        codec = self
 
         class Kept(dict):
+            """Encodings of short cuts: the last `keep` new ones and those before them that came up again."""
+
+            def __init__(self) -> None:
+                self.older: dict[str, tuple[bytes, bytes]] = {}
+
             def __missing__(self, cut: str) -> tuple[bytes, bytes]:
-                ids = codec.encode_cut(cut)
-                got = struct.pack(f"<{len(ids)}I", *ids), codec.raw(ids)
+                got = self.older.get(cut)
+                if got is None:
+                    ids = codec.encode_cut(cut)
+                    got = struct.pack(f"<{len(ids)}I", *ids), codec.raw(ids)
                 if len(cut) <= 48:
-                    if len(self) >= codec.keep:
+                    if len(self) >= keep:
+                        self.older = dict(self)
                         self.clear()
                     self[cut] = got
                 return got
 
         self.kept = Kept()
 
-    def _merge(self, s: str) -> list[str]:
-        """Plain merging, for single pieces and pairs of them: best score first, leftmost among equals."""
-        parts, score = list(s), self.score
+    def _merge(self, s: str) -> tuple[list[str], tuple[str, str] | None]:
+        """Plain merging, best score first, leftmost among equals: the parts, and the last two that were joined."""
+        parts, score, halves = list(s), self.score, None
         while True:
             best, at = None, -1
             for k in range(len(parts) - 1):
@@ -112,17 +130,48 @@ class PieceCodec:
                 if x is not None and (best is None or x > best):
                     best, at = x, k
             if best is None:
-                return parts
+                return parts, halves
+            halves = parts[at], parts[at + 1]
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
+    def _time(self, p: str) -> float:
+        """Merges happen in this order; characters are there from the start."""
+        return float("-inf") if len(p) == 1 else -self.score[p]
+
+    def _spine(self, p: str, side: int) -> list[tuple[str, float, float]]:
+        """The parts that stand at one end of p while it comes about: part, from when, until when."""
+        found = self.spines.get((p, side))
+        if found is None:
+            found, part, until = [], p, float("inf")
+            while True:
+                found.append((part, self._time(part), until))
+                if len(part) == 1:
+                    break
+                part, until = self.halves[part][side], self._time(part)
+            self.spines[p, side] = found
+        return found
+
     def compatible(self, a: int, b: int) -> bool:
-        """Whether a and b side by side stay as they are."""
+        """Whether a and b side by side stay as they are: no part at a's end ever joins one at b's start.
+
+        Two parts that stand side by side join if their piece comes before either is used up; at the same
+        time, which takes the same piece, the left join goes first.
+        """
         found = self.pair.get((a, b))
         if found is None:
             x, y = self.pieces[a][0], self.pieces[b][0]
             if len(self.pair) > 1_000_000:
                 self.pair.clear()
-            found = self.pair[a, b] = self._merge(x + y) == [x, y]
+            if x in self.odd or y in self.odd:
+                found = self._merge(x + y)[0] == [x, y]
+            else:
+                score, left = self.score.get, self._spine(y, 0)
+                found = True
+                for p, p_from, p_until in self._spine(x, 1):
+                    for q, q_from, q_until in left:
+                        if p_from < q_until and q_from < p_until and (s := score(p + q)) is not None and -s < p_until and -s <= q_until:
+                            found = False
+            self.pair[a, b] = found
         return found
 
     def encode_cut(self, cut: str) -> list[int]:
@@ -176,6 +225,18 @@ def model_bytes(path: str) -> bytes:
         return f.read()
 
 
+_CODECS: dict[bytes, PieceCodec] = {}
+
+
+def codec_of(model: bytes) -> PieceCodec:
+    """The codec of a model, kept for all tasks of a worker."""
+    key = hashlib.sha256(model).digest()
+    if key not in _CODECS:
+        _CODECS.clear()
+        _CODECS[key] = PieceCodec(model)
+    return _CODECS[key]
+
+
 def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "text", also: tuple[str, ...] = (), with_ids: bool = False) -> DataFrame:
     """(id, *also, n_tokens, ids_sha256, decoded_sha256[, ids array<int>]) of whole texts."""
     sent = docs.sparkSession.sparkContext.broadcast(model_bytes(path))
@@ -183,7 +244,7 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text: str
     def make():
         import numpy as np
 
-        codec = PieceCodec(sent.value)
+        codec = codec_of(sent.value)
 
         def run(_, texts):
             n, a, b, ids = [], [], [], []
