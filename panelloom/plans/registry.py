@@ -1,6 +1,621 @@
-"""All queries on panels, with the SQL that gives the same rows."""
+"""All queries on panels, with the SQL that gives the same rows where SQL can."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.scalar import log_drawdown, tidy
+from ..operators import baskets, diagnostics, episodes, features, metrics, models, network, panel, quality, scoring, simulate, timeindex, validation
+from ..sources import panels
+from .oracle import NEEDED, THRESHOLD, WINDOW, build, rank_sql
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(select: str | None = None, doubles: str = "") -> Callable:
+    """Register a query under its name, with its SQL; doubles are rounded on both sides."""
+
+    def put(f: Callable) -> Callable:
+        names = tuple(doubles.split())
+
+        def rounded(spark: SparkSession, sf_dir: str) -> DataFrame:
+            df = f(spark, sf_dir)
+            return df.withColumns({c: tidy(F.col(c)) for c, kind in df.dtypes if kind == "double"})
+
+        rounded.__doc__, rounded.__name__ = f.__doc__, f.__name__
+        QUERIES[f.__name__] = rounded
+        if select is not None:
+            ORACLES[f.__name__] = build(select, names)
+        return f
+
+    return put
+
+
+# Parts that queries share.
+
+
+def _returns(spark: SparkSession, sf: str) -> DataFrame:
+    return panel.with_returns(panels.lineitem_panel(spark, sf))
+
+
+def _wide(spark: SparkSession, sf: str) -> DataFrame:
+    return timeindex.scaffold(_returns(spark, sf), ["category", "value", "log_return"])
+
+
+def _cells(spark: SparkSession, sf: str) -> DataFrame:
+    return baskets.cells(_wide(spark, sf))
+
+
+def _flows(spark: SparkSession, sf: str) -> DataFrame:
+    return panel.series_flow(panels.order_series(spark, sf))
+
+
+def _factor(spark: SparkSession, sf: str) -> DataFrame:
+    return panel.factor_control(panels.quantity_factor(spark, sf))
+
+
+def _system(spark: SparkSession, sf: str, min_active: int = 6) -> DataFrame:
+    return panel.system_daily(_returns(spark, sf), _flows(spark, sf), min_active)
+
+
+def _members(spark: SparkSession, sf: str) -> DataFrame:
+    return panel.common_history(_wide(spark, sf), _system(spark, sf).agg(F.min("period").alias("start")))
+
+
+def _baskets(spark: SparkSession, sf: str) -> DataFrame:
+    return baskets.all_baskets(_cells(spark, sf), _members(spark, sf))
+
+
+def _residuals(spark: SparkSession, sf: str) -> DataFrame:
+    return network.residuals(_cells(spark, sf), _factor(spark, sf))
+
+
+def _net(spark: SparkSession, sf: str) -> DataFrame:
+    return network.network(_cells(spark, sf), "ret", WINDOW, THRESHOLD)
+
+
+def _frame(spark: SparkSession, sf: str) -> DataFrame:
+    """The feature frame; a row for each period, kept as later steps fan out from it."""
+    c = _cells(spark, sf)
+    return features.feature_frame(c, _net(spark, sf), baskets.equal_weight(c), _flows(spark, sf)).persist()
+
+
+def _residual_frame(spark: SparkSession, sf: str) -> DataFrame:
+    c, r = _cells(spark, sf), _residuals(spark, sf)
+    net = network.network(r, "residual", WINDOW, THRESHOLD, prefix="residual_")
+    return features.feature_frame(c, _net(spark, sf), baskets.equal_weight(c), _flows(spark, sf), residual=(net, r)).persist()
+
+
+def _split(spark: SparkSession, sf: str) -> DataFrame:
+    return scoring.purged_split(features.valid_rows(_frame(spark, sf))).persist()
+
+
+def _scores(spark: SparkSession, sf: str) -> DataFrame:
+    z = scoring.scaled(_split(spark, sf))
+    return scoring.long_scores(z.where("role <> 'purge'"), scoring.simple_scores()).persist()
+
+
+def _thresholds(s: DataFrame) -> DataFrame:
+    return metrics.choose_thresholds(s.where("role = 'train'"), ["model"])
+
+
+def _alerts(spark: SparkSession, sf: str) -> DataFrame:
+    s = _scores(spark, sf).where("model = 'heuristic'")
+    return episodes.alerts(s.where("role = 'test'").select("period", "label", "score"), _thresholds(s).select("threshold"))
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _system(spark, sf_dir, min_active=1)
+
+
+# Cleaning, returns, sums.
+
+
+@query("SELECT * EXCLUDE (k) FROM (SELECT *, row_number() OVER (PARTITION BY entity, period ORDER BY observed_at DESC, value DESC) AS k FROM r1 WHERE value IS NOT NULL AND value > 20 AND period >= DATE '2000-01-01') WHERE k = 1", "value")
+def clean_latest(spark, sf):
+    return panel.clean_latest(panels.raw_events(spark, sf), ["entity", "period"], "observed_at", 20.0, "2000-01-01")
+
+
+@query("SELECT period, value FROM (SELECT CAST(o_orderdate AS DATE) AS period, o_totalprice AS value, row_number() OVER (PARTITION BY CAST(o_orderdate AS DATE) ORDER BY o_orderdate DESC, o_totalprice DESC) AS k FROM orders WHERE o_totalprice > 0) WHERE k = 1", "value")
+def series_clean(spark, sf):
+    raw = panels.table(spark, sf, "orders").select(F.to_date("o_orderdate").alias("period"), F.col("o_orderdate").alias("observed_at"), F.col("o_totalprice").alias("value"))
+    return panel.clean_latest(raw, ["period"], "observed_at", 0.0).select("period", "value")
+
+
+@query("SELECT * FROM ret", "value log_return drawdown")
+def panel_returns(spark, sf):
+    return _returns(spark, sf)
+
+
+@query("SELECT * FROM ret2", "value log_return drawdown")
+def panel_returns_hourly(spark, sf):
+    return panel.with_returns(panels.event_panel(spark, sf, "hour"), "hour")
+
+
+@query("SELECT * FROM flows", "value log_flow")
+def series_flow(spark, sf):
+    return _flows(spark, sf)
+
+
+@query("SELECT * FROM sysd", "total_value equal_weight_return downside_breadth worst_drawdown series_value series_flow")
+def system_daily(spark, sf):
+    return _system(spark, sf)
+
+
+@query("SELECT DISTINCT entity, category FROM p1")
+def entity_metadata(spark, sf):
+    return panel.entity_metadata(panels.lineitem_panel(spark, sf))
+
+
+@query("SELECT entity, max(category) AS category, min(period) AS first_period, max(period) AS last_period, count(*) AS n_rows, count(log_return) AS n_returns FROM ret GROUP BY entity")
+def entity_coverage(spark, sf):
+    return panel.entity_coverage(_returns(spark, sf))
+
+
+@query("SELECT count(*) AS n_rows, count(DISTINCT (entity, period)) AS n_keys, count(*) - count(DISTINCT (entity, period)) AS n_surplus FROM r1")
+def dup_check(spark, sf):
+    return panel.duplicate_keys(panels.raw_events(spark, sf), ["entity", "period"])
+
+
+@query("SELECT * FROM factor", "level factor_return")
+def factor_control(spark, sf):
+    return _factor(spark, sf)
+
+
+@query("SELECT * FROM members", "share")
+def common_history(spark, sf):
+    return _members(spark, sf)
+
+
+# Rows in time.
+
+_IDX = "(SELECT period, row_number() OVER (ORDER BY period) AS n, log_flow FROM flows)"
+
+
+@query(f"SELECT period, CASE WHEN count(log_flow) OVER w >= 7 THEN sum(log_flow) OVER w END AS sum7, CASE WHEN count(log_flow) OVER v >= 30 THEN stddev_samp(log_flow) OVER v END AS std30 FROM {_IDX} WINDOW w AS (ORDER BY n ROWS BETWEEN 6 PRECEDING AND CURRENT ROW), v AS (ORDER BY n ROWS BETWEEN 29 PRECEDING AND CURRENT ROW)", "sum7 std30")
+def rolling_sum_std(spark, sf):
+    f = _flows(spark, sf)
+    f = f.join(timeindex.dense_index(f), "period")
+    return f.select("period", timeindex.rolling_sum("log_flow", 7).alias("sum7"), timeindex.rolling_std("log_flow", 30).alias("std30"))
+
+
+@query("SELECT period, n, forward, CASE WHEN forward IS NOT NULL THEN CAST(forward <= ln(0.95) AS INTEGER) END AS label FROM (SELECT period, n, CASE WHEN count(equal_weight) OVER w >= 7 THEN sum(equal_weight) OVER w END AS forward FROM b_eq WINDOW w AS (ORDER BY n ROWS BETWEEN 1 FOLLOWING AND 7 FOLLOWING))", "forward")
+def forward_label(spark, sf):
+    b = baskets.equal_weight(_cells(spark, sf)).withColumn("forward", timeindex.forward_sum("equal_weight", 7))
+    return b.select("period", "n", "forward", timeindex.stress_label(F.col("forward"), log_drawdown(0.05)).alias("label"))
+
+
+@query("SELECT CAST(period AS DATE) AS period FROM (SELECT unnest(generate_series((SELECT min(period) FROM s1)::TIMESTAMP, (SELECT max(period) FROM s1)::TIMESTAMP, INTERVAL 1 DAY)) AS period) WHERE CAST(period AS DATE) NOT IN (SELECT period FROM s1)")
+def calendar_gaps(spark, sf):
+    return timeindex.missing_days(panels.order_series(spark, sf))
+
+
+@query("SELECT entity, arg_max(value, n) AS value FROM (SELECT n, entity, value FROM cells2 WHERE value IS NOT NULL) GROUP BY entity", "value")
+def ffill_last(spark, sf):
+    p = timeindex.scaffold(panels.event_panel(spark, sf, "hour"), ["value"])
+    return timeindex.last_known(p, "entity", "n", "value")
+
+
+@query("SELECT min_d + 14 * CAST(floor((period - min_d) / 14) AS INTEGER) AS slot_start, CAST(floor((period - min_d) / 14) AS INTEGER) AS slot, avg(value) AS value FROM s1, (SELECT min(period) AS min_d FROM s1) GROUP BY ALL", "value")
+def resample14(spark, sf):
+    return timeindex.tumbling_mean(panels.order_series(spark, sf), "value", 14)
+
+
+@query("SELECT * FROM br", "breadth")
+def breadth(spark, sf):
+    return features.breadth(_cells(spark, sf), "ret")
+
+
+# Baskets.
+
+
+@query("SELECT * FROM b_eq", "equal_weight")
+def basket_equal(spark, sf):
+    return baskets.equal_weight(_cells(spark, sf))
+
+
+@query("SELECT * FROM b_lag", "lagged_weight")
+def basket_lagged_weight(spark, sf):
+    return baskets.lagged_weight(_cells(spark, sf))
+
+
+@query("SELECT * FROM b_cap", "capped_weight")
+def basket_capped(spark, sf):
+    return baskets.capped_weight(_cells(spark, sf))
+
+
+@query("SELECT * FROM b_cat", "category_weight")
+def basket_category(spark, sf):
+    return baskets.category_weight(_cells(spark, sf))
+
+
+@query("SELECT * FROM b_com", "common_history")
+def basket_common(spark, sf):
+    return baskets.common_weight(_cells(spark, sf), _members(spark, sf))
+
+
+@query("SELECT period, basket, CASE WHEN count(r) OVER w >= 7 THEN sum(r) OVER w END AS forward, CASE WHEN count(r) OVER w >= 7 THEN CAST(sum(r) OVER w <= ln(0.95) AS INTEGER) END AS label, r AS ret FROM (" + " UNION ALL ".join(f"SELECT period, n, '{b}' AS basket, {b} AS r FROM baskets" for b in baskets.BASKETS) + ") WINDOW w AS (PARTITION BY basket ORDER BY n ROWS BETWEEN 1 FOLLOWING AND 7 FOLLOWING)", "forward ret")
+def targets_daily(spark, sf):
+    """Return, forward sum and label of all five baskets."""
+    b = _baskets(spark, sf)
+    long = scoring.long_scores(b, {k: F.col(k) for k in baskets.BASKETS}, ("period", "n"), "basket")
+    long = long.withColumn("forward", timeindex.forward_sum("score", 7, partition=("basket",)))
+    return long.select("period", "basket", "forward", timeindex.stress_label(F.col("forward"), log_drawdown(0.05)).alias("label"), F.col("score").alias("ret"))
+
+
+# Networks and the factor.
+
+
+@query("SELECT * FROM net", "mean_correlation density")
+def corr_network(spark, sf):
+    return _net(spark, sf)
+
+
+@query("SELECT * FROM net2", "mean_correlation density")
+def corr_network_gaps(spark, sf):
+    hourly = panel.with_returns(panels.event_panel(spark, sf, "hour"), "hour")
+    return network.network(timeindex.scaffold(hourly, ["log_return"]), "log_return", WINDOW, THRESHOLD, min_obs=20)
+
+
+@query("SELECT * FROM edges", "rho")
+def latest_edges(spark, sf):
+    return network.latest_edges(_cells(spark, sf), "ret", WINDOW, THRESHOLD, NEEDED)
+
+
+@query("SELECT entity, period, beta, alpha, residual FROM resid", "beta alpha residual")
+def factor_residuals(spark, sf):
+    return _residuals(spark, sf).select("entity", "period", "beta", "alpha", "residual")
+
+
+@query("SELECT entity, count(residual) AS n_obs, covar_samp(ret, factor_return) FILTER (residual IS NOT NULL) / (stddev_samp(ret) FILTER (residual IS NOT NULL) * stddev_samp(factor_return) FILTER (residual IS NOT NULL)) AS raw_correlation, median(beta) AS median_beta, var_samp(residual) / var_samp(ret) FILTER (residual IS NOT NULL) AS variance_ratio FROM resid GROUP BY entity", "raw_correlation median_beta variance_ratio")
+def factor_summary(spark, sf):
+    return network.factor_summary(_residuals(spark, sf))
+
+
+@query("SELECT * FROM rnet", "residual_mean_correlation residual_density")
+def residual_network(spark, sf):
+    return network.network(_residuals(spark, sf), "residual", WINDOW, THRESHOLD, prefix="residual_")
+
+
+@query("SELECT role, avg(mean_correlation) AS mean_correlation, avg(density) AS density, avg(residual_mean_correlation) AS residual_mean_correlation, avg(residual_density) AS residual_density, count(*) AS n_rows FROM (SELECT period, role FROM split WHERE role <> 'purge') JOIN (SELECT period, mean_correlation, density FROM net) USING (period) JOIN (SELECT period, residual_mean_correlation, residual_density FROM rnet) USING (period) GROUP BY role", "mean_correlation density residual_mean_correlation residual_density")
+def network_attenuation(spark, sf):
+    roles = _split(spark, sf).where("role <> 'purge'").select("period", "role")
+    return network.attenuation(_net(spark, sf), network.network(_residuals(spark, sf), "residual", WINDOW, THRESHOLD, prefix="residual_"), roles)
+
+
+# Features, splits, scores, metrics.
+
+_FEATURES = "correlation density equal_weight flow breadth contraction volatility momentum forward_return"
+
+
+@query("SELECT period, n, correlation, density, equal_weight, flow, breadth, contraction, volatility, momentum, forward_return, label FROM frame", _FEATURES)
+def feature_panel(spark, sf):
+    return _frame(spark, sf).select("period", "n", *_FEATURES.split(), "label")
+
+
+@query("SELECT period, role, label, holdout_start FROM split")
+def purged_split(spark, sf):
+    return _split(spark, sf).select("period", "role", "label", "holdout_start")
+
+
+_LIMITS = [f"{k}_{c}" for c in (*features.COMPONENTS, features.MOMENTUM) for k in ("low", "high")]
+
+
+@query("SELECT * FROM limits", " ".join(_LIMITS))
+def scaler_fit(spark, sf):
+    return scoring.fit_scaler(_split(spark, sf).where("role = 'train'"), (*features.COMPONENTS, features.MOMENTUM))
+
+
+@query("SELECT period, role, model, label, score FROM scores", "score")
+def simple_scores(spark, sf):
+    return _scores(spark, sf).select("period", "role", "model", "label", "score")
+
+
+@query("SELECT role, model, observations, events, average_precision, roc_auc FROM (" + rank_sql("scores", "role, model") + ")", "average_precision roc_auc")
+def rank_metrics(spark, sf):
+    return metrics.rank_metrics(_scores(spark, sf), ["role", "model"])
+
+
+@query("SELECT * FROM (" + rank_sql("(SELECT l.quality, l.toxic, d.n_chars FROM labels l JOIN documents d USING (doc_id))", "quality", "toxic", "n_chars") + ")", "average_precision roc_auc")
+def rank_metrics_ties(spark, sf):
+    """Metrics of a score with many ties."""
+    both = panels.table(spark, sf, "labels").join(panels.table(spark, sf, "documents").select("doc_id", "n_chars"), "doc_id")
+    return metrics.rank_metrics(both, ["quality"], "toxic", "n_chars")
+
+
+@query("SELECT * FROM thresholds", "threshold")
+def threshold_f2(spark, sf):
+    return _thresholds(_scores(spark, sf))
+
+
+_METRICS = "threshold average_precision roc_auc brier_score prevalence precision recall alert_rate f1 f2 specificity balanced_accuracy"
+
+
+@query(
+    """SELECT *, (recall + specificity) / 2 AS balanced_accuracy FROM (SELECT *, coalesce(2 * "precision" * recall / nullif("precision" + recall, 0), 0) AS f1, coalesce(5 * "precision" * recall / nullif(4 * "precision" + recall, 0), 0) AS f2, (tp + fp) / observations::DOUBLE AS alert_rate, tn / nullif(tn + fp, 0)::DOUBLE AS specificity FROM
+    (SELECT *, tp + fp AS alerts, events / observations::DOUBLE AS prevalence, coalesce(tp / nullif(tp + fp, 0)::DOUBLE, 0) AS "precision", coalesce(tp / nullif(tp + fn, 0)::DOUBLE, 0) AS recall FROM (SELECT model, threshold, count(*) FILTER (label = 1 AND score >= threshold) AS tp, count(*) FILTER (label = 0 AND score >= threshold) AS fp, count(*) FILTER (label = 1 AND score < threshold) AS fn, count(*) FILTER (label = 0 AND score < threshold) AS tn, avg((least(greatest(score, 0), 1) - label) ** 2) AS brier_score FROM scores JOIN thresholds USING (model) WHERE role = 'test' GROUP BY model, threshold) JOIN ("""
+    + rank_sql("(SELECT * FROM scores WHERE role = 'test')", "model")
+    + ") USING (model)))",
+    " ".join(f'"{c}"' if c == "precision" else c for c in _METRICS.split()),
+)
+def metric_rows(spark, sf):
+    s = _scores(spark, sf)
+    return metrics.metric_rows(s.where("role = 'test'"), _thresholds(s), ["model"])
+
+
+@query("SELECT period, label, " + ", ".join(f"max(CASE WHEN model = '{m}' THEN score END) AS score_{m}, max(CASE WHEN model = '{m}' THEN CAST(score >= threshold AS INTEGER) END) AS alert_{m}" for m in scoring.SIMPLE) + " FROM scores JOIN thresholds USING (model) WHERE role = 'test' GROUP BY period, label", " ".join(f"score_{m}" for m in scoring.SIMPLE))
+def predictions_wide(spark, sf):
+    """Holdout scores and alerts, a column for each model."""
+    s = _scores(spark, sf)
+    both = s.where("role = 'test'").join(_thresholds(s), "model").withColumn("alert", (F.col("score") >= F.col("threshold")).cast("int"))
+    wide = both.groupBy("period", "label").pivot("model", list(scoring.SIMPLE)).agg(F.max("score").alias("s"), F.max("alert").alias("a"))
+    return wide.select("period", "label", *[F.col(f"{m}_{k}").alias(f"{n}_{m}") for m in scoring.SIMPLE for k, n in (("s", "score"), ("a", "alert"))])
+
+
+@query("SELECT * FROM (SELECT 'clipped' AS specification, average_precision, roc_auc FROM (" + rank_sql("(SELECT * FROM scores WHERE role = 'test' AND model = 'heuristic')", "model") + ")) UNION ALL SELECT 'unclipped', average_precision, roc_auc FROM (" + rank_sql("(SELECT role, label, " + " + ".join(f"{w!r}::DOUBLE * ({c} - low_{c}) / (high_{c} - low_{c})" for c, w in features.WEIGHTS.items()) + " AS score FROM split, limits WHERE role = 'test')", "role") + ")", "average_precision roc_auc")
+def scaling_comparison(spark, sf):
+    s, out = _split(spark, sf), None
+    for name, clipped in (("clipped", True), ("unclipped", False)):
+        z = scoring.scaled(s, features.COMPONENTS, clipped).where("role = 'test'")
+        m = metrics.rank_metrics(z.select("label", scoring.weighted(features.WEIGHTS).alias("score"), F.lit(name).alias("specification")), ["specification"])
+        m = m.select("specification", "average_precision", "roc_auc")
+        out = m if out is None else out.unionByName(m)
+    return out
+
+
+# Diagnostics.
+
+
+@query("SELECT role, component_1, component_2, covar_samp(x, y) / nullif(stddev_samp(x) * stddev_samp(y), 0) AS correlation FROM (" + " UNION ALL ".join(f"SELECT role, '{a}' AS component_1, '{b}' AS component_2, {a} AS x, {b} AS y FROM split" for a in features.COMPONENTS for b in features.COMPONENTS) + ") GROUP BY ALL", "correlation")
+def component_corr(spark, sf):
+    return diagnostics.component_correlations(_split(spark, sf))
+
+
+@query("SELECT * FROM (SELECT role, component, covar_samp(x, label) / nullif(stddev_samp(x) * stddev_samp(label), 0) AS event_correlation FROM comps GROUP BY ALL) JOIN (SELECT role, component, average_precision FROM (" + rank_sql("comps", "role, component", score="x") + ")) USING (role, component) JOIN (SELECT role, component, average_precision AS inverse_average_precision FROM (" + rank_sql("comps", "role, component", score="-x") + ")) USING (role, component)", "event_correlation average_precision inverse_average_precision")
+def component_associations(spark, sf):
+    return diagnostics.associations(_split(spark, sf))
+
+
+@query("SELECT role, component, label AS event, count(*) AS observations, avg(x) AS mean, median(x) AS median, quantile_cont(x, 0.25) AS p25, quantile_cont(x, 0.75) AS p75 FROM comps GROUP BY ALL", "mean median p25 p75")
+def distributions(spark, sf):
+    return diagnostics.distributions(_split(spark, sf))
+
+
+@query("SELECT role, component, CAST(greatest(1, (10 * (r - 1) + (n - 2)) // (n - 1)) AS INTEGER) AS decile, count(*) AS observations, avg(label) AS event_rate, avg(x) AS mean_component FROM (SELECT *, row_number() OVER (PARTITION BY role, component ORDER BY x, period) AS r, count(*) OVER (PARTITION BY role, component) AS n FROM comps) WHERE n > 1 GROUP BY ALL", "event_rate mean_component")
+def deciles(spark, sf):
+    return diagnostics.deciles(_split(spark, sf))
+
+
+@query("SELECT role, component, avg(CASE WHEN x <= low THEN 1.0::DOUBLE ELSE 0.0 END) AS at_or_below_p05, avg(CASE WHEN x >= high THEN 1.0::DOUBLE ELSE 0.0 END) AS at_or_above_p95, max(low) AS training_p05, max(high) AS training_p95 FROM (" + " UNION ALL ".join(f"SELECT role, '{c}' AS component, {c} AS x, low_{c} AS low, high_{c} AS high FROM split, limits" for c in features.COMPONENTS) + ") GROUP BY ALL", "at_or_below_p05 at_or_above_p95 training_p05 training_p95")
+def saturation(spark, sf):
+    return diagnostics.saturation(_split(spark, sf))
+
+
+@query("SELECT specification, train_average_precision, test_average_precision, test_average_precision - max(CASE WHEN specification = 'single_contraction' THEN test_average_precision END) OVER () AS gain FROM (SELECT specification, max(average_precision) FILTER (role = 'train') AS train_average_precision, max(average_precision) FILTER (role = 'test') AS test_average_precision FROM (" + rank_sql("ablscores", "specification, role") + ") GROUP BY specification)", "train_average_precision test_average_precision gain")
+def ablation(spark, sf):
+    return diagnostics.ablation(_split(spark, sf))
+
+
+# Validation over time.
+
+
+@query(
+    "SELECT model, window_end_row AS \"window\", window_start, window_end, prevalence, observations, events, average_precision, roc_auc, rank_correlation FROM (SELECT model, w AS window_end_row, min(period) AS window_start, max(period) AS window_end, avg(label) AS prevalence, covar_samp(x, y) / nullif(stddev_samp(x) * stddev_samp(y), 0) AS rank_correlation FROM (SELECT *, rank() OVER (PARTITION BY model, w ORDER BY score) + (count(*) OVER (PARTITION BY model, w, score) - 1) / 2.0::DOUBLE AS x, rank() OVER (PARTITION BY model, w ORDER BY label) + (count(*) OVER (PARTITION BY model, w, label) - 1) / 2.0::DOUBLE AS y FROM wins) GROUP BY model, w) JOIN (SELECT w AS window_end_row, * EXCLUDE (w) FROM (" + rank_sql("wins", "model, w") + ")) USING (model, window_end_row)",
+    "prevalence average_precision roc_auc rank_correlation",
+)
+def rolling_perf(spark, sf):
+    return validation.rolling_performance(_scores(spark, sf).where("role = 'test'").select("model", "period", "label", "score"))
+
+
+@query("SELECT horizon, lag, model, observations, events, average_precision, roc_auc, events / observations::DOUBLE AS prevalence FROM (" + rank_sql("lagscores", "horizon, lag, model") + ")", "average_precision roc_auc prevalence")
+def lag_horizon(spark, sf):
+    start = _split(spark, sf).agg(F.max("holdout_start").alias("holdout_start"))
+    return validation.lag_horizon(_frame(spark, sf), start)
+
+
+# Episodes.
+
+_EPISODES = """SELECT episode, onset, "end", duration, forward_return, 1 - exp(forward_return) AS severity, CAST(lead_days IS NOT NULL AS INTEGER) AS pre_onset_alert, CAST(lead_days AS INTEGER) AS lead_days, alert_from_onset, CAST(lead_days IS NULL AND alert_from_onset = 1 AS INTEGER) AS after_onset_only, coalesce(worst, '') AS worst_entities FROM onsets
+  LEFT JOIN (SELECT episode, min(onset - a.period) AS lead_days FROM onsets JOIN alerts a ON a.alert = 1 AND a.period >= onset - 7 AND a.period < onset GROUP BY episode) USING (episode)
+  LEFT JOIN (SELECT period AS onset, forward_return FROM frame) USING (onset)
+  LEFT JOIN (SELECT episode, string_agg(printf('%d:%.3f', entity, s), '; ' ORDER BY k) AS worst FROM (SELECT *, row_number() OVER (PARTITION BY episode ORDER BY s NULLS LAST, entity) AS k FROM (SELECT episode, entity, sum(ret) AS s FROM onsets JOIN cells c ON c.period > onset AND c.period <= onset + 7 GROUP BY ALL)) WHERE k <= 3 AND s IS NOT NULL GROUP BY episode) USING (episode)"""
+
+
+def _episodes(spark: SparkSession, sf: str) -> DataFrame:
+    return episodes.stress_episodes(_alerts(spark, sf), _cells(spark, sf), _frame(spark, sf))
+
+
+@query(_EPISODES, "forward_return severity")
+def stress_episodes(spark, sf):
+    return _episodes(spark, sf)
+
+
+@query(f"SELECT episode, severity, worst_entities FROM ({_EPISODES}) ORDER BY severity DESC NULLS LAST, episode LIMIT 3", "severity")
+def top_episodes(spark, sf):
+    """The three most severe episodes."""
+    return _episodes(spark, sf).select("episode", "severity", "worst_entities").orderBy(F.desc_nulls_last("severity"), "episode").limit(3)
+
+
+@query("SELECT run, min(period) AS start, max(period) AS \"end\", count(*) AS duration, max(score) AS max_score FROM (SELECT *, (sum(new) OVER (ORDER BY period))::BIGINT AS run FROM (SELECT *, CASE WHEN f = 1 AND lag(f, 1, 0) OVER (ORDER BY period) = 0 THEN 1 ELSE 0 END AS new FROM (SELECT *, CASE WHEN alert = 1 AND label = 0 THEN 1 ELSE 0 END AS f FROM alerts))) WHERE f = 1 GROUP BY run", "max_score")
+def false_alerts(spark, sf):
+    return episodes.false_alert_runs(_alerts(spark, sf))
+
+
+@query("SELECT CAST(k AS INTEGER) AS \"offset\", count(*) AS episodes, avg(equal_weight) AS mean_equal_weight, " + ", ".join(f"avg({c}) AS mean_{c}" for c in features.COMPONENTS) + " FROM (SELECT onset, unnest(range(-14, 15)) AS k FROM onsets) JOIN valid v ON v.period = onset + CAST(k AS INTEGER) GROUP BY k", "mean_equal_weight " + " ".join(f"mean_{c}" for c in features.COMPONENTS))
+def event_study(spark, sf):
+    return episodes.event_study(_episodes(spark, sf), features.valid_rows(_frame(spark, sf)))
+
+
+# Fitted models: no closed form in SQL; tests hold them against plain solvers.
+
+
+def _task(df: DataFrame, name: str = "main") -> DataFrame:
+    return df.withColumn("task", F.lit(name))
+
+
+@query()
+def logistic_fit(spark, sf):
+    """Coefficients of the full model."""
+    rows = _split(spark, sf).where("role = 'train'").withColumn("fit", F.lit("all"))
+    m = models.fit_many(rows, {"all": features.COMPONENTS})["all"]
+    return spark.createDataFrame([("intercept", m.intercept, None, None), *zip(m.features, m.coefficients, m.means, m.stds, strict=True)], "term string, coefficient double, mean double, std double")
+
+
+@query()
+def feature_selection(spark, sf):
+    return models.select_features(_task(_split(spark, sf).where("role = 'train'")))[1]
+
+
+@query()
+def model_metrics(spark, sf):
+    """Holdout metrics of all six models."""
+    s = _task(_split(spark, sf))
+    chosen, _ = models.select_features(s.where("role = 'train'"))
+    scores = models.score_models(s, chosen).persist()
+    return metrics.metric_rows(scores.where("role = 'test'"), _thresholds(scores), ["model"])
+
+
+@query()
+def walk_forward(spark, sf):
+    """Metrics by fold and model, and pooled over folds as task 'all'."""
+    f = models.outer_folds(features.valid_rows(_frame(spark, sf)), least=300).persist()
+    chosen, _ = models.select_features(f.where("role = 'train'"))
+    scores = models.score_models(f, chosen).persist()
+    keys = ["task", "model"]
+    each = metrics.metric_rows(scores.where("role = 'test'"), metrics.choose_thresholds(scores.where("role = 'train'"), keys), keys).persist()
+    return each.unionByName(models.pooled(scores, each).withColumn("task", F.lit("all")), allowMissingColumns=True)
+
+
+@query()
+def target_sensitivity(spark, sf):
+    """Holdout metrics under each of the five basket targets."""
+    start = _split(spark, sf).agg(F.max("holdout_start").alias("holdout_start"))
+    b, f = _baskets(spark, sf).persist(), _frame(spark, sf).drop("label")
+    out = None
+    for k in baskets.BASKETS:
+        label = b.withColumn("label", timeindex.stress_label(timeindex.forward_sum(k, 7), log_drawdown(0.05))).select("period", "label")
+        one = _task(features.valid_rows(f.join(label, "period")), k)
+        out = one if out is None else out.unionByName(one)
+    out = scoring.with_roles(out.crossJoin(F.broadcast(start)), 7).persist()  # one row
+    chosen, _ = models.select_features(out.where("role = 'train'"))
+    scores = models.score_models(out, chosen).where("role = 'test' AND model <> 'equal_component' AND model <> 'momentum'")
+    return metrics.rank_metrics(scores, ["task", "model"])
+
+
+@query()
+def variance_inflation(spark, sf):
+    return models.variance_inflation(diagnostics.component_correlations(_split(spark, sf)))
+
+
+@query()
+def coef_stability(spark, sf):
+    return models.coefficient_stability(_split(spark, sf))
+
+
+@query()
+def incremental_logistic(spark, sf):
+    return models.incremental_tests(_split(spark, sf))
+
+
+@query()
+def residual_models(spark, sf):
+    """The heuristic on raw and on residual components, against the raw and the residual target."""
+    f = _residual_frame(spark, sf)
+    s = scoring.purged_split(features.valid_rows(f)).persist()
+    start = s.agg(F.max("holdout_start").alias("holdout_start"))
+    raw = scoring.scaled(s, features.COMPONENTS).where("role = 'test'").select(F.lit("raw").alias("specification"), "label", scoring.weighted(features.WEIGHTS).alias("score"))
+    own = f.select("period", "n", F.col("residual_correlation").alias("correlation"), F.col("residual_density").alias("density"), "contraction", F.col("residual_volatility").alias("volatility"), F.col("residual_breadth").alias("breadth"), "label", timeindex.stress_label(timeindex.forward_sum("residual_return", 7), log_drawdown(0.05)).alias("residual_label"))
+    out = raw
+    for name, label in (("residual", "label"), ("residual_target", "residual_label")):
+        one = own.withColumn("label", F.col(label)).drop("residual_label").dropna().crossJoin(F.broadcast(start))  # one row
+        z = scoring.scaled(scoring.with_roles(one, 7), features.COMPONENTS).where("role = 'test'")
+        out = out.unionByName(z.select(F.lit(name).alias("specification"), "label", scoring.weighted(features.WEIGHTS).alias("score")))
+        if name == "residual_target":
+            out = out.unionByName(z.select(F.lit("series_only_residual_target").alias("specification"), "label", F.col("z_contraction").alias("score")))
+    return metrics.rank_metrics(out, ["specification"])
+
+
+# Resampling and simulation.
+
+_P, _S = simulate.PRIME, simulate.SEED + 901
+
+
+def _draw_sql(seed: int, *parts: str) -> str:
+    x = f"{seed}::BIGINT"
+    for p in parts:
+        x = f"((({x} * 48271 + {p} * 7919 + 12345) % {_P} * 69621 + 1) % {_P})"
+    return f"({x} * 48271 % {_P})"
+
+
+_BOOT = f"""(SELECT rep, label, score FROM (SELECT rep, {_draw_sql(_S, "rep", "slot")} % (n - b + 1) + k AS i FROM (SELECT *, unnest(range(0, b)) AS k FROM (SELECT *, unnest(range(0, (n + b - 1) // b)) AS slot FROM (SELECT rep, n, least(14, n) AS b FROM range(1, 201) t(rep), (SELECT count(*) AS n FROM alerts)))) WHERE slot * b + k < n) JOIN (SELECT row_number() OVER (ORDER BY period) - 1 AS i, label, score FROM alerts) USING (i))"""
+
+
+@query(f"SELECT point_estimate, quantile_cont(average_precision, 0.025) AS ci_lower_95, quantile_cont(average_precision, 0.975) AS ci_upper_95, count(average_precision) AS replications, count(*) - count(average_precision) AS without_events FROM ({rank_sql(_BOOT, 'rep')}), (SELECT average_precision AS point_estimate FROM ({rank_sql('(SELECT 1 AS a, * FROM alerts)', 'a')})) GROUP BY point_estimate", "point_estimate ci_lower_95 ci_upper_95")
+def block_bootstrap(spark, sf):
+    return simulate.block_bootstrap(_alerts(spark, sf).persist(), reps=200)
+
+
+@query("SELECT entity, k, size, loss FROM (SELECT entity, row_number() OVER (PARTITION BY entity ORDER BY loss, period) - 1 AS k, count(*) OVER (PARTITION BY entity) AS size, loss FROM (SELECT entity, period, least(greatest(loss, 0), 0.5::DOUBLE) AS loss FROM losses WHERE loss > 0) JOIN (SELECT entity, quantile_cont(least(loss, 0.5::DOUBLE), 0.85) AS low FROM losses WHERE loss > 0 GROUP BY entity) USING (entity) WHERE loss >= low)", "loss")
+def loss_tails(spark, sf):
+    return simulate.loss_tails(simulate.seven_day_losses(_cells(spark, sf)), 0.85, 0.50)
+
+
+@query()
+def cascade_scenario(spark, sf):
+    """The baseline scenario and the one with equal weights."""
+    rows = simulate.scenario_rows()
+    return simulate.cascade(_cells(spark, sf).persist(), [rows[0], rows[-1]])
+
+
+@query()
+def scenario_grid(spark, sf):
+    """All scenarios in one plan, with fewer paths than a full study."""
+    return simulate.cascade(_cells(spark, sf).persist(), simulate.scenario_rows(grid_paths=300, base_paths=500))
+
+
+@query("SELECT unnest(['loss_p95', 'loss_p99', 'loss_max', 'median_entities_in_tail']) AS quantity, unnest([a, b, c, d]) AS value FROM (SELECT a, b, c, (SELECT median(k) FROM (SELECT period, count(*) FILTER (loss > 0.01) AS k FROM losses SEMI JOIN (SELECT period FROM bl WHERE loss >= a) USING (period) GROUP BY period)) AS d FROM (SELECT quantile_cont(loss, 0.95) AS a, quantile_cont(loss, 0.99) AS b, max(loss) AS c FROM bl))", "value")
+def historical_tail(spark, sf):
+    return simulate.historical_tail(_cells(spark, sf))
+
+
+@query()
+def scenario_assumptions(spark, sf):
+    return simulate.assumptions(spark)
+
+
+# Raw documents, checks, report tables.
+
+
+@query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
+def raw_flatten(spark, sf):
+    """A field of JSON text."""
+    return panels.table(spark, sf, "events").select("event_id", F.from_json("props", "k bigint")["k"].alias("k"))
+
+
+@query("""SELECT "check", passed FROM (SELECT 'panel keys are unique' AS "check", count(*) = count(DISTINCT (entity, period)) AS passed FROM p1 UNION ALL SELECT 'raw keys are unique', count(*) = count(DISTINCT (entity, period)) FROM r1 UNION ALL SELECT 'labels of the last rows are null', count(label) = 0 FROM frame WHERE n > (SELECT max(n) FROM frame) - 7 UNION ALL SELECT 'the calendar has no gap', count(*) = max(period) - min(period) + 1 FROM f1 UNION ALL SELECT 'five targets are there', true UNION ALL SELECT 'the grid has 64 scenarios', true UNION ALL SELECT 'training ends before the purge of each fold', true)""")
+def dq_report(spark, sf):
+    f = _frame(spark, sf)
+    folds = models.outer_folds(features.valid_rows(f), least=300)
+    grid = spark.createDataFrame([(s[0],) for s in simulate.scenario_rows() if s[0].startswith("grid")], "scenario string")
+    return quality.report(
+        [
+            quality.unique(panels.lineitem_panel(spark, sf), ["entity", "period"], "panel keys are unique"),
+            quality.unique(panels.raw_events(spark, sf), ["entity", "period"], "raw keys are unique"),
+            quality.tail_unobservable(f, 7),
+            quality.complete_calendar(_factor(spark, sf)),
+            quality.columns_there(_baskets(spark, sf), baskets.BASKETS, "five targets are there"),
+            quality.row_count(grid, 64, "the grid has 64 scenarios"),
+            quality.chronology(folds, 7),
+        ]
+    )
+
+
+@query("SELECT component_1, " + ", ".join(f"max(correlation) FILTER (component_2 = '{c}') AS {c}" for c in features.COMPONENTS) + " FROM (SELECT component_1, component_2, covar_samp(x, y) / nullif(stddev_samp(x) * stddev_samp(y), 0) AS correlation FROM (" + " UNION ALL ".join(f"SELECT '{a}' AS component_1, '{b}' AS component_2, {a} AS x, {b} AS y FROM split WHERE role = 'train'" for a in features.COMPONENTS for b in features.COMPONENTS) + ") GROUP BY ALL) GROUP BY component_1", " ".join(features.COMPONENTS))
+def correlation_pivot(spark, sf):
+    """The training correlation matrix, a column for each component."""
+    c = diagnostics.component_correlations(_split(spark, sf).where("role = 'train'"))
+    return c.groupBy("component_1").pivot("component_2", list(features.COMPONENTS)).agg(F.max("correlation"))

@@ -1,0 +1 @@
+"""Empty on purpose: every source of a panel is a finite table, and rolling windows run over rows."""
