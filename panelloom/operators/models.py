@@ -1,7 +1,6 @@
 """Regularised logistic models, feature selection and walk-forward validation.
 
-Many models are fitted at once: each Newton step is one aggregation over all of them, which sums gradients and
-second derivatives by model before any shuffle; the driver solves systems of at most six unknowns.
+Many models are fitted in one job. A model's rows are one for each period, so a group is small and one task solves it.
 """
 
 from __future__ import annotations
@@ -38,50 +37,41 @@ class Fitted:
         return out
 
 
-def fit_many(rows: DataFrame, uses: dict[str, tuple[str, ...]], label: str = "label", columns: tuple[str, ...] = COMPONENTS, l2: float = L2, max_iter: int = 200, tol: float = 1e-8) -> dict[str, Fitted]:
+def newton(x: np.ndarray, y: np.ndarray, l2: float = L2, max_iter: int = 200, tol: float = 1e-8) -> np.ndarray:
+    """Intercept and coefficients: mean logistic loss plus l2 / 2 times the squared coefficients, the intercept free."""
+    a = np.column_stack([np.ones(len(x)), x])
+    penalty = np.r_[0.0, np.full(x.shape[1], l2)]
+    beta = np.zeros(a.shape[1])
+    for _ in range(max_iter):
+        p = 1.0 / (1.0 + np.exp(-np.clip(a @ beta, -35, 35)))
+        gradient = a.T @ (p - y) / len(y) + penalty * beta
+        hessian = (a * (p * (1 - p))[:, None]).T @ a / len(y) + np.diag(penalty) + 1e-12 * np.eye(len(beta))
+        step = np.linalg.solve(hessian, gradient)
+        beta -= step
+        if np.abs(step).max() < tol:
+            break
+    return beta
+
+
+def fit_many(rows: DataFrame, uses: dict[str, tuple[str, ...]], label: str = "label", columns: tuple[str, ...] = COMPONENTS, l2: float = L2) -> dict[str, Fitted]:
     """A model for each value of rows.fit, with the features that `uses` names for it.
 
-    Mean logistic loss plus l2 / 2 times the squared coefficients, the intercept free; Newton from zero.
+    All are fitted in one job, each by one task: a model's rows are one for each period.
     """
-    spark, k = rows.sparkSession, len(columns)
-    stats = rows.groupBy("fit").agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(f"m_{c}") for c in columns], *[F.stddev_pop(c).alias(f"s_{c}") for c in columns]).collect()
-    scale = {r["fit"]: (r["n"], [r[f"m_{c}"] or 0.0 for c in columns], [r[f"s_{c}"] or 1.0 for c in columns]) for r in stats}
-    beta = {f: np.zeros(k + 1) for f in scale}
-    used = {f: np.array([c in uses[f] for c in columns]) for f in scale}
-    open_ = set(scale)
-    terms = [(i, j) for i in range(k + 1) for j in range(i, k + 1)]
-    rows = rows.select("fit", F.col(label).cast("double").alias("y"), *columns).persist()
-    try:
-        for _ in range(max_iter):
-            if not open_:
-                break
-            now = [(f, [float(b) for b in beta[f]], scale[f][1], [float(1 / s) if u else 0.0 for s, u in zip(scale[f][2], used[f], strict=True)]) for f in sorted(open_)]
-            table = spark.createDataFrame(now, "fit string, b array<double>, m array<double>, s array<double>")  # one row for each open model
-            x = rows.join(F.broadcast(table), "fit")
-            z = {"z0": F.lit(1.0)} | {f"z{i + 1}": (F.col(c) - F.col("m")[i]) * F.col("s")[i] for i, c in enumerate(columns)}
-            x = x.select("fit", "y", "b", *[v.alias(n) for n, v in z.items()])
-            line = sum((F.col("b")[i] * F.col(f"z{i}") for i in range(1, k + 1)), F.col("b")[0])
-            x = x.withColumn("p", sigmoid(line)).withColumn("w", F.col("p") * (1 - F.col("p")))
-            sums = [F.sum((F.col("p") - F.col("y")) * F.col(f"z{i}")).alias(f"g{i}") for i in range(k + 1)]
-            sums += [F.sum(F.col("w") * F.col(f"z{i}") * F.col(f"z{j}")).alias(f"h{i}_{j}") for i, j in terms]
-            for r in x.groupBy("fit").agg(*sums).collect():
-                f, n = r["fit"], scale[r["fit"]][0]
-                penalty = np.r_[0.0, np.full(k, l2)]
-                g = np.array([r[f"g{i}"] for i in range(k + 1)]) / n + penalty * beta[f]
-                h = np.zeros((k + 1, k + 1))
-                for i, j in terms:
-                    h[i, j] = h[j, i] = r[f"h{i}_{j}"] / n
-                step = np.linalg.solve(h + np.diag(penalty) + 1e-12 * np.eye(k + 1), g)
-                beta[f] = beta[f] - step
-                if np.abs(step).max() < tol:
-                    open_.discard(f)
-    finally:
-        rows.unpersist()
-    out = {}
-    for f, b in beta.items():
-        at = [columns.index(c) for c in uses[f]]
-        out[f] = Fitted(uses[f], float(b[0]), *(tuple(float(v[i]) for i in at) for v in (b[1:], scale[f][1], scale[f][2])))
-    return out
+
+    def solve(pdf):
+        import pandas as pd
+
+        own = uses[pdf["fit"].iloc[0]]
+        x = pdf[list(own)].to_numpy(float)
+        mean, std = x.mean(axis=0), x.std(axis=0)
+        std[std == 0] = 1.0
+        beta = newton((x - mean) / std, pdf["y"].to_numpy(float), l2)
+        return pd.DataFrame({"fit": [pdf["fit"].iloc[0]], "beta": [beta.tolist()], "mean": [mean.tolist()], "std": [std.tolist()]})
+
+    each = rows.select("fit", F.col(label).cast("double").alias("y"), *columns).groupBy("fit")
+    got = each.applyInPandas(solve, "fit string, beta array<double>, mean array<double>, std array<double>").collect()
+    return {r["fit"]: Fitted(uses[r["fit"]], r["beta"][0], tuple(r["beta"][1:]), tuple(r["mean"]), tuple(r["std"])) for r in got}
 
 
 def predict(rows: DataFrame, models: dict[str, Fitted], by: str = "fit") -> Column:

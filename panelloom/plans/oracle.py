@@ -140,7 +140,7 @@ CTE = {
     "lagz": f"SELECT horizon, lag, period, label, {', '.join(_z(c) for c in COMPONENTS)} FROM lagged JOIN laglim USING (horizon, lag) WHERE role = 'test'",
     "lagscores": _long("lagz", {"heuristic": HEURISTIC} | {c: f"z_{c}" for c in COMPONENTS}, "horizon, lag, period, label"),
     "ablscores": _long("(SELECT * FROM scaled WHERE role <> 'purge')", _ablation(), "period, role, label", "specification"),
-    "wins": "SELECT model, period, label, score, CAST(w AS INTEGER) AS w FROM (SELECT *, row_number() OVER (PARTITION BY model ORDER BY period) AS r, count(*) OVER (PARTITION BY model) AS n FROM scores WHERE role = 'test'), range(0, 100) t(w) WHERE 180 + 30 * w <= n AND r > 30 * w AND r <= 180 + 30 * w",
+    "wins": "SELECT model, period, label, score, CAST(w AS INTEGER) AS w FROM (SELECT *, row_number() OVER (PARTITION BY model ORDER BY period) AS r, count(*) OVER (PARTITION BY model) AS n FROM scores), range(0, 100) t(w) WHERE 180 + 30 * w <= n AND r > 30 * w AND r <= 180 + 30 * w",
     "bl": f"SELECT period, 1 - exp({_rolling('sum', 'r', 7)}) AS loss FROM (SELECT period, n, avg(ret) AS r FROM cells GROUP BY ALL)",
     "losses": f"SELECT entity, period, n, 1 - exp({_rolling('sum', 'ret', 7, 'PARTITION BY entity')}) AS loss FROM cells",
 }

@@ -408,7 +408,7 @@ def ablation(spark, sf):
     "prevalence average_precision roc_auc rank_correlation",
 )
 def rolling_perf(spark, sf):
-    return validation.rolling_performance(_scores(spark, sf).where("role = 'test'").select("model", "period", "label", "score"))
+    return validation.rolling_performance(_scores(spark, sf).select("model", "period", "label", "score"))
 
 
 @query("SELECT horizon, lag, model, observations, events, average_precision, roc_auc, events / observations::DOUBLE AS prevalence FROM (" + rank_sql("lagscores", "horizon, lag, model") + ")", "average_precision roc_auc prevalence")
