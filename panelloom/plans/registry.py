@@ -508,7 +508,7 @@ def target_sensitivity(spark, sf):
 
 @query()
 def variance_inflation(spark, sf):
-    return models.variance_inflation(diagnostics.component_correlations(_split(spark, sf)))
+    return models.variance_inflation(diagnostics.component_correlations(_split(spark, sf).where("role <> 'purge'")))
 
 
 @query()
