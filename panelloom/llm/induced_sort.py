@@ -26,6 +26,13 @@ def _types(t: np.ndarray) -> np.ndarray:
     return s
 
 
+def _grouped(keys: np.ndarray) -> np.ndarray:
+    """Stable order by key; keys of two bytes are dealt to places instead of compared."""
+    if len(keys) and keys.max() < 1 << 16:
+        keys = keys.astype(np.uint16)
+    return np.argsort(keys, kind="stable")
+
+
 def _ranks(sorted_keys: np.ndarray) -> np.ndarray:
     """Place of each entry among those of its key, for keys that stand together."""
     n = len(sorted_keys)
@@ -76,7 +83,7 @@ class _Scan:
         t, s = self.t, self.s
         sa = np.full(len(t), -1, np.int32)
         first = t[lms]
-        order = np.argsort(first, kind="stable")
+        order = _grouped(first)
         lms, first = lms[order], first[order]
         count = np.bincount(first, minlength=len(self.sizes))
         place = (self.ends - count)[first] + _ranks(first)
@@ -122,7 +129,7 @@ class _Scan:
         before, c = before[keep], c[keep]
         if not len(c):
             return
-        order = np.argsort(c, kind="stable")
+        order = _grouped(c)
         before, c = before[order], c[order]
         self._put(sa, before, c, free, 1 if up else -1)
 

@@ -142,7 +142,7 @@ def runs(docs: DataFrame, living: DataFrame, units: Units) -> DataFrame:
             whole = rolling_runs(values, at, n + (units.span - 1), powers)
             run_hash = mix(whole + seed)
             new = np.array([not (h in met or met.add(h)) for h in run_hash.tolist()], bool)
-            if len(met) > 2_000_000:
+            if len(met) > 300_000:
                 met.clear()
             bodies = np.empty(len(at), object)
             bodies[new] = units.body(held, values, at[new], n[new], powers)

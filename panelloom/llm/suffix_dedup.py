@@ -29,7 +29,7 @@ from .winnow import Powers, byte_values, mix, rolling
 
 SPAN = 100
 SEED_BYTES = 32
-SHARD_BYTES = 2_000_000
+SHARD_BYTES = 1_000_000
 CROWD = 8_000  # different runs of one seed, beyond which its windows are compared as rows
 _U = np.uint64
 
@@ -43,7 +43,7 @@ def _units(span: int, k: int) -> Units:
     def body(raw, _values, at, n, _powers):
         return [raw[a : a + m + span - 1] for a, m in zip(at.tolist(), n.tolist(), strict=True)]
 
-    return Units(span, (k,), _values, body, 3_000_000)
+    return Units(span, (k,), _values, body, 400_000)
 
 
 def shard_ranges(bodies: list[bytes], windows: np.ndarray, doc: np.ndarray, start: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:

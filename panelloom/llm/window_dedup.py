@@ -60,7 +60,7 @@ def _units(span: int, first: int) -> Units:
         h = rolling(values, span, powers)
         return [h[a : a + m].tobytes() for a, m in zip(at.tolist(), n.tolist(), strict=True)]
 
-    return Units(span, levels(span, first), _values, body, 4_000_000)
+    return Units(span, levels(span, first), _values, body, 2_000_000)
 
 
 def _windows(opened: DataFrame) -> DataFrame:
