@@ -149,7 +149,10 @@ def assign(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source:
 
     none = F.array().cast("array<struct<draw:int,words:bigint,shard:int>>")
     takes = F.filter(F.coalesce(F.transform("draws", take), none), lambda d: d["words"] > 0)
-    return out.select(*[F.col(f"k_{c}").alias(c) for c in keep], F.col("size").alias("m_size"), F.col("source_size").alias("m_source_size"), F.col("target").alias("m_target"), F.col("pos").alias("m_pos"), takes.alias("m_takes"))
+    own = {"m_size": F.col("size"), "m_source_size": F.col("source_size"), "m_target": F.col("target"), "m_pos": F.col("pos"), "m_takes": takes}
+    # First the new columns, then the kept ones under their own names, which may be those used here.
+    out = out.select(*[f"k_{c}" for c in keep], *[v.alias(k) for k, v in own.items()])
+    return out.select(*[F.col(f"k_{c}").alias(c) for c in keep], *own)
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", shards: int = SHARDS, seed: int = 2011) -> DataFrame:
