@@ -1,0 +1,270 @@
+"""The other text operators: plain versions, round trips, held-out accuracy, and odd inputs."""
+
+import hashlib
+import math
+import random
+import re
+import struct
+import zlib
+from collections import Counter
+
+from . import brute
+import numpy as np
+import pytest
+
+from panelloom.llm import covering_lsh, fingerprints, language_id, mixing, ngram_lm, pii_labels, piece_codec, quality_gate
+
+MODEL = pytest.importorskip("public_tokenizers").path("piece_bpe_32k.model")
+
+
+# SentencePiece
+
+
+def test_codec_like_the_library(docs, rows, empty):
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    got = {r.doc_id: r for r in piece_codec.encode_decode(docs, MODEL, with_ids=True).collect()}
+    for r in rows:
+        ids = sp.encode(r[1] or "", add_bos=True, add_eos=True)
+        g = got[r[0]]
+        assert list(g.ids) == ids and g.n_tokens == len(ids)
+        assert g.ids_sha256 == hashlib.sha256(struct.pack(f"<{len(ids)}I", *ids)).hexdigest()
+        assert g.decoded_sha256 == hashlib.sha256(sp.decode(ids).encode()).hexdigest()
+    assert piece_codec.encode_decode(empty, MODEL).count() == 0
+    codec, draw = piece_codec.codec_of(piece_codec.model_bytes(MODEL)), random.Random(5)
+    parts = ["a", "b", "the", " ", "  ", "\n", "\r", "é", "▁", "執", "😀", "\0", "(", ")", ";", "{", "<s>", "0", "er", "ing", "가", "⁇", "http://"]
+    for _ in range(1500):
+        t = "".join(draw.choice(parts) for _ in range(draw.randrange(30)))
+        ids = sp.encode(t, add_bos=True, add_eos=True)
+        assert codec.encode(t) == ids and codec.decode(ids) == sp.decode(ids)
+
+
+# Personal data
+
+BASE = [r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"]
+
+
+def plain_spans(text):
+    out = []
+    for k, pattern in enumerate(BASE):
+        for m in re.finditer(pattern, text):
+            digits = re.sub("[^0-9]", "", m.group())
+            ok = k == 0 or k == 1 and all(int(p) <= 255 for p in m.group().split(".")) or k == 2 and 14 <= len(digits) <= 19 and pii_labels.luhn(digits) or k == 3 and 10 <= len(digits) <= 15
+            if ok:
+                out.append((m.start(), k, m.end()))
+    return sorted(out)
+
+
+def test_base_spans():
+    draw = random.Random(3)
+    parts = [*"aZ0123456789@@..-+% ()", "1.2.3.4", "4111111111111111", "a@b.c", "+1 (234) 555-1234", "256", "é"]
+    for _ in range(20000):
+        t = "".join(draw.choice(parts) for _ in range(draw.randrange(1, 25)))
+        assert plain_spans(t) == pii_labels.base_spans(t)
+
+
+def test_pii(docs, rows, empty):
+    model = pii_labels.fit(docs)
+    got = {r.doc_id: r for r in pii_labels.find_pii(docs, model).collect()}
+    for r in rows:
+        base, g = plain_spans(r[1] or ""), got[r[0]]
+        assert (g.n_email, g.n_ip, g.n_card, g.n_phone) == tuple(sum(s[1] == k for s in base) for k in range(4))
+        assert g.base_sha256 == hashlib.sha256(pii_labels.join(base).encode()).hexdigest()
+        assert {s for s in pii_labels.join(base).split(",") if s} <= set(g.spans.split(","))
+    assert any(r.n_added for r in got.values())  # the secrets
+    clean = {r.doc_id: r for r in pii_labels.redact_documents(docs, model).collect()}
+    assert all((clean[r[0]].text is None) == (r[1] is None) for r in rows)
+    assert any("<email>" in (r.text or "") and "<card>" in r.text for r in clean.values())
+    assert pii_labels.redact("call +1 (234) 555-7890.", pii_labels.base_spans("call +1 (234) 555-7890.")) == "call <phone>."
+    assert pii_labels.find_pii(empty, pii_labels.fit(empty)).count() == 0
+
+
+# Mixing
+
+
+def test_targets_and_tree():
+    goal = mixing.targets([100, 10, 1000, 0], [5, 2, 1, 5])
+    assert math.isclose(sum(goal), 1.5 * 1110) and all(g <= 2 * s + 1e-9 for g, s in zip(goal, [100, 10, 1000, 0], strict=True))
+    dealt = mixing.split_tree(np.array([7, 0, 123, 5000]), 13, 1)
+    assert dealt.sum(axis=0).tolist() == [7, 0, 123, 5000] and (dealt >= 0).all()
+    assert np.ptp(dealt.sum(axis=1)) <= 13  # shards are of like sizes
+
+
+def test_mix(docs, rows, empty):
+    out = mixing.assign(docs, keep=("doc_id", "source", "size"), blocks=8, shards=4).collect()
+    again = mixing.assign(docs.repartition(1), keep=("doc_id", "source", "size"), blocks=8, shards=4).collect()
+    taken = lambda r: sum(t.words for t in r.m_takes)
+    key = lambda r: (r.doc_id, r.size, taken(r), str(r.m_takes))
+    assert sorted(map(key, out)) == sorted(map(key, again)) and len(out) == len(rows)
+    by: dict = {}
+    for r in out:
+        assert 0 <= taken(r) <= 2 * r.m_size
+        s = by.setdefault(r.source, [0, 0, r.m_target, r.m_source_size])
+        s[0], s[1] = s[0] + taken(r), s[1] + r.m_size
+    for got, size, target, source_size in by.values():
+        assert size == source_size and abs(got - target) <= 3  # repeated rows share a cut
+    names = sorted(by, key=lambda s: (s is None, s or ""))
+    assert [round(by[n][2], 6) for n in names] == [round(x, 6) for x in mixing.targets([by[n][1] for n in names], [5, 2, 1, 5][: len(names)])]
+    mixed = mixing.mix(docs)
+    assert mixed.columns == docs.columns and mixed.count() > 0
+    assert mixing.mix(empty).count() == 0
+
+
+# Fingerprints
+
+
+def test_fingerprints(docs, rows, with_null_id, empty):
+    out = {r.doc_id: r for r in fingerprints.with_next(docs).collect()}
+    order = sorted({r[0]: r[1] or "" for r in rows}.items(), reverse=True)
+    seen = Counter(r[0] for r in rows)
+    for k, (doc, text) in enumerate(order):
+        if seen[doc] > 1 or seen[order[(k + 1) % len(order)][0]] > 1:
+            continue
+        edited = fingerprints.edit(text, order[(k + 1) % len(order)][1])
+        assert out[doc].n_chars == len(text) and out[doc].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
+        assert 0 <= out[doc].near_edited <= 1 and 0 <= out[doc].near_next <= 1
+    long = [d for d, t in order if len(t.split()) > 40]
+    assert np.mean([out[d].near_edited - out[d].near_next for d in long]) > 0.1
+    same = [r[0] for r in rows if r[1] == rows[0][1]]
+    assert len({(out[d].lo, out[d].hi) for d in same}) == 1
+    assert fingerprints.with_next(with_null_id).count() == 9 and fingerprints.with_next(with_null_id.limit(1)).first().near_next == 1.0
+    assert fingerprints.with_next(empty).count() == 0
+
+
+def test_search_within_radius(spark):
+    draw = random.Random(1)
+    base = [draw.getrandbits(128) for _ in range(30)]
+    every = base + [b ^ sum(1 << i for i in draw.sample(range(128), draw.randrange(1, 6))) for b in base for _ in range(6)]
+    split = lambda x: (covering_lsh.signed(x & (1 << 64) - 1), covering_lsh.signed(x >> 64))
+    index = spark.createDataFrame([(*split(x), 1) for x in set(every)], "lo long, hi long, n long")
+    got = {(r.lo, r.hi): r.n_within for r in fingerprints.count_within(spark.createDataFrame([split(b) for b in base], "lo long, hi long"), index).collect()}
+    for b in base:
+        assert got[split(b)] == sum(bin(b ^ x).count("1") <= fingerprints.RADIUS for x in set(every))
+
+
+# Near copies
+
+
+@pytest.mark.parametrize("limit", [64, 2])
+def test_covering_links(spark, limit):
+    draw = random.Random(2)
+    base = [draw.getrandbits(64) for _ in range(20)]
+    every = {b ^ sum(1 << i for i in draw.sample(range(64), draw.randrange(0, 4))) for b in base for _ in range(12)}
+    nodes = spark.createDataFrame([(covering_lsh.signed(x),) for x in every], "fp long")
+    got = {(r.a, r.b) for r in covering_lsh.links(nodes, 2, limit).distinct().collect()}
+    fps = sorted(covering_lsh.signed(x) for x in every)
+    assert got == {(a, b) for i, a in enumerate(fps) for b in fps[i + 1 :] if bin((a ^ b) & (1 << 64) - 1).count("1") <= 2}
+
+
+def test_near_duplicates(docs, rows, with_null_id, empty):
+    fps = {r[0]: brute.fingerprint(r[1]) for r in rows}
+    root = brute.components(fps, 2)
+    for r in covering_lsh.near_duplicates(docs).collect():
+        assert (r.fp & (1 << 64) - 1, r.component) == (fps[r.doc_id], root[r.doc_id])
+    kept = covering_lsh.keep_one(docs)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted(set(root.values()))
+    assert covering_lsh.keep_one(with_null_id).where("doc_id IS NULL").count() == 1
+    assert covering_lsh.near_duplicates(empty).count() == 0 and covering_lsh.keep_one(empty).count() == 0
+
+
+# Language
+
+
+def test_language(spark, docs, empty):
+    draw = random.Random(4)
+    words = {"xx": ["alpha", "beta", "gamma", "delta"], "yy": ["uno", "dos", "tres", "cuatro"]}
+    rows = [(i, " ".join(draw.choice(words[la]) for _ in range(20)), la) for i in range(200) for la in ("xx" if i % 2 else "yy",)] + [(500, None, "xx"), (501, "12 34", "yy"), (502, "alpha", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("held_out", language_id.remainder("doc_id", 4) == 2)
+    out = {r.doc_id: r for r in language_id.predict(df, language_id.fit(df.where("NOT held_out")), also=("held_out",)).collect()}
+    assert all(out[i].lang_pred == la for i, _, la in rows[:200]) and all(r.held_out == (zlib.crc32(str(i).encode()) % 4 == 2) for i, r in out.items())
+    assert out[500].lang_pred == out[501].lang_pred == "und" and out[502].lang_pred == "xx" and all(0 <= r.score <= 1 for r in out.values())
+    assert language_id.predict(docs, language_id.fit(docs)).count() == docs.count()
+    assert {r.lang_pred for r in language_id.predict(docs, language_id.fit(empty)).collect()} == {"und"}
+    assert language_id.predict(empty, language_id.fit(docs)).count() == 0
+
+
+# Language model
+
+
+def plain_model(train):
+    tokens = [[w.lower() for w in (t or "").encode().split()] + [None] for t in train]
+    pairs = Counter(p for ws in tokens for p in zip([b""] + ws[:-1], ws, strict=True))
+    count = Counter(w for ws in tokens for w in ws)
+    before = Counter(w for _, w in pairs)
+    n_of = lambda c: [sum(v == k for v in c.values()) for k in (1, 2, 3, 4)]
+    high, low = ngram_lm.discounts(n_of(pairs)), ngram_lm.discounts(n_of(before))
+    cut = lambda c, d: c - d[min(c, 3) - 1] if c else 0.0
+    followers: dict = {}
+    for (v, w), c in pairs.items():
+        followers.setdefault(v, Counter())[w] = c
+    spare = sum(low[min(c, 3) - 1] for c in before.values()) / len(pairs)
+
+    def p(v, w):
+        lower = cut(before[w], low) / len(pairs) + spare / (len(count) + 1)
+        if v not in followers:
+            return lower
+        f = followers[v]
+        total = sum(f.values())
+        return cut(f[w], high) / total + sum(high[min(c, 3) - 1] for c in f.values()) / total * lower
+
+    return count, p
+
+
+def test_language_model(spark, docs, rows, empty):
+    texts = {i: r[1] for i, r in enumerate(rows)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    train = [t for i, t in texts.items() if i % 7 != 2]
+    info = ngram_lm.train(df.where("doc_id % 7 <> 2"), piece_chars=3000)
+    count, p = plain_model(train)
+    n, v = sum(count.values()), len(count)
+    assert (info["tokens"], info["types"]) == (n, v)
+    assert math.isclose(sum(p(b"word", w) for w in count) + p(b"word", b"\x01"), 1.0) and math.isclose(sum(p(b"never seen", w) for w in count) + p(b"never seen", b"\x01"), 1.0)
+    for r in ngram_lm.score_texts(df, info).collect():
+        ws = [w.lower() for w in (texts[r.doc_id] or "").encode().split()] + [None]
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(ws), sum(count[w] > 0 for w in ws), n)
+        assert math.isclose(r.base_score, sum(math.log10((count[w] + 1) / (n + v + 1)) for w in ws), rel_tol=1e-9, abs_tol=1e-9)
+        assert math.isclose(r.score, sum(math.log10(p(a, w)) for a, w in zip([b""] + ws[:-1], ws, strict=True)), rel_tol=1e-9)
+    nothing = ngram_lm.train(empty)
+    assert all(r.base_score == r.score == 0.0 for r in ngram_lm.score_texts(docs, nothing).collect())
+    assert ngram_lm.score_texts(empty, info).count() == 0
+
+
+# Quality rules
+
+
+def plain_counts(text):
+    words = brute.WORD.findall(text or "")
+    lines = [x for x in (text or "").split("\n") if brute.WORD.search(x)]
+    windows = Counter(tuple(words[i : i + 8]) for i in range(len(words) - 7))
+    repeated = {i + k for i in range(len(words) - 7) if windows[tuple(words[i : i + 8])] > 1 for k in range(8)}
+    return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text or ""), len(lines) - len(set(lines)), len(repeated)
+
+
+def test_quality(spark, docs, rows, empty):
+    labels = spark.createDataFrame([(r[0], 1, 0) for r in rows[:40]] + [(None, 1, 0), (3, None, 0)], "doc_id long, quality int, toxic int")
+    out = quality_gate.quality_gate(docs, labels)
+    for r in out.collect():
+        n, chars, symbols, lines, repeated = plain_counts(r.k_text)
+        assert (r.q_n_words, r.q_word_chars, r.q_n_symbols, r.q_n_dup_lines, r.q_n_repeat_words) == (n, chars, symbols, lines, repeated)
+        assert r.q_base_failed == (n < 20 or 100 * repeated > 30 * n) and r.q_kept == (not r.q_base_failed)  # too few labels to certify a cutoff
+    kept = quality_gate.keep_good(docs, labels)
+    assert kept.columns == docs.columns and kept.where("q_kept IS NULL").count() == 0
+    assert quality_gate.keep_good(empty, labels).count() == 0
+
+
+def test_cutoffs_keep_their_promise(spark):
+    rows = [(i, "word " * 5 + " ".join(f"w{i}x{k}" for k in range(40)) + (" |" * 30 if i % 2 else ""), "en") for i in range(6000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i in range(6000)], "doc_id long, quality int")
+    out = quality_gate.quality_gate(docs, labels).collect()
+    assert all(r.q_kept == (r.k_doc_id % 2 == 0) for r in out)
+
+
+def test_binomial_tail(spark):
+    from pyspark.sql import functions as F
+
+    for n, k, p in ((10, 0, 0.3), (10, 3, 0.3), (5000, 12, 0.004), (100000, 350, 0.004), (7, 7, 0.5)):
+        got = spark.range(1).select(quality_gate.binomial_tail(F.lit(n).cast("long"), F.lit(k).cast("long"), p)).first()[0]
+        exact = sum(math.exp(math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log(1 - p)) for i in range(k + 1))
+        assert math.isclose(got, exact, rel_tol=1e-6)
