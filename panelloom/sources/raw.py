@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import nearest_utc_day, no_nan, utc_day
 
+# The formats in which the documents arrive.
 HISTORY = "name string, tvl array<struct<date: bigint, totalLiquidityUSD: double>>"
 SERIES = "date bigint, totalCirculatingUSD struct<peggedUSD: double>"
 FACTOR = "coins map<string, struct<symbol: string, confidence: double, price: double, timestamp: bigint, prices: array<struct<timestamp: bigint, price: double>>>>"
