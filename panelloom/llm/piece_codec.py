@@ -55,7 +55,7 @@ def _fields(b: bytes):
 class PieceCodec:
     """Encoder and decoder of one BPE model with the identity normaliser."""
 
-    def __init__(self, model: bytes, keep: int = 350_000):
+    def __init__(self, model: bytes, keep: int = 120_000):
         import ahocorasick
 
         self.pieces: list[tuple[str, float, int]] = []
@@ -160,7 +160,7 @@ class PieceCodec:
         found = self.pair.get((a, b))
         if found is None:
             x, y = self.pieces[a][0], self.pieces[b][0]
-            if len(self.pair) > 1_000_000:
+            if len(self.pair) > 300_000:
                 self.pair.clear()
             if x in self.odd or y in self.odd:
                 found = self._merge(x + y)[0] == [x, y]
