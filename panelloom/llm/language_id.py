@@ -66,7 +66,7 @@ def _train_counts(docs: DataFrame, id_col: str, text: str, lang: str, bins: int)
     return known.mapInArrow(run, "lang string, bin int, n long").groupBy("lang", "bin").agg(F.sum("n").alias("n"))
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang", bins: int = BINS, alpha: float = 0.1, max_languages: int = 1000) -> tuple[list[str], np.ndarray, np.ndarray]:
+def fit(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang", bins: int = BINS, alpha: float = 0.1, max_languages: int = 250) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Languages, log-priors, and the matrix of log-probabilities (bins x languages, float32)."""
     counts = _train_counts(docs, id_col, text, lang, bins)
     rows = counts.groupBy("lang").agg(F.collect_list(F.struct("bin", "n")).alias("each"))  # at most bins + 1 in a list

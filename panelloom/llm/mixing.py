@@ -33,7 +33,7 @@ BUDGET = 1.5
 MOST = 2
 BLOCKS = 1024
 SHARDS = 64
-MAX_SOURCES = 100_000
+MAX_SOURCES = 2_000
 
 
 def targets(sizes: list[int], weights: list[float], budget: float = BUDGET, most: float = MOST) -> list[float]:
