@@ -29,7 +29,7 @@ from .winnow import Powers, byte_values, mix, rolling
 
 SPAN = 100
 SEED_BYTES = 32
-SHARD_BYTES = 1_000_000
+SHARD_BYTES = 2_500_000
 CROWD = 8_000  # different runs of one seed, beyond which its windows are compared as rows
 _U = np.uint64
 
