@@ -107,15 +107,15 @@ def cascade(cells: DataFrame, scenarios: list[tuple], seed: int = SEED, losses:
     sizes = tails.groupBy("entity", "tail", "cap").agg(F.max("size").alias("size"))
     start = start.join(sizes, ["entity", "tail", "cap"]).withColumn("k", draw(seed, F.col("sid"), F.col("path"), F.lit(1)) % F.col("size"))
     keep = ["sid", "path", "rounds", "multiplier", "cap", "window", "threshold"]
-    hit = start.join(tails.drop("size"), ["entity", "tail", "cap", "k"]).select(*keep, "entity", F.least("loss", "cap").alias("shock"))
-    front = hit
+    hit = start.join(tails.drop("size"), ["entity", "tail", "cap", "k"]).select(*keep, "entity", F.least("loss", "cap").alias("shock")).persist()
+    front = hit  # each round reads all before it, so each is kept
     for r in range(1, max(s[2] for s in scenarios) + 1):
         go = front.where(F.col("rounds") >= r).withColumnRenamed("entity", "src").join(edges, ["window", "threshold", "src"])
         go = go.join(hit.select("sid", "path", F.col("entity").alias("dst")), ["sid", "path", "dst"], "left_anti")
         factor = F.lit(0.75) + 0.5 * unit(seed, F.col("sid"), F.col("path"), F.lit(r + 1), F.hash("src", "dst").cast("long") % 1000000 + 1000000) if jitter else F.lit(1.0)
         v = F.least(F.col("shock") * F.col("multiplier") * F.greatest("rho", F.lit(0.0)) * factor, F.col("cap"))
         go = go.withColumn("v", v).where("v > 0").groupBy(*keep, F.col("dst").alias("entity"))
-        front = go.agg(F.least(1.0 - F.exp(F.sum(F.ln(1.0 - F.col("v")))), F.col("cap")).alias("shock"))
+        front = go.agg(F.least(1.0 - F.exp(F.sum(F.ln(1.0 - F.col("v")))), F.col("cap")).alias("shock")).persist()
         hit = hit.unionByName(front)
     per = hit.join(table.select("sid", "weighting"), "sid").join(w, ["weighting", "entity"]).groupBy("sid", "path").agg(F.sum(F.col("w") * F.col("shock")).alias("loss"), F.count_if(F.col("shock") > 0).alias("hit"))
     q = F.percentile("loss", F.array(F.lit(0.95), F.lit(0.99)))
