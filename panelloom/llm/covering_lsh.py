@@ -129,7 +129,8 @@ def keep_one(docs: DataFrame, width: int = 3, radius: int = 2, id_col: str = "do
     classes = near_duplicates(docs, width, radius, id_col, text)
     chosen = classes.where(F.col(id_col) == F.col("component")).groupBy(id_col).agg(F.count(F.lit(1)).alias("n"))
     chosen = materialise(chosen, "chosen")
-    kept = docs.join(chosen.select(id_col), id_col, "left_semi")
+    # The ids grow with the corpus, so they are never broadcast, however few they are here.
+    kept = docs.join(chosen.select(id_col).hint("merge"), id_col, "left_semi")
     if not chosen.where("n > 1").isEmpty():  # an id on several rows: one of them stays
         kept = kept.dropDuplicates([id_col])
     return kept.select(*docs.columns).unionByName(docs.where(F.col(id_col).isNull()))
