@@ -52,10 +52,14 @@ class _Scan:
         self.ends = np.cumsum(self.sizes)
         self.starts = self.ends - self.sizes
         here, after = t[:-1], t[1:]
+        # The largest smaller bucket that feeds a bucket, and the smallest larger one.
+        self.low, self.high = np.full(sigma, -1, np.int64), np.full(sigma, sigma, np.int64)
+        if sigma <= 1024:  # few buckets: mark the pairs that occur
+            met = np.zeros(sigma * sigma, bool)
+            met[here.astype(np.int64) * sigma + after] = True
+            here, after = np.divmod(np.flatnonzero(met), sigma)
         fall, rise = here > after, here < after
-        self.low = np.full(sigma, -1, np.int64)  # the largest smaller bucket that feeds a bucket
         np.maximum.at(self.low, here[fall], after[fall])
-        self.high = np.full(sigma, sigma, np.int64)  # the smallest larger one
         np.minimum.at(self.high, here[rise], after[rise])
         self.up = self._batches(self.low)
         down = self._batches((sigma - 1 - self.high)[::-1])

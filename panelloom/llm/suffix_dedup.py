@@ -57,9 +57,11 @@ def shard_ranges(bodies: list[bytes], windows: np.ndarray, doc: np.ndarray, star
     at = np.cumsum(lengths + 1) - (lengths + 1)
     text = raw.astype(np.int16) + 1
     text[at + lengths] = 0  # between runs
-    used, dense = np.unique(text, return_inverse=True)
+    used = np.flatnonzero(np.bincount(text, minlength=257))
+    code = np.zeros(257, np.int32)
+    code[used] = np.arange(1, len(used) + 1)
     coded = np.empty(len(text) + 1, np.int32)
-    coded[:-1] = dense + 1
+    coded[:-1] = code[text]
     coded[-1] = 0
     sa = suffix_array(coded)
     own = np.repeat(np.arange(len(bodies)), lengths + 1)
