@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from panelloom.llm import covering_lsh, mixing, pii_labels, piece_codec, quality_gate
 from panelloom.llm.common import materialise
 
+#: Encodings that a worker keeps; fewer than by default, as workers live on beside the other stages.
+KEEP = 120_000
 #: Bits of 64 in which fingerprints of near copies may differ.
 RADIUS = 3
 
@@ -39,7 +41,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, source, n_tokens, ids_sha256, decoded_sha256, ids) of each document."""
-    return piece_codec.encode_decode(docs, public_tokenizers.path("piece_bpe_32k.model"), also=("source",), with_ids=True)
+    return piece_codec.encode_decode(docs, public_tokenizers.path("piece_bpe_32k.model"), also=("source",), with_ids=True, keep=KEEP)
 
 
 STAGES = [

@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import documents, map_texts
 
 SPACE = "▁"
+#: Encodings that a worker keeps, about 300 bytes each; twice as many while it turns them over.
+KEEP = 350_000
 NORMAL, UNKNOWN_TYPE, CONTROL, BYTE = 1, 2, 3, 6  # piece types of the model format
 
 
@@ -55,7 +57,7 @@ def _fields(b: bytes):
 class PieceCodec:
     """Encoder and decoder of one BPE model with the identity normaliser."""
 
-    def __init__(self, model: bytes, keep: int = 120_000):
+    def __init__(self, model: bytes, keep: int = KEEP):
         import ahocorasick
 
         self.pieces: list[tuple[str, float, int]] = []
@@ -98,7 +100,7 @@ class PieceCodec:
             self.tokens.add_word(p, (len(p), i))
         self.spines: dict[tuple[str, int], list[tuple[str, float, float]]] = {}
         self.tokens.make_automaton()
-        codec = self
+        codec, self.keep_pairs = self, 3 * keep
 
         class Kept(dict):
             """Encodings of short cuts: the last `keep` new ones and those before them that came up again."""
@@ -160,7 +162,7 @@ class PieceCodec:
         found = self.pair.get((a, b))
         if found is None:
             x, y = self.pieces[a][0], self.pieces[b][0]
-            if len(self.pair) > 300_000:
+            if len(self.pair) > self.keep_pairs:
                 self.pair.clear()
             if x in self.odd or y in self.odd:
                 found = self._merge(x + y)[0] == [x, y]
@@ -228,23 +230,23 @@ def model_bytes(path: str) -> bytes:
 _CODECS: dict[bytes, PieceCodec] = {}
 
 
-def codec_of(model: bytes) -> PieceCodec:
+def codec_of(model: bytes, keep: int = KEEP) -> PieceCodec:
     """The codec of a model, kept for all tasks of a worker."""
-    key = hashlib.sha256(model).digest()
+    key = hashlib.sha256(model).digest() + str(keep).encode()
     if key not in _CODECS:
         _CODECS.clear()
-        _CODECS[key] = PieceCodec(model)
+        _CODECS[key] = PieceCodec(model, keep)
     return _CODECS[key]
 
 
-def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "text", also: tuple[str, ...] = (), with_ids: bool = False) -> DataFrame:
+def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "text", also: tuple[str, ...] = (), with_ids: bool = False, keep: int = KEEP) -> DataFrame:
     """(id, *also, n_tokens, ids_sha256, decoded_sha256[, ids array<int>]) of whole texts."""
     sent = docs.sparkSession.sparkContext.broadcast(model_bytes(path))
 
     def make():
         import numpy as np
 
-        codec = codec_of(sent.value)
+        codec = codec_of(sent.value, keep)
 
         def run(_, texts):
             n, a, b, ids = [], [], [], []
