@@ -10,13 +10,13 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from panelloom.llm import covering_lsh, mixing, pii_labels, piece_codec, quality_gate
+from panelloom.llm import mixing, pii_labels, piece_codec, quality_gate, shingle_neardup
 from panelloom.llm.common import materialise
 
 #: Encodings that a worker keeps; fewer than by default, as workers live on beside the other stages.
 KEEP = 120_000
-#: Bits of 64 in which fingerprints of near copies may differ.
-RADIUS = 3
+#: Share of five-word shingles, of those in either text, from which on two texts are near copies.
+LEAST = 0.8
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,7 +26,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document of the smallest id stays."""
-    return covering_lsh.keep_one(docs, radius=RADIUS)
+    return shingle_neardup.keep_one(docs, least=LEAST)
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +46,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("quality rules", quality),
-    ("simhash near-dedup", near_dedup),
+    ("shingle near-dedup", near_dedup),
     ("pii", pii),
     ("mix sources", mix),
     ("sentencepiece", encode),

@@ -114,7 +114,12 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2, id_col: st
     """(id, fp, component): component is the smallest id that the document reaches over links."""
     fps = materialise(fingerprints(docs, width, id_col, text), "fingerprints")
     nodes = materialise(fps.groupBy("fp").agg(F.min(id_col).alias("least")), "nodes")
-    stars = connected_components(links(nodes, radius, limit))
+    return join_components(fps, nodes, links(nodes, radius, limit), id_col)
+
+
+def join_components(fps: DataFrame, nodes: DataFrame, linked: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """(id, fp, component) of rows (id, fp), given the least id of each fp and the links (a, b) between fps."""
+    stars = connected_components(linked)
     rooted = nodes.join(stars.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     rooted = materialise(rooted, "rooted")
     names = rooted.groupBy("root").agg(F.min("least").alias("component"))
@@ -122,11 +127,15 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2, id_col: st
 
 
 def keep_one(docs: DataFrame, width: int = 3, radius: int = 2, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with one document of each component, that of the smallest id.
+    """docs with one document of each component, that of the smallest id."""
+    return keep_least(docs, near_duplicates(docs, width, radius, id_col, text), id_col)
+
+
+def keep_least(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """docs with one document of each component of classes (id, component), that of the smallest id.
 
     Rows without an id can't be told apart: they stay.
     """
-    classes = near_duplicates(docs, width, radius, id_col, text)
     chosen = classes.where(F.col(id_col) == F.col("component")).groupBy(id_col).agg(F.count(F.lit(1)).alias("n"))
     chosen = materialise(chosen, "chosen")
     # The ids grow with the corpus, so they are never broadcast, however few they are here.

@@ -1,6 +1,11 @@
 """The pipeline's stages, each against a plain account of what it should keep."""
 
+import random
+
 import corpus_pipeline
+import pytest
+
+from panelloom.llm import shingle_neardup
 
 
 def test_stages(spark, docs, rows, tmp_path):
@@ -19,3 +24,33 @@ def test_stages(spark, docs, rows, tmp_path):
     assert 0 < sizes[1] < sizes[0] < len(rows) and sizes[2] == sizes[1]
     assert out.count() == sizes[3]
     assert corpus_pipeline.run(spark, folder).count() == sizes[3]
+
+
+def _jaccard(a, b, width=5):
+    x, y = ({tuple(w[i : i + width]) for i in range(len(w) - width + 1)} for w in (a, b))
+    return len(x & y) / len(x | y)
+
+
+def test_near_copies_from_four_fifths(spark):
+    """Copies with scattered changes go from a five-word similarity of 0.8 on; those below stay."""
+    draw = random.Random(8)
+    rows, want = [], set()
+    for k in range(60):
+        words = [f"w{draw.randrange(5000)}" for _ in range(300)]
+        other = list(words)
+        for i in range(7, 300, 300 // (6 if k % 2 else 16)):
+            other[i] = "changed"
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(other))]
+        want |= {2 * k} | ({2 * k + 1} if _jaccard(words, other) < 0.8 else set())
+        assert (0.8 <= _jaccard(words, other) < 0.85) if k % 2 else (_jaccard(words, other) < 0.65)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()} == want
+
+
+@pytest.mark.parametrize("limit", [32, 3])
+def test_large_groups_stay_whole(spark, limit):
+    draw = random.Random(9)
+    base = [f"w{draw.randrange(5000)}" for _ in range(200)]
+    rows = [(k, " ".join([*base[:k], "x", *base[k + 1 :]])) for k in range(100)] + [(100 + k, " ".join(draw.choices(base, k=60))) for k in range(20)]
+    got = shingle_neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), limit=limit).collect()
+    assert {r.doc_id: r.component for r in got} == {k: 0 if k < 100 else k for k in range(120)}
