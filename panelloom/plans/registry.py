@@ -573,8 +573,8 @@ def cascade_scenario(spark, sf):
 
 @query()
 def scenario_grid(spark, sf):
-    """All scenarios in one plan, with fewer paths than a full study."""
-    return simulate.cascade(_cells(spark, sf).persist(), simulate.scenario_rows(grid_paths=300, base_paths=500))
+    """All scenarios in one plan."""
+    return simulate.cascade(_cells(spark, sf).persist(), simulate.scenario_rows())
 
 
 @query("SELECT unnest(['loss_p95', 'loss_p99', 'loss_max', 'median_entities_in_tail']) AS quantity, unnest([a, b, c, d]) AS value FROM (SELECT a, b, c, (SELECT median(k) FROM (SELECT period, count(*) FILTER (loss > 0.01) AS k FROM losses SEMI JOIN (SELECT period FROM bl WHERE loss >= a) USING (period) GROUP BY period)) AS d FROM (SELECT quantile_cont(loss, 0.95) AS a, quantile_cont(loss, 0.99) AS b, max(loss) AS c FROM bl))", "value")

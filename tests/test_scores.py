@@ -130,3 +130,13 @@ def test_checks(spark):
     assert {r.check: r.passed for r in report.collect()} == {"one": False, "two": True}
     with pytest.raises(RuntimeError, match="one"):
         quality.require(report)
+
+
+def test_scenario_grid_runs_all_paths(spark, monkeypatch):
+    from panelloom.plans import registry
+
+    asked = []
+    monkeypatch.setattr(registry, "_cells", lambda spark, sf: spark.range(1))
+    monkeypatch.setattr(simulate, "cascade", lambda cells, scenarios: asked.extend(scenarios))
+    registry.scenario_grid(spark, "")
+    assert len(asked) == 66 and {s[-1] for s in asked if s[0].startswith("grid")} == {3000} and {s[-1] for s in asked if s[0].startswith("base")} == {5000}
