@@ -556,7 +556,7 @@ _BOOT = f"""(SELECT rep, label, score FROM (SELECT rep, {_draw_sql(_S, "rep", "s
 
 @query(f"SELECT point_estimate, quantile_cont(average_precision, 0.025) AS ci_lower_95, quantile_cont(average_precision, 0.975) AS ci_upper_95, count(average_precision) AS replications, count(*) - count(average_precision) AS without_events FROM ({rank_sql(_BOOT, 'rep')}), (SELECT average_precision AS point_estimate FROM ({rank_sql('(SELECT 1 AS a, * FROM alerts)', 'a')})) GROUP BY point_estimate", "point_estimate ci_lower_95 ci_upper_95")
 def block_bootstrap(spark, sf):
-    return simulate.block_bootstrap(_alerts(spark, sf).persist(), reps=200)
+    return simulate.block_bootstrap(_alerts(spark, sf).persist())
 
 
 @query("SELECT entity, k, size, loss FROM (SELECT entity, row_number() OVER (PARTITION BY entity ORDER BY loss, period) - 1 AS k, count(*) OVER (PARTITION BY entity) AS size, loss FROM (SELECT entity, period, least(greatest(loss, 0), 0.5::DOUBLE) AS loss FROM losses WHERE loss > 0) JOIN (SELECT entity, quantile_cont(least(loss, 0.5::DOUBLE), 0.85) AS low FROM losses WHERE loss > 0 GROUP BY entity) USING (entity) WHERE loss >= low)", "loss")

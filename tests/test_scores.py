@@ -140,3 +140,12 @@ def test_scenario_grid_runs_all_paths(spark, monkeypatch):
     monkeypatch.setattr(simulate, "cascade", lambda cells, scenarios: asked.extend(scenarios))
     registry.scenario_grid(spark, "")
     assert len(asked) == 66 and {s[-1] for s in asked if s[0].startswith("grid")} == {3000} and {s[-1] for s in asked if s[0].startswith("base")} == {5000}
+
+
+def test_bootstrap_query_runs_all_replications(spark, monkeypatch):
+    from panelloom.plans import registry
+
+    rows = spark.createDataFrame([(day(k), int(k % 3 == 0), k / 30) for k in range(30)], "period date, label int, score double")
+    monkeypatch.setattr(registry, "_alerts", lambda spark, sf: rows)
+    got = registry.block_bootstrap(spark, "").first()
+    assert got.replications + got.without_events == 1000
