@@ -1,15 +1,19 @@
 """Personal data by weak supervision.
 
-Base spans follow fixed patterns. Beyond them, candidates (digit groups, long mixed tokens, and the base
-spans themselves) get votes from labelers of four sorts: strict patterns, gazetteers of prefixes and
-endings, cue words in the context, and shape. One pass over the corpus counts how often each pattern of
-votes and discrete features occurs; the number of patterns is bounded by the labelers, not by the data.
-Expectation-maximisation over those counts estimates each labeler's reliability and the probability that
-a pattern is personal data; a logistic span classifier is trained on the features against these
-probabilities. A second pass adds the candidates that the classifier accepts and that touch no base span.
-
-Defined cases: a null or empty text has no spans; positions are code points, ends exclusive; repeated rows
-each get their row; a corpus without candidates trains nothing and adds nothing; base spans always stay.
+Base spans follow fixed patterns; they are certain and always stay. Beyond them, candidates (long mixed tokens,
+numbers of the social-security form, other long digit groups) get votes from labelers of four sorts: strict
+patterns, gazetteers of prefixes, cue words in the CONTEXT characters before, and shape. One pass over the
+corpus counts how often each pattern of votes and discrete features occurs; the number of patterns is bounded
+by the labelers, not by the data. Expectation-maximisation over those counts estimates, kind by kind, each
+labeler's reliability and the probability that a pattern is personal data; a labeler's reliability starts from,
+and is held near, a prior that is better than chance (PRIORS), so that few candidates can't turn the classes
+round. A logistic span classifier is trained on the features against these probabilities, and a second pass
+adds the candidates that it accepts and that touch no base span.
+
+Defined cases: a null or empty text has no spans; positions are code points, ends exclusive; a candidate or a
+text may have any length, and time is linear in it; repeated rows each get their row; of candidates that overlap
+the one that starts first counts, at a tie the one first in KINDS; a probability of exactly one half is accepted; a
+corpus without candidates trains nothing and adds nothing; other columns stay as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,12 +32,12 @@ from .common import documents, map_texts
 # Kinds in their order; the first four are the base.
 KINDS = ("email", "ip", "card", "phone", "secret", "ssn", "number")
 BASE = KINDS[:4]
+#: Characters before a candidate in which cue words and quotes are looked for.
+CONTEXT = 24
 _RANK = {k: i for i, k in enumerate(KINDS)}
 
 # Gazetteers and cue words.
-ENDINGS = {"com", "org", "net", "edu", "gov", "io", "de", "fr", "es", "uk", "eu", "info", "co"}
 SECRET_PREFIXES = ("AKIA", "ASIA", "ghp_", "gho_", "github_pat_", "sk-", "pk-", "xoxb-", "xoxp-", "AIza", "eyJ")
-DIAL_CODES = ("+1", "+33", "+34", "+39", "+41", "+43", "+44", "+49", "+61", "+81", "+86", "+91")
 CUES = re.compile(r"(?i)\b(?:pass(?:word|wd|code)?|pwd|token|secret|api[_ -]?key|key|auth|credential|card|visa|iban|account|tel|phone|call|mobile|fax|mail|contact|ssn|ip|host|login)\b\W*\Z")
 ANTI_CUES = re.compile(r"(?i)\b(?:version|v|isbn|page|pages|section|chapter|fig|figure|table|no|rfc|commit|license|copyright|sha1|md5)\b\W*\Z")
 
@@ -44,7 +48,7 @@ _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234567
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_TOKEN = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{12,256}(?![A-Za-z0-9_-])")
+_TOKEN = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{12,}+(?![A-Za-z0-9_-])")
 _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _NUMBER = re.compile(r"(?<![0-9.-])[0-9](?:[ .-]?[0-9]){6,18}(?![0-9.-])")
 _STRICT_SECRET = re.compile(r"(?:AKIA|ASIA)[A-Z0-9]{16}|(?=[0-9a-f]*[0-9])(?=[0-9a-f]*[a-f])[0-9a-f]{16,}|(?:ghp_|gho_|sk-|pk-|xox[bp]-)[A-Za-z0-9_-]{12,}")
@@ -114,22 +118,11 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, i
 
 
 def votes(text: str, span: tuple[int, int, int]) -> str:
-    """A letter of + (personal), - (not) or 0 (no opinion) from each labeler."""
+    """A letter of + (personal), - (not) or 0 (no opinion) from each labeler, for a candidate."""
     start, kind, end = span
-    name, v, before = KINDS[kind], text[start:end], text[max(0, start - 24) : start]
-    strict = "+" if kind < len(BASE) or name == "ssn" or name == "secret" and _STRICT_SECRET.fullmatch(v) else "-"
-    if name == "email":
-        gazette = "+" if v.rsplit(".", 1)[-1].lower() in ENDINGS else "-"
-    elif name == "ip":
-        gazette = "-" if v.startswith(("0.", "127.", "255.", "10.", "192.168.")) else "+"
-    elif name == "card":
-        gazette = "+" if v[0] in "3456" else "-"
-    elif name == "phone":
-        gazette = "+" if v.startswith(DIAL_CODES) else "0"
-    elif name == "secret":
-        gazette = "+" if v.startswith(SECRET_PREFIXES) else "0"
-    else:
-        gazette = "0"
+    name, v, before = KINDS[kind], text[start:end], text[max(0, start - CONTEXT) : start]
+    strict = "+" if name == "ssn" or name == "secret" and _STRICT_SECRET.fullmatch(v) else "-"
+    gazette = "+" if name == "secret" and v.startswith(SECRET_PREFIXES) else "0"
     context = "+" if CUES.search(before) else "-" if ANTI_CUES.search(before) else "0"
     kinds = len({*v.lower()} - {" ", "-", "."})
     shape = "-" if kinds <= 3 else "+" if kinds >= 7 else "0"
@@ -139,16 +132,25 @@ def votes(text: str, span: tuple[int, int, int]) -> str:
 def features(text: str, span: tuple[int, int, int]) -> str:
     """Discrete features of a candidate, as a short code: one digit for each."""
     start, kind, end = span
-    v, before = text[start:end], text[max(0, start - 24) : start]
+    v, before = text[start:end], text[max(0, start - CONTEXT) : start]
     digits = sum(c.isdigit() for c in v) / len(v)
     case = 0 if not any(c.isalpha() for c in v) else 1 if v.upper() == v else 2 if v.lower() == v else 3
     joined = 1 if before[-1:] in ("=", '"', "'", ":") else 0
-    cue = 1 if CUES.search(before) else 2 if ANTI_CUES.search(before) else 0
-    length = min(3, (end - start) // 8)
-    return f"{kind}{length}{int(digits * 2.99)}{case}{joined}{cue}{1 if v.startswith(SECRET_PREFIXES) else 0}"
+    vote = ["0-+".index(c) for c in votes(text, span)]
+    return f"{kind - len(BASE)}{min(3, (end - start) // 8)}{int(digits * 2.99)}{case}{joined}{''.join(map(str, vote))}"
 
 
-_WIDTHS = (len(KINDS), 4, 3, 4, 2, 3, 2)
+_WIDTHS = (len(KINDS) - len(BASE), 4, 3, 4, 2, 3, 3, 3, 3)
+#: What is held of a labeler before any vote is seen: chances of +, - and 0 for personal data, and for other spans.
+PRIORS = (
+    ((0.8, 0.1, 0.1), (0.1, 0.8, 0.1)),  # strict patterns
+    ((0.4, 0.1, 0.5), (0.1, 0.4, 0.5)),  # gazetteers
+    ((0.4, 0.1, 0.5), (0.1, 0.4, 0.5)),  # context
+    ((0.6, 0.1, 0.3), (0.3, 0.4, 0.3)),  # shape
+)
+#: As many votes as the prior of a labeler, or of the share of personal data, weighs.
+STRENGTH = 20.0
+SHARE = 0.3
 
 
 def _one_hot(codes: list[str]) -> np.ndarray:
@@ -164,18 +166,18 @@ def _one_hot(codes: list[str]) -> np.ndarray:
 
 @dataclass
 class SpanModel:
-    """Weights of the span classifier, and what expectation-maximisation found about the labelers."""
+    """Weights of the span classifier, and what expectation-maximisation found of each kind."""
 
     weights: np.ndarray
-    prior: float
-    reliability: np.ndarray  # labelers x class x vote (+, -, 0)
+    share: dict[str, float]  # of personal data among the kind's candidates
+    reliability: dict[str, np.ndarray]  # labelers x class (other, personal) x vote (+, -, 0)
 
     def accepts(self, code: str) -> bool:
         return bool(_one_hot([code])[0] @ self.weights >= 0)
 
 
 def vote_counts(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(pattern, n): how often each pattern of votes and features occurs; summed up within tasks first."""
+    """(pattern, n): how often each pattern of votes and features of a candidate occurs; summed up within tasks first."""
 
     def run(batches):
         from collections import Counter
@@ -186,43 +188,43 @@ def vote_counts(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
         for b in batches:
             for t in b.column(0).to_pylist():
                 t = (t or b"").decode("utf-8", "replace")
-                base = base_spans(t)
-                for span in [*base, *candidates(t, base)]:
+                for span in candidates(t, base_spans(t)):
                     seen[f"{votes(t, span)}{features(t, span)}"] += 1
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["pattern", "n"])
 
-    each = docs.select(F.col(text).cast("binary").alias("utf8")).mapInArrow(run, "pattern string, n long")
+    each = docs.select(F.col(f"`{text}`").cast("binary").alias("utf8")).mapInArrow(run, "pattern string, n long")
     return each.groupBy("pattern").agg(F.sum("n").alias("n"))
 
 
 def estimate(patterns: list[str], counts: np.ndarray, rounds: int = 50) -> tuple[np.ndarray, float, np.ndarray]:
-    """Posterior of each pattern, class prior and labeler reliabilities, by expectation-maximisation."""
+    """For one kind: the posterior of each pattern of votes, the share of personal data, and labeler reliabilities.
+
+    Expectation-maximisation with Dirichlet priors: each reliability is PRIORS with the weight of STRENGTH votes,
+    and the votes seen.
+    """
     which = np.array([["+-0".index(c) for c in p[:4]] for p in patterns])
-    post = np.clip(0.5 + 0.2 * ((which == 0).sum(axis=1) - (which == 1).sum(axis=1)), 0.05, 0.95)
-    prior, rel = 0.5, np.zeros((4, 2, 3))
+    held = np.array(PRIORS)[:, ::-1]  # other, personal
+    share, rel = SHARE, held
     for _ in range(rounds):
-        both = np.stack([(1 - post) * counts, post * counts])
-        prior = float(both[1].sum() / counts.sum())
-        for k in range(4):
-            for y in range(2):
-                n = np.bincount(which[:, k], weights=both[y], minlength=3) + 1.0
-                rel[k, y] = n / n.sum()
-        logs = np.log(rel)
-        odds = np.log(max(prior, 1e-9)) - np.log(max(1 - prior, 1e-9)) + sum(logs[k, 1][which[:, k]] - logs[k, 0][which[:, k]] for k in range(4))
+        odds = np.log(share) - np.log(1 - share) + sum(np.log(rel[k, 1][which[:, k]]) - np.log(rel[k, 0][which[:, k]]) for k in range(4))
         post = 1 / (1 + np.exp(-np.clip(odds, -35, 35)))
-    return post, prior, rel
-
-
-def fit(docs: DataFrame, id_col: str = "doc_id", text: str = "text", l2: float = 1.0, max_patterns: int = 100_000) -> SpanModel | None:
-    """The span classifier, from vote patterns of all documents; None if there are no candidates."""
-    rows = vote_counts(docs, id_col, text).limit(max_patterns).collect()  # 3^4 votes x the features' codes: never so many
-    if not rows:
-        return None
-    rows.sort(key=lambda r: r["pattern"])
-    patterns, counts = [r["pattern"] for r in rows], np.array([r["n"] for r in rows], float)
-    post, prior, rel = estimate(patterns, counts)
-    x, w = _one_hot([p[4:] for p in patterns]), np.zeros(1 + sum(_WIDTHS))
-    for _ in range(30):  # Newton steps of the weighted logistic loss
+        both = np.stack([(1 - post) * counts, post * counts])
+        share = float((both[1].sum() + SHARE * STRENGTH) / (counts.sum() + STRENGTH))
+        seen = np.array([[np.bincount(which[:, k], weights=both[y], minlength=3) for y in range(2)] for k in range(4)])
+        rel = (seen + STRENGTH * held) / (seen.sum(axis=2, keepdims=True) + STRENGTH)
+    return post, share, rel
+
+
+def train(patterns: list[str], counts: np.ndarray, l2: float = 0.1) -> SpanModel:
+    """Expectation-maximisation for each kind, then one classifier against all posteriors, by Newton steps."""
+    post, share, rel = np.zeros(len(patterns)), {}, {}
+    for k, name in enumerate(KINDS[len(BASE) :]):
+        own = [i for i, p in enumerate(patterns) if p[4] == str(k)]
+        if own:
+            post[own], share[name], rel[name] = estimate([patterns[i] for i in own], counts[own])
+    x = _one_hot([p[4:] for p in patterns])
+    w = np.zeros(x.shape[1])
+    for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -35, 35)))
         gradient = x.T @ (counts * (p - post)) + l2 * w
         hessian = (x * (counts * p * (1 - p))[:, None]).T @ x + l2 * np.eye(len(w))
@@ -230,7 +232,16 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text: str = "text", l2: float =
         w = w - step
         if np.abs(step).max() < 1e-9:
             break
-    return SpanModel(w, prior, rel)
+    return SpanModel(w, share, rel)
+
+
+def fit(docs: DataFrame, id_col: str = "doc_id", text: str = "text", l2: float = 0.1) -> SpanModel | None:
+    """The span classifier, from vote patterns of all documents; None if there are no candidates."""
+    # The votes are among the features, so there are at most 3 x 4 x 3 x 4 x 2 x 3^4 = 23,328 patterns, whatever the corpus.
+    rows = sorted(vote_counts(docs, id_col, text).collect(), key=lambda r: r["pattern"])
+    if not rows:
+        return None
+    return train([r["pattern"] for r in rows], np.array([r["n"] for r in rows], float), l2)
 
 
 def all_spans(text: str, model: SpanModel | None, known: dict[str, bool]) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
@@ -284,7 +295,7 @@ def redact(text: str, spans: list[tuple[int, int, int]]) -> str:
 
 
 def redact_documents(docs: DataFrame, model: SpanModel | None, text: str = "text", n_chars: str = "n_chars") -> DataFrame:
-    """docs with personal data replaced; n_chars follows, if there; a null text stays null."""
+    """docs with personal data replaced; n_chars follows, if there; a null text stays null. All other columns pass through."""
     sent, names, schema = docs.sparkSession.sparkContext.broadcast(model), docs.columns, docs.schema
 
     def run(batches):
@@ -300,9 +311,9 @@ def redact_documents(docs: DataFrame, model: SpanModel | None, text: str = "text
             if n_at >= 0:
                 was = cols[n_at].to_pylist()
                 cols[n_at] = pa.array([w if t is None or s == t else len(s) for w, t, s in zip(was, old, new, strict=True)], cols[n_at].type)
-            yield pa.RecordBatch.from_arrays(cols, schema=b.schema)
+            yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.toDF(*[f"c{i}" for i in range(len(names))]).mapInArrow(run, schema)  # plain names, as mapInArrow resolves dots
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
