@@ -20,10 +20,12 @@ _FREE_SHUFFLE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share (spark.checkpoint.dir).
 
-    Only where the session names none (tests, one machine) is a temporary folder made and set.
+    Only where the session names none and runs on one machine (tests) is a temporary folder made and set.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir names no shared folder")
         found = "file://" + tempfile.mkdtemp(prefix="scratch-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -56,7 +58,7 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_join(df: DataFrame, small: DataFrame, on: str, how: str = "left", max_rows: int = 20_000) -> DataFrame:
+def small_join(df: DataFrame, small: DataFrame, on: str | list[str], how: str = "left", max_rows: int = 20_000) -> DataFrame:
     """Join a table of few rows: broadcast only if a count proves it small, else a plain join, which AQE may split."""
     if small.limit(max_rows + 1).count() <= max_rows:
         small = F.broadcast(small)
@@ -65,7 +67,7 @@ def small_join(df: DataFrame, small: DataFrame, on: str, how: str = "left", max_
 
 def text_of(column: str) -> Column:
     """The text, a null as the empty one."""
-    return F.coalesce(F.col(column), F.lit(""))
+    return F.coalesce(F.col(f"`{column}`"), F.lit(""))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,7 +82,7 @@ def map_texts(df: DataFrame, make, fields: str, id_col: str = "doc_id", text: st
     """
     from pyspark.sql.types import StructType
 
-    keep = df.select(F.col(id_col), *also)
+    keep = df.select(*[F.col(f"`{c}`") for c in (id_col, *also)])
     added = StructType.fromDDL(fields)
     schema = StructType([*keep.schema.fields, *added.fields])
     n_keep = len(keep.columns)
@@ -97,5 +99,5 @@ def map_texts(df: DataFrame, make, fields: str, id_col: str = "doc_id", text: st
             made = [c if isinstance(c, pa.Array) else pa.array(c, type=out.field(n_keep + i).type) for i, c in enumerate(cols)]
             yield pa.RecordBatch.from_arrays([*[b.column(i).cast(out.field(i).type) for i in range(n_keep)], *made], schema=out)
 
-    source = df.select(F.col(id_col), *also, F.col(text).cast("binary").alias("_utf8"))
+    source = df.select(*[F.col(f"`{c}`") for c in (id_col, *also)], F.col(f"`{text}`").cast("binary").alias("_utf8"))
     return source.mapInArrow(run, schema)

@@ -4,20 +4,25 @@ Sizes are counted in words. Targets: the sources, in code-point order of their n
 turn and share `budget` times all words; a target stops at `most` times its source's size and what is
 over goes to the others by weight, until none is above.
 
-Each source is cut into blocks of documents by a hash of the id. A source whose target is q times its size
-and a rest takes every block q times and, of a hashed permutation of its blocks, so many as the rest
-needs; the last block is cut at a place in the permutation of its documents, and the document there by words,
-so that a source's words meet its target to the word. The exact numbers of block draws of all sources are then dealt
-to the output shards: a tree halves the shards and splits the vector of draws between the halves by a
-multivariate-hypergeometric draw, down to single shards; a shard's draws are the next ones of each source's
-permutation, so that shards are disjoint. A document's place within its shard is a hash (m_pos).
+A source's documents are laid end to end in the order of a hash, and that line is cut into blocks of equally many
+words. A source whose target is q times its size and a rest owes every block q times (q full rounds) and, of
+one more round, so many blocks as the rest needs. These block quotas, a vector with an entry for each source and
+round, are dealt to the output shards: a tree halves the shards and splits the vector between the halves by a
+multivariate-hypergeometric draw, down to single shards, and with the quotas it splits each round's permuted
+blocks, in proportion. A shard then draws its quota from its own part of the blocks, so that shards are disjoint
+and the blocks that are drawn follow from the tree. Of a round's last block only the words are taken that
+meet the target, so it is met to the word. Within a shard documents stand in the order of a hash (m_pos).
 
-Everything follows from hashes and seeds, so reruns agree. The driver sees a number of rows that depends on
-the number of sources and `blocks`, not on documents.
+The tree has two levels, as colours of a multivariate-hypergeometric draw may be pooled and split again: the driver
+splits the sums of GROUPS groups of sources, and one task for each group splits its own, given the group's share of
+every shard. Neither the number of sources nor that of documents is bounded; the driver sees GROUPS rows.
+
+Everything follows from hashes and seeds, so reruns agree.
 
 Defined cases: a null text has size 0; a null source is a source of its own, last in order; a null id is
 hashed like an empty one; rows that repeat an id are told apart by their text's hash; identical rows are
-alike in what is taken, to a word; a source without words has target 0; an empty table gives an empty one.
+interchangeable; a source without words has target 0; a text of any length may span many blocks; an empty table
+gives an empty one; other columns are left alone, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,144 +36,200 @@ from .common import WORD, documents, materialise, small_join, text_of
 WEIGHTS = (5.0, 2.0, 1.0)
 BUDGET = 1.5
 MOST = 2
-BLOCKS = 1024
 SHARDS = 64
-MAX_SOURCES = 2_000
-
-
-def targets(sizes: list[int], weights: list[float], budget: float = BUDGET, most: float = MOST) -> list[float]:
-    """Shares of budget times all words by weight; none above most times its size, the excess reshared."""
-    out = [0.0] * len(sizes)
-    rest, open_ = budget * sum(sizes), list(range(len(sizes)))
-    while open_:
-        unit = rest / sum(weights[i] for i in open_)
-        full = [i for i in open_ if unit * weights[i] > most * sizes[i]]
-        if not full:
-            for i in open_:
-                out[i] = unit * weights[i]
-            break
-        for i in full:
-            out[i] = float(most * sizes[i])
-            rest -= out[i]
-        open_ = [i for i in open_ if i not in set(full)]
-    return out
-
-
-def split_tree(draws: np.ndarray, shards: int, seed: int) -> np.ndarray:
-    """How many draws of each source each shard gets (shards x sources), summing to draws exactly."""
-    out = np.zeros((shards, len(draws)), np.int64)
-    todo = [(0, shards, np.asarray(draws, np.int64))]
+GROUPS = 256
+#: Blocks of the whole mix for each shard, at least MIN_WORDS words each.
+BLOCKS = 256
+MIN_WORDS = 64
+#: Documents of one source that one window orders, and bytes of text in one task of the written mix, about.
+BUCKET_ROWS = 20_000
+TASK_BYTES = 1 << 26
+
+
+def split_tree(draws: np.ndarray, shard_sizes: np.ndarray, seed: tuple[int, ...]) -> np.ndarray:
+    """How many draws of each colour each shard gets (shards x colours): columns sum to draws, rows to shard_sizes."""
+    out = np.zeros((len(shard_sizes), len(draws)), np.int64)
+    todo = [(0, len(shard_sizes), np.asarray(draws, np.int64))]
     while todo:
         lo, hi, have = todo.pop()
         if hi - lo == 1:
             out[lo] = have
             continue
         mid = (lo + hi) // 2
-        take = int(have.sum()) * (mid - lo) // (hi - lo)
-        left = np.random.default_rng((seed, lo, hi)).multivariate_hypergeometric(have, take, method="marginals") if len(have) else have
+        take = int(shard_sizes[lo:mid].sum())
+        left = np.random.default_rng((*seed, lo, hi)).multivariate_hypergeometric(have, take, method="marginals") if len(have) else have
         todo += [(lo, mid, left), (mid, hi, have - left)]
     return out
 
 
-def plan_blocks(sized: DataFrame, shards: int, blocks: int, seed: int, budget: float, most: float) -> tuple[DataFrame, DataFrame]:
-    """sources (key, source_size, target) and draws (key, block, draw, words, whole, shard), from (key, block, size)."""
-    spark = sized.sparkSession
-    sums = sized.groupBy("key", "block").agg(F.sum("size").alias("words"))
-    rows = sums.groupBy("key").agg(F.collect_list(F.struct("block", "words")).alias("each")).limit(MAX_SOURCES + 1).collect()  # at most `blocks` in a list
-    if len(rows) > MAX_SOURCES:
-        raise ValueError(f"over {MAX_SOURCES} sources")
-    rows.sort(key=lambda r: (r["key"] is None, (r["key"] or "").encode()))
-    sizes = [sum(x["words"] for x in r["each"]) for r in rows]
-    goal = targets(sizes, [WEIGHTS[i % len(WEIGHTS)] for i in range(len(rows))], budget, most)
-    drawn: list[list[tuple[int, int, int, bool]]] = []  # of each source: block, draw number, words to take, whether all
-    for k, (r, size, t) in enumerate(zip(rows, sizes, goal, strict=True)):
-        left, own, epoch = round(t), [], 0
-        at = sorted((x["block"], x["words"]) for x in r["each"])
-        while left > 0 and size > 0:
-            for b in np.random.default_rng((seed, k, epoch)).permutation(len(at)):
-                block, words = at[b]
-                if left > 0 and words > 0:
-                    own.append((block, epoch, min(words, left), words <= left))
-                    left -= min(words, left)
-            epoch += 1
-        drawn.append(own)
-    quota = split_tree(np.array([len(x) for x in drawn], np.int64), shards, seed)
-    dealt = []
-    for k, own in enumerate(drawn):
-        shard = np.repeat(np.arange(shards), quota[:, k])
-        dealt += [(rows[k]["key"], int(b), int(e), int(w), bool(all_), int(s)) for (b, e, w, all_), s in zip(own, shard, strict=True)]
-    source = spark.createDataFrame([(r["key"], s, t) for r, s, t in zip(rows, sizes, goal, strict=True)], "key string, source_size long, target double")
-    return source, spark.createDataFrame(dealt, "key string, block int, draw int, words long, whole boolean, shard int")
-
-
-def _tag(*cols: str) -> Column:
-    """The columns as one string that tells null from any text."""
-    return F.concat(*[F.coalesce(F.concat(F.lit("="), F.col(c).cast("string"), F.lit(";")), F.lit("?;")) for c in cols])
-
-
-def _cuts(sized: DataFrame, draws: DataFrame) -> DataFrame:
-    """(place, draw, cut, part) for draws that take part of a block: documents below `cut` in the block's
-    permutation are taken whole, those at it `part` words each. At most one block of a source is cut."""
-    cut = draws.where("NOT whole").select(_tag("key", "block").alias("place"), "draw", "words")
-    each = small_join(sized.select(_tag("key", "block").alias("place"), "pos", "size"), cut, "place", "inner")
-    each = each.groupBy("place", "draw", "words", "pos").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n"))
-    order = Window.partitionBy("place", "draw").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    each = each.withColumn("before", F.coalesce(F.sum("size").over(order), F.lit(0)))
-    return each.where((F.col("before") < F.col("words")) & (F.col("words") <= F.col("before") + F.col("size"))).select(
-        "place", "draw", F.col("pos").alias("cut"), F.floor((F.col("words") - F.col("before")) / F.col("n")).alias("part")
-    )
+def even(total: int, shards: int) -> np.ndarray:
+    """total in parts that differ by at most one."""
+    return np.diff(np.arange(shards + 1) * total // shards)
 
 
-def assign(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", keep: tuple[str, ...] = ("doc_id",), budget: float = BUDGET, most: float = MOST, shards: int = SHARDS, blocks: int = BLOCKS, seed: int = 2011) -> DataFrame:
-    """keep, and m_size, m_source_size, m_target, m_pos, and m_takes: an array of structs (draw, words, shard).
+def draw_blocks(blocks: int, quota: np.ndarray, seed: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """(block, shard) of each draw: every shard draws its quota from its own part of the permuted blocks."""
+    order = np.random.default_rng(seed).permutation(blocks)
+    upto = np.cumsum(quota)
+    # Parts in proportion to the quotas: at least as long, as blocks >= sum of the quotas.
+    ends = upto * blocks // max(1, int(upto[-1]))
+    found, shard = [], []
+    for s in np.flatnonzero(quota):
+        part = order[ends[s - 1] if s else 0 : ends[s]]
+        own = np.random.default_rng((*seed, int(s))).permutation(part)[: quota[s]]
+        found.append(own)
+        shard.append(np.full(len(own), s))
+    return np.concatenate(found or [np.empty(0, np.int64)]), np.concatenate(shard or [np.empty(0, np.int64)])
 
-    The plan is joined as a table of at most sources x blocks rows; texts are never shuffled.
+
+def with_targets(sources: DataFrame, budget: float = BUDGET, most: float = MOST) -> DataFrame:
+    """sources (key, size, ...) with rank, from 0 in code-point order, null last, and target.
+
+    Sources that are full at `most` times their size are those of the smallest size for their weight; what is left of
+    the budget for each unit of weight follows from sums over them. One row a source goes through these windows.
+    """
+    order = Window.orderBy(F.col("key").asc_nulls_last())
+    w = F.element_at(F.array(*[F.lit(x) for x in WEIGHTS]), (F.col("rank") % len(WEIGHTS) + 1).cast("int"))
+    s = sources.withColumn("rank", (F.row_number().over(order) - 1).cast("long")).withColumn("w", w)
+    full = F.lit(float(most)) * F.col("size")
+    up = Window.orderBy(full / F.col("w"), "rank")
+    before, whole = up.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
+    rest = F.lit(budget) * F.sum("size").over(whole) - F.coalesce(F.sum(full).over(before), F.lit(0.0))
+    open_ = F.sum("w").over(up.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    s = s.withColumns({"full": full, "unit": rest / open_})
+    # The first source that its share does not fill settles the unit for itself and all after it.
+    unit = F.min_by("unit", F.struct(F.col("full") / F.col("w"), F.col("rank")))
+    settled = s.where(F.col("unit") * F.col("w") <= F.col("full")).agg(unit.alias("settled"))
+    s = s.crossJoin(F.broadcast(settled))  # one row
+    share = F.when(F.col("settled").isNotNull(), F.least(F.col("settled") * F.col("w"), F.col("full"))).otherwise(F.col("full"))
+    return s.withColumn("target", share).drop("w", "full", "unit", "settled")
+
+
+def _plan(sources: DataFrame, block_words: int, shards: int, seed: int) -> DataFrame:
+    """(rank, block, shards, part, part_shard, upto) of every block of sources (rank, size, target).
+
+    shards: where the block goes in each full round; part: how many words from its start the last round takes,
+    for part_shard; upto: the words that this round takes of the blocks before.
     """
-    ident = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
-    sized = docs.select(
-        *[F.col(c).alias(f"k_{c}") for c in keep],
-        F.col(source).alias("key"),
+    per = F.lit(block_words)
+    cells = sources.where("size > 0").select("rank", "size", F.round("target").cast("long").alias("owed"), (F.col("rank") % GROUPS).alias("grp"))
+    cells = cells.withColumns({"whole": F.floor(F.col("size") / per), "tail": F.col("size") % per, "rounds": F.expr("owed div size"), "rest": F.expr("owed % size")})
+    # The last round draws whole blocks; what is over comes from the source's short last block or, if that is
+    # too short, from one more whole block, which is cut.
+    over = F.col("rest") % per
+    cells = cells.withColumns({"cut": F.when(over > F.col("tail"), over).otherwise(F.lit(0)), "short": F.when(over <= F.col("tail"), over).otherwise(F.lit(0))})
+    cells = cells.withColumn("drawn", F.floor(F.col("rest") / per) + (F.col("cut") > 0).cast("long"))
+    number = F.col("rounds") * (F.col("whole") + (F.col("tail") > 0).cast("long")) + F.col("drawn") + (F.col("short") > 0).cast("long")
+    sums = {r["grp"]: r["n"] for r in cells.groupBy("grp").agg(F.sum(number).alias("n")).collect()}  # GROUPS rows
+    totals = np.array([sums.get(g, 0) for g in range(GROUPS)], np.int64)
+    sent = sources.sparkSession.sparkContext.broadcast(split_tree(totals, even(int(totals.sum()), shards), (seed,)))  # shards x GROUPS numbers
+
+    def solve(pdf):
+        import pandas as pd
+
+        grp = int(pdf["grp"].iloc[0])
+        rows = list(pdf.sort_values("rank").itertuples())
+        # A colour is a pool of blocks of one source and round, and how many of them are drawn.
+        colours = []
+        for r in rows:
+            blocks = r.whole + (r.tail > 0)
+            colours += [(r, k, 0, blocks, blocks) for k in range(r.rounds)]
+            colours += [(r, r.rounds, 0, r.whole, r.drawn)] * (r.drawn > 0) + [(r, r.rounds, r.whole, 1, 1)] * (r.short > 0)
+        quota = split_tree(np.array([c[4] for c in colours], np.int64), sent.value[:, grp], (seed, 1, grp))
+        place: dict[int, list] = {r.rank: [np.zeros((r.whole + (r.tail > 0), r.rounds), np.int64), np.full(r.whole + (r.tail > 0), -1), np.zeros(r.whole + (r.tail > 0), np.int64)] for r in rows}
+        for c, (r, k, first, blocks, _) in enumerate(colours):
+            block, shard = draw_blocks(blocks, quota[:, c], (seed, 2, r.rank, k, first))
+            full, part_shard, part = place[r.rank]
+            if k < r.rounds:
+                full[block, k] = shard
+                continue
+            part_shard[first + block] = shard
+            part[first + block] = r.short if first == r.whole else block_words
+            if first < r.whole and r.cut:
+                part[block.max()] = r.cut
+        out = []
+        for r in rows:
+            full, part_shard, part = place[r.rank]
+            out.append(pd.DataFrame({"rank": r.rank, "block": np.arange(len(part)), "shards": full.tolist(), "part": part, "part_shard": part_shard, "upto": np.cumsum(part) - part}))
+        return pd.concat(out)
+
+    return cells.groupBy("grp").applyInPandas(solve, "rank long, block long, shards array<long>, part long, part_shard long, upto long")
+
+
+def _tag(c: Column) -> Column:
+    """A string that tells null from any text."""
+    return F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit("?"))
+
+
+def assign(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", keep: tuple[str, ...] = ("doc_id",), budget: float = BUDGET, most: float = MOST, shards: int = SHARDS, blocks: int = BLOCKS, seed: int = 2011, buckets: int | None = None) -> DataFrame:
+    """(row, m_size, m_source_size, m_target, m_taken, m_draws): row is a struct of the columns in keep.
+
+    m_taken is the number of words that the mix takes; m_draws has a struct (shard, pos) for each time
+    that the document's middle word is taken, pos being its place in the shard's order.
+    """
+    col = lambda c: F.col(f"`{c}`")
+    ident = F.coalesce(col(id_col).cast("string"), F.lit(""))
+    rows = docs.select(
+        F.struct(*[col(c) for c in keep]).alias("row"),
+        col(source).cast("string").alias("key"),
         F.regexp_count(text_of(text), F.lit(WORD)).cast("long").alias("size"),
-        F.pmod(F.xxhash64(F.lit(seed), ident), F.lit(blocks)).cast("int").alias("block"),
-        F.xxhash64(F.lit(seed + 1), ident, text_of(text)).alias("pos"),
+        F.xxhash64(F.lit(seed), ident, text_of(text)).alias("pos"),
     )
-    facts = materialise(sized.select("key", "size", "block", "pos", *[f"k_{c}" for c in keep if c == id_col]), "sizes")
-    if all(c == id_col for c in keep):
-        sized = facts
-    sources, draws = plan_blocks(facts, shards, blocks, seed, budget, most)
-    cuts = _cuts(facts, draws)
-    plan = draws.withColumn("place", _tag("key", "block")).drop("words", "block").join(cuts, ["place", "draw"], "left")
-    plan = plan.groupBy("place").agg(F.sort_array(F.collect_list(F.struct("draw", "shard", "cut", "part"))).alias("draws"))  # at most `most` + 1
-    plan = materialise(plan, "mix")
-    out = small_join(sized.withColumn("tag", _tag("key")), sources.select(_tag("key").alias("tag"), "source_size", "target"), "tag")
-    out = small_join(out.withColumn("place", _tag("key", "block")), plan, "place", max_rows=100_000)
-
-    def take(d: Column) -> Column:
-        words = F.when(d["cut"].isNull() | (F.col("pos") < d["cut"]), F.col("size")).when(F.col("pos") == d["cut"], d["part"]).otherwise(F.lit(0))
-        return F.struct(d["draw"].alias("draw"), words.cast("long").alias("words"), d["shard"].alias("shard"))
-
-    none = F.array().cast("array<struct<draw:int,words:bigint,shard:int>>")
-    takes = F.filter(F.coalesce(F.transform("draws", take), none), lambda d: d["words"] > 0)
-    own = {"m_size": F.col("size"), "m_source_size": F.col("source_size"), "m_target": F.col("target"), "m_pos": F.col("pos"), "m_takes": takes}
-    # First the new columns, then the kept ones under their own names, which may be those used here.
-    out = out.select(*[f"k_{c}" for c in keep], *[v.alias(k) for k, v in own.items()])
-    return out.select(*[F.col(f"k_{c}").alias(c) for c in keep], *own)
-
-
-def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", shards: int = SHARDS, seed: int = 2011) -> DataFrame:
-    """The mixed documents, whole: a document appears once for each draw that takes half of it or more."""
-    columns = tuple(docs.columns)
-    out = assign(docs, id_col, text, source, columns, shards=shards, seed=seed)
-    out = out.withColumn("m_take", F.explode(F.filter("m_takes", lambda d: 2 * d["words"] >= F.col("m_size"))))
-    return out.select(*columns)
+    if text not in keep:
+        rows = materialise(rows, "sizes")
+    if buckets is None:  # as many for each source as the largest one needs
+        largest = docs.groupBy(col(source)).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+        buckets = -(-largest // BUCKET_ROWS) or 1
+    rows = rows.withColumns({"tag": _tag(F.col("key")), "bucket": F.pmod(F.xxhash64(F.lit(1), "pos"), F.lit(buckets))})
+    sums = materialise(rows.groupBy("tag", "bucket").agg(F.any_value("key").alias("key"), F.sum("size").alias("words")), "sums")
+    sources = with_targets(sums.groupBy("tag").agg(F.any_value("key").alias("key"), F.sum("words").alias("size")), budget, most)
+    sources = materialise(sources.select("tag", "rank", F.col("size").alias("source_size"), "target"), "sources")
+    total = sources.agg(F.sum("source_size")).first()[0] or 0
+    block_words = max(MIN_WORDS, -(-int(budget * total) // (shards * blocks)))
+    plan = materialise(_plan(sources.select("rank", F.col("source_size").alias("size"), "target"), block_words, shards, seed), "plan")
+
+    # Where each document starts on its source's line: by the sums of its buckets, and of its own bucket before it.
+    line = Window.partitionBy("tag").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select("tag", "bucket", F.coalesce(F.sum("words").over(line), F.lit(0)).alias("offset"))
+    within = Window.partitionBy("tag", "bucket").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    out = rows.withColumn("before", F.coalesce(F.sum("size").over(within), F.lit(0)))
+    out = small_join(out, offsets, ["tag", "bucket"])
+    out = small_join(out, sources, "tag").withColumn("start", F.col("before") + F.col("offset")).drop("before", "offset", "bucket", "tag", "key")
+    some = F.col("size") > 0
+    for name, at in (("first", F.col("start")), ("mid", F.col("start") + F.expr("(size - 1) div 2")), ("last", F.col("start") + F.col("size") - 1)):
+        found = plan.select(F.struct("rank", "block").alias("place"), F.struct("shards", "part", "part_shard", "upto").alias(name))
+        out = small_join(out.withColumn("place", F.when(some, F.struct("rank", F.floor(at / block_words).alias("block")))), found, "place", max_rows=100_000).drop("place")
+    taken_to = lambda p, at: p["upto"] + F.least(p["part"], at % block_words)  # noqa: E731  of the last round, before `at`
+    end = F.col("start") + F.col("size") - 1
+    of_last = F.least(F.col("last.part"), end % block_words + 1) + F.col("last.upto") - taken_to(F.col("first"), F.col("start"))
+    taken = F.when(some, F.size("mid.shards") * F.col("size") + of_last).otherwise(F.lit(0)).cast("long")
+    mid = (F.col("start") + F.expr("(size - 1) div 2")) % block_words < F.col("mid.part")
+    places = F.concat("mid.shards", F.when(mid, F.array("mid.part_shard")).otherwise(F.array().cast("array<bigint>")))
+    draws = F.transform(F.coalesce(places, F.array().cast("array<bigint>")), lambda s, k: F.struct(s.alias("shard"), F.xxhash64(F.lit(seed), s, k, "pos").alias("pos")))
+    return out.select("row", F.col("size").alias("m_size"), F.col("source_size").alias("m_source_size"), F.col("target").alias("m_target"), taken.alias("m_taken"), draws.alias("m_draws"))
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", shards: int = SHARDS, seed: int = 2011, places: bool = False) -> DataFrame:
+    """The mixed documents, whole: one appears for each time that the mix takes its middle word.
+
+    Rows of a shard stand together in tasks of about TASK_BYTES, dealt to them by a hash and sorted by another: the
+    local shuffle. With places, columns m_shard and m_pos are added.
+    """
+    columns = list(docs.columns)
+    out = assign(docs, id_col, text, source, tuple(columns), shards=shards, seed=seed)
+    size = docs.agg(F.sum(F.octet_length(F.col(f"`{text}`")))).first()[0] or 0
+    parts = max(1, -(-int(BUDGET * size) // (shards * TASK_BYTES)))  # of a shard
+    out = out.select("row", F.explode("m_draws").alias("d")).select("row", F.col("d.shard").alias("shard"), F.pmod(F.xxhash64(F.lit(seed + 1), "d.pos"), F.lit(parts)).alias("part"), F.col("d.pos").alias("pos"))
+    tasks = max(1, min(shards * parts, -(-int(BUDGET * size) // TASK_BYTES)))
+    out = out.repartition(tasks, "shard", "part").sortWithinPartitions("shard", "part", "pos")
+    return out.select(*[F.col("row").getField(c).alias(c) for c in columns], *([F.col("shard").alias("m_shard"), F.col("pos").alias("m_pos")] if places else []))
 
 
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = assign(documents(spark, sf_dir))
-    taken = F.aggregate("m_takes", F.lit(0).cast("long"), lambda a, d: a + d["words"])
     return out.select(
-        "doc_id", F.col("m_size").alias("size"), F.col("m_source_size").alias("source_size"), F.col("m_target").alias("target"), taken.alias("taken"),
-        F.transform("m_takes", lambda d: d["shard"]).alias("shards"),
+        F.col("row.doc_id").alias("doc_id"), F.col("m_size").alias("size"), F.col("m_source_size").alias("source_size"), F.col("m_target").alias("target"), F.col("m_taken").alias("taken"),
+        F.transform("m_draws", lambda d: d["shard"]).alias("shards"),
     )
 
 
