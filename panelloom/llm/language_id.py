@@ -2,11 +2,14 @@
 
 Counts of hashed n-grams (n = 1 to 3, lower case, spaces at both ends) are taken for each language over all
 training documents in Spark. The matrix of log-probabilities has `bins` rows and a column for each
-language, so its size does not depend on the data; it is broadcast, and workers score whole batches in numpy.
-
-Defined cases: a null text, or one without a letter, is `und` with score 0; a null language teaches
-nothing; a null id hashes like an empty one; without any training document everything is `und`;
-repeated rows each get their row; more than `max_languages` languages raise an error.
+language, so its size does not depend on the number of documents; it is broadcast in blocks of up to `block`
+languages, so that each broadcast is at most bins x block numbers, and workers score whole batches in numpy, block by block.
+
+Defined cases: a null text, or one without a letter (a character of a Unicode category L), is `und` with score 0;
+a null language teaches nothing; a null id hashes like an empty one; without any training document everything is
+`und`; of languages of equal posterior the first in code-point order is predicted; a text of any length is scored in
+pieces of 2^20 characters, whose n-grams don't reach across; repeated rows each get their row; columns other than those
+named are never read.
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, map_texts
+from .common import documents, map_texts, materialise
 
 UNKNOWN = "und"
 BINS = 1 << 15
@@ -25,7 +28,11 @@ ORDERS = (1, 2, 3)
 #: Odd multipliers of the rolling combination, one for each position of an n-gram.
 _MIX = (np.uint32(2654435761), np.uint32(2246822519), np.uint32(3266489917))
 _CHUNK = 1 << 20
-_LETTER = re.compile(r"[^\W\d_]")
+_PLAIN = re.compile(r"[A-Za-z]")
+
+
+def has_letter(text: str) -> bool:
+    return bool(_PLAIN.search(text)) or any(map(str.isalpha, text))
 
 
 def gram_bins(text: str, bins: int = BINS) -> np.ndarray:
@@ -51,6 +58,13 @@ def _train_counts(docs: DataFrame, id_col: str, text: str, lang: str, bins: int)
         import pyarrow as pa
 
         sums: dict[str, np.ndarray] = {}
+
+        def sent():
+            for la, own in sums.items():
+                at = np.flatnonzero(own)
+                yield pa.RecordBatch.from_arrays([pa.array([la] * len(at)), pa.array(np.where(at == bins, -1, at).astype(np.int32)), pa.array(own[at])], names=["lang", "bin", "n"])
+            sums.clear()
+
         for b in batches:
             for la, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 own = sums.setdefault(la, np.zeros(bins + 1, np.int64))
@@ -58,32 +72,32 @@ def _train_counts(docs: DataFrame, id_col: str, text: str, lang: str, bins: int)
                 t = (t or b"").decode("utf-8", "replace")
                 for i in range(0, len(t), _CHUNK):
                     own[:bins] += np.bincount(gram_bins(t[i : i + _CHUNK], bins), minlength=bins)
-        for la, own in sums.items():
-            at = np.flatnonzero(own)
-            yield pa.RecordBatch.from_arrays([pa.array([la] * len(at)), pa.array(np.where(at == bins, -1, at).astype(np.int32)), pa.array(own[at])], names=["lang", "bin", "n"])
+            if len(sums) > 256:  # of very many languages a task sends what it has, and starts anew
+                yield from sent()
+        yield from sent()
 
-    known = docs.where(F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).cast("binary").alias("utf8"))
+    known = docs.where(F.col(f"`{lang}`").isNotNull()).select(F.col(f"`{lang}`").alias("lang"), F.col(f"`{text}`").cast("binary").alias("utf8"))
     return known.mapInArrow(run, "lang string, bin int, n long").groupBy("lang", "bin").agg(F.sum("n").alias("n"))
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang", bins: int = BINS, alpha: float = 0.1, max_languages: int = 250) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Languages, log-priors, and the matrix of log-probabilities (bins x languages, float32)."""
-    counts = _train_counts(docs, id_col, text, lang, bins)
-    rows = counts.groupBy("lang").agg(F.collect_list(F.struct("bin", "n")).alias("each"))  # at most bins + 1 in a list
-    rows = rows.limit(max_languages + 1).collect()
-    if len(rows) > max_languages:
-        raise ValueError(f"over {max_languages} languages")
-    langs = sorted(r["lang"] for r in rows)
-    table, prior = np.zeros((bins, len(langs))), np.zeros(len(langs))
-    for r in rows:
-        k = langs.index(r["lang"])
-        for x in r["each"]:
-            if x["bin"] < 0:
-                prior[k] = x["n"]
-            else:
-                table[x["bin"], k] = x["n"]
-    table += alpha
-    return langs, np.log(prior / max(1.0, prior.sum())), np.log(table / table.sum(axis=0)).astype(np.float32)
+#: A block of languages: their names, log-priors, and log-probabilities (bins x languages, float32).
+Block = tuple[list[str], np.ndarray, np.ndarray]
+
+
+def fit(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang", bins: int = BINS, alpha: float = 0.1, block: int = 64) -> list[Block]:
+    """The model, `block` languages at a time; languages in code-point order."""
+    counts = materialise(_train_counts(docs, id_col, text, lang, bins), "grams")
+    seen = {r["lang"]: r["n"] for r in counts.where("bin < 0").select("lang", "n").collect()}  # one row for each language
+    langs, total, out = sorted(seen), max(1.0, float(sum(seen.values()))), []
+    for i in range(0, len(langs), block):
+        own = langs[i : i + block]
+        table = np.zeros((bins, len(own)))
+        for r in counts.where((F.col("bin") >= 0) & F.col("lang").isin(own)).groupBy("lang").agg(F.collect_list(F.struct("bin", "n")).alias("each")).collect():  # at most bins in a list
+            for x in r["each"]:
+                table[x["bin"], own.index(r["lang"])] = x["n"]
+        table += alpha
+        out.append((own, np.log(np.array([seen[la] for la in own]) / total), np.log(table / table.sum(axis=0)).astype(np.float32)))
+    return out
 
 
 def score_batch(texts: list[str], matrix: np.ndarray) -> np.ndarray:
@@ -109,23 +123,25 @@ def score_batch(texts: list[str], matrix: np.ndarray) -> np.ndarray:
     return out
 
 
-def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], id_col: str = "doc_id", text: str = "text", also: tuple[str, ...] = ()) -> DataFrame:
+def predict(docs: DataFrame, model: list[Block], id_col: str = "doc_id", text: str = "text", also: tuple[str, ...] = ()) -> DataFrame:
     """(id, *also, lang_pred, score): the likeliest language and its posterior probability."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = [docs.sparkSession.sparkContext.broadcast(b) for b in model]
 
     def make():
-        langs, prior, matrix = sent.value
-
         def run(_, texts):
             texts = [t.decode("utf-8", "replace") for t in texts]
-            some = np.array([bool(langs and _LETTER.search(t)) for t in texts], bool)
-            if not langs:
-                return [[UNKNOWN] * len(texts), [0.0] * len(texts)]
-            s = score_batch(texts, matrix) + prior
-            s = np.exp(s - s.max(axis=1, keepdims=True, initial=-np.inf))
-            best = s.argmax(axis=1)
-            p = s.max(axis=1) / s.sum(axis=1)
-            return [[langs[k] if ok else UNKNOWN for k, ok in zip(best, some, strict=True)], np.where(some, p, 0.0).tolist()]
+            best, top, mass = [UNKNOWN] * len(texts), np.full(len(texts), -np.inf), np.zeros(len(texts))
+            for block in sent:
+                langs, prior, matrix = block.value
+                s = score_batch(texts, matrix) + prior
+                own = s.max(axis=1)
+                for k in np.flatnonzero(own > top):
+                    best[k] = langs[s[k].argmax()]
+                new = np.maximum(top, own)  # mass: of all languages so far, relative to the likeliest
+                mass = mass * np.exp(top - new) + np.exp(s - new[:, None]).sum(axis=1)
+                top = new
+            some = np.array([bool(sent) and has_letter(t) for t in texts], bool)
+            return [[la if ok else UNKNOWN for la, ok in zip(best, some, strict=True)], np.where(some, 1 / np.maximum(mass, 1), 0.0).tolist()]
 
         return run
 
@@ -134,7 +150,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], id
 
 def remainder(id_col: str, n: int) -> Column:
     """crc32 of the id as text, modulo n; a null id as the empty text."""
-    return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % n
+    return F.crc32(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit(""))) % n
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
