@@ -1,45 +1,55 @@
-"""Interpolated modified Kneser-Ney bigram model: counted in Spark, kept as sorted hash arrays that workers map.
+"""Interpolated modified Kneser-Ney model of any order: counted in Spark, kept as sorted hash arrays that workers map.
 
-Counting. Each task hashes its words (64 bits) and counts its own bigrams, then sends them in blocks by
-piece. A bigram's piece follows from the previous word and six bits of the word itself, so that a frequent
-word's bigrams are spread over 64 places. Each piece is summed up, sorted by key and written to the shared
-folder as two arrays (keys, counts). What a piece knows of words (distinct and total followers and
-predecessors) goes on to a second, smaller set of pieces, one entry for each word and piece. Only the counts
-of counts, a dozen numbers, reach the driver. The number of pieces grows with the corpus, a piece doesn't.
+Counting. Each task hashes its words (64 bits), counts its own n-grams and sends them in blocks by piece; a
+block holds codes of words (coding.py), not the words. Every n-gram belongs to one piece, by its middle words and a
+salt of its last word, so that a frequent word's n-grams spread over the more pieces the larger the corpus is.
+A piece is summed up, written to the shared folder as one file, and sends on what it knows of shorter grams: for the gram
+without its first word one more distinct predecessor, and for the gram without its last word the number and kinds of its
+followers. The next level does the same with these, down to single words. Only counts of counts, a dozen
+numbers for each level, reach the driver. The number of pieces grows with the corpus, a piece doesn't; where there
+are very many, blocks go to them in two steps, so that none gets tiny.
 
-Scoring. Workers map the arrays and look up the sorted distinct bigrams of many documents piece by piece.
-The highest order has modified Kneser-Ney discounts, the lower order counts distinct predecessors, and
-what the discounts leave there is spread evenly over the vocabulary and one unknown word.
+Files. A piece's file holds 32 bits of each key's hash in sorted order, under a table that starts a
+bucket for every 16 keys or so, and each count in a byte, larger ones on the side. With the piece and the bucket
+about 50 bits of hash tell grams apart: one lookup in 10^8 finds another gram's count.
 
-Order two is the production order: the pieces hold every distinct bigram of the corpus without pruning;
-a third order would double what is shuffled.
+Scoring. Workers map the files, a bounded number at a time, and look up the distinct grams of many documents piece
+by piece. The highest order has raw counts, the lower ones count distinct predecessors, each with its own modified
+Kneser-Ney discounts; what the discounts leave of single words is spread evenly over the vocabulary and one unknown word.
 
 Defined cases: a null or empty text is its end token alone; a null id hashes like an empty one and is a
-training document; repeated rows count and are scored each; an empty training set has no words, and every
-token then has probability one, in both scores.
+training document; a text of any length is counted and scored whole; repeated rows count and are scored each; ties don't
+arise; an empty training set has no words, and every token then has probability one, in both scores; other columns
+are never read.
 """
 
 from __future__ import annotations
 
 import json
 import math
+import mmap
 import os
 import tempfile
+from collections import OrderedDict
 from urllib.parse import urlparse
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .coding import Coding, common_words, gather, pack, unpack
 from .common import documents, map_texts, new_path
 from .language_id import remainder
 
 _U = np.uint64
 BEGIN, END = 0x9AE16A3B2F90404F, 0xC3A5C85C97CB3127  # of no word's bytes; a clash is as likely as any of two hashes
 SEED = 42
-SALTS = 64
+ORDER = 3
 CHUNK = 3_000_000  # tokens that a worker counts or looks up at once
-PIECE_CHARS = 6_000_000  # characters of corpus for each piece of bigrams
+PIECE_CHARS = 16_000_000  # characters of corpus for each piece
+FAN = 2048  # pieces that a task's blocks go to in one step
+OPEN = 1024  # files that a worker maps at once
+BUCKET = 16
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -48,17 +58,22 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(29))
 
 
-def bigram_key(prev: np.ndarray, cur: np.ndarray) -> np.ndarray:
-    return _mix(prev * _U(0xD6E8FEB86659FD93) + _mix(cur))
+def gram_key(columns: list[np.ndarray]) -> np.ndarray:
+    """A hash of each gram, given its words' hashes column by column."""
+    key = _mix(columns[0])
+    for c in columns[1:]:
+        key = _mix(key * _U(0xD6E8FEB86659FD93) + _mix(c))
+    return key
 
 
-def bigram_piece(prev: np.ndarray, cur: np.ndarray, pieces: int) -> np.ndarray:
-    salt = (cur & _U(SALTS - 1)) * _U(0x9E3779B97F4A7C15)
-    return ((_mix(prev ^ salt) >> _U(33)) % _U(pieces)).astype(np.int32)
-
-
-def word_piece(word: np.ndarray, pieces: int) -> np.ndarray:
-    return ((_mix(word) >> _U(35)) % _U(pieces)).astype(np.int32)
+def gram_piece(columns: list[np.ndarray], pieces: int) -> np.ndarray:
+    """The piece of each gram: of its middle words (of two words the first) and a salt of the last."""
+    last = _mix(columns[-1] ^ _U(0x2545F4914F6CDD1D))
+    if len(columns) == 1:
+        return (last >> _U(33)) % _U(pieces)
+    middle = gram_key(columns[1:-1] if len(columns) > 2 else columns[:1])
+    salt = (last >> _U(33)) % _U(-(-pieces // 8))
+    return (_mix(middle + salt * _U(0x9E3779B97F4A7C15)) >> _U(33)) % _U(pieces)
 
 
 class Words(dict):
@@ -82,70 +97,71 @@ class Words(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
-def _chains(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """(previous, current) of every token of these documents, the end token included."""
-    cur = np.concatenate([x for d in docs for x in (d, np.array([END], np.uint64))])
-    prev = np.empty_like(cur)
-    prev[1:] = cur[:-1]
-    at = np.cumsum([0, *[len(d) + 1 for d in docs[:-1]]])
-    prev[at] = BEGIN
-    return prev, cur
-
+def padded(docs: list[np.ndarray], order: int) -> tuple[np.ndarray, np.ndarray]:
+    """Documents end to end, each after order - 1 begin tokens and with its end token; and where its first token is."""
+    head, tail = np.full(order - 1, BEGIN, np.uint64), np.array([END], np.uint64)
+    line = np.concatenate([x for d in docs for x in (head, d, tail)])
+    return line, np.cumsum([order - 1, *[len(d) + order for d in docs[:-1]]])
 
-def _sum_by(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Distinct keys in order, each column of values summed up."""
-    order = np.argsort(keys)
-    keys = keys[order]
-    at = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.empty(0, np.int64)
-    return keys[at], *[np.add.reduceat(v[order], at) if len(at) else v for v in values]
 
+def _tokens(line: np.ndarray, starts: np.ndarray, order: int) -> np.ndarray:
+    """Positions of real tokens."""
+    real = np.ones(len(line), bool)
+    for k in range(1, order):
+        real[starts - k] = False
+    return np.flatnonzero(real)
 
-def _pack(*columns: np.ndarray) -> bytes:
-    head = json.dumps([[c.dtype.str, len(c)] for c in columns]).encode()
-    return len(head).to_bytes(4, "little") + head + b"".join(c.tobytes() for c in columns)
-
-
-def _unpack(blob: bytes) -> list[np.ndarray]:
-    n = int.from_bytes(blob[:4], "little")
-    out, at = [], 4 + n
-    for kind, size in json.loads(blob[4:at]):
-        out.append(np.frombuffer(blob, kind, size, at))
-        at += out[-1].nbytes
-    return out
 
+def _heads(keys: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.empty(0, np.int64)
 
-def _small(x: np.ndarray) -> np.ndarray:
-    """The same numbers in fewer bytes."""
-    top = int(x.max(initial=0))
-    return x.astype(np.uint8 if top < 1 << 8 else np.uint16 if top < 1 << 16 else np.uint32 if top < 1 << 32 else np.uint64)
 
-
-def _count_blocks(docs: list[np.ndarray], pieces: int):
-    """(piece, block) of the bigrams of these documents, counted."""
-    prev, cur = _chains(docs)
-    key = bigram_key(prev, cur)
+def _sums(key: np.ndarray, codes: list[np.ndarray], values: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+    """Distinct keys in order, their codes, and each column of values summed up."""
     order = np.argsort(key)
     key = key[order]
-    at = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-    n = np.diff(np.r_[at, len(key)])
-    prev, cur = prev[order[at]], cur[order[at]]
-    piece = bigram_piece(prev, cur, pieces)
-    order = np.lexsort((prev, piece))
-    prev, cur, n, piece = prev[order], cur[order], n[order], piece[order]
-    cuts = np.searchsorted(piece, np.arange(pieces + 1))
-    for p in range(pieces):
-        a, b = cuts[p], cuts[p + 1]
-        if a < b:
-            # Equal previous words stand together: each is sent once, with the length of its run.
-            starts = np.flatnonzero(np.r_[True, prev[a + 1 : b] != prev[a : b - 1]])
-            yield p, _pack(prev[a:b][starts], _small(np.diff(np.r_[starts, b - a])), cur[a:b], _small(n[a:b]))
+    at = _heads(key)
+    first = order[at]
+    return key[at], [c[first] for c in codes], [np.add.reduceat(v[order], at) if len(at) else v for v in values]
+
+
+def _count(docs: list[np.ndarray], order: int, coding: Coding) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+    """(hashes of the codes, columns of codes, [count]) of the distinct n-grams, in the order of their codes."""
+    line, starts = padded(docs, order)
+    hashes, code = coding.encode(line)
+    ends = _tokens(line, starts, order)
+    rank = code[ends - (order - 1)].astype(np.int64)
+    for k in range(order - 2, -1, -1):
+        at = np.argsort(rank)
+        new = np.zeros(len(rank), np.int64)
+        new[_heads(rank[at])[1:]] = 1
+        dense = np.empty(len(rank), np.int64)
+        dense[at] = np.cumsum(new)
+        rank = dense * len(hashes) + code[ends - k]
+    at = np.argsort(rank)
+    heads = _heads(rank[at])
+    first = ends[at[heads]]
+    return hashes, [code[first - k] for k in range(order - 1, -1, -1)], [np.diff(np.r_[heads, len(rank)])]
+
+
+def _blocks(hashes: np.ndarray, codes: list[np.ndarray], values: list[np.ndarray], pieces: int, common: int, fan: int | None = None):
+    """(place, block) of these grams: place is the piece or, with a fan, the first step's part of pieces."""
+    place = gram_piece([hashes[c] for c in codes], pieces)
+    if fan:
+        place = place % _U(fan)
+    order = np.argsort(place.astype(np.uint16) if (fan or pieces) <= 1 << 16 else place, kind="stable")
+    place = place[order]
+    cuts = np.r_[_heads(place), len(place)]
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        own = order[a:b]
+        yield int(place[a]), pack(hashes, [c[own] for c in codes], [v[own] for v in values], common)
 
 
 class Folder:
-    """Arrays under a shared path: written in one step each, mapped where the path is a file system's own."""
+    """Files under a shared path: written in one step each, mapped where the path is a file system's own."""
 
     def __init__(self, uri: str):
-        self.uri, self.copied = uri, {}
+        self.uri, self.open, self.held = uri, OrderedDict(), None
         url = urlparse(uri)
         self.local = url.path if url.scheme in ("", "file") else None
 
@@ -154,38 +170,98 @@ class Folder:
 
         return FileSystem.from_uri(self.uri)
 
-    def write(self, name: str, array: np.ndarray) -> None:
+    def write(self, name: str, blob: list[bytes]) -> None:
         temp = f"{name}.{os.getpid()}.{np.random.default_rng().integers(1 << 62)}"
         if self.local is not None:
             os.makedirs(self.local, exist_ok=True)
             with open(f"{self.local}/{temp}", "wb") as f:
-                np.save(f, array)
+                f.writelines(blob)
             os.replace(f"{self.local}/{temp}", f"{self.local}/{name}")
             return
         fs, root = self._fs()
         fs.create_dir(root)
         with fs.open_output_stream(f"{root}/{temp}") as f:
-            np.save(f, array)
+            for b in blob:
+                f.write(b)
         fs.move(f"{root}/{temp}", f"{root}/{name}")
 
-    def map(self, name: str) -> np.ndarray:
-        """The array, or an empty one if no task had anything to write."""
+    def map(self, name: str) -> mmap.mmap | None:
+        """The file, or none if no task had anything to write; the last OPEN ones stay mapped."""
+        if name in self.open:
+            self.open.move_to_end(name)
+            return self.open[name]
         path = f"{self.local}/{name}"
-        if self.local is None:  # a copy for this worker, gone with it
+        if self.local is None:  # a copy for this worker, while it is mapped
             from pyarrow.fs import FileType
 
             fs, root = self._fs()
             if fs.get_file_info(f"{root}/{name}").type == FileType.NotFound:
-                return np.empty(0, np.uint64)
-            held = self.copied.setdefault("", tempfile.TemporaryDirectory())
-            path = f"{held.name}/{name}"
-            if not os.path.exists(path):
-                with fs.open_input_stream(f"{root}/{name}") as src, open(path, "wb") as f:
-                    while block := src.read(1 << 22):
-                        f.write(block)
-        if not os.path.exists(path):
-            return np.empty(0, np.uint64)
-        out = np.load(path, mmap_mode="r") if os.path.getsize(path) else np.empty(0, np.uint64)
+                return None
+            self.held = self.held or tempfile.TemporaryDirectory()
+            path = f"{self.held.name}/{name}"
+            with fs.open_input_stream(f"{root}/{name}") as src, open(path, "wb") as f:
+                while block := src.read(1 << 22):
+                    f.write(block)
+        found = None
+        if os.path.exists(path):
+            with open(path, "rb") as f:
+                found = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
+            if self.local is None:
+                os.unlink(path)  # its space is free again once it is no longer mapped
+        self.open[name] = found
+        if len(self.open) > OPEN:
+            self.open.popitem(last=False)
+        return found
+
+
+def piece_file(key: np.ndarray, columns: list[np.ndarray]) -> list[bytes]:
+    """A piece's file: sorted keys as buckets of 32-bit rests, and columns of counts, a byte each or on the side."""
+    bits = max(0, (len(key) // BUCKET).bit_length() - 1)
+    top = (key >> _U(64 - bits)).astype(np.int64) if bits else np.zeros(len(key), np.int64)
+    parts = [np.searchsorted(top, np.arange((1 << bits) + 1)).astype(np.uint32), (key >> _U(32 - bits)).astype(np.uint32)]
+    for c in columns:
+        more = np.flatnonzero(c >= 255)
+        parts += [more.astype(np.uint32), c[more].astype(np.int64), np.minimum(c, 255).astype(np.uint8)]
+    head = json.dumps([bits, [[p.dtype.str, len(p)] for p in parts]]).encode()
+    out = [len(head).to_bytes(8, "little"), head + b" " * (-len(head) % 8)]
+    for p in parts:
+        out += [p.tobytes(), b"\0" * (-p.nbytes % 8)]
+    return out
+
+
+class Piece:
+    """A mapped piece file."""
+
+    def __init__(self, data: mmap.mmap):
+        n = int.from_bytes(data[:8], "little")
+        self.bits, shapes = json.loads(data[8 : 8 + n])
+        at, parts = 8 + n + -n % 8, []
+        for kind, size in shapes:
+            parts.append(np.frombuffer(data, kind, size, at))
+            at += parts[-1].nbytes + -parts[-1].nbytes % 8
+        self.starts, self.rests, self.columns = parts[0], parts[1], [parts[i : i + 3] for i in range(2, len(parts), 3)]
+
+    def find(self, key: np.ndarray) -> np.ndarray:
+        """The place of each key, or -1; a binary search of all keys at once."""
+        if not len(self.rests):
+            return np.full(len(key), -1)
+        top = (key >> _U(64 - self.bits)).astype(np.int64) if self.bits else np.zeros(len(key), np.int64)
+        want = (key >> _U(32 - self.bits)).astype(np.uint32)
+        low, high = self.starts[top].astype(np.int64), self.starts[top + 1].astype(np.int64)
+        end = high.copy()
+        for _ in range(int((high - low).max(initial=0)).bit_length()):
+            mid = (low + high) >> 1
+            less = (mid < high) & (self.rests[np.minimum(mid, len(self.rests) - 1)] < want)
+            low, high = np.where(less, mid + 1, low), np.where(less, high, mid)
+        hit = (low < end) & (self.rests[np.minimum(low, len(self.rests) - 1)] == want)
+        return np.where(hit, low, -1)
+
+    def take(self, column: int, place: np.ndarray) -> np.ndarray:
+        where, value, byte = self.columns[column]
+        out = byte[place].astype(np.int64)
+        if len(where):
+            big = np.flatnonzero(out == 255)
+            out[big] = value[np.searchsorted(where, place[big])]
         return out
 
 
@@ -207,120 +283,128 @@ def _rows(rows):
     """Record batches of (piece, blob), a few MB each."""
     import pyarrow as pa
 
+    def batch():
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(blobs, pa.binary())], names=["piece", "blob"])
+
     ids, blobs, size = [], [], 0
     for p, blob in rows:
         ids.append(p)
         blobs.append(blob)
         size += len(blob)
         if size > 1 << 23:
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(blobs, pa.binary())], names=["piece", "blob"])
+            yield batch()
             ids, blobs, size = [], [], 0
     if ids:
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(blobs, pa.binary())], names=["piece", "blob"])
+        yield batch()
 
 
-_COUNTS = ("n1", "n2", "n3", "n4")
+_SCHEMA = "piece long, blob binary"
+#: Columns of a gram below the highest order: distinct predecessors, occurrences; as a context: all followers' counts, and how many followers have one, two, or more.
+COLUMNS = ("before", "seen", "total", "one", "two", "more")
 
 
-def _of_counts(prefix: str, c: np.ndarray) -> dict[str, int]:
-    return {f"{prefix}_{name}": int((c == k + 1).sum()) for k, name in enumerate(_COUNTS)}
-
-
-def train(docs: DataFrame, text: str = "text", piece_chars: int = PIECE_CHARS) -> dict:
-    """Count the model; returns its folder, sizes and discounts. The arrays stay in the shared folder."""
+def train(docs: DataFrame, text: str = "text", order: int = ORDER, piece_chars: int = PIECE_CHARS, fan: int = FAN) -> dict:
+    """Count the model; returns its folder, sizes and discounts. The files stay in the shared folder."""
+    if order < 2:
+        raise ValueError("order is two or more")
     spark = docs.sparkSession
-    chars = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    chars = docs.agg(F.sum(F.octet_length(F.col(f"`{text}`")))).first()[0] or 0
     pieces = max(1, -(-chars // piece_chars))
-    word_pieces = max(1, pieces // 6)
-    uri = new_path(spark, "bigrams")
-    schema = "piece int, blob binary"
+    first = fan if pieces > fan else None
+    uri = new_path(spark, "grams")
+    source = docs.select(F.col(f"`{text}`").cast("binary").alias("utf8"))
+    sent = spark.sparkContext.broadcast(common_words(source, chars, Words))  # at most coding.COMMON numbers
 
     def count(batches):
-        words, held, size = Words(), [], 0
+        words, held, size, coding = Words(), [], 0, Coding(sent.value)
+
+        def sends(docs):
+            return _blocks(*_count(docs, order, coding), pieces, len(coding.common), first)
 
         def blocks():
             nonlocal held, size
             for b in batches:
                 for t in b.column(0).to_pylist():
                     held.append(words.of(t or b""))
-                    size += len(held[-1]) + 1
+                    size += len(held[-1]) + order
                     if size >= CHUNK:
-                        yield from _count_blocks(held, pieces)
+                        yield from sends(held)
                         held, size = [], 0
             if held:
-                yield from _count_blocks(held, pieces)
+                yield from sends(held)
 
         yield from _rows(blocks())
 
-    def settle(batches):
-        """Sum up pieces of bigrams, write them, and send on what they know of words."""
-        folder, seen = Folder(uri), {}
+    def deal(batches):
+        """The second step to very many pieces: blocks of one part of them are taken apart, a few MB at a time."""
+        common = sent.value
 
         def out():
             for p, blobs in _by_piece(batches):
-                parts = [_unpack(b) for b in blobs]
-                prev = np.concatenate([np.repeat(v, r) for v, r, _, _ in parts])
-                cur = np.concatenate([c for _, _, c, _ in parts])
-                n = np.concatenate([k.astype(np.int64) for *_, k in parts])
-                key = bigram_key(prev, cur)
-                order = np.argsort(key)
-                key = key[order]
-                at = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-                n, prev, cur = np.add.reduceat(n[order], at), prev[order[at]], cur[order[at]]
-                folder.write(f"pair-{p}.key.npy", key[at])
-                folder.write(f"pair-{p}.n.npy", _small(n))
-                for k, v in _of_counts("high", n).items():
-                    seen[k] = seen.get(k, 0) + v
-                v = _sum_by(prev, n, (n == 1).astype(np.int64), (n == 2).astype(np.int64), (n >= 3).astype(np.int64))
-                w = _sum_by(cur, np.ones(len(cur), np.int64), n)
-                for kind, table in ((0, v), (1, w)):
-                    to = word_piece(table[0], word_pieces)
-                    order = np.argsort(to, kind="stable")
-                    cuts = np.searchsorted(to[order], np.arange(word_pieces + 1))
-                    for q in range(word_pieces):
-                        part = order[cuts[q] : cuts[q + 1]]
-                        if len(part):
-                            yield q, _pack(np.array([kind]), table[0][part], *[_small(c[part]) for c in table[1:]])
-            if seen:
-                yield -1, json.dumps(seen).encode()
+                if p < 0:  # totals
+                    yield from ((p, b) for b in blobs)
+                    continue
+                for some in gather(blobs, 1 << 25):
+                    hashes, codes, values = unpack(some, common)
+                    _, codes, values = _sums(gram_key([hashes[c] for c in codes]), codes, values)
+                    yield from _blocks(hashes, codes, values, pieces, len(common))
 
         yield from _rows(out())
 
-    def finish(batches):
-        """Sum up words as contexts and as followers, write them, and report totals."""
-        folder, seen = Folder(uri), {}
-        for q, blobs in _by_piece(batches):
-            if q < 0:
-                for b in blobs:
-                    for k, v in json.loads(b).items():
-                        seen[k] = seen.get(k, 0) + v
-                continue
-            parts = [_unpack(b) for b in blobs]
-            for kind, name, n_columns in ((0, "context", 4), (1, "word", 2)):
-                own = [p[1:] for p in parts if p[0][0] == kind]
-                if not own:
-                    continue
-                table = _sum_by(np.concatenate([p[0] for p in own]), *[np.concatenate([p[1 + c].astype(np.int64) for p in own]) for c in range(n_columns)])
-                folder.write(f"{name}-{q}.key.npy", table[0])
-                for c in range(n_columns):
-                    folder.write(f"{name}-{q}.{c}.npy", _small(table[1 + c]))
-                if kind == 1:
-                    more = _of_counts("low", table[1]) | {"low_more": int((table[1] >= 3).sum()), "pairs": int(table[1].sum()), "types": len(table[0]), "tokens": int(table[2].sum())}
-                    for k, v in more.items():
-                        seen[k] = seen.get(k, 0) + v
-        if seen:
-            yield from _rows([(0, json.dumps(seen).encode())])
-
-    counted = docs.select(F.col(text).cast("binary").alias("utf8")).mapInArrow(count, schema)
-    settled = counted.repartition("piece").sortWithinPartitions("piece").mapInArrow(settle, schema)
-    done = settled.repartition("piece").sortWithinPartitions("piece").mapInArrow(finish, schema)
-    # One row of a dozen totals for each task; summed up in Spark.
+    def settle(level: int):
+        """Sum up the pieces of a level, write them, and send on what they know of grams one word shorter."""
+
+        def run(batches):
+            folder, common, seen = Folder(uri), sent.value, {}
+
+            def out():
+                for p, blobs in _by_piece(batches):
+                    if p < 0:  # totals of the levels before
+                        for b in blobs:
+                            for k, v in json.loads(b).items():
+                                seen[k] = seen.get(k, 0) + v
+                        continue
+                    hashes, codes, values = unpack(blobs, common)
+                    key, codes, values = _sums(gram_key([hashes[c] for c in codes]), codes, values)
+                    n = values[0]
+                    # What is only a context, as the begin tokens are, is no gram of its level.
+                    is_gram = n > 0
+                    folder.write(f"{level}-{p}", piece_file(key, values[:1] if level == order else [values[0], *values[2:]] if level > 1 else values))
+                    own = n[is_gram]
+                    for k in range(1, 5):
+                        seen[f"{level}:{k}"] = seen.get(f"{level}:{k}", 0) + int((own == k).sum())
+                    if level == 1:
+                        more = {"tokens": int(values[1].sum()), "types": len(own), "pairs": int(own.sum()), "more": int((own >= 3).sum())}
+                        for k, v in more.items():
+                            seen[k] = seen.get(k, 0) + v
+                        continue
+                    codes, raw = [c[is_gram] for c in codes], (n if level == order else values[1])[is_gram]
+                    none = np.zeros(len(own), np.int64)
+                    suffix = [np.ones(len(own), np.int64), raw, none, none, none, none]
+                    context = [none, none, own, (own == 1).astype(np.int64), (own == 2).astype(np.int64), (own >= 3).astype(np.int64)]
+                    both = [np.concatenate([a, b]) for a, b in zip(codes[1:], codes[:-1], strict=True)]
+                    every = [np.concatenate([a, b]) for a, b in zip(suffix, context, strict=True)]
+                    _, both, every = _sums(gram_key([hashes[c] for c in both]), both, every)
+                    line = np.lexsort(both[::-1])
+                    yield from _blocks(hashes, [c[line] for c in both], [v[line] for v in every], pieces, len(common), first)
+                if seen:
+                    yield -1, json.dumps(seen).encode()
+
+            yield from _rows(out())
+
+        return run
+
+    found = source.mapInArrow(count, _SCHEMA)
+    for level in range(order, 0, -1):
+        if first:
+            found = found.repartition(first, "piece").sortWithinPartitions("piece").mapInArrow(deal, _SCHEMA)
+        found = found.repartition(pieces, "piece").sortWithinPartitions("piece").mapInArrow(settle(level), _SCHEMA)
+    # A few rows of a dozen totals each; summed up in Spark.
     pair = F.explode(F.from_json(F.col("blob").cast("string"), "map<string,bigint>"))
-    total = {r[0]: r[1] for r in done.select(pair).groupBy("key").agg(F.sum("value")).collect()}
-    return {"uri": uri, "pieces": pieces, "word_pieces": word_pieces, "tokens": total.get("tokens", 0), "types": total.get("types", 0), "pairs": total.get("pairs", 0)} | {
-        "low_counts": [total.get(f"low_{x}", 0) for x in ("n1", "n2", "more")],
-        "high": discounts([total.get(f"high_{x}", 0) for x in _COUNTS]),
-        "low": discounts([total.get(f"low_{x}", 0) for x in _COUNTS]),
+    total = {r[0]: r[1] for r in found.select(pair).groupBy("key").agg(F.sum("value")).collect()}
+    return {"uri": uri, "order": order, "pieces": pieces} | {k: total.get(k, 0) for k in ("tokens", "types", "pairs")} | {
+        "low_counts": [total.get("1:1", 0), total.get("1:2", 0), total.get("more", 0)],
+        "discounts": [discounts([total.get(f"{level}:{k}", 0) for k in range(1, 5)]) for level in range(1, order + 1)],
     }
 
 
@@ -339,59 +423,61 @@ def _discounted(c: np.ndarray, d: list[float]) -> np.ndarray:
 
 
 class Model:
-    """The arrays of one trained model, mapped as they are asked for."""
+    """The files of one trained model, mapped as they are asked for."""
 
     def __init__(self, info: dict):
-        self.info, self.folder, self.open = info, Folder(info["uri"]), {}
-
-    def _array(self, name: str) -> np.ndarray:
-        if name not in self.open:
-            self.open[name] = self.folder.map(name)
-        return self.open[name]
+        self.info, self.folder = info, Folder(info["uri"])
 
-    def _look(self, keys: np.ndarray, piece: np.ndarray, pieces: int, name: str, columns: list[str]) -> list[np.ndarray]:
-        """Columns at sorted keys, zero where a key is absent."""
-        out = [np.zeros(len(keys), np.int64) for _ in columns]
+    def _look(self, columns: list[np.ndarray], key: np.ndarray, level: int, wanted: int) -> list[np.ndarray]:
+        """The first `wanted` columns of grams, zero where a gram is unknown."""
+        out = [np.zeros(len(key), np.int64) for _ in range(wanted)]
+        piece = gram_piece(columns, self.info["pieces"]).astype(np.int64)
         order = np.argsort(piece, kind="stable")
-        cuts = np.searchsorted(piece[order], np.arange(pieces + 1))
-        for p in np.flatnonzero(np.diff(cuts)):
-            at = order[cuts[p] : cuts[p + 1]]
-            have = self._array(f"{name}-{p}.key.npy")
-            if not len(have):
+        cuts = np.r_[_heads(piece[order]), len(piece)]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            data = self.folder.map(f"{level}-{piece[order[a]]}")
+            if data is None:
                 continue
-            k = np.minimum(np.searchsorted(have, keys[at]), len(have) - 1)
-            hit = have[k] == keys[at]
-            for o, c in zip(out, columns, strict=True):
-                o[at[hit]] = self._array(f"{name}-{p}.{c}.npy")[k[hit]]
+            own, at = Piece(data), order[a:b]
+            place = own.find(key[at])
+            at, place = at[place >= 0], place[place >= 0]
+            for c in range(wanted):
+                out[c][at] = own.take(c, place)
         return out
 
     def score(self, docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Of each document: tokens, known tokens, base score, model score (log10)."""
         i = self.info
-        prev, cur = _chains(docs)
-        starts = np.cumsum([0, *[len(d) + 1 for d in docs[:-1]]])
-        word, word_of = np.unique(cur, return_inverse=True)
-        wp = word_piece(word, i["word_pieces"])
-        before, seen = self._look(word, wp, i["word_pieces"], "word", ["0", "1"])
+        line, starts = padded(docs, i["order"])
+        real = _tokens(line, starts, i["order"])
         n, v, pairs = i["tokens"], i["types"], i["pairs"]
-        base = np.log10((seen + 1) / (n + v + 1))
-        if pairs:
-            d, (n1, n2, more) = i["low"], i["low_counts"]
-            low = _discounted(before, d) / pairs + (d[0] * n1 + d[1] * n2 + d[2] * more) / pairs / (v + 1)
-        else:
-            low = np.full(len(word), 1.0 / (v + 1))
-        context, context_of = np.unique(prev, return_inverse=True)
-        total, one, two, many = self._look(context, word_piece(context, i["word_pieces"]), i["word_pieces"], "context", ["0", "1", "2", "3"])
-        d = i["high"]
-        some = np.maximum(total, 1)
-        back = np.where(total > 0, (d[0] * one + d[1] * two + d[2] * many) / some, 1.0)
-        key = bigram_key(prev, cur)
-        key, first, key_of = np.unique(key, return_index=True, return_inverse=True)
-        (c,) = self._look(key, bigram_piece(prev[first], cur[first], i["pieces"]), i["pieces"], "pair", ["n"])
-        high = _discounted(c, d) / some[context_of[first]]
-        p = high + back[context_of[first]] * low[word_of[first]]
-        total_of = lambda x: np.add.reduceat(x, starts)
-        return total_of(np.ones(len(cur), np.int64)), total_of((seen > 0).astype(np.int64)[word_of]), total_of(base[word_of]), total_of(np.log10(p)[key_of])
+        p = back = total = None
+        for level in range(1, i["order"] + 1):
+            # Grams that end at each position; before the first token only begin tokens stand.
+            ends = np.arange(i["order"] - 2, len(line)) if level < i["order"] else real
+            columns = [line[ends - k] for k in range(level - 1, -1, -1)]
+            key, first, which = np.unique(gram_key(columns), return_index=True, return_inverse=True)
+            got = self._look([c[first] for c in columns], key, level, 1 if level == i["order"] else 6 if level == 1 else 5)
+            place = np.zeros(len(line), np.int64)
+            place[ends] = which
+            at, d = place[real], i["discounts"][level - 1]
+            if level == 1:
+                seen = got.pop(1)
+                base, known = np.log10((seen + 1) / (n + v + 1))[at], (seen > 0)[at]
+                n1, n2, more = i["low_counts"]
+                low = _discounted(got[0], d) / pairs + (d[0] * n1 + d[1] * n2 + d[2] * more) / pairs / (v + 1) if pairs else np.full(len(key), 1.0 / (v + 1))
+                p = low[at]
+            else:
+                p = _discounted(got[0], d)[at] / np.maximum(total, 1) + back * p
+            if level < i["order"]:  # this level's grams are the next one's contexts
+                d = i["discounts"][level]
+                many = got[1]
+                share = np.where(many > 0, (d[0] * got[2] + d[1] * got[3] + d[2] * got[4]) / np.maximum(many, 1), 1.0)
+                before = place[real - 1]
+                total, back = many[before], share[before]
+        heads = np.searchsorted(real, starts)
+        sums = lambda x: np.add.reduceat(x, heads)
+        return sums(np.ones(len(real), np.int64)), sums(known.astype(np.int64)), sums(base), sums(np.log10(p))
 
 
 def score_texts(docs: DataFrame, info: dict, id_col: str = "doc_id", text: str = "text", also: tuple[str, ...] = ()) -> DataFrame:

@@ -187,49 +187,71 @@ def test_language(spark, docs, empty):
 # Language model
 
 
-def plain_model(train):
-    tokens = [[w.lower() for w in (t or "").encode().split()] + [None] for t in train]
-    pairs = Counter(p for ws in tokens for p in zip([b""] + ws[:-1], ws, strict=True))
-    count = Counter(w for ws in tokens for w in ws)
-    before = Counter(w for _, w in pairs)
-    n_of = lambda c: [sum(v == k for v in c.values()) for k in (1, 2, 3, 4)]
-    high, low = ngram_lm.discounts(n_of(pairs)), ngram_lm.discounts(n_of(before))
-    cut = lambda c, d: c - d[min(c, 3) - 1] if c else 0.0
-    followers: dict = {}
-    for (v, w), c in pairs.items():
-        followers.setdefault(v, Counter())[w] = c
-    spare = sum(low[min(c, 3) - 1] for c in before.values()) / len(pairs)
-
-    def p(v, w):
-        lower = cut(before[w], low) / len(pairs) + spare / (len(count) + 1)
-        if v not in followers:
-            return lower
-        f = followers[v]
-        total = sum(f.values())
-        return cut(f[w], high) / total + sum(high[min(c, 3) - 1] for c in f.values()) / total * lower
+def plain_model(train, order):
+    """Counts of words, and p(history, word) of an interpolated modified Kneser-Ney model, from its definition."""
+    count, grams = Counter(), [Counter() for _ in range(order + 1)]
+    for t in train:
+        ws = [b""] * (order - 1) + [w.lower() for w in (t or "").encode().split()] + [None]
+        count.update(ws[order - 1 :])
+        grams[order].update(tuple(ws[i - order + 1 : i + 1]) for i in range(order - 1, len(ws)))
+    for k in range(order - 1, 0, -1):
+        grams[k] = Counter(g[1:] for g in grams[k + 1])
+    cuts = [None] + [ngram_lm.discounts([sum(v == k for v in g.values()) for k in (1, 2, 3, 4)]) for g in grams[1:]]
+    less = lambda c, d: d[min(c, 3) - 1] if c else 0.0
+    after: list[dict] = [{} for _ in range(order + 1)]
+    for k in range(1, order + 1):
+        for g, c in grams[k].items():
+            after[k].setdefault(g[:-1], []).append(c)
+
+    def p(history, word):
+        out = 1 / (len(count) + 1)
+        for k in range(1, order + 1):
+            h = tuple(history[len(history) - k + 1 :]) if k > 1 else ()
+            f = after[k].get(h)
+            if f:
+                c = grams[k][(*h, word)]
+                out = (c - less(c, cuts[k])) / sum(f) + sum(less(x, cuts[k]) for x in f) / sum(f) * out
+        return out
 
     return count, p
 
 
-def test_language_model(spark, docs, rows, empty):
+@pytest.mark.parametrize(("order", "fan"), [(2, 2048), (3, 2048), (3, 2), (4, 3)])
+def test_language_model(spark, docs, rows, empty, order, fan):
     texts = {i: r[1] for i, r in enumerate(rows)}
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     train = [t for i, t in texts.items() if i % 7 != 2]
-    info = ngram_lm.train(df.where("doc_id % 7 <> 2"), piece_chars=3000)
-    count, p = plain_model(train)
+    info = ngram_lm.train(df.where("doc_id % 7 <> 2"), order=order, piece_chars=3000, fan=fan)
+    count, p = plain_model(train, order)
     n, v = sum(count.values()), len(count)
-    assert (info["tokens"], info["types"]) == (n, v)
-    assert math.isclose(sum(p(b"word", w) for w in count) + p(b"word", b"\x01"), 1.0) and math.isclose(sum(p(b"never seen", w) for w in count) + p(b"never seen", b"\x01"), 1.0)
+    assert (info["tokens"], info["types"]) == (n, v) and info["pieces"] > 5
+    for history in ([b"word"] * (order - 1), [b""] * (order - 1), [b"never seen"] * (order - 1)):
+        assert math.isclose(sum(p(history, w) for w in count) + p(history, b"\x01"), 1.0)
     for r in ngram_lm.score_texts(df, info).collect():
-        ws = [w.lower() for w in (texts[r.doc_id] or "").encode().split()] + [None]
-        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(ws), sum(count[w] > 0 for w in ws), n)
-        assert math.isclose(r.base_score, sum(math.log10((count[w] + 1) / (n + v + 1)) for w in ws), rel_tol=1e-9, abs_tol=1e-9)
-        assert math.isclose(r.score, sum(math.log10(p(a, w)) for a, w in zip([b""] + ws[:-1], ws, strict=True)), rel_tol=1e-9)
-    nothing = ngram_lm.train(empty)
+        ws = [b""] * (order - 1) + [w.lower() for w in (texts[r.doc_id] or "").encode().split()] + [None]
+        own = ws[order - 1 :]
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(own), sum(count[w] > 0 for w in own), n)
+        assert math.isclose(r.base_score, sum(math.log10((count[w] + 1) / (n + v + 1)) for w in own), rel_tol=1e-9, abs_tol=1e-9)
+        assert math.isclose(r.score, sum(math.log10(p(ws[i - order + 1 : i], ws[i])) for i in range(order - 1, len(ws))), rel_tol=1e-9)
+    nothing = ngram_lm.train(empty, order=order)
     assert all(r.base_score == r.score == 0.0 for r in ngram_lm.score_texts(docs, nothing).collect())
     assert ngram_lm.score_texts(empty, info).count() == 0
 
 
+def test_piece_files(tmp_path):
+    """Every key is found with its counts, small and large; others are not."""
+    draw = np.random.default_rng(1)
+    folder = ngram_lm.Folder(f"file://{tmp_path}")
+    for n in (0, 1, 40, 5000):
+        key = np.unique(draw.integers(0, 1 << 64, n, np.uint64))
+        values = [draw.integers(0, 300, len(key)), draw.integers(0, 3, len(key)) * 10**10]
+        folder.write(f"p{n}", ngram_lm.piece_file(key, values))
+        piece = ngram_lm.Piece(folder.map(f"p{n}"))
+        assert piece.find(key).tolist() == list(range(len(key))) and (piece.find(draw.integers(0, 1 << 64, 100, np.uint64)) == -1).all()
+        assert all(piece.take(c, np.arange(len(key))).tolist() == v.tolist() for c, v in enumerate(values))
+    assert folder.map("none") is None
+
+
 # Quality rules
 
 
