@@ -1,17 +1,21 @@
 """Quality rules with risk-controlled thresholds, in DataFrame functions alone.
 
 Each document gets a few plain counts. A fixed base rule rejects documents that are too short or
-mostly repeat themselves. Beyond it, one-sided rules ("reject if the metric is above c") get their
-cutoffs from labelled documents: for each stratum and rule the cutoffs of a fixed grid are tried from
-the laxest to the strictest, and a cutoff is certified if an exact binomial test rejects "more than
-alpha of the good documents lie above c". Fixed-sequence testing needs no correction within a grid;
-strata and rules share delta by Bonferroni. So with probability 1 - delta, in no stratum does any rule
-reject more than alpha / #rules of good documents, nor all of them together more than alpha.
-
-Defined cases: a null text counts as empty (no words, base rule fails); a null stratum is a stratum of
-its own; a stratum without enough labels certifies nothing and keeps all that the base rule keeps;
-repeated rows each get their row; labels with a null id or quality are ignored, an id labelled more than once is
-good only if all its labels are; other columns of the input are left alone.
+mostly repeat themselves. Beyond it, one-sided rules ("reject if a metric is above its cutoff") work together: a
+ladder of STEPS steps, fixed before labels are seen, gives all rules a cutoff at each step, from lax to strict.
+Cutoffs are chosen stratum by stratum from labelled documents: a step is certified if an exact binomial test rejects
+"the step's rules together reject more than alpha of the good documents", and the strictest step before the first
+that is not certified counts. Fixed-sequence testing needs no correction within a ladder; strata share delta by
+Bonferroni. So with probability 1 - delta the rules together reject, in no stratum, more than alpha of good documents.
+
+With n good labels in one of s strata, none of them rejected, a step is certified from n = log(delta / s) / log(1 - alpha) on:
+217 for the defaults and four strata. A stratum with fewer certifies nothing.
+
+Defined cases: a null text counts as empty (no words, base rule fails); a text of any length is measured whole; a null
+stratum is a stratum of its own; a stratum without enough labels keeps all that the base rule keeps; a metric equal
+to its cutoff does not reject; repeated rows each get their row; labels with a null id or quality are ignored, an id labelled
+more than once is good only if all its labels are; an empty table gives an empty one; other columns of the input are left
+alone, whatever their names.
 """
 
 from __future__ import annotations
@@ -36,12 +40,13 @@ class Rule:
 
 
 RULES = (
-    Rule("symbols_per_word", (2.0, 1.0, 0.7, 0.5, 0.45, 0.4, 0.35, 0.3, 0.25, 0.2)),
-    Rule("upper_share", (0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3)),
-    Rule("dup_line_share", (0.9, 0.8, 0.7, 0.6, 0.5)),
-    Rule("repeat_word_share", (0.3, 0.25, 0.2)),
-    Rule("mean_word_chars", (40.0, 30.0, 20.0, 15.0, 12.0)),
+    Rule("symbols_per_word", (2.0, 1.5, 1.0, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3, 0.25)),
+    Rule("upper_share", (0.9, 0.85, 0.8, 0.75, 0.7, 0.65, 0.6, 0.5, 0.4, 0.3)),
+    Rule("dup_line_share", (0.95, 0.9, 0.85, 0.8, 0.75, 0.7, 0.65, 0.6, 0.55, 0.5)),
+    Rule("repeat_word_share", (0.29, 0.28, 0.27, 0.26, 0.25, 0.24, 0.23, 0.22, 0.21, 0.2)),
+    Rule("mean_word_chars", (60.0, 50.0, 40.0, 35.0, 30.0, 25.0, 20.0, 17.0, 14.0, 12.0)),
 )
+STEPS = 10
 ALPHA = 0.02
 DELTA = 0.05
 WINDOW = 8
@@ -123,8 +128,16 @@ def binomial_tail(n: Column, k: Column, p: float) -> Column:
     return F.when(k >= n, F.lit(1.0)).when(k == 0, F.exp(start)).otherwise(some)
 
 
+def _above(rules: tuple[Rule, ...], step: int) -> Column:
+    """Whether any metric is above its cutoff at this step of the ladder."""
+    out = F.lit(False)
+    for r in rules:
+        out = out | (F.col(f"q_{r.name}") > r.grid[step])
+    return out
+
+
 def calibrate(measured: DataFrame, labels: DataFrame, stratum: str, id_col: str = "doc_id", rules: tuple[Rule, ...] = RULES, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    """One row for each stratum with labels: q_stratum and for each rule its certified cutoff, or null."""
+    """(q_stratum, q_step): the strictest certified step of each stratum that certifies one."""
     good = (
         labels.where(F.col(id_col).isNotNull() & F.col("quality").isNotNull())
         .groupBy(id_col)
@@ -133,35 +146,27 @@ def calibrate(measured: DataFrame, labels: DataFrame, stratum: str, id_col: str
     )
     metrics = [f"q_{r.name}" for r in rules]
     seen = measured.select(F.col(id_col), F.coalesce(F.col(stratum), F.lit(NO_STRATUM)).alias("q_stratum"), *metrics).join(good.select(id_col), id_col, "left_semi")
-    above = [F.count_if(F.col(f"q_{r.name}") > c).alias(f"q_{r.name}_{i}") for r in rules for i, c in enumerate(r.grid)]
-    # One wide row for each stratum, combined before the shuffle; then long, one row for each test.
-    wide = seen.groupBy("q_stratum").agg(F.count(F.lit(1)).alias("q_n"), *above)
-    tests = [
-        F.struct(F.lit(r.name).alias("rule"), F.lit(i).alias("step"), F.lit(c).alias("cutoff"), F.col(f"q_{r.name}_{i}").alias("k"))
-        for r in rules
-        for i, c in enumerate(r.grid)
-    ]
-    each = wide.select("q_stratum", "q_n", F.explode(F.array(*tests)).alias("x")).select("q_stratum", "q_n", "x.*")
+    # One wide row for each stratum, combined before the shuffle; then long, one row for each step.
+    wide = seen.groupBy("q_stratum").agg(F.count(F.lit(1)).alias("q_n"), *[F.count_if(_above(rules, i)).alias(f"q_{i}") for i in range(STEPS)])
+    steps = F.array(*[F.struct(F.lit(i).alias("step"), F.col(f"q_{i}").alias("k")) for i in range(STEPS)])
+    each = wide.select("q_stratum", "q_n", F.explode(steps).alias("x")).select("q_stratum", "q_n", "x.*")
     share = wide.agg(F.count(F.lit(1)).alias("q_strata"))  # one row
-    tested = each.crossJoin(share).withColumn(
-        "passed", binomial_tail(F.col("q_n"), F.col("k"), alpha / len(rules)) <= F.lit(delta / len(rules)) / F.col("q_strata")
-    )
-    stop = tested.groupBy("q_stratum", "rule").agg(
-        F.coalesce(F.min(F.when(~F.col("passed"), F.col("step"))), F.lit(2**31 - 1)).alias("stop"),
-        F.collect_list(F.struct("step", "cutoff")).alias("steps"),  # as many as the grid has
-    )
-    last = F.array_max(F.filter("steps", lambda s: s["step"] < F.col("stop")))["cutoff"]
-    return stop.groupBy("q_stratum").agg(*[F.max(F.when(F.col("rule") == r.name, last)).alias(f"q_cut_{r.name}") for r in rules])
+    # From n x alpha on the tail is about a half or more: nothing to add up, so a sum has at most n x alpha terms.
+    tail = F.when(F.col("k") < F.col("q_n") * alpha, binomial_tail(F.col("q_n"), F.col("k"), alpha)).otherwise(F.lit(1.0))
+    tested = each.crossJoin(F.broadcast(share)).withColumn("passed", tail <= F.lit(delta) / F.col("q_strata"))
+    stop = tested.groupBy("q_stratum").agg(F.coalesce(F.min(F.when(~F.col("passed"), F.col("step"))), F.lit(STEPS)).alias("stop"))
+    return stop.where("stop > 0").select("q_stratum", (F.col("stop") - 1).alias("q_step"))
 
 
 def judge(measured: DataFrame, cutoffs: DataFrame, stratum: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """measured with q_kept: neither the base rule nor a certified cutoff rejects the document."""
+    """measured with q_kept: neither the base rule nor a certified step rejects the document."""
     keyed = measured.withColumn("q_stratum", F.coalesce(F.col(stratum), F.lit(NO_STRATUM)))
     out = small_join(keyed, cutoffs, "q_stratum")
     bad = F.col("q_base_failed")
     for r in rules:
-        bad = bad | F.coalesce(F.col(f"q_{r.name}") > F.col(f"q_cut_{r.name}"), F.lit(False))
-    return out.withColumn("q_kept", ~bad).drop("q_stratum", *[f"q_cut_{r.name}" for r in rules])
+        cutoff = F.get(F.array(*[F.lit(c) for c in r.grid]), F.col("q_step"))
+        bad = bad | F.coalesce(F.col(f"q_{r.name}") > cutoff, F.lit(False))
+    return out.withColumn("q_kept", ~bad).drop("q_stratum", "q_step")
 
 
 def quality_gate(docs: DataFrame, labels: DataFrame, text: str = "text", stratum: str = "lang", id_col: str = "doc_id", keep: list[str] | None = None, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
@@ -193,10 +198,11 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _oracle() -> str:
-    rules = ", ".join(f"('{r.name}', {i}, {c!r}::DOUBLE)" for r in RULES for i, c in enumerate(r.grid))
-    value = " ".join(f"WHEN '{r.name}' THEN m.{r.name}" for r in RULES)
+    ladder = ", ".join(f"({i}, {', '.join(f'{r.grid[i]!r}::DOUBLE' for r in RULES)})" for i in range(STEPS))
+    above = " OR ".join(f"{r.name} > cut_{r.name}" for r in RULES)
     return rf"""
-WITH d AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(lang, '{NO_STRATUM}') AS stratum, row_number() OVER () AS rid FROM documents),
+WITH ladder AS (SELECT * FROM (VALUES {ladder}) AS v(step, {", ".join("cut_" + r.name for r in RULES)})),
+d AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(lang, '{NO_STRATUM}') AS stratum, row_number() OVER () AS rid FROM documents),
 w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
 p AS (SELECT rid, unnest(range(1, len(words) - {WINDOW - 2})) AS i, words FROM w WHERE len(words) >= {WINDOW}),
 g AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, words[i:i + {WINDOW - 1}]) AS c FROM p),
@@ -208,15 +214,11 @@ m AS (SELECT *, (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AS base_fa
   coalesce(n_symbols::DOUBLE / nullif(n_words, 0), 0) AS symbols_per_word, coalesce(up::DOUBLE / nullif(word_chars, 0), 0) AS upper_share,
   coalesce(n_dup_lines::DOUBLE / nullif(n_lines, 0), 0) AS dup_line_share, coalesce(n_repeat_words::DOUBLE / nullif(n_words, 0), 0) AS repeat_word_share,
   coalesce(word_chars::DOUBLE / nullif(n_words, 0), 0) AS mean_word_chars FROM b),
-rules AS (SELECT * FROM (VALUES {rules}) AS v(rule, step, cutoff)),
-v AS (SELECT m.rid, m.doc_id, stratum, rule, step, cutoff, CASE rule {value} END AS x FROM m, rules),
 good AS (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id HAVING min(quality) = 1),
-t AS (SELECT stratum, rule, step, cutoff, count(*) AS n, count(*) FILTER (x > cutoff) AS k FROM v SEMI JOIN good USING (doc_id) GROUP BY ALL),
-s AS (SELECT count(DISTINCT stratum) AS strata FROM t),
-q AS (SELECT t.*, CASE WHEN k >= n THEN 1.0 ELSE list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({ALPHA / len(RULES)!r}) + (n - i) * ln(1 - {ALPHA / len(RULES)!r})))) END <= {DELTA / len(RULES)!r} / strata AS passed FROM t, s),
-z AS (SELECT stratum, rule, coalesce(min(step) FILTER (NOT passed), 999) AS stop FROM q GROUP BY ALL),
-c AS (SELECT stratum, rule, arg_max(cutoff, step) AS cutoff FROM q JOIN z USING (stratum, rule) WHERE step < stop GROUP BY ALL),
-bad AS (SELECT DISTINCT rid FROM v JOIN c USING (stratum, rule) WHERE v.step = 0 AND x > c.cutoff)
+t AS (SELECT stratum, step, count(*) AS n, count(*) FILTER ({above}) AS k FROM m SEMI JOIN good USING (doc_id), ladder GROUP BY ALL),
+q AS (SELECT *, CASE WHEN k >= n * {ALPHA!r}::DOUBLE THEN 1.0 ELSE list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({ALPHA!r}) + (n - i) * ln(1 - {ALPHA!r})))) END <= {DELTA!r}::DOUBLE / (SELECT count(DISTINCT stratum) FROM t) AS passed FROM t),
+z AS (SELECT stratum, coalesce(min(step) FILTER (NOT passed), {STEPS}) - 1 AS step FROM q GROUP BY stratum),
+bad AS (SELECT rid FROM m JOIN z USING (stratum) JOIN ladder USING (step) WHERE {above})
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, (NOT base_failed AND bad.rid IS NULL) AS kept FROM m LEFT JOIN bad USING (rid)
 """
 
