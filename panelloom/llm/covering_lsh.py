@@ -9,9 +9,10 @@ guarantee holds; after three levels few bits are free, so a bucket can't hold ma
 Links are then joined into components.
 
 Defined cases: a null or wordless text has fingerprint zero and links like any other; a text of fewer
-words than a shingle is one shingle; repeated rows and equal texts share a fingerprint and a component;
-a null id keeps its row, and its component is the smallest id that it reaches; an empty table gives an
-empty one.
+words than a shingle is one shingle; a text of any length counts whole; a bit that exactly half of the hashes set is 0;
+repeated rows and equal texts share a fingerprint and a component; a null id keeps its row, and its component is the
+smallest id that it reaches; rows that repeat an id are told apart by their texts; of rows with one id and one text
+one can stay; an empty table gives an empty one; other columns are left alone, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, map_texts, materialise
+from .common import documents, map_texts, materialise, text_of
 from .components import connected_components
 
 BITS = 64
@@ -59,12 +60,17 @@ def majority(hashes: np.ndarray, chunk: int = 1 << 16) -> int:
 
 
 def fingerprints(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, fp): the SimHash of each text, as a signed long."""
+    """(id, k_text, fp): a hash of each text, and its SimHash as a signed long."""
 
     def make():
         return lambda ids, texts: [[signed(majority(shingle_hashes(t, width))) for t in texts]]
 
-    return map_texts(docs, make, "fp long", id_col, text)
+    return map_texts(with_hash(docs, id_col, text), make, "fp long", id_col, text, ("k_text",))
+
+
+def with_hash(docs: DataFrame, id_col: str, text: str) -> DataFrame:
+    """(id, text, k_text): k_text tells rows apart that repeat an id."""
+    return docs.select(F.col(f"`{id_col}`"), F.col(f"`{text}`"), F.xxhash64(text_of(text)).alias("k_text"))
 
 
 def mask_families(radius: int, levels: int = 3, seed: int = 7) -> list[list[int]]:
@@ -111,38 +117,38 @@ def links(nodes: DataFrame, radius: int = 2, limit: int = 64, seed: int = 7, lev
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2, id_col: str = "doc_id", text: str = "text", limit: int = 64) -> DataFrame:
-    """(id, fp, component): component is the smallest id that the document reaches over links."""
+    """(id, k_text, fp, root, component): component is the smallest id that the document reaches over links."""
     fps = materialise(fingerprints(docs, width, id_col, text), "fingerprints")
     nodes = materialise(fps.groupBy("fp").agg(F.min(id_col).alias("least")), "nodes")
     return join_components(fps, nodes, links(nodes, radius, limit), id_col)
 
 
 def join_components(fps: DataFrame, nodes: DataFrame, linked: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """(id, fp, component) of rows (id, fp), given the least id of each fp and the links (a, b) between fps."""
+    """(id, k_text, fp, root, component) of rows (id, k_text, fp), given the least id of each fp and the links (a, b) between fps."""
     stars = connected_components(linked)
     rooted = nodes.join(stars.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     rooted = materialise(rooted, "rooted")
     names = rooted.groupBy("root").agg(F.min("least").alias("component"))
-    return fps.join(rooted.join(names, "root").select("fp", "component"), "fp").select(id_col, "fp", "component")
+    return fps.join(rooted.join(names, "root").select("fp", "root", "component"), "fp").select(id_col, "k_text", "fp", "root", "component")
 
 
 def keep_one(docs: DataFrame, width: int = 3, radius: int = 2, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with one document of each component, that of the smallest id."""
-    return keep_least(docs, near_duplicates(docs, width, radius, id_col, text), id_col)
+    return keep_least(docs, near_duplicates(docs, width, radius, id_col, text), id_col, text)
 
 
-def keep_least(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """docs with one document of each component of classes (id, component), that of the smallest id.
-
-    Rows without an id can't be told apart: they stay.
-    """
-    chosen = classes.where(F.col(id_col) == F.col("component")).groupBy(id_col).agg(F.count(F.lit(1)).alias("n"))
-    chosen = materialise(chosen, "chosen")
+def keep_least(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs with one document of each class (id, k_text, root): of the smallest id, null last, then the smallest hash."""
+    rows = classes.groupBy("root", F.col(id_col).alias("id"), "k_text").agg(F.count(F.lit(1)).alias("n"))
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "k_text", "n"))
+    chosen = materialise(rows.groupBy("root").agg(first.alias("x")).select("x.id", "x.k_text", "x.n"), "chosen")
     # The ids grow with the corpus, so they are never broadcast, however few they are here.
-    kept = docs.join(chosen.select(id_col).hint("merge"), id_col, "left_semi")
-    if not chosen.where("n > 1").isEmpty():  # an id on several rows: one of them stays
-        kept = kept.dropDuplicates([id_col])
-    return kept.select(*docs.columns).unionByName(docs.where(F.col(id_col).isNull()))
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").alias("own_id"), F.xxhash64(text_of(text)).alias("own_text"))
+    same = (F.col("own_text") == F.col("k_text")) & F.col("own_id").eqNullSafe(F.col("id"))
+    kept = own.join(chosen.select("id", "k_text").hint("merge"), same, "left_semi")
+    if not chosen.where("n > 1").isEmpty():  # an id on several rows of one text: one of them stays
+        kept = kept.dropDuplicates(["own_id", "own_text"])
+    return kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def op9_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:

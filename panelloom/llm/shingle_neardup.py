@@ -1,14 +1,16 @@
-"""Near-duplicates by the Jaccard similarity of word shingles: MinHash bands find pairs, the sets decide.
-
-A text's set holds the hashes of its runs of five words. BANDS keys, each over ROWS minima of the set under
-random permutations, bring a pair of similarity s together with probability 1 - (1 - s^ROWS)^BANDS: 0.9999 at
-0.8. Every pair that meets is then compared by the two sets, and linked from LEAST on. Equal sets are merged
-first. A bucket with more members than `limit` is not paired: its members are compared with a few hubs, and
-go on to the buckets of two bands, which are paired up to `limit` and compared with hubs above. So within
+"""Near-duplicates from a Jaccard similarity of word shingles on: SimHash links and MinHash bands, decided by the sets.
+
+A text's set holds the hashes of its runs of five words. Candidates come from two sides. The covering masks of
+covering_lsh.py give every pair of SimHashes of these sets within RADIUS bits; such pairs are very alike or short. At a
+similarity of 0.8, though, about a seventh of a SimHash's bits differ, and masks for such a radius are too many (2^(r + 1)
+tables). So BANDS keys, each over ROWS minima of the set under random permutations, bring a pair of similarity s together
+with probability 1 - (1 - s^ROWS)^BANDS: 0.9999 at 0.8. All pairs are then compared by the two sets, and linked from
+LEAST on. Equal sets are merged first. A bucket with more members than `limit` is not paired: its members are compared with a
+few hubs, and go on to the buckets of two bands, which are paired up to `limit` and compared with hubs above. So within
 groups of over `limit` texts that agree on two bands some pairs are linked through others, or not at all.
 
 Defined cases: a text without words has an empty set and links to its like; a text of fewer words than a
-shingle is one shingle; null ids, repeated rows and empty tables are as in covering_lsh.
+shingle is one shingle; null ids, repeated rows, long texts, other columns and empty tables are as in covering_lsh.
 """
 
 from __future__ import annotations
@@ -18,10 +20,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_texts, materialise
-from .covering_lsh import join_components, keep_least, shingle_hashes, signed
+from .covering_lsh import join_components, keep_least, links, majority, shingle_hashes, signed, with_hash
 
 WIDTH = 5
 LEAST = 0.8
+RADIUS = 2
 BANDS, ROWS = 24, 5
 HUBS = 4
 _U = np.uint64
@@ -50,7 +53,7 @@ class MinHash:
 
 
 def sketches(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, fp, keys, terms): a hash of the set, the bands' keys, and the set as sorted 32-bit hashes."""
+    """(id, k_text, fp, sim, keys, terms): a hash of the set, its SimHash, the bands' keys, and the set as sorted 32-bit hashes."""
 
     def make():
         import xxhash
@@ -58,21 +61,32 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Dat
         maker = MinHash()
 
         def of(ids, texts):
-            fps, keys, terms = [], [], []
+            fps, sims, keys, terms = [], [], [], []
             for t in texts:
                 h = np.unique(shingle_hashes(t, WIDTH))
                 fps.append(signed(xxhash.xxh64_intdigest(h.tobytes())) if len(h) else 0)
+                sims.append(signed(majority(h)))
                 keys.append(maker.keys(h))
                 terms.append(np.unique((h >> _U(32)).astype(np.uint32)).tobytes())
-            return [fps, keys, terms]
+            return [fps, sims, keys, terms]
 
         return of
 
-    return map_texts(docs, make, "fp long, keys array<long>, terms binary", id_col, text)
+    return map_texts(with_hash(docs, id_col, text), make, "fp long, sim long, keys array<long>, terms binary", id_col, text, ("k_text",))
+
+
+def by_simhash(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """Pairs (a, b), a < b, of nodes (fp, sim): of nodes with one SimHash each with the first, and of the first ones of SimHashes within the radius."""
+    first = materialise(nodes.groupBy("sim").agg(F.min("fp").alias("first")), "sims")
+    same = nodes.join(first, "sim").where("fp != first").select(F.col("first").alias("a"), F.col("fp").alias("b"))
+    near = links(first.select(F.col("sim").alias("fp")), radius)
+    ends = [first.select(F.col("sim").alias(c), F.col("first").alias(f"first_{c}")) for c in "ab"]
+    near = near.join(ends[0], "a").join(ends[1], "b").select(F.least("first_a", "first_b").alias("a"), F.greatest("first_a", "first_b").alias("b"))
+    return same.unionByName(near)
 
 
 def candidates(nodes: DataFrame, limit: int = 32) -> DataFrame:
-    """Distinct pairs (a, b), a < b, of nodes (fp, keys) that meet in a bucket, or with a hub of a large one."""
+    """Pairs (a, b), a < b, of nodes (fp, keys) that meet in a bucket, or with a hub of a large one."""
     pairs = None
     rows = nodes.select("fp", F.posexplode("keys").alias("path", "bucket"))
     for level in range(2):
@@ -82,7 +96,7 @@ def candidates(nodes: DataFrame, limit: int = 32) -> DataFrame:
         x, y = (few.select("path", "bucket", F.col("fp").alias(c)) for c in "ab")
         found = x.join(y, ["path", "bucket"]).where("a < b").select("a", "b")
         if many.isEmpty():
-            return (found if pairs is None else pairs.unionByName(found)).distinct()
+            return found if pairs is None else pairs.unionByName(found)
         # The hubs' order is the same in all buckets, so that members meet the same few.
         hubs = many.groupBy("path", "bucket").agg(*[F.min_by("fp", F.xxhash64(F.lit(s), "fp")).alias(f"h{s}") for s in range(HUBS)])
         stars = many.join(hubs, ["path", "bucket"]).select("fp", F.explode(F.array(*[f"h{s}" for s in range(HUBS)])).alias("hub"))
@@ -91,7 +105,7 @@ def candidates(nodes: DataFrame, limit: int = 32) -> DataFrame:
         if level == 0:  # a pair that agrees on two bands meets in a bucket of the lower, or in one of both
             again = many.select("fp", "path", "bucket").join(nodes.select("fp", "keys"), "fp").select("fp", "path", "bucket", F.posexplode("keys").alias("p", "key"))
             rows = again.where("p > path").select("fp", (F.col("path") * BANDS + F.col("p")).alias("path"), F.xxhash64("bucket", "key").alias("bucket"))
-    return pairs.distinct()
+    return pairs
 
 
 def alike(pairs: DataFrame, nodes: DataFrame, least: float = LEAST) -> DataFrame:
@@ -117,14 +131,14 @@ def alike(pairs: DataFrame, nodes: DataFrame, least: float = LEAST) -> DataFrame
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", least: float = LEAST, limit: int = 32) -> DataFrame:
-    """(id, fp, component): component is the smallest id that the document reaches over links."""
+    """(id, k_text, fp, root, component): component is the smallest id that the document reaches over links."""
     made = materialise(sketches(docs, id_col, text), "sketches")
-    nodes = made.groupBy("fp").agg(F.min(id_col).alias("least"), F.any_value("keys").alias("keys"), F.any_value("terms").alias("terms"))
+    nodes = made.groupBy("fp").agg(F.min(id_col).alias("least"), F.any_value("sim").alias("sim"), F.any_value("keys").alias("keys"), F.any_value("terms").alias("terms"))
     nodes = materialise(nodes, "nodes")
-    pairs = materialise(candidates(nodes, limit), "pairs")
-    return join_components(made.select(id_col, "fp"), nodes.select("fp", "least"), alike(pairs, nodes, least), id_col)
+    pairs = materialise(candidates(nodes, limit).unionByName(by_simhash(nodes)).distinct(), "pairs")
+    return join_components(made.select(id_col, "k_text", "fp"), nodes.select("fp", "least"), alike(pairs, nodes, least), id_col)
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", least: float = LEAST) -> DataFrame:
     """docs with one document of each component, that of the smallest id."""
-    return keep_least(docs, near_duplicates(docs, id_col, text, least), id_col)
+    return keep_least(docs, near_duplicates(docs, id_col, text, least), id_col, text)
