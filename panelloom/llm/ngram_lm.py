@@ -45,9 +45,9 @@ _U = np.uint64
 BEGIN, END = 0x9AE16A3B2F90404F, 0xC3A5C85C97CB3127  # of no word's bytes; a clash is as likely as any of two hashes
 SEED = 42
 ORDER = 3
-CHUNK = 3_000_000  # tokens that a worker counts or looks up at once
-PIECE_CHARS = 16_000_000  # characters of corpus for each piece
-FAN = 2048  # pieces that a task's blocks go to in one step
+CHUNK = 1_500_000  # tokens that a worker counts or looks up at once
+PIECE_CHARS = 4_000_000  # characters of corpus for each piece
+FAN = 8192  # pieces that a task's blocks go to in one step
 OPEN = 1024  # files that a worker maps at once
 BUCKET = 16
 
@@ -116,6 +116,16 @@ def _heads(keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.empty(0, np.int64)
 
 
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys in order, a place of each, and each key's number among them."""
+    order = np.argsort(keys)
+    heads = _heads(keys[order])
+    which = np.empty(len(keys), np.int64)
+    which[order] = np.repeat(np.arange(len(heads)), np.diff(np.r_[heads, len(keys)]))
+    first = order[heads]
+    return keys[first], first, which
+
+
 def _sums(key: np.ndarray, codes: list[np.ndarray], values: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
     """Distinct keys in order, their codes, and each column of values summed up."""
     order = np.argsort(key)
@@ -130,14 +140,9 @@ def _count(docs: list[np.ndarray], order: int, coding: Coding) -> tuple[np.ndarr
     line, starts = padded(docs, order)
     hashes, code = coding.encode(line)
     ends = _tokens(line, starts, order)
-    rank = code[ends - (order - 1)].astype(np.int64)
-    for k in range(order - 2, -1, -1):
-        at = np.argsort(rank)
-        new = np.zeros(len(rank), np.int64)
-        new[_heads(rank[at])[1:]] = 1
-        dense = np.empty(len(rank), np.int64)
-        dense[at] = np.cumsum(new)
-        rank = dense * len(hashes) + code[ends - k]
+    rank = code[ends - (order - 1)] * len(hashes) + code[ends - (order - 2)]
+    for k in range(order - 3, -1, -1):
+        rank = _distinct(rank)[2] * len(hashes) + code[ends - k]
     at = np.argsort(rank)
     heads = _heads(rank[at])
     first = ends[at[heads]]
@@ -456,7 +461,7 @@ class Model:
             # Grams that end at each position; before the first token only begin tokens stand.
             ends = np.arange(i["order"] - 2, len(line)) if level < i["order"] else real
             columns = [line[ends - k] for k in range(level - 1, -1, -1)]
-            key, first, which = np.unique(gram_key(columns), return_index=True, return_inverse=True)
+            key, first, which = _distinct(gram_key(columns))
             got = self._look([c[first] for c in columns], key, level, 1 if level == i["order"] else 6 if level == 1 else 5)
             place = np.zeros(len(line), np.int64)
             place[ends] = which
