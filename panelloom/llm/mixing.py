@@ -42,7 +42,7 @@ GROUPS = 256
 BLOCKS = 256
 MIN_WORDS = 64
 #: Documents of one source that one window orders, and bytes of text in one task of the written mix, about.
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 2_000
 TASK_BYTES = 1 << 26
 
 
