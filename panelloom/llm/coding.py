@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Words with a code of their own, and characters of text, about, that the sample of them has.
-COMMON = 1 << 18
-SAMPLE_CHARS = 16_000_000
+COMMON = 1 << 19
+SAMPLE_CHARS = 64_000_000
 
 
 def common_words(source: DataFrame, chars: int, make_words) -> np.ndarray:
@@ -82,9 +82,10 @@ def pack(hashes: np.ndarray, codes: list[np.ndarray], values: list[np.ndarray],
     columns = list(every.reshape(len(codes), -1))
     columns[0] = np.diff(columns[0], prepend=0)
     columns[0] = np.where(columns[0] < 0, -2 * columns[0] - 1, 2 * columns[0])  # rare codes are renumbered, and may go down
-    parts = [_planes(c) for c in (*columns, *values)]
+    # The other words' hashes are in order, too, as codes are.
+    parts = [_planes(np.diff(hashes[own], prepend=np.uint64(0))), *[_planes(c) for c in (*columns, *values)]]
     head = json.dumps([len(values[0]), len(codes), [p for p, _ in parts], len(own)]).encode()
-    return len(head).to_bytes(4, "little") + head + hashes[own].tobytes() + zstandard.ZstdCompressor(level=1).compress(b"".join(b for _, b in parts))
+    return len(head).to_bytes(4, "little") + head + zstandard.ZstdCompressor(level=1).compress(b"".join(b for _, b in parts))
 
 
 def unpack(blobs: list[bytes], common: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
@@ -94,14 +95,16 @@ def unpack(blobs: list[bytes], common: np.ndarray) -> tuple[np.ndarray, list[np.
     heads, rare, raw = [], [], []
     for b in blobs:
         n = int.from_bytes(b[:4], "little")
-        head = json.loads(b[4 : 4 + n])
-        heads.append(head)
-        rare.append(np.frombuffer(b, np.uint64, head[3], 4 + n))
-        raw.append(zstandard.ZstdDecompressor().decompress(b[4 + n + 8 * head[3] :], max_output_size=max(1, head[0] * sum(head[2]))))
+        size, width, planes, words = json.loads(b[4 : 4 + n])
+        block = zstandard.ZstdDecompressor().decompress(b[4 + n :], max_output_size=1 + words * planes[0] + size * sum(planes[1:]))
+        x, at = _number(planes[0], block, words, 0)
+        rare.append(np.cumsum(x.view(np.uint64)))
+        heads.append((size, width, planes[1:], at))
+        raw.append(block)
     own = np.unique(np.concatenate(rare))
     columns: list[list[np.ndarray]] = [[] for _ in heads[0][2]]
-    for (n, width, planes, _), words, block in zip(heads, rare, raw, strict=True):
-        at, to = 0, len(common) + np.searchsorted(own, words)
+    for (n, width, planes, at), words, block in zip(heads, rare, raw, strict=True):
+        to = len(common) + np.searchsorted(own, words)
         for k, p in enumerate(planes):
             x, at = _number(p, block, n, at)
             if k == 0:

@@ -1,17 +1,19 @@
 """Interpolated modified Kneser-Ney model of any order: counted in Spark, kept as sorted hash arrays that workers map.
 
 Counting. Each task hashes its words (64 bits), counts its own n-grams and sends them in blocks by piece; a
-block holds codes of words (coding.py), not the words. Every n-gram belongs to one piece, by its middle words and a
-salt of its last word, so that a frequent word's n-grams spread over the more pieces the larger the corpus is.
-A piece is summed up, written to the shared folder as one file, and sends on what it knows of shorter grams: for the gram
-without its first word one more distinct predecessor, and for the gram without its last word the number and kinds of its
-followers. The next level does the same with these, down to single words. Only counts of counts, a dozen
-numbers for each level, reach the driver. The number of pieces grows with the corpus, a piece doesn't; where there
-are very many, blocks go to them in two steps, so that none gets tiny.
+block holds codes of words (coding.py), not the words. A gram's piece follows from its last word but one and a salt of
+its last word, of which there are more the larger the corpus is, so that a frequent word's grams are spread. An n-gram and
+what is left of it without its first word, down to two words, so have one piece, which counts them all: the n-grams'
+occurrences, and of each shorter gram the distinct words before it. It writes a file for each length to the shared folder
+and sends on, to the pieces of contexts, how many followers of which counts it knows of each gram without its last
+word, and of single words also their predecessors. Only counts of counts, a dozen numbers for each length,
+reach the driver. The number of pieces grows with the corpus, a piece doesn't, as long as no pair of words alone fills one;
+where there are very many, blocks go to them in two steps, so that none gets tiny.
 
 Files. A piece's file holds 32 bits of each key's hash in sorted order, under a table that starts a
-bucket for every 16 keys or so, and each count in a byte, larger ones on the side. With the piece and the bucket
-about 50 bits of hash tell grams apart: one lookup in 10^8 finds another gram's count.
+bucket for every 16 keys or so, and a byte that tells which of the 255 most frequent rows of counts a key has; other rows
+are on the side. With the piece and the bucket about 50 bits of hash tell grams apart: one lookup in 10^8 finds another
+gram's counts.
 
 Scoring. Workers map the files, a bounded number at a time, and look up the distinct grams of many documents piece
 by piece. The highest order has raw counts, the lower ones count distinct predecessors, each with its own modified
@@ -48,6 +50,7 @@ ORDER = 3
 CHUNK = 1_500_000  # tokens that a worker counts or looks up at once
 PIECE_CHARS = 4_000_000  # characters of corpus for each piece
 FAN = 8192  # pieces that a task's blocks go to in one step
+MOST = 16  # words of a gram
 OPEN = 1024  # files that a worker maps at once
 BUCKET = 16
 
@@ -67,13 +70,11 @@ def gram_key(columns: list[np.ndarray]) -> np.ndarray:
 
 
 def gram_piece(columns: list[np.ndarray], pieces: int) -> np.ndarray:
-    """The piece of each gram: of its middle words (of two words the first) and a salt of the last."""
-    last = _mix(columns[-1] ^ _U(0x2545F4914F6CDD1D))
-    if len(columns) == 1:
-        return (last >> _U(33)) % _U(pieces)
-    middle = gram_key(columns[1:-1] if len(columns) > 2 else columns[:1])
-    salt = (last >> _U(33)) % _U(-(-pieces // 8))
-    return (_mix(middle + salt * _U(0x9E3779B97F4A7C15)) >> _U(33)) % _U(pieces)
+    """The piece of each gram: of its last word, or of the word before it and a salt of the last."""
+    last = _mix(columns[-1] ^ _U(0x2545F4914F6CDD1D)) >> _U(33)
+    if len(columns) > 1:
+        last = _mix(_mix(columns[-2]) + last % _U(-(-pieces // 8)) * _U(0x9E3779B97F4A7C15)) >> _U(33)
+    return last % _U(pieces)
 
 
 class Words(dict):
@@ -150,7 +151,7 @@ def _count(docs: list[np.ndarray], order: int, coding: Coding) -> tuple[np.ndarr
 
 
 def _blocks(hashes: np.ndarray, codes: list[np.ndarray], values: list[np.ndarray], pieces: int, common: int, fan: int | None = None):
-    """(place, block) of these grams: place is the piece or, with a fan, the first step's part of pieces."""
+    """(place, block) of these grams, whose number of words the place tells too: the piece or, with a fan, the first step's part of pieces."""
     place = gram_piece([hashes[c] for c in codes], pieces)
     if fan:
         place = place % _U(fan)
@@ -159,7 +160,7 @@ def _blocks(hashes: np.ndarray, codes: list[np.ndarray], values: list[np.ndarray
     cuts = np.r_[_heads(place), len(place)]
     for a, b in zip(cuts[:-1], cuts[1:], strict=True):
         own = order[a:b]
-        yield int(place[a]), pack(hashes, [c[own] for c in codes], [v[own] for v in values], common)
+        yield int(place[a]) * MOST + len(codes), pack(hashes, [c[own] for c in codes], [v[own] for v in values], common)
 
 
 class Folder:
@@ -220,13 +221,22 @@ class Folder:
 
 
 def piece_file(key: np.ndarray, columns: list[np.ndarray]) -> list[bytes]:
-    """A piece's file: sorted keys as buckets of 32-bit rests, and columns of counts, a byte each or on the side."""
+    """A piece's file: sorted keys as buckets of 32-bit rests, and rows of counts."""
     bits = max(0, (len(key) // BUCKET).bit_length() - 1)
     top = (key >> _U(64 - bits)).astype(np.int64) if bits else np.zeros(len(key), np.int64)
-    parts = [np.searchsorted(top, np.arange((1 << bits) + 1)).astype(np.uint32), (key >> _U(32 - bits)).astype(np.uint32)]
+    packed, small = np.zeros(len(key), np.int64), np.ones(len(key), bool)
     for c in columns:
-        more = np.flatnonzero(c >= 255)
-        parts += [more.astype(np.uint32), c[more].astype(np.int64), np.minimum(c, 255).astype(np.uint8)]
+        packed = packed << 8 | np.minimum(c, 255)
+        small &= c < 256
+    kinds, which, n = np.unique(packed[small], return_inverse=True, return_counts=True)
+    frequent = np.argsort(-n, kind="stable")[:255]
+    slot = np.full(len(kinds), 255, np.uint8)
+    slot[frequent] = np.arange(len(frequent))
+    row = np.full(len(key), 255, np.uint8)
+    row[small] = slot[which]
+    more = np.flatnonzero(row == 255)
+    table = [kinds[frequent] >> 8 * k & 255 for k in range(len(columns) - 1, -1, -1)]
+    parts = [np.searchsorted(top, np.arange((1 << bits) + 1)).astype(np.uint32), (key >> _U(32 - bits)).astype(np.uint32), row, more.astype(np.uint32), *table, *[c[more].astype(np.int64) for c in columns]]
     head = json.dumps([bits, [[p.dtype.str, len(p)] for p in parts]]).encode()
     out = [len(head).to_bytes(8, "little"), head + b" " * (-len(head) % 8)]
     for p in parts:
@@ -244,7 +254,9 @@ class Piece:
         for kind, size in shapes:
             parts.append(np.frombuffer(data, kind, size, at))
             at += parts[-1].nbytes + -parts[-1].nbytes % 8
-        self.starts, self.rests, self.columns = parts[0], parts[1], [parts[i : i + 3] for i in range(2, len(parts), 3)]
+        self.starts, self.rests, self.row, self.more = parts[:4]
+        width = (len(parts) - 4) // 2
+        self.table, self.side = parts[4 : 4 + width], parts[4 + width :]
 
     def find(self, key: np.ndarray) -> np.ndarray:
         """The place of each key, or -1; a binary search of all keys at once."""
@@ -261,12 +273,16 @@ class Piece:
         hit = (low < end) & (self.rests[np.minimum(low, len(self.rests) - 1)] == want)
         return np.where(hit, low, -1)
 
-    def take(self, column: int, place: np.ndarray) -> np.ndarray:
-        where, value, byte = self.columns[column]
-        out = byte[place].astype(np.int64)
-        if len(where):
-            big = np.flatnonzero(out == 255)
-            out[big] = value[np.searchsorted(where, place[big])]
+    def take(self, place: np.ndarray) -> list[np.ndarray]:
+        """The columns of counts at these places."""
+        row = self.row[place]
+        big = np.flatnonzero(row == 255)
+        at = np.searchsorted(self.more, place[big])
+        out = []
+        for few, side in zip(self.table, self.side, strict=True):
+            c = np.append(few, np.zeros(256 - len(few), np.int64))[row]
+            c[big] = side[at]
+            out.append(c)
         return out
 
 
@@ -304,14 +320,12 @@ def _rows(rows):
 
 
 _SCHEMA = "piece long, blob binary"
-#: Columns of a gram below the highest order: distinct predecessors, occurrences; as a context: all followers' counts, and how many followers have one, two, or more.
-COLUMNS = ("before", "seen", "total", "one", "two", "more")
 
 
 def train(docs: DataFrame, text: str = "text", order: int = ORDER, piece_chars: int = PIECE_CHARS, fan: int = FAN) -> dict:
     """Count the model; returns its folder, sizes and discounts. The files stay in the shared folder."""
-    if order < 2:
-        raise ValueError("order is two or more")
+    if not 2 <= order < MOST:
+        raise ValueError(f"order is from 2 to {MOST - 1}")
     spark = docs.sparkSession
     chars = docs.agg(F.sum(F.octet_length(F.col(f"`{text}`")))).first()[0] or 0
     pieces = max(1, -(-chars // piece_chars))
@@ -356,54 +370,60 @@ def train(docs: DataFrame, text: str = "text", order: int = ORDER, piece_chars:
 
         yield from _rows(out())
 
-    def settle(level: int):
-        """Sum up the pieces of a level, write them, and send on what they know of grams one word shorter."""
-
-        def run(batches):
-            folder, common, seen = Folder(uri), sent.value, {}
-
-            def out():
-                for p, blobs in _by_piece(batches):
-                    if p < 0:  # totals of the levels before
-                        for b in blobs:
-                            for k, v in json.loads(b).items():
-                                seen[k] = seen.get(k, 0) + v
-                        continue
-                    hashes, codes, values = unpack(blobs, common)
-                    key, codes, values = _sums(gram_key([hashes[c] for c in codes]), codes, values)
-                    n = values[0]
-                    # What is only a context, as the begin tokens are, is no gram of its level.
-                    is_gram = n > 0
-                    folder.write(f"{level}-{p}", piece_file(key, values[:1] if level == order else [values[0], *values[2:]] if level > 1 else values))
-                    own = n[is_gram]
-                    for k in range(1, 5):
-                        seen[f"{level}:{k}"] = seen.get(f"{level}:{k}", 0) + int((own == k).sum())
-                    if level == 1:
-                        more = {"tokens": int(values[1].sum()), "types": len(own), "pairs": int(own.sum()), "more": int((own >= 3).sum())}
-                        for k, v in more.items():
-                            seen[k] = seen.get(k, 0) + v
-                        continue
-                    codes, raw = [c[is_gram] for c in codes], (n if level == order else values[1])[is_gram]
-                    none = np.zeros(len(own), np.int64)
-                    suffix = [np.ones(len(own), np.int64), raw, none, none, none, none]
-                    context = [none, none, own, (own == 1).astype(np.int64), (own == 2).astype(np.int64), (own >= 3).astype(np.int64)]
-                    both = [np.concatenate([a, b]) for a, b in zip(codes[1:], codes[:-1], strict=True)]
-                    every = [np.concatenate([a, b]) for a, b in zip(suffix, context, strict=True)]
-                    _, both, every = _sums(gram_key([hashes[c] for c in both]), both, every)
-                    line = np.lexsort(both[::-1])
-                    yield from _blocks(hashes, [c[line] for c in both], [v[line] for v in every], pieces, len(common), first)
-                if seen:
-                    yield -1, json.dumps(seen).encode()
-
-            yield from _rows(out())
+    def settle(batches):
+        """Sum up pieces of n-grams and all shorter grams down to two words, write them, and send on what they know of contexts."""
+        folder, common, seen = Folder(uri), sent.value, Totals()
 
-        return run
+        def out():
+            for p, blobs in _by_piece(batches):
+                hashes, codes, values = unpack(blobs, common)
+
+                def send(codes, values, hashes=hashes):
+                    _, codes, values = _sums(gram_key([hashes[c] for c in codes]), codes, values)
+                    line = np.lexsort(codes[::-1])
+                    return _blocks(hashes, [c[line] for c in codes], [v[line] for v in values], pieces, len(common), first)
+
+                key, codes, (n,) = _sums(gram_key([hashes[c] for c in codes]), codes, values)
+                times = n
+                for level in range(order, 1, -1):
+                    folder.write(f"{level}-{p // MOST}", piece_file(key, [n]))
+                    seen.kinds(level, n)
+                    followers = [n, *[f.astype(np.int64) for f in (n == 1, n == 2, n >= 3)]]
+                    one = np.ones(len(n), np.int64)
+                    if level > 2:
+                        yield from send(codes[:-1], followers)
+                        # A shorter gram's count is that of the distinct words before it.
+                        key, codes, (n, times) = _sums(gram_key([hashes[c] for c in codes[1:]]), codes[1:], [one, times])
+                    else:
+                        none = np.zeros(len(n), np.int64)
+                        both = zip((one, times, none, none, none, none), (none, none, *followers), strict=True)
+                        yield from send([np.concatenate([codes[1], codes[0]])], [np.concatenate(x) for x in both])
+            yield from seen.rows()
+
+        yield from _rows(out())
 
-    found = source.mapInArrow(count, _SCHEMA)
-    for level in range(order, 0, -1):
+    def finish(batches):
+        """Sum up contexts and words, write them, and report totals."""
+        folder, common, seen = Folder(uri), sent.value, Totals()
+        for p, blobs in _by_piece(batches):
+            if p < 0:
+                seen.add(blobs)
+                continue
+            hashes, codes, values = unpack(blobs, common)
+            key, _, values = _sums(gram_key([hashes[c] for c in codes]), codes, values)
+            folder.write(f"context{p % MOST}-{p // MOST}", piece_file(key, values))
+            if p % MOST == 1:
+                before = values[0][values[0] > 0]  # the begin token is a context, but no word
+                seen.kinds(1, before)
+                seen.add([json.dumps({"tokens": int(values[1].sum()), "types": len(before), "pairs": int(before.sum()), "more": int((before >= 3).sum())})])
+        yield from _rows(seen.rows())
+
+    def moved(found: DataFrame) -> DataFrame:
         if first:
             found = found.repartition(first, "piece").sortWithinPartitions("piece").mapInArrow(deal, _SCHEMA)
-        found = found.repartition(pieces, "piece").sortWithinPartitions("piece").mapInArrow(settle(level), _SCHEMA)
+        return found.repartition(pieces, "piece").sortWithinPartitions("piece")
+
+    found = moved(moved(source.mapInArrow(count, _SCHEMA)).mapInArrow(settle, _SCHEMA)).mapInArrow(finish, _SCHEMA)
     # A few rows of a dozen totals each; summed up in Spark.
     pair = F.explode(F.from_json(F.col("blob").cast("string"), "map<string,bigint>"))
     total = {r[0]: r[1] for r in found.select(pair).groupBy("key").agg(F.sum("value")).collect()}
@@ -413,6 +433,22 @@ def train(docs: DataFrame, text: str = "text", order: int = ORDER, piece_chars:
     }
 
 
+class Totals(dict):
+    """Sums by name that tasks pass on."""
+
+    def kinds(self, level: int, n: np.ndarray) -> None:
+        for k in range(1, 5):
+            self[f"{level}:{k}"] = self.get(f"{level}:{k}", 0) + int((n == k).sum())
+
+    def add(self, blobs: list) -> None:
+        for b in blobs:
+            for k, v in json.loads(b).items():
+                self[k] = self.get(k, 0) + v
+
+    def rows(self) -> list[tuple[int, bytes]]:
+        return [(-1, json.dumps(self).encode())] if self else []
+
+
 def discounts(n: list[int]) -> list[float]:
     """Modified Kneser-Ney discounts for counts of one, two, and three or more."""
     n1, n2, n3, n4 = n
@@ -433,21 +469,21 @@ class Model:
     def __init__(self, info: dict):
         self.info, self.folder = info, Folder(info["uri"])
 
-    def _look(self, columns: list[np.ndarray], key: np.ndarray, level: int, wanted: int) -> list[np.ndarray]:
-        """The first `wanted` columns of grams, zero where a gram is unknown."""
-        out = [np.zeros(len(key), np.int64) for _ in range(wanted)]
+    def _look(self, columns: list[np.ndarray], key: np.ndarray, name: str, width: int) -> list[np.ndarray]:
+        """The counts of grams, zero where a gram is unknown."""
+        out = [np.zeros(len(key), np.int64) for _ in range(width)]
         piece = gram_piece(columns, self.info["pieces"]).astype(np.int64)
         order = np.argsort(piece, kind="stable")
         cuts = np.r_[_heads(piece[order]), len(piece)]
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            data = self.folder.map(f"{level}-{piece[order[a]]}")
+            data = self.folder.map(f"{name}-{piece[order[a]]}")
             if data is None:
                 continue
             own, at = Piece(data), order[a:b]
             place = own.find(key[at])
-            at, place = at[place >= 0], place[place >= 0]
-            for c in range(wanted):
-                out[c][at] = own.take(c, place)
+            at = at[place >= 0]
+            for o, c in zip(out, own.take(place[place >= 0]), strict=True):
+                o[at] = c
         return out
 
     def score(self, docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -462,24 +498,27 @@ class Model:
             ends = np.arange(i["order"] - 2, len(line)) if level < i["order"] else real
             columns = [line[ends - k] for k in range(level - 1, -1, -1)]
             key, first, which = _distinct(gram_key(columns))
-            got = self._look([c[first] for c in columns], key, level, 1 if level == i["order"] else 6 if level == 1 else 5)
+            columns = [c[first] for c in columns]
             place = np.zeros(len(line), np.int64)
             place[ends] = which
             at, d = place[real], i["discounts"][level - 1]
             if level == 1:
-                seen = got.pop(1)
+                before, seen, *followers = self._look(columns, key, "context1", 6)
                 base, known = np.log10((seen + 1) / (n + v + 1))[at], (seen > 0)[at]
                 n1, n2, more = i["low_counts"]
-                low = _discounted(got[0], d) / pairs + (d[0] * n1 + d[1] * n2 + d[2] * more) / pairs / (v + 1) if pairs else np.full(len(key), 1.0 / (v + 1))
+                low = _discounted(before, d) / pairs + (d[0] * n1 + d[1] * n2 + d[2] * more) / pairs / (v + 1) if pairs else np.full(len(key), 1.0 / (v + 1))
                 p = low[at]
             else:
-                p = _discounted(got[0], d)[at] / np.maximum(total, 1) + back * p
+                (c,) = self._look(columns, key, str(level), 1)
+                p = _discounted(c, d)[at] / np.maximum(total, 1) + back * p
             if level < i["order"]:  # this level's grams are the next one's contexts
+                if level > 1:
+                    followers = self._look(columns, key, f"context{level}", 4)
+                many, one, two, more = followers
                 d = i["discounts"][level]
-                many = got[1]
-                share = np.where(many > 0, (d[0] * got[2] + d[1] * got[3] + d[2] * got[4]) / np.maximum(many, 1), 1.0)
-                before = place[real - 1]
-                total, back = many[before], share[before]
+                share = np.where(many > 0, (d[0] * one + d[1] * two + d[2] * more) / np.maximum(many, 1), 1.0)
+                ahead = place[real - 1]
+                total, back = many[ahead], share[ahead]
         heads = np.searchsorted(real, starts)
         sums = lambda x: np.add.reduceat(x, heads)
         return sums(np.ones(len(real), np.int64)), sums(known.astype(np.int64)), sums(base), sums(np.log10(p))
