@@ -72,7 +72,7 @@ def _number(planes: int, raw: bytes, n: int, at: int) -> tuple[np.ndarray, int]:
 
 
 def pack(hashes: np.ndarray, codes: list[np.ndarray], values: list[np.ndarray], common: int) -> bytes:
-    """A block of grams whose first codes are in order."""
+    """A block of grams, best in the order of their last codes but one, then their last."""
     import zstandard
 
     every = np.concatenate(codes)
@@ -80,12 +80,13 @@ def pack(hashes: np.ndarray, codes: list[np.ndarray], values: list[np.ndarray],
     own, which = np.unique(every[rare], return_inverse=True)
     every[rare] = common + which
     columns = list(every.reshape(len(codes), -1))
-    columns[0] = np.diff(columns[0], prepend=0)
-    columns[0] = np.where(columns[0] < 0, -2 * columns[0] - 1, 2 * columns[0])  # rare codes are renumbered, and may go down
+    lead = max(0, len(codes) - 2)
+    step = np.diff(columns[lead], prepend=0)
+    columns[lead] = np.where(step < 0, -2 * step - 1, 2 * step)
     # The other words' hashes are in order, too, as codes are.
     parts = [_planes(np.diff(hashes[own], prepend=np.uint64(0))), *[_planes(c) for c in (*columns, *values)]]
     head = json.dumps([len(values[0]), len(codes), [p for p, _ in parts], len(own)]).encode()
-    return len(head).to_bytes(4, "little") + head + zstandard.ZstdCompressor(level=1).compress(b"".join(b for _, b in parts))
+    return len(head).to_bytes(4, "little") + head + zstandard.ZstdCompressor(level=3).compress(b"".join(b for _, b in parts))
 
 
 def unpack(blobs: list[bytes], common: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
@@ -107,7 +108,7 @@ def unpack(blobs: list[bytes], common: np.ndarray) -> tuple[np.ndarray, list[np.
         to = len(common) + np.searchsorted(own, words)
         for k, p in enumerate(planes):
             x, at = _number(p, block, n, at)
-            if k == 0:
+            if k == max(0, width - 2):
                 x = np.cumsum(np.where(x & 1, -(x >> 1) - 1, x >> 1))
             if k < width and len(to):
                 x = np.where(x >= len(common), to[np.maximum(x - len(common), 0)], x)

@@ -11,8 +11,8 @@ reach the driver. The number of pieces grows with the corpus, a piece doesn't, a
 where there are very many, blocks go to them in two steps, so that none gets tiny.
 
 Files. A piece's file holds 32 bits of each key's hash in sorted order, under a table that starts a
-bucket for every 16 keys or so, and a byte that tells which of the 255 most frequent rows of counts a key has; other rows
-are on the side. With the piece and the bucket about 50 bits of hash tell grams apart: one lookup in 10^8 finds another
+bucket for every 16 keys or so, and a byte, or half of one for single counts, that tells which of the most frequent rows of
+counts a key has; other rows are on the side. With the piece and the bucket about 50 bits of hash tell grams apart: one lookup in 10^8 finds another
 gram's counts.
 
 Scoring. Workers map the files, a bounded number at a time, and look up the distinct grams of many documents piece
@@ -137,12 +137,12 @@ def _sums(key: np.ndarray, codes: list[np.ndarray], values: list[np.ndarray]) ->
 
 
 def _count(docs: list[np.ndarray], order: int, coding: Coding) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
-    """(hashes of the codes, columns of codes, [count]) of the distinct n-grams, in the order of their codes."""
+    """(hashes of the codes, columns of codes, [count]) of the distinct n-grams, in the order that pack() likes."""
     line, starts = padded(docs, order)
     hashes, code = coding.encode(line)
     ends = _tokens(line, starts, order)
-    rank = code[ends - (order - 1)] * len(hashes) + code[ends - (order - 2)]
-    for k in range(order - 3, -1, -1):
+    rank = code[ends - 1] * len(hashes) + code[ends]
+    for k in range(2, order):
         rank = _distinct(rank)[2] * len(hashes) + code[ends - k]
     at = np.argsort(rank)
     heads = _heads(rank[at])
@@ -191,8 +191,8 @@ class Folder:
                 f.write(b)
         fs.move(f"{root}/{temp}", f"{root}/{name}")
 
-    def map(self, name: str) -> mmap.mmap | None:
-        """The file, or none if no task had anything to write; the last OPEN ones stay mapped."""
+    def map(self, name: str) -> Piece | None:
+        """The file's arrays, or none if no task had anything to write; the last OPEN ones stay mapped."""
         if name in self.open:
             self.open.move_to_end(name)
             return self.open[name]
@@ -211,7 +211,7 @@ class Folder:
         found = None
         if os.path.exists(path):
             with open(path, "rb") as f:
-                found = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
+                found = Piece(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ))
             if self.local is None:
                 os.unlink(path)  # its space is free again once it is no longer mapped
         self.open[name] = found
@@ -229,14 +229,16 @@ def piece_file(key: np.ndarray, columns: list[np.ndarray]) -> list[bytes]:
         packed = packed << 8 | np.minimum(c, 255)
         small &= c < 256
     kinds, which, n = np.unique(packed[small], return_inverse=True, return_counts=True)
-    frequent = np.argsort(-n, kind="stable")[:255]
-    slot = np.full(len(kinds), 255, np.uint8)
+    other = 15 if len(columns) == 1 else 255
+    frequent = np.argsort(-n, kind="stable")[:other]
+    slot = np.full(len(kinds), other, np.uint8)
     slot[frequent] = np.arange(len(frequent))
-    row = np.full(len(key), 255, np.uint8)
-    row[small] = slot[which]
-    more = np.flatnonzero(row == 255)
+    row = np.full(len(key) + len(key) % 2, other, np.uint8)
+    row[: len(key)][small] = slot[which]
+    more = np.flatnonzero(row[: len(key)] == other)
+    row = row[::2] | row[1::2] << 4 if other == 15 else row
     table = [kinds[frequent] >> 8 * k & 255 for k in range(len(columns) - 1, -1, -1)]
-    parts = [np.searchsorted(top, np.arange((1 << bits) + 1)).astype(np.uint32), (key >> _U(32 - bits)).astype(np.uint32), row, more.astype(np.uint32), *table, *[c[more].astype(np.int64) for c in columns]]
+    parts = [np.searchsorted(top, np.arange((1 << bits) + 1)).astype(np.uint32), (key >> _U(32 - bits)).astype(np.uint32), row, more.astype(np.uint32), *table, *[c[more].astype(np.min_scalar_type(c[more].max(initial=0))) for c in columns]]
     head = json.dumps([bits, [[p.dtype.str, len(p)] for p in parts]]).encode()
     out = [len(head).to_bytes(8, "little"), head + b" " * (-len(head) % 8)]
     for p in parts:
@@ -262,21 +264,22 @@ class Piece:
         """The place of each key, or -1; a binary search of all keys at once."""
         if not len(self.rests):
             return np.full(len(key), -1)
-        top = (key >> _U(64 - self.bits)).astype(np.int64) if self.bits else np.zeros(len(key), np.int64)
+        top = (key >> _U(64 - self.bits)).astype(np.int32) if self.bits else np.zeros(len(key), np.int32)
         want = (key >> _U(32 - self.bits)).astype(np.uint32)
-        low, high = self.starts[top].astype(np.int64), self.starts[top + 1].astype(np.int64)
-        end = high.copy()
-        for _ in range(int((high - low).max(initial=0)).bit_length()):
-            mid = (low + high) >> 1
-            less = (mid < high) & (self.rests[np.minimum(mid, len(self.rests) - 1)] < want)
-            low, high = np.where(less, mid + 1, low), np.where(less, high, mid)
-        hit = (low < end) & (self.rests[np.minimum(low, len(self.rests) - 1)] == want)
-        return np.where(hit, low, -1)
+        at, end = self.starts[top].astype(np.int32), self.starts[top + 1].astype(np.int32)
+        step = 1 << int((end - at).max(initial=0)).bit_length() >> 1
+        while step:
+            ahead = at + np.int32(step)
+            np.copyto(at, ahead, where=(self.rests.take(ahead - 1, mode="clip") < want) & (ahead <= end))
+            step >>= 1
+        hit = (at < end) & (self.rests.take(at, mode="clip") == want)
+        return np.where(hit, at, -1)
 
     def take(self, place: np.ndarray) -> list[np.ndarray]:
         """The columns of counts at these places."""
-        row = self.row[place]
-        big = np.flatnonzero(row == 255)
+        single = len(self.table) == 1
+        row = self.row[place >> 1] >> ((place & 1) << 2) & 15 if single else self.row[place]
+        big = np.flatnonzero(row == (15 if single else 255))
         at = np.searchsorted(self.more, place[big])
         out = []
         for few, side in zip(self.table, self.side, strict=True):
@@ -380,7 +383,7 @@ def train(docs: DataFrame, text: str = "text", order: int = ORDER, piece_chars:
 
                 def send(codes, values, hashes=hashes):
                     _, codes, values = _sums(gram_key([hashes[c] for c in codes]), codes, values)
-                    line = np.lexsort(codes[::-1])
+                    line = np.lexsort([*codes[:-2], *codes[-1:], *codes[-2:-1]])
                     return _blocks(hashes, [c[line] for c in codes], [v[line] for v in values], pieces, len(common), first)
 
                 key, codes, (n,) = _sums(gram_key([hashes[c] for c in codes]), codes, values)
@@ -469,22 +472,24 @@ class Model:
     def __init__(self, info: dict):
         self.info, self.folder = info, Folder(info["uri"])
 
-    def _look(self, columns: list[np.ndarray], key: np.ndarray, name: str, width: int) -> list[np.ndarray]:
-        """The counts of grams, zero where a gram is unknown."""
-        out = [np.zeros(len(key), np.int64) for _ in range(width)]
+    def _look(self, columns: list[np.ndarray], key: np.ndarray, names: list[str], widths: list[int]) -> list[np.ndarray]:
+        """The counts of grams in the files of each name, zero where a gram is unknown."""
+        out = [[np.zeros(len(key), np.int64) for _ in range(w)] for w in widths]
         piece = gram_piece(columns, self.info["pieces"]).astype(np.int64)
         order = np.argsort(piece, kind="stable")
         cuts = np.r_[_heads(piece[order]), len(piece)]
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            data = self.folder.map(f"{name}-{piece[order[a]]}")
-            if data is None:
-                continue
-            own, at = Piece(data), order[a:b]
-            place = own.find(key[at])
-            at = at[place >= 0]
-            for o, c in zip(out, own.take(place[place >= 0]), strict=True):
-                o[at] = c
-        return out
+            own = order[a:b]
+            wanted = key[own]
+            for name, columns_ in zip(names, out, strict=True):
+                data = self.folder.map(f"{name}-{piece[own[0]]}")
+                if data is None:
+                    continue
+                place = data.find(wanted)
+                hit = np.flatnonzero(place >= 0)
+                for o, c in zip(columns_, data.take(place[hit]), strict=True):
+                    o[own[hit]] = c
+        return [c for columns_ in out for c in columns_]
 
     def score(self, docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Of each document: tokens, known tokens, base score, model score (log10)."""
@@ -503,17 +508,15 @@ class Model:
             place[ends] = which
             at, d = place[real], i["discounts"][level - 1]
             if level == 1:
-                before, seen, *followers = self._look(columns, key, "context1", 6)
+                before, seen, *followers = self._look(columns, key, ["context1"], [6])
                 base, known = np.log10((seen + 1) / (n + v + 1))[at], (seen > 0)[at]
                 n1, n2, more = i["low_counts"]
                 low = _discounted(before, d) / pairs + (d[0] * n1 + d[1] * n2 + d[2] * more) / pairs / (v + 1) if pairs else np.full(len(key), 1.0 / (v + 1))
                 p = low[at]
             else:
-                (c,) = self._look(columns, key, str(level), 1)
+                c, *followers = self._look(columns, key, [str(level), f"context{level}"], [1, 4]) if level < i["order"] else self._look(columns, key, [str(level)], [1])
                 p = _discounted(c, d)[at] / np.maximum(total, 1) + back * p
             if level < i["order"]:  # this level's grams are the next one's contexts
-                if level > 1:
-                    followers = self._look(columns, key, f"context{level}", 4)
                 many, one, two, more = followers
                 d = i["discounts"][level]
                 share = np.where(many > 0, (d[0] * one + d[1] * two + d[2] * more) / np.maximum(many, 1), 1.0)

@@ -244,9 +244,9 @@ def test_piece_files(tmp_path):
     folder = ngram_lm.Folder(f"file://{tmp_path}")
     for n in (0, 1, 40, 5000):
         key = np.unique(draw.integers(0, 1 << 64, n, np.uint64))
-        values = [draw.integers(0, 300, len(key)), draw.integers(0, 3, len(key)) * 10**10]
+        values = [draw.integers(0, 300, len(key)), draw.integers(0, 3, len(key)) * 10**10][: 1 + n % 3 % 2]
         folder.write(f"p{n}", ngram_lm.piece_file(key, values))
-        piece = ngram_lm.Piece(folder.map(f"p{n}"))
+        piece = folder.map(f"p{n}")
         assert piece.find(key).tolist() == list(range(len(key))) and (piece.find(draw.integers(0, 1 << 64, 100, np.uint64)) == -1).all()
         assert [c.tolist() for c in piece.take(np.arange(len(key)))] == [v.tolist() for v in values]
     assert folder.map("none") is None
