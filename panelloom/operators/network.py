@@ -45,12 +45,23 @@ def network(cells: DataFrame, value: str, window: int = 60, threshold: float = 0
 
 def latest_edges(cells: DataFrame, value: str, window: int = 60, threshold: float = 0.45, min_obs: int | None = None) -> DataFrame:
     """(src, dst, rho) in both directions over the last `window` rows, where rho reaches the threshold."""
-    k = needed(window) if min_obs is None else min_obs
+    return latest_edges_of(cells, value, [(window, threshold)], min_obs).select("src", "dst", "rho")
+
+
+def latest_edges_of(cells: DataFrame, value: str, kinds: list[tuple[int, float]], min_obs: int | None = None) -> DataFrame:
+    """(window, threshold, src, dst, rho): latest_edges of several windows and thresholds, in one pass over the longest."""
+    windows = sorted({w for w, _ in kinds})
     last = cells.agg(F.max("n").alias("last"))
-    tail = cells.crossJoin(F.broadcast(last)).where(F.col("n") > F.col("last") - window)  # one row
-    rho = F.try_divide(F.covar_samp("x", "y"), F.stddev_samp("x") * F.stddev_samp("y"))
-    got = _pairs(tail, value).groupBy("src", "dst").agg(F.when(F.count("x") >= k, rho).alias("rho")).where(F.col("rho") >= threshold)
-    return got.unionByName(got.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "rho"))
+    tail = cells.crossJoin(F.broadcast(last)).where(F.col("n") > F.col("last") - windows[-1])  # one row
+    pairs = _pairs(tail.select("n", "entity", value), value).crossJoin(F.broadcast(last))  # one row
+    rho = []
+    for w in windows:
+        x, y = (F.when(F.col("n") > F.col("last") - w, F.col(c)) for c in "xy")
+        r = F.try_divide(F.covar_samp(x, y), F.stddev_samp(x) * F.stddev_samp(y))
+        rho.append(F.when(F.count(x) >= (needed(w) if min_obs is None else min_obs), r).alias(f"rho_{w}"))
+    each = F.array(*[F.struct(F.lit(w).alias("window"), F.lit(t).alias("threshold"), F.col(f"rho_{w}").alias("rho")) for w, t in kinds])
+    got = pairs.groupBy("src", "dst").agg(*rho).select("src", "dst", F.explode(each).alias("x")).select("x.window", "x.threshold", "src", "dst", "x.rho").where("rho >= threshold")
+    return got.unionByName(got.select("window", "threshold", F.col("dst").alias("src"), F.col("src").alias("dst"), "rho"))
 
 
 def residuals(cells: DataFrame, factor: DataFrame, value: str = "ret", window: int = 180, min_obs: int = 90) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .metrics import rank_metrics
-from .network import latest_edges
+from .network import latest_edges_of
 from .timeindex import rolling_sum
 
 PRIME = 2147483647  # products stay far below 2^63
@@ -57,11 +57,20 @@ def seven_day_losses(cells: DataFrame, value: str = "ret", days: int = 7) -> Dat
 
 def loss_tails(losses: DataFrame, cutoff: float, cap: float) -> DataFrame:
     """(entity, k, size, loss): positive losses, capped, from each entity's cutoff quantile up; numbered from 0."""
-    p = losses.withColumn("loss", F.when(F.col("loss").isNotNull(), F.least(F.greatest("loss", F.lit(0.0)), F.lit(cap)))).where("loss > 0")
-    low = p.groupBy("entity").agg(F.percentile("loss", F.lit(cutoff)).alias("low"))
-    tail = p.join(low, "entity").where("loss >= low")
-    by = Window.partitionBy("entity")
-    return tail.select("entity", (F.row_number().over(by.orderBy("loss", "period")) - 1).cast("long").alias("k"), F.count(F.lit(1)).over(by).alias("size"), "loss")
+    return all_tails(losses, [(cutoff, cap)]).select("entity", "k", "size", "loss")
+
+
+def all_tails(losses: DataFrame, kinds: list[tuple[float, float]]) -> DataFrame:
+    """(entity, tail, cap, k, size, loss): loss_tails for several (cutoff, cap), in one pass over the losses."""
+    kind = F.explode(F.array(*[F.struct(F.lit(t).alias("tail"), F.lit(c).alias("cap")) for t, c in kinds]))
+    p = losses.where("loss > 0").withColumn("kind", kind).select("entity", "period", "kind.*", F.least("loss", "kind.cap").alias("loss"))
+    cutoffs = sorted({t for t, _ in kinds})
+    at = F.array_position(F.array(*[F.lit(t) for t in cutoffs]), F.col("tail")).cast("int")
+    keys = ["entity", "tail", "cap"]
+    low = p.groupBy(*keys).agg(F.percentile("loss", F.array(*[F.lit(t) for t in cutoffs])).alias("q")).withColumn("low", F.element_at("q", at)).drop("q")
+    tail = p.join(low, keys).where("loss >= low")
+    by = Window.partitionBy(*keys)
+    return tail.select(*keys, (F.row_number().over(by.orderBy("loss", "period")) - 1).cast("long").alias("k"), F.count(F.lit(1)).over(by).alias("size"), "loss")
 
 
 def weights(cells: DataFrame, kind: str) -> DataFrame:
@@ -79,45 +88,75 @@ SCENARIO = "scenario string, multiplier double, rounds int, threshold double, ta
 
 def scenario_rows(grid_paths: int = 3000, base_paths: int = 5000) -> list[tuple]:
     """The baseline, all combinations of six parameters, and the baseline with equal weights."""
+    # The parameters of the baseline and of the grid.
     out = [("baseline", 0.50, 2, 0.45, 0.85, 0.50, 60, "value", base_paths)]
     grid = product((0.30, 0.70), (1, 3), (0.30, 0.60), (0.80, 0.90), (0.30, 0.50), (30, 90))
     out += [(f"grid_{k:02d}", *g, "value", grid_paths) for k, g in enumerate(grid, 1)]
     return [*out, ("baseline_equal", 0.50, 2, 0.45, 0.85, 0.50, 60, "equal", base_paths)]
 
 
+def _incoming(ents: DataFrame, edges: DataFrame) -> DataFrame:
+    """(window, threshold, incoming): for each entity, in order of its number, its edges as structs (src, rho) by number."""
+    number = lambda c: ents.select(F.col("entity").alias(c), F.col("e").alias(f"{c}_e"))
+    known = edges.join(number("src"), "src").join(number("dst"), "dst").withColumn("rho", F.greatest("rho", F.lit(0.0))).where("rho > 0")
+    every = edges.select("window", "threshold").distinct().crossJoin(ents.select(F.col("e").alias("dst_e")))  # few kinds x entities
+    each = known.groupBy("window", "threshold", "dst_e").agg(F.sort_array(F.collect_list(F.struct(F.col("src_e").alias("src"), "rho"))).alias("from"))
+    each = every.join(each, ["window", "threshold", "dst_e"], "left")
+    none = F.array().cast("array<struct<src:int,rho:double>>")
+    rows = F.sort_array(F.collect_list(F.struct("dst_e", F.coalesce("from", none).alias("from"))))
+    return each.groupBy("window", "threshold").agg(F.transform(rows, lambda x: x["from"]).alias("incoming"))
+
+
+def _struck(r: int, seed: int, jitter: bool) -> Column:
+    """The shock of each entity that round r of a path (sid, path, hit, front, incoming, line, ...) hits, null for the others."""
+    size = F.size("line").cast("long")
+
+    def passed(x: Column, d: Column) -> Column:
+        factor = F.lit(0.75) + 0.5 * unit(seed, F.col("sid"), F.col("path"), F.lit(r + 1), x["src"].cast("long") * size + d) if jitter else F.lit(1.0)
+        v = F.get("front", x["src"]) * F.col("multiplier") * x["rho"] * factor
+        return F.when(v.isNotNull(), F.ln(1.0 - F.least(v, F.col("cap")))).otherwise(F.lit(0.0))
+
+    def struck(source: Column, d: Column) -> Column:
+        left = F.aggregate(source, F.lit(0.0), lambda a, x: a + passed(x, d))
+        return F.when(F.get("hit", d).isNull() & (left < 0), F.least(1.0 - F.exp(left), F.col("cap")))
+
+    return F.when(F.col("rounds") >= r, F.transform("incoming", struck)).otherwise(F.transform("line", lambda x: F.lit(None).cast("double")))
+
+
 def cascade(cells: DataFrame, scenarios: list[tuple], seed: int = SEED, losses: DataFrame | None = None, edges: DataFrame | None = None, jitter: bool = True) -> DataFrame:
     """One row for each scenario: mean, 95th and 99th percentile of the weighted loss, P(loss > 10 %), mean number hit.
 
-    All paths of all scenarios run in one plan: an entity is drawn by weight and a shock from its tail; in each
-    round the entities hit last pass it on along edges to those not hit yet, and several shocks combine to
-    1 - prod(1 - v). Shocks are capped; an entity is hit once.
+    An entity is drawn by weight and a shock from its tail; in each round the entities hit last pass it on along edges
+    to those not hit yet, and several shocks combine to 1 - prod(1 - v). Shocks are capped; an entity is hit once.
+    A path is a row that holds a shock for each entity, so rounds run in place without a shuffle; edges and
+    weights come along as arrays, which grow with the entities, not with the paths. If a path draws an entity without a
+    tail, the query fails.
     """
     spark: SparkSession = cells.sparkSession
     table = spark.createDataFrame([(i, *s) for i, s in enumerate(scenarios)], "sid int, " + SCENARIO)
     losses = seven_day_losses(cells) if losses is None else losses
-    union = lambda frames: reduce(DataFrame.unionByName, frames)
-    tails = union([loss_tails(losses, t, c).withColumns({"tail": F.lit(t), "cap": F.lit(c)}) for t, c in sorted({(s[4], s[5]) for s in scenarios})]).persist()
-    if edges is None:
-        edges = union([latest_edges(cells, "ret", w, th).withColumns({"window": F.lit(w), "threshold": F.lit(th)}) for w, th in sorted({(s[6], s[3]) for s in scenarios})])
-    edges = edges.persist()
-    w = union([weights(cells, k).withColumn("weighting", F.lit(k)) for k in sorted({s[7] for s in scenarios})]).persist()
-    paths = table.withColumn("path", F.explode(F.expr("sequence(1L, paths)"))).withColumn("u", unit(seed, F.col("sid"), F.col("path"), F.lit(0)))
-    # Entities are few: the draw compares a path's number with their cumulative weights.
-    start = paths.join(w, "weighting").where("u >= below AND u < below + w AND w > 0")
-    sizes = tails.groupBy("entity", "tail", "cap").agg(F.max("size").alias("size"))
-    start = start.join(sizes, ["entity", "tail", "cap"]).withColumn("k", draw(seed, F.col("sid"), F.col("path"), F.lit(1)) % F.col("size"))
-    keep = ["sid", "path", "rounds", "multiplier", "cap", "window", "threshold"]
-    hit = start.join(tails.drop("size"), ["entity", "tail", "cap", "k"]).select(*keep, "entity", F.least("loss", "cap").alias("shock")).persist()
-    front = hit  # each round reads all before it, so each is kept
+    edges = latest_edges_of(cells, "ret", sorted({(s[6], s[3]) for s in scenarios})) if edges is None else edges
+    ents = cells.select("entity").distinct().withColumn("e", (F.row_number().over(Window.orderBy("entity")) - 1).cast("int"))
+    line = lambda kind: weights(cells, kind).join(ents, "entity").agg(F.sort_array(F.collect_list(F.struct("e", "w", "below"))).alias("line")).withColumn("weighting", F.lit(kind))
+    lines = reduce(DataFrame.unionByName, [line(k) for k in sorted({s[7] for s in scenarios})])
+    tails = all_tails(losses, sorted({(s[4], s[5]) for s in scenarios})).join(ents, "entity")
+    tails = tails.groupBy("e", "tail", "cap").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "loss"))), lambda x: x["loss"]).alias("losses"))  # at most an entity's periods
+    facts = table.join(lines, "weighting").join(_incoming(ents, edges), ["window", "threshold"], "left")
+    facts = facts.withColumn("incoming", F.coalesce("incoming", F.transform("line", lambda x: F.array().cast("array<struct<src:int,rho:double>>"))))
+    # One row for each scenario until here; the paths are dealt over all tasks.
+    paths = table.select("sid", F.explode(F.expr("sequence(1L, paths)")).alias("path")).repartition(spark.sparkContext.defaultParallelism * 2, "sid", "path")
+    paths = paths.join(F.broadcast(facts), "sid").withColumn("u", unit(seed, F.col("sid"), F.col("path"), F.lit(0)))  # as many rows as scenarios
+    # The last entity whose interval begins at or below the number: the last interval is open.
+    drawn = F.element_at(F.filter("line", lambda x: (x["w"] > 0) & (x["below"] <= F.col("u"))), -1)["e"]
+    paths = paths.withColumn("e", drawn).join(F.broadcast(tails), ["e", "tail", "cap"], "left")  # as many rows as entities x kinds of tails
+    k = draw(seed, F.col("sid"), F.col("path"), F.lit(1)) % F.size("losses")
+    shock = F.when(F.col("losses").isNull(), F.raise_error(F.lit("a path draws an entity without a loss tail"))).otherwise(F.least(F.get("losses", k.cast("int")), F.col("cap")))
+    paths = paths.withColumn("shock", shock)
+    paths = paths.withColumn("hit", F.transform("line", lambda x: F.when(x["e"] == F.col("e"), F.col("shock")))).withColumn("front", F.col("hit"))
     for r in range(1, max(s[2] for s in scenarios) + 1):
-        go = front.where(F.col("rounds") >= r).withColumnRenamed("entity", "src").join(edges, ["window", "threshold", "src"])
-        go = go.join(hit.select("sid", "path", F.col("entity").alias("dst")), ["sid", "path", "dst"], "left_anti")
-        factor = F.lit(0.75) + 0.5 * unit(seed, F.col("sid"), F.col("path"), F.lit(r + 1), F.hash("src", "dst").cast("long") % 1000000 + 1000000) if jitter else F.lit(1.0)
-        v = F.least(F.col("shock") * F.col("multiplier") * F.greatest("rho", F.lit(0.0)) * factor, F.col("cap"))
-        go = go.withColumn("v", v).where("v > 0").groupBy(*keep, F.col("dst").alias("entity"))
-        front = go.agg(F.least(1.0 - F.exp(F.sum(F.ln(1.0 - F.col("v")))), F.col("cap")).alias("shock")).persist()
-        hit = hit.unionByName(front)
-    per = hit.join(table.select("sid", "weighting"), "sid").join(w, ["weighting", "entity"]).groupBy("sid", "path").agg(F.sum(F.col("w") * F.col("shock")).alias("loss"), F.count_if(F.col("shock") > 0).alias("hit"))
+        paths = paths.withColumn("front", _struck(r, seed, jitter)).withColumn("hit", F.zip_with("hit", "front", lambda a, b: F.coalesce(a, b)))
+    loss = F.aggregate(F.zip_with("line", "hit", lambda x, h: x["w"] * F.coalesce(h, F.lit(0.0))), F.lit(0.0), lambda a, x: a + x)
+    per = paths.select("sid", loss.alias("loss"), F.size(F.filter("hit", lambda h: h > 0)).alias("hit"))
     q = F.percentile("loss", F.array(F.lit(0.95), F.lit(0.99)))
     got = per.groupBy("sid").agg(F.avg("loss").alias("mean_loss"), q.alias("q"), F.avg((F.col("loss") > 0.10).cast("double")).alias("probability_over_10pct"), F.avg("hit").alias("mean_hit"))
     return table.join(got, "sid").select("scenario", "multiplier", "rounds", "threshold", "tail", "cap", "window", "weighting", "paths", "mean_loss", F.col("q")[0].alias("p95_loss"), F.col("q")[1].alias("p99_loss"), "probability_over_10pct", "mean_hit")
@@ -133,18 +172,20 @@ def historical_tail(cells: DataFrame, days: int = 7) -> DataFrame:
     return q.crossJoin(n).select(F.explode(each).alias("e")).select("e.*")  # one row each
 
 
+ASSUMPTIONS = [
+    ("initial shock", "one entity, drawn by weight; size drawn from its own upper tail of seven-day losses"),
+    ("tail", "positive losses from the cutoff quantile up, capped"),
+    ("edges", "pair correlations of the last rows at or above the threshold, in both directions"),
+    ("propagation", "shock times multiplier times positive correlation times a uniform factor from 0.75 to 1.25"),
+    ("combination", "several shocks to one entity combine to one minus the product of what each leaves"),
+    ("cap", "no shock is larger than the cap"),
+    ("rounds", "an entity passes its shock on once, in the round after it is hit"),
+    ("weights", "shares of the last known values, or equal shares"),
+    ("randomness", "numbers are counted from seed, scenario, path, round and edge"),
+    ("use", "a stress comparison of parameters, not a forecast"),
+]
+
+
 def assumptions(spark: SparkSession) -> DataFrame:
     """What the scenarios assume, as a table."""
-    rows = [
-        ("initial shock", "one entity, drawn by weight; size drawn from its own upper tail of seven-day losses"),
-        ("tail", "positive losses from the cutoff quantile up, capped"),
-        ("edges", "pair correlations of the last rows at or above the threshold, in both directions"),
-        ("propagation", "shock times multiplier times positive correlation times a uniform factor from 0.75 to 1.25"),
-        ("combination", "several shocks to one entity combine to one minus the product of what each leaves"),
-        ("cap", "no shock is larger than the cap"),
-        ("rounds", "an entity passes its shock on once, in the round after it is hit"),
-        ("weights", "shares of the last known values, or equal shares"),
-        ("randomness", "numbers are counted from seed, scenario, path, round and edge"),
-        ("use", "a stress comparison of parameters, not a forecast"),
-    ]
-    return spark.createDataFrame(rows, "assumption string, detail string")
+    return spark.createDataFrame(ASSUMPTIONS, "assumption string, detail string")

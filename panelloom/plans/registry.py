@@ -551,7 +551,7 @@ def _draw_sql(seed: int, *parts: str) -> str:
     return f"({x} * 48271 % {_P})"
 
 
-_BOOT = f"""(SELECT rep, label, score FROM (SELECT rep, {_draw_sql(_S, "rep", "slot")} % (n - b + 1) + k AS i FROM (SELECT *, unnest(range(0, b)) AS k FROM (SELECT *, unnest(range(0, (n + b - 1) // b)) AS slot FROM (SELECT rep, n, least(14, n) AS b FROM range(1, 201) t(rep), (SELECT count(*) AS n FROM alerts)))) WHERE slot * b + k < n) JOIN (SELECT row_number() OVER (ORDER BY period) - 1 AS i, label, score FROM alerts) USING (i))"""
+_BOOT = f"""(SELECT rep, label, score FROM (SELECT rep, {_draw_sql(_S, "rep", "slot")} % (n - b + 1) + k AS i FROM (SELECT *, unnest(range(0, b)) AS k FROM (SELECT *, unnest(range(0, (n + b - 1) // b)) AS slot FROM (SELECT rep, n, least(14, n) AS b FROM range(1, 1001) t(rep), (SELECT count(*) AS n FROM alerts)))) WHERE slot * b + k < n) JOIN (SELECT row_number() OVER (ORDER BY period) - 1 AS i, label, score FROM alerts) USING (i))"""
 
 
 @query(f"SELECT point_estimate, quantile_cont(average_precision, 0.025) AS ci_lower_95, quantile_cont(average_precision, 0.975) AS ci_upper_95, count(average_precision) AS replications, count(*) - count(average_precision) AS without_events FROM ({rank_sql(_BOOT, 'rep')}), (SELECT average_precision AS point_estimate FROM ({rank_sql('(SELECT 1 AS a, * FROM alerts)', 'a')})) GROUP BY point_estimate", "point_estimate ci_lower_95 ci_upper_95")
@@ -564,17 +564,52 @@ def loss_tails(spark, sf):
     return simulate.loss_tails(simulate.seven_day_losses(_cells(spark, sf)), 0.85, 0.50)
 
 
-@query()
+_CASCADE = "mean_loss p95_loss p99_loss probability_over_10pct mean_hit"
+
+
+def _cascade_sql(rows: list[tuple]) -> str:
+    """The cascades of these scenarios, round by round with joins."""
+    u = lambda *parts: f"({_draw_sql(simulate.SEED, *parts)} / {_P}.0::DOUBLE)"
+    table = ", ".join(f"({i}, '{s[0]}', {s[1]}::DOUBLE, {s[2]}, {s[3]}::DOUBLE, {s[4]}::DOUBLE, {s[5]}::DOUBLE, {s[6]}, '{s[7]}', {s[8]}::BIGINT)" for i, s in enumerate(rows))
+    tails = " UNION ALL ".join(f"SELECT {t}::DOUBLE AS tail, {c}::DOUBLE AS cap, entity, row_number() OVER (PARTITION BY entity ORDER BY loss, period) - 1 AS k, count(*) OVER (PARTITION BY entity) AS size, loss FROM (SELECT entity, period, least(loss, {c}::DOUBLE) AS loss FROM losses WHERE loss > 0) JOIN (SELECT entity, quantile_cont(least(loss, {c}::DOUBLE), {t}) AS low FROM losses WHERE loss > 0 GROUP BY entity) USING (entity) WHERE loss >= low" for t, c in sorted({(s[4], s[5]) for s in rows}))
+    links = " UNION ALL ".join(f"SELECT {w} AS \"window\", {t}::DOUBLE AS threshold, src, dst, rho FROM (SELECT a.entity AS src, b.entity AS dst, CASE WHEN count(*) FILTER (a.ret IS NOT NULL AND b.ret IS NOT NULL) >= {network.needed(w)} THEN covar_samp(a.ret, b.ret) / nullif(stddev_samp(a.ret) FILTER (b.ret IS NOT NULL) * stddev_samp(b.ret) FILTER (a.ret IS NOT NULL), 0) END AS rho FROM cells a JOIN cells b ON a.n = b.n AND a.entity <> b.entity WHERE a.n > (SELECT max(n) FROM cells) - {w} GROUP BY ALL) WHERE rho >= {t}" for w, t in sorted({(s[6], s[3]) for s in rows}))
+    own = "sid, path, multiplier, rounds, cap, \"window\", threshold"
+    fronts = [f"f0 AS MATERIALIZED (SELECT {own}, e, least(loss, cap) AS shock FROM (SELECT p.*, {_draw_sql(simulate.SEED, 'sid', 'path', '1')} % size AS k FROM picked p JOIN (SELECT DISTINCT e, tail, cap, size FROM tl) USING (e, tail, cap)) JOIN tl USING (e, tail, cap, k))"]
+    for r in range(1, max(s[2] for s in rows) + 1):
+        before = " UNION ALL ".join(f"SELECT sid, path, e FROM f{k}" for k in range(r))
+        factor = f"(0.75::DOUBLE + 0.5::DOUBLE * {u('sid', 'path', str(r + 1), '(src * size + dst)')})"
+        fronts.append(
+            f"f{r} AS MATERIALIZED (SELECT {own}, dst AS e, least(1 - exp(sum(ln(1 - v))), cap) AS shock FROM (SELECT {own}, dst, least(shock * multiplier * greatest(rho, 0) * {factor}, cap) AS v FROM (SELECT {own}, e AS src, shock FROM f{r - 1} WHERE rounds >= {r}) CROSS JOIN (SELECT count(*) AS size FROM ents) JOIN lk USING (\"window\", threshold, src) ANTI JOIN (SELECT sid, path, e AS dst FROM ({before})) USING (sid, path, dst)) WHERE v > 0 GROUP BY {own}, dst)"
+        )
+    hits = " UNION ALL ".join(f"SELECT sid, path, e, shock FROM f{k}" for k in range(len(fronts)))
+    return f"""SELECT scenario, multiplier, rounds, threshold, tail, cap, "window", weighting, paths, mean_loss, p95_loss, p99_loss, probability_over_10pct, mean_hit FROM (
+      WITH sc AS (SELECT * FROM (VALUES {table}) AS v(sid, scenario, multiplier, rounds, threshold, tail, cap, "window", weighting, paths)),
+      ents AS MATERIALIZED (SELECT entity, row_number() OVER (ORDER BY entity) - 1 AS e FROM (SELECT DISTINCT entity FROM cells)),
+      shares AS (SELECT weighting, e, v / sum(v) OVER (PARTITION BY weighting) AS w FROM (SELECT 'equal' AS weighting, e, 1.0::DOUBLE AS v FROM ents UNION ALL SELECT 'value', e, coalesce(v, 0) FROM ents LEFT JOIN (SELECT entity, arg_max(value, n) AS v FROM cells WHERE value IS NOT NULL GROUP BY entity) USING (entity))),
+      wt AS MATERIALIZED (SELECT *, coalesce(sum(w) OVER (PARTITION BY weighting ORDER BY e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM shares),
+      tl AS MATERIALIZED (SELECT e, tail, cap, k, size, loss FROM ({tails}) JOIN ents USING (entity)),
+      lk AS MATERIALIZED (SELECT "window", threshold, a.e AS src, b.e AS dst, rho FROM ({links}) l JOIN ents a ON a.entity = l.src JOIN ents b ON b.entity = l.dst),
+      drawn AS (SELECT *, {u("sid", "path", "0")} AS u FROM (SELECT *, unnest(range(1, paths + 1)) AS path FROM sc)),
+      picked AS MATERIALIZED (SELECT d.*, e FROM drawn d JOIN (SELECT sid, path, max(e) AS e FROM drawn JOIN wt USING (weighting) WHERE w > 0 AND below <= u GROUP BY sid, path) USING (sid, path)),
+      {", ".join(fronts)},
+      per AS (SELECT sid, path, sum(w * shock) AS loss, count(*) FILTER (shock > 0) AS hit FROM ({hits}) JOIN (SELECT sid, weighting FROM sc) USING (sid) JOIN wt USING (weighting, e) GROUP BY sid, path)
+      SELECT * FROM sc JOIN (SELECT sid, avg(loss) AS mean_loss, quantile_cont(loss, 0.95) AS p95_loss, quantile_cont(loss, 0.99) AS p99_loss, avg(CASE WHEN loss > 0.10 THEN 1.0::DOUBLE ELSE 0 END) AS probability_over_10pct, avg(hit) AS mean_hit FROM per GROUP BY sid) USING (sid))"""
+
+
+_SCENARIOS = simulate.scenario_rows()
+
+
+@query(_cascade_sql([_SCENARIOS[0], _SCENARIOS[-1]]), "multiplier threshold tail cap " + _CASCADE)
 def cascade_scenario(spark, sf):
     """The baseline scenario and the one with equal weights."""
     rows = simulate.scenario_rows()
-    return simulate.cascade(_cells(spark, sf).persist(), [rows[0], rows[-1]])
+    return simulate.cascade(_cells(spark, sf), [rows[0], rows[-1]])
 
 
-@query()
+@query(_cascade_sql(_SCENARIOS), "multiplier threshold tail cap " + _CASCADE)
 def scenario_grid(spark, sf):
     """All scenarios in one plan."""
-    return simulate.cascade(_cells(spark, sf).persist(), simulate.scenario_rows())
+    return simulate.cascade(_cells(spark, sf), simulate.scenario_rows())
 
 
 @query("SELECT unnest(['loss_p95', 'loss_p99', 'loss_max', 'median_entities_in_tail']) AS quantity, unnest([a, b, c, d]) AS value FROM (SELECT a, b, c, (SELECT median(k) FROM (SELECT period, count(*) FILTER (loss > 0.01) AS k FROM losses SEMI JOIN (SELECT period FROM bl WHERE loss >= a) USING (period) GROUP BY period)) AS d FROM (SELECT quantile_cont(loss, 0.95) AS a, quantile_cont(loss, 0.99) AS b, max(loss) AS c FROM bl))", "value")
@@ -582,7 +617,7 @@ def historical_tail(spark, sf):
     return simulate.historical_tail(_cells(spark, sf))
 
 
-@query()
+@query("SELECT * FROM (VALUES " + ", ".join("('{}', '{}')".format(*(x.replace("'", "''") for x in row)) for row in simulate.ASSUMPTIONS) + ") AS v(assumption, detail)")
 def scenario_assumptions(spark, sf):
     return simulate.assumptions(spark)
 
