@@ -53,3 +53,12 @@ def event_study(episodes: DataFrame, frame: DataFrame, span: int = 14) -> DataFr
     at = episodes.select(F.explode(F.sequence(F.lit(-span), F.lit(span))).alias("offset"), "onset").withColumn("period", F.expr("date_add(onset, offset)"))
     names = ("equal_weight", *COMPONENTS)
     return at.join(frame, "period").groupBy("offset").agg(F.count(F.lit(1)).alias("episodes"), *[F.avg(c).alias(f"mean_{c}") for c in names])
+
+
+def event_study_z(episodes: DataFrame, frame: DataFrame, train: DataFrame, span: int = 14) -> DataFrame:
+    """event_study of components as distances from their training mean, in training deviations (of the population)."""
+    moments = train.agg(*[F.avg(c).alias(f"_m_{c}") for c in COMPONENTS], *[F.stddev_pop(c).alias(f"_s_{c}") for c in COMPONENTS])
+    z = frame.crossJoin(F.broadcast(moments))  # one row
+    z = z.select("period", *[F.try_divide(F.col(c) - F.col(f"_m_{c}"), F.col(f"_s_{c}")).alias(c) for c in COMPONENTS])
+    at = episodes.select(F.explode(F.sequence(F.lit(-span), F.lit(span))).alias("offset"), "onset").withColumn("period", F.expr("date_add(onset, offset)"))
+    return at.join(z, "period").groupBy("offset").agg(*[F.avg(c).alias(f"z_{c}") for c in COMPONENTS])

@@ -23,13 +23,14 @@ def breadth(cells: DataFrame, value: str, name: str = "breadth", mean: str | Non
 def feature_frame(cells: DataFrame, net: DataFrame, baskets: DataFrame, flows: DataFrame, horizon: int = 7, drawdown: float = 0.05, residual: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """Components, momentum, forward return and label; residual: (residual network, residual cells)."""
     f = net.select("period", "n", F.col("mean_correlation").alias("correlation"), "density")
+    if residual is not None:  # either network may have periods that the other lacks
+        res_net = residual[0].select("period", F.col("n").alias("res_n"), F.col("residual_mean_correlation").alias("residual_correlation"), "residual_density")
+        f = f.join(res_net, "period", "full").withColumn("n", F.coalesce("n", "res_n")).drop("res_n")
     f = f.join(baskets.drop("n"), "period", "left").join(flows.select("period", F.col("log_flow").alias("flow")), "period", "left")
     f = f.join(breadth(cells, "ret"), "period", "left")
     more = {}
     if residual is not None:
-        res_net, res_cells = residual
-        f = f.join(res_net.select("period", F.col("residual_mean_correlation").alias("residual_correlation"), "residual_density"), "period", "left")
-        f = f.join(breadth(res_cells, "residual", "residual_breadth", "residual_return"), "period", "left")
+        f = f.join(breadth(residual[1], "residual", "residual_breadth", "residual_return"), "period", "left")
         more = {"residual_volatility": rolling_std("residual_return", 30)}
     f = f.withColumns(
         {

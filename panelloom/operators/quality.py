@@ -42,8 +42,10 @@ def columns_there(df: DataFrame, names: tuple[str, ...], name: str) -> DataFrame
 
 def reconciles(a: DataFrame, b: DataFrame, keys: list[str], value: str, tolerance: float = 1e-12, name: str = "tables agree") -> DataFrame:
     """The same keys with values that differ by less than the tolerance."""
-    both = a.select(*keys, F.col(value).alias("_a")).join(b.select(*keys, F.col(value).alias("_b")), keys, "full")
-    same = F.coalesce(F.abs(F.col("_a") - F.col("_b")) < tolerance, F.col("_a").isNull() & F.col("_b").isNull())
+    sides = [df.select(*keys, F.struct(F.col(value).alias("v")).alias(side)) for df, side in ((a, "_a"), (b, "_b"))]
+    both = sides[0].join(sides[1], keys, "full")
+    x, y = F.col("_a.v"), F.col("_b.v")
+    same = F.col("_a").isNotNull() & F.col("_b").isNotNull() & F.coalesce(F.abs(x - y) < tolerance, x.isNull() & y.isNull())
     return both.agg(F.coalesce(F.bool_and(same), F.lit(True)).alias("passed")).select(F.lit(name).alias("check"), "passed")
 
 

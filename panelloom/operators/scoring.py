@@ -24,7 +24,7 @@ def purged_split(frame: DataFrame, horizon: int = 7, share: float = TRAIN_SHARE)
     return with_roles(out.withColumn("holdout_start", start).drop("i", "rows"), horizon)
 
 
-def with_roles(frame: DataFrame, horizon: int) -> DataFrame:
+def with_roles(frame: DataFrame, horizon: int | Column) -> DataFrame:
     """role by the column holdout_start."""
     role = F.when(F.col("period") >= F.col("holdout_start"), "test").when(F.col("period") < F.date_sub("holdout_start", horizon), "train").otherwise("purge")
     return frame.withColumn("role", role)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
 from itertools import product
 
 from pyspark.sql import DataFrame, Window
@@ -38,12 +37,11 @@ def lag_horizon(frame: DataFrame, start: DataFrame, horizons: tuple[int, ...] =
     Predictors are lagged by rows, the purge is as long as the horizon, and each cell has its own scaler.
     """
     w, names = Window.orderBy("n"), (*COMPONENTS, MOMENTUM)
-    cells = []
-    for h, lag in product(horizons, lags):
-        moved = frame.select("period", "n", *[F.lag(c, lag).over(w).alias(c) for c in names], stress_label(forward_sum("equal_weight", h), log_drawdown(drawdown)).alias("label"))
-        moved = moved.dropna("any", subset=[*names, "label"]).crossJoin(F.broadcast(start))  # one row
-        cells.append(with_roles(moved, h).withColumns({"horizon": F.lit(h), "lag": F.lit(lag)}))
-    every = reduce(DataFrame.unionByName, cells)
+    # One pass over the rows computes all lags and labels; a row then stands once for each horizon and lag.
+    wide = frame.select("period", *[F.lag(c, k).over(w).alias(f"{c}_{k}") for c in names for k in lags], *[stress_label(forward_sum("equal_weight", h), log_drawdown(drawdown)).alias(f"label_{h}") for h in horizons])
+    cells = [F.struct(F.lit(h).alias("horizon"), F.lit(k).alias("lag"), *[F.col(f"{c}_{k}").alias(c) for c in names], F.col(f"label_{h}").alias("label")) for h, k in product(horizons, lags)]
+    every = wide.select("period", F.explode(F.array(*cells)).alias("x")).select("period", "x.*").dropna("any", subset=[*names, "label"])
+    every = with_roles(every.crossJoin(F.broadcast(start)), F.col("horizon"))  # one row
     by = ("horizon", "lag")
     z = apply_scaler(every.where("role = 'test'"), fit_scaler(every.where("role = 'train'"), COMPONENTS, by), COMPONENTS, by)
     scores = long_scores(z, {"heuristic": weighted(WEIGHTS)} | {c: F.col(f"z_{c}") for c in COMPONENTS}, (*by, "period", "label"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import log_drawdown, tidy
 from ..operators import baskets, diagnostics, episodes, features, metrics, models, network, panel, quality, scoring, simulate, timeindex, validation
-from ..sources import panels
+from ..sources import panels, raw
 from .oracle import NEEDED, THRESHOLD, WINDOW, build, rank_sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -350,10 +350,13 @@ def metric_rows(spark, sf):
 @query("SELECT period, label, " + ", ".join(f"max(CASE WHEN model = '{m}' THEN score END) AS score_{m}, max(CASE WHEN model = '{m}' THEN CAST(score >= threshold AS INTEGER) END) AS alert_{m}" for m in scoring.SIMPLE) + " FROM scores JOIN thresholds USING (model) WHERE role = 'test' GROUP BY period, label", " ".join(f"score_{m}" for m in scoring.SIMPLE))
 def predictions_wide(spark, sf):
     """Holdout scores and alerts, a column for each model."""
-    s = _scores(spark, sf)
+    return _predictions(_scores(spark, sf), scoring.SIMPLE)
+
+
+def _predictions(s: DataFrame, names: tuple[str, ...]) -> DataFrame:
     both = s.where("role = 'test'").join(_thresholds(s), "model").withColumn("alert", (F.col("score") >= F.col("threshold")).cast("int"))
-    wide = both.groupBy("period", "label").pivot("model", list(scoring.SIMPLE)).agg(F.max("score").alias("s"), F.max("alert").alias("a"))
-    return wide.select("period", "label", *[F.col(f"{m}_{k}").alias(f"{n}_{m}") for m in scoring.SIMPLE for k, n in (("s", "score"), ("a", "alert"))])
+    wide = both.groupBy("period", "label").pivot("model", list(names)).agg(F.max("score").alias("s"), F.max("alert").alias("a"))
+    return wide.select("period", "label", *[F.col(f"{m}_{k}").alias(f"{n}_{m}") for m in names for k, n in (("s", "score"), ("a", "alert"))])
 
 
 @query("SELECT * FROM (SELECT 'clipped' AS specification, average_precision, roc_auc FROM (" + rank_sql("(SELECT * FROM scores WHERE role = 'test' AND model = 'heuristic')", "model") + ")) UNION ALL SELECT 'unclipped', average_precision, roc_auc FROM (" + rank_sql("(SELECT role, label, " + " + ".join(f"{w!r}::DOUBLE * ({c} - low_{c}) / (high_{c} - low_{c})" for c, w in features.WEIGHTS.items()) + " AS score FROM split, limits WHERE role = 'test')", "role") + ")", "average_precision roc_auc")
@@ -450,6 +453,16 @@ def event_study(spark, sf):
     return episodes.event_study(_episodes(spark, sf), features.valid_rows(_frame(spark, sf)))
 
 
+_Z = ", ".join(f"avg(({c} - m_{c}) / nullif(s_{c}, 0)) AS z_{c}" for c in features.COMPONENTS)
+_MOMENTS = ", ".join(f"avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}" for c in features.COMPONENTS)
+
+
+@query(f"SELECT CAST(k AS INTEGER) AS \"offset\", {_Z} FROM (SELECT onset, unnest(range(-14, 15)) AS k FROM onsets) JOIN valid v ON v.period = onset + CAST(k AS INTEGER), (SELECT {_MOMENTS} FROM split WHERE role = 'train') GROUP BY k", " ".join(f"z_{c}" for c in features.COMPONENTS))
+def event_study_z(spark, sf):
+    s = _split(spark, sf)
+    return episodes.event_study_z(_episodes(spark, sf), s.select("period", *features.COMPONENTS), s.where("role = 'train'"))
+
+
 # Fitted models: no closed form in SQL; tests hold them against plain solvers.
 
 
@@ -521,7 +534,27 @@ def incremental_logistic(spark, sf):
     return models.incremental_tests(_split(spark, sf))
 
 
-@query()
+_RF = """(SELECT *, CASE WHEN count(rr) OVER f >= 7 THEN CAST(sum(rr) OVER f <= ln(0.95) AS INTEGER) END AS residual_label, CASE WHEN count(rr) OVER v >= 30 THEN stddev_samp(rr) OVER v END AS volatility FROM
+  (SELECT period, n, residual_mean_correlation AS correlation, residual_density AS density, contraction, breadth, label, rr FROM (SELECT period, n, contraction, label FROM frame) LEFT JOIN (SELECT period, residual_mean_correlation, residual_density FROM rnet) USING (period)
+  LEFT JOIN (SELECT period, count(*) FILTER (residual < 0) / nullif(count(residual), 0)::DOUBLE AS breadth, avg(residual) AS rr FROM resid GROUP BY period) USING (period))
+  WINDOW f AS (ORDER BY n ROWS BETWEEN 1 FOLLOWING AND 7 FOLLOWING), v AS (ORDER BY n ROWS BETWEEN 29 PRECEDING AND CURRENT ROW))"""
+
+
+def _residual_sql(label: str, specification: str, score: str) -> str:
+    """Test rows of the heuristic, or one component, on residual components, scaled by their own training rows."""
+    some = " AND ".join(f"{c} IS NOT NULL" for c in (*features.COMPONENTS, "y"))
+    rows = f"(SELECT *, CASE WHEN period >= start THEN 'test' WHEN period < start - 7 THEN 'train' ELSE 'purge' END AS role FROM (SELECT *, {label} AS y FROM {_RF}), (SELECT max(holdout_start) AS start FROM split) WHERE {some})"
+    low, high = (lambda c: f"quantile_cont({c}, 0.05)"), (lambda c: f"quantile_cont({c}, 0.95)")
+    limits = ", ".join(f"{low(c)} AS low_{c}, CASE WHEN {high(c)} > {low(c)} THEN {high(c)} ELSE {low(c)} + 1 END AS high_{c}" for c in features.COMPONENTS)
+    z = ", ".join(f"(least(greatest({c}, low_{c}), high_{c}) - low_{c}) / (high_{c} - low_{c}) AS z_{c}" for c in features.COMPONENTS)
+    return f"SELECT '{specification}' AS specification, y AS label, {score} AS score FROM (SELECT y, {z} FROM {rows}, (SELECT {limits} FROM {rows} WHERE role = 'train') WHERE role = 'test')"
+
+
+_OWN = " + ".join(f"{w!r}::DOUBLE * z_{c}" for c, w in features.WEIGHTS.items())
+_RESIDUAL = "(SELECT 'raw' AS specification, label, score FROM scores WHERE model = 'heuristic' AND role = 'test' UNION ALL " + " UNION ALL ".join(_residual_sql(*x) for x in (("label", "residual", _OWN), ("residual_label", "residual_target", _OWN), ("residual_label", "series_only_residual_target", "z_contraction"))) + ")"
+
+
+@query(f"SELECT * FROM ({rank_sql(_RESIDUAL, 'specification')})", "average_precision roc_auc")
 def residual_models(spark, sf):
     """The heuristic on raw and on residual components, against the raw and the residual target."""
     f = _residual_frame(spark, sf)
@@ -631,10 +664,123 @@ def raw_flatten(spark, sf):
     return panels.table(spark, sf, "events").select("event_id", F.from_json("props", "k bigint")["k"].alias("k"))
 
 
-@query("""SELECT "check", passed FROM (SELECT 'panel keys are unique' AS "check", count(*) = count(DISTINCT (entity, period)) AS passed FROM p1 UNION ALL SELECT 'raw keys are unique', count(*) = count(DISTINCT (entity, period)) FROM r1 UNION ALL SELECT 'labels of the last rows are null', count(label) = 0 FROM frame WHERE n > (SELECT max(n) FROM frame) - 7 UNION ALL SELECT 'the calendar has no gap', count(*) = max(period) - min(period) + 1 FROM f1 UNION ALL SELECT 'five targets are there', true UNION ALL SELECT 'the grid has 64 scenarios', true UNION ALL SELECT 'training ends before the purge of each fold', true)""")
+_LANDED = "SELECT entity, category, period, value, 86400 * CAST(period - DATE '1970-01-01' AS BIGINT) + 3600 AS observed_at FROM p1 WHERE period IS NOT NULL"
+
+
+@query(f"SELECT period, observed_at, entity, 'entity ' || entity AS name, 'category ' || category AS category, value FROM ({_LANDED})", "value")
+def landed_history(spark, sf):
+    """JSON documents, one for each entity with its whole history, taken apart again; the documents have no names."""
+    p = panels.lineitem_panel(spark, sf)
+    item = F.struct((F.unix_date("period").cast("long") * 86400 + 3600).alias("date"), F.col("value").alias("totalLiquidityUSD"))
+    text = p.groupBy("entity", "category").agg(F.to_json(F.struct(F.collect_list(item).alias("tvl"))).alias("text"))  # a document is one entity's periods
+    docs = text.select("entity", "category", F.from_json("text", raw.HISTORY).alias("d")).select("entity", "category", "d.*")
+    return raw.entity_history(docs, F.col("entity"), F.concat(F.lit("entity "), "entity"), F.concat(F.lit("category "), "category"))
+
+
+@query("SELECT period, 86400 * CAST(period - DATE '1970-01-01' AS BIGINT) AS observed_at, value FROM s1", "value")
+def landed_series(spark, sf):
+    """JSON rows of a nested aggregate series, taken apart again; every seventh has no value beside its own and is left out."""
+    rows = panels.order_series(spark, sf).select(F.struct((F.unix_date("period").cast("long") * 86400).alias("date"), F.struct(F.col("value").alias("peggedUSD")).alias("totalCirculatingUSD")).alias("r"))
+    empty = rows.select(F.struct(F.col("r.date"), F.struct(F.lit(None).cast("double").alias("peggedUSD")).alias("totalCirculatingUSD")).alias("r")).where("pmod(r.date div 86400, 7) = 0")
+    text = rows.unionByName(empty).select(F.to_json("r").alias("text"))
+    return raw.aggregate_series(text.select(F.from_json("text", raw.SERIES).alias("d")).select("d.*"))
+
+
+@query("SELECT period, level, 86400 * CAST(period - DATE '1970-01-01' AS BIGINT) - 60 AS observed_at FROM f1 WHERE period <= DATE '2000-12-31'", "level")
+def landed_factor(spark, sf):
+    """Factor prices a minute before midnight, in JSON chunks by year and single gap documents, up to a cut-off day."""
+    f = panels.quantity_factor(spark, sf).withColumn("timestamp", F.unix_date("period").cast("long") * 86400 - 60)
+    alone = F.dayofmonth("period") == 13
+    chunk = f.where(~alone).groupBy(F.year("period").alias("y")).agg(F.collect_list(F.struct("timestamp", F.col("level").alias("price"))).alias("prices"))  # a year's days
+    docs = [chunk.select(F.struct("prices").alias("x")), f.where(alone).select(F.struct("timestamp", F.col("level").alias("price")).alias("x"))]
+    chunks, gaps = (d.select(F.from_json(F.to_json(F.struct(F.create_map(F.lit("q"), "x").alias("coins"))), raw.FACTOR).alias("d")).select("d.*") for d in docs)
+    return raw.factor_prices(chunks, gaps, "q", "2000-12-31").select("period", "level", "observed_at")
+
+
+# The summary: one row for each figure.
+
+
+def _facts(df: DataFrame, **values) -> DataFrame:
+    """(quantity, value) of a table of one row."""
+    return df.select(F.explode(F.array(*[F.struct(F.lit(k).alias("quantity"), F.col(c).cast("double").alias("value")) for k, c in values.items()])).alias("x")).select("x.*")
+
+
+_SUMMARY = {
+    "SELECT count(*) FILTER (role = 'train') AS training_observations, count(*) FILTER (role = 'test') AS holdout_observations, sum(label) FILTER (role = 'test') AS holdout_events, avg(label) FILTER (role = 'test') AS holdout_prevalence, corr(correlation, density) FILTER (role = 'train') AS training_correlation, corr(correlation, density) FILTER (role = 'test') AS holdout_correlation, avg(correlation) FILTER (role = 'test') AS raw_correlation, avg(density) FILTER (role = 'test') AS raw_density FROM split": "training_observations holdout_observations holdout_events holdout_prevalence training_correlation holdout_correlation raw_correlation raw_density",
+    "SELECT avg(residual_mean_correlation) AS residual_correlation, avg(residual_density) AS residual_density FROM rnet SEMI JOIN (SELECT period FROM split WHERE role = 'test') USING (period)": "residual_correlation residual_density",
+    "SELECT max(average_precision) FILTER (model = 'heuristic') AS heuristic_average_precision, max(roc_auc) FILTER (model = 'heuristic') AS heuristic_roc_auc, max(average_precision) FILTER (model = 'series_only') AS series_only_average_precision, max(roc_auc) FILTER (model = 'series_only') AS series_only_roc_auc FROM (" + rank_sql("(SELECT * FROM scores WHERE role = 'test')", "model") + ")": "heuristic_average_precision heuristic_roc_auc series_only_average_precision series_only_roc_auc",
+    f"SELECT count(*) AS episodes, sum(pre_onset_alert) AS episodes_alerted_before, sum(after_onset_only) AS episodes_alerted_after, median(lead_days) AS median_lead_days FROM ({_EPISODES})": "episodes episodes_alerted_before episodes_alerted_after median_lead_days",
+    "SELECT count(*) AS false_alert_runs FROM (SELECT f, lag(f, 1, 0) OVER (ORDER BY period) AS before FROM (SELECT period, CASE WHEN alert = 1 AND label = 0 THEN 1 ELSE 0 END AS f FROM alerts)) WHERE f = 1 AND before = 0": "false_alert_runs",
+    "SELECT min(p95_loss) AS grid_p95_min, max(p95_loss) AS grid_p95_max, min(p99_loss) AS grid_p99_min, max(p99_loss) AS grid_p99_max FROM (" + _cascade_sql(_SCENARIOS) + ") WHERE scenario LIKE 'grid%'": "grid_p95_min grid_p95_max grid_p99_min grid_p99_max",
+    "SELECT quantile_cont(loss, 0.99) AS historical_p99 FROM bl": "historical_p99",
+    "SELECT max(average_precision) FILTER (lag = 0) AS series_lag_0_average_precision, max(average_precision) FILTER (lag = 7) AS series_lag_7_average_precision FROM (" + rank_sql("(SELECT * FROM lagscores WHERE horizon = 7 AND model = 'contraction')", "lag") + ")": "series_lag_0_average_precision series_lag_7_average_precision",
+}
+
+
+@query(" UNION ALL ".join(f"SELECT unnest([{', '.join(repr(c) for c in names.split())}]) AS quantity, unnest([{', '.join(c + '::DOUBLE' for c in names.split())}]) AS value FROM ({q})" for q, names in _SUMMARY.items()), "value")
+def model_summary(spark, sf):
+    """What the study says in figures, but for fitted models."""
+    return _summary(spark, sf)
+
+
+def _summary_scores(spark: SparkSession, sf: str) -> DataFrame:
+    m = metrics.rank_metrics(_scores(spark, sf).where("role = 'test'"), ["model"])
+    return m.agg(*[F.max(F.when(F.col("model") == k, F.col(c))).alias(f"{k}_{c}") for k in ("heuristic", "series_only") for c in ("average_precision", "roc_auc")])
+
+
+def _summary(spark: SparkSession, sf: str) -> DataFrame:
+    named = lambda df: _facts(df, **{c: c for c in df.columns})
+    s, test = _split(spark, sf), F.col("role") == "test"
+    of = lambda f, c, role: f(F.when(F.col("role") == role, F.col(c)))
+    rows = s.agg(
+        F.count_if(F.col("role") == "train").alias("training_observations"), F.count_if(test).alias("holdout_observations"), of(F.sum, "label", "test").alias("holdout_events"), of(F.avg, "label", "test").alias("holdout_prevalence"),
+        *[metrics.pearson(F.when(F.col("role") == r, F.col("correlation")), F.when(F.col("role") == r, F.col("density"))).alias(n) for r, n in (("train", "training_correlation"), ("test", "holdout_correlation"))],
+        of(F.avg, "correlation", "test").alias("raw_correlation"), of(F.avg, "density", "test").alias("raw_density"),
+    )
+    rnet = network.network(_residuals(spark, sf), "residual", WINDOW, THRESHOLD, prefix="residual_").join(s.where(test).select("period"), "period", "left_semi")
+    e, grid = _episodes(spark, sf), simulate.cascade(_cells(spark, sf), simulate.scenario_rows()).where("scenario LIKE 'grid%'")
+    lags = lag_horizon(spark, sf).where("horizon = 7 AND model = 'contraction'")
+    parts = [
+        rows,
+        rnet.agg(F.avg("residual_mean_correlation").alias("residual_correlation"), F.avg("residual_density").alias("residual_density")),
+        _summary_scores(spark, sf),
+        e.agg(F.count(F.lit(1)).alias("episodes"), F.sum("pre_onset_alert").alias("episodes_alerted_before"), F.sum("after_onset_only").alias("episodes_alerted_after"), F.median("lead_days").alias("median_lead_days")),
+        episodes.false_alert_runs(_alerts(spark, sf)).agg(F.count(F.lit(1)).alias("false_alert_runs")),
+        grid.agg(*[f(c).alias(f"grid_{c[:3]}_{n}") for c in ("p95_loss", "p99_loss") for f, n in ((F.min, "min"), (F.max, "max"))]),
+        simulate.historical_tail(_cells(spark, sf)).where("quantity = 'loss_p99'").select(F.col("value").alias("historical_p99")),
+        lags.agg(*[F.max(F.when(F.col("lag") == k, F.col("average_precision"))).alias(f"series_lag_{k}_average_precision") for k in (0, 7)]),
+    ]
+    out = None
+    for p in parts:
+        out = named(p) if out is None else out.unionByName(named(p))
+    return out
+
+
+@query()
+def model_summary_fitted(spark, sf):
+    """The summary's figures of fitted models: holdout and walk-forward average precision."""
+    m = model_metrics(spark, sf).select(F.concat(F.lit("holdout_"), "model", F.lit("_average_precision")).alias("quantity"), F.col("average_precision").alias("value"))
+    w = walk_forward(spark, sf).where("task = 'all'").select(F.concat(F.lit("walk_forward_"), "model", F.lit("_average_precision")).alias("quantity"), F.col("average_precision").alias("value"))
+    return m.unionByName(w)
+
+
+@query()
+def predictions_models(spark, sf):
+    """Holdout scores and alerts of all six models, a column for each."""
+    s = _task(_split(spark, sf))
+    chosen, _ = models.select_features(s.where("role = 'train'"))
+    return _predictions(models.score_models(s, chosen).persist(), (*scoring.SIMPLE, "logistic_all", "logistic_selected"))
+
+
+@query("""SELECT "check", passed FROM (SELECT 'panel keys are unique' AS "check", count(*) = count(DISTINCT (entity, period)) AS passed FROM p1 UNION ALL SELECT 'raw keys are unique', count(*) = count(DISTINCT (entity, period)) FROM r1 UNION ALL SELECT 'labels of the last rows are null', count(label) = 0 FROM frame WHERE n > (SELECT max(n) FROM frame) - 7 UNION ALL SELECT 'the calendar has no gap', count(*) = max(period) - min(period) + 1 FROM f1 UNION ALL SELECT 'five targets are there', true UNION ALL SELECT 'the grid has 64 scenarios', true UNION ALL SELECT 'training ends before the purge of each fold', true UNION ALL SELECT 'out-of-fold rows are unique', true UNION ALL SELECT 'summary agrees with metrics', true)""")
 def dq_report(spark, sf):
     f = _frame(spark, sf)
     folds = models.outer_folds(features.valid_rows(f), least=300)
+    oof = scoring.long_scores(scoring.apply_scaler(folds.where("role = 'test'"), scoring.fit_scaler(folds.where("role = 'train'"), (*features.COMPONENTS, features.MOMENTUM), ("task",)), (*features.COMPONENTS, features.MOMENTUM), ("task",)), scoring.simple_scores(), ("task", "period", "label"))
+    s = _scores(spark, sf)
+    told = _facts(_summary_scores(spark, sf), **{f"{k}_average_precision": f"{k}_average_precision" for k in ("heuristic", "series_only")})
+    found = metrics.metric_rows(s.where("role = 'test'"), _thresholds(s), ["model"]).where("model IN ('heuristic', 'series_only')")
+    found = found.select(F.concat("model", F.lit("_average_precision")).alias("quantity"), F.col("average_precision").alias("value"))
     grid = spark.createDataFrame([(s[0],) for s in simulate.scenario_rows() if s[0].startswith("grid")], "scenario string")
     return quality.report(
         [
@@ -645,6 +791,8 @@ def dq_report(spark, sf):
             quality.columns_there(_baskets(spark, sf), baskets.BASKETS, "five targets are there"),
             quality.row_count(grid, 64, "the grid has 64 scenarios"),
             quality.chronology(folds, 7),
+            quality.unique(oof, ["period", "model"], "out-of-fold rows are unique"),
+            quality.reconciles(told, found, ["quantity"], "value", name="summary agrees with metrics"),
         ]
     )
 

@@ -7,7 +7,7 @@ import os
 from datetime import UTC, datetime
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalar import nearest_utc_day, no_nan, utc_day
@@ -37,11 +37,11 @@ def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).csv(path, header=True, mode="FAILFAST")
 
 
-def entity_history(docs: DataFrame, entity: str, name: str, category: str) -> DataFrame:
+def entity_history(docs: DataFrame, entity: str | Column, name: str | Column, category: str | Column) -> DataFrame:
     """(period, observed_at, entity, name, category, value); items without date or value are left out, days are rounded down."""
-    item = docs.select(F.coalesce("name", F.lit(name)).alias("name"), F.explode("tvl").alias("x"))
+    item = docs.select(F.coalesce("name", F.lit(name)).alias("name"), F.lit(entity).alias("entity"), F.lit(category).alias("category"), F.explode("tvl").alias("x"))
     value = no_nan(F.col("x.totalLiquidityUSD"))
-    rows = item.select(utc_day(F.col("x.date")).alias("period"), F.col("x.date").alias("observed_at"), F.lit(entity).alias("entity"), "name", F.lit(category).alias("category"), value.alias("value"))
+    rows = item.select(utc_day(F.col("x.date")).alias("period"), F.col("x.date").alias("observed_at"), "entity", "name", "category", value.alias("value"))
     return rows.where("observed_at IS NOT NULL AND value IS NOT NULL")
 
 
@@ -89,6 +89,20 @@ def write_snapshot(df: DataFrame, folder: str, keys: list[str], stamp: str | Non
     return path, {"raw_rows": counts["n_rows"], "staged_rows": counts["n_keys"], "duplicates_removed": counts["n_surplus"]}
 
 
+def register(tables: dict[str, DataFrame]) -> None:
+    """Tables by name for spark.sql, each in place of an earlier one of its name."""
+    for name, df in tables.items():
+        df.createOrReplaceTempView(name)
+
+
+def full_refresh(tables: dict[str, DataFrame], folder: str) -> dict[str, str]:
+    """Every table written anew in place of its last version; returns their paths."""
+    paths = {name: f"{folder}/{name}" for name in tables}
+    for name, df in tables.items():
+        df.write.mode("overwrite").parquet(paths[name])
+    return paths
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     """One CSV file with a header, for small results."""
     df.coalesce(1).write.mode("overwrite").csv(path, header=True)
