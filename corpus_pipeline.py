@@ -3,6 +3,11 @@
 Each stage calls one operator of panelloom.llm, takes what its predecessor kept, and returns the columns of
 `documents`; the last returns the encoded texts. run() writes each stage's rows as Parquet in the shared
 folder and reads them again for the next.
+
+Defined cases, in every stage: a null text counts as empty (the quality rules reject it, as they do any text of under 20
+words); texts of any length go through whole; null ids and ids on several rows are allowed, rows being told apart by their
+texts; of rows that repeat an id and its text one stays; ties go to the smaller id, null last; an empty table gives an
+empty one, with the same columns; further columns pass through to the last stage, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,7 +30,11 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document of the smallest id stays."""
+    """Of each group of near copies the document of the smallest id stays.
+
+    SimHash links under covering masks, and MinHash bands for the pairs that no feasible radius reaches; the
+    five-word sets of both texts decide.
+    """
     return shingle_neardup.keep_one(docs, least=LEAST)
 
 
@@ -35,7 +44,7 @@ def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents repeat, or stay out, as their source's target weight asks."""
+    """Documents repeat, or stay out, as their source's target weight asks; rows are shuffled within shards."""
     return mixing.mix(docs)
 
 
@@ -46,7 +55,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("quality rules", quality),
-    ("shingle near-dedup", near_dedup),
+    ("simhash near-dedup", near_dedup),
     ("pii", pii),
     ("mix sources", mix),
     ("sentencepiece", encode),
