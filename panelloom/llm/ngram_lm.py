@@ -51,7 +51,7 @@ CHUNK = 1_500_000  # tokens that a worker counts or looks up at once
 PIECE_CHARS = 4_000_000  # characters of corpus for each piece
 FAN = 8192  # pieces that a task's blocks go to in one step
 MOST = 16  # words of a gram
-OPEN = 1024  # files that a worker maps at once
+OPEN = 96  # files that a worker maps at once
 BUCKET = 16
 
 
