@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -49,10 +49,39 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+_MADE: list[list[str]] = []  # the tables of each scratch() that is open
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """Within, tables of materialise() are for now only: at the end they go, but for those that the function given makes.
+
+    What is returned must rest on kept tables alone.
+    """
+    kept: list[str] = []
+    _MADE.append([])
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        out = materialise(df, name)
+        kept.append(_MADE[-1].pop())
+        return out
+
+    try:
+        yield keep
+    finally:
+        for path in _MADE.pop():
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        if _MADE:  # an outer one decides about what is kept here
+            _MADE[-1] += kept
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it again: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = new_path(spark, name)
+    if _MADE:
+        _MADE[-1].append(path)
     with _freeing_shuffles(spark):
         df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

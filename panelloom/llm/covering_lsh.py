@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, map_texts, materialise, text_of
+from .common import documents, map_texts, materialise, scratch, text_of
 from .components import connected_components
 
 BITS = 64
@@ -134,14 +134,20 @@ def join_components(fps: DataFrame, nodes: DataFrame, linked: DataFrame, id_col:
 
 def keep_one(docs: DataFrame, width: int = 3, radius: int = 2, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with one document of each component, that of the smallest id."""
-    return keep_least(docs, near_duplicates(docs, width, radius, id_col, text), id_col, text)
+    with scratch(docs.sparkSession) as keep:
+        chosen = least_of(near_duplicates(docs, width, radius, id_col, text), keep, id_col)
+    return keep_chosen(docs, chosen, id_col, text)
 
 
-def keep_least(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with one document of each class (id, k_text, root): of the smallest id, null last, then the smallest hash."""
+def least_of(classes: DataFrame, keep, id_col: str = "doc_id") -> DataFrame:
+    """(id, k_text, n) of one document of each class (id, k_text, root): of the smallest id, null last, then the smallest hash; n rows have both."""
     rows = classes.groupBy("root", F.col(id_col).alias("id"), "k_text").agg(F.count(F.lit(1)).alias("n"))
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "k_text", "n"))
-    chosen = materialise(rows.groupBy("root").agg(first.alias("x")).select("x.id", "x.k_text", "x.n"), "chosen")
+    return keep(rows.groupBy("root").agg(first.alias("x")).select("x.id", "x.k_text", "x.n"), "chosen")
+
+
+def keep_chosen(docs: DataFrame, chosen: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of docs for each row of least_of()."""
     # The ids grow with the corpus, so they are never broadcast, however few they are here.
     own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").alias("own_id"), F.xxhash64(text_of(text)).alias("own_text"))
     same = (F.col("own_text") == F.col("k_text")) & F.col("own_id").eqNullSafe(F.col("id"))

@@ -220,7 +220,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str
     size = docs.agg(F.sum(F.octet_length(F.col(f"`{text}`")))).first()[0] or 0
     parts = max(1, -(-int(BUDGET * size) // (shards * TASK_BYTES)))  # of a shard
     out = out.select("row", F.explode("m_draws").alias("d")).select("row", F.col("d.shard").alias("shard"), F.pmod(F.xxhash64(F.lit(seed + 1), "d.pos"), F.lit(parts)).alias("part"), F.col("d.pos").alias("pos"))
-    tasks = max(1, min(shards * parts, -(-int(BUDGET * size) // TASK_BYTES)))
+    tasks = max(1, min(shards * parts, max(-(-int(BUDGET * size) // TASK_BYTES), 4 * docs.sparkSession.sparkContext.defaultParallelism)))
     out = out.repartition(tasks, "shard", "part").sortWithinPartitions("shard", "part", "pos")
     return out.select(*[F.col("row").getField(c).alias(c) for c in columns], *([F.col("shard").alias("m_shard"), F.col("pos").alias("m_pos")] if places else []))
 

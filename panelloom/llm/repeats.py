@@ -210,9 +210,9 @@ def by_windows(windows: DataFrame, span: int) -> DataFrame:
     return again.select(*KEY, F.col("start").alias("a"), (F.col("start") + span).alias("b"))
 
 
-def gathered(ranges: DataFrame) -> DataFrame:
+def gathered(ranges: DataFrame, keep: Callable = materialise) -> DataFrame:
     """(k_id, k_text, ranges): all ranges of each document, at most as many as it has units."""
-    return materialise(ranges.groupBy(*KEY).agg(F.collect_list(F.struct("a", "b")).alias("ranges")), "ranges")
+    return keep(ranges.groupBy(*KEY).agg(F.collect_list(F.struct("a", "b")).alias("ranges")), "ranges")
 
 
 def joined(ranges: list[dict] | None) -> list[tuple[int, int]]:

@@ -19,8 +19,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, materialise
-from .covering_lsh import join_components, keep_least, links, majority, shingle_hashes, signed, with_hash
+from .common import map_texts, materialise, scratch
+from .covering_lsh import join_components, keep_chosen, least_of, links, majority, shingle_hashes, signed, with_hash
 
 WIDTH = 5
 LEAST = 0.8
@@ -141,4 +141,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", least: float = LEAST) -> DataFrame:
     """docs with one document of each component, that of the smallest id."""
-    return keep_least(docs, near_duplicates(docs, id_col, text, least), id_col, text)
+    with scratch(docs.sparkSession) as keep:
+        chosen = least_of(near_duplicates(docs, id_col, text, least), keep, id_col)
+    return keep_chosen(docs, chosen, id_col, text)

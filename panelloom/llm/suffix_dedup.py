@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import documents
+from .common import documents, scratch
 from .induced_sort import permuted_lcp, suffix_array
 from .repeats import KEY, Units, by_windows, gathered, keyed, search, without
 from .winnow import Powers, byte_values, mix, rolling
@@ -159,14 +159,15 @@ def _digest(text: bytes, ranges: list[tuple[int, int]]) -> tuple:
 
 def repeated_ranges(docs: DataFrame, span: int = SPAN, k: int = SEED_BYTES, shard_bytes: int = SHARD_BYTES, crowd: int = CROWD) -> DataFrame:
     """(k_id, k_text, ranges) of keyed documents that lose bytes."""
-    repeated, opened = search(docs, _units(span, k))
-    calm = opened.where(F.col("kinds") <= crowd)
-    size = calm.agg(F.sum(F.octet_length("body"))).first()[0] or 0
-    ranges = repeated.unionByName(_by_suffix_arrays(calm, max(1, -(-size // shard_bytes)), span))
-    crowded = opened.where(F.col("kinds") > crowd)
-    if not crowded.isEmpty():
-        ranges = ranges.unionByName(by_windows(_windows(crowded, span), span))
-    return gathered(ranges)
+    with scratch(docs.sparkSession) as keep:
+        repeated, opened = search(docs, _units(span, k))
+        calm = opened.where(F.col("kinds") <= crowd)
+        size = calm.agg(F.sum(F.octet_length("body"))).first()[0] or 0
+        ranges = repeated.unionByName(_by_suffix_arrays(calm, max(1, -(-size // shard_bytes)), span))
+        crowded = opened.where(F.col("kinds") > crowd)
+        if not crowded.isEmpty():
+            ranges = ranges.unionByName(by_windows(_windows(crowded, span), span))
+        return gathered(ranges, keep)
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", span: int = SPAN, **how) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import documents
+from .common import documents, scratch
 from .ngram_lm import Words
 from .repeats import KEY, Units, by_windows, gathered, keyed, search, without
 from .winnow import mix, rolling
@@ -88,8 +88,9 @@ def _windows(opened: DataFrame) -> DataFrame:
 
 def repeated_ranges(docs: DataFrame, span: int = SPAN, first: int = 5) -> DataFrame:
     """(k_id, k_text, ranges) of keyed documents that lose words; ranges count words."""
-    repeated, opened = search(docs, _units(span, first))
-    return gathered(repeated.unionByName(by_windows(_windows(opened), span)))
+    with scratch(docs.sparkSession) as keep:
+        repeated, opened = search(docs, _units(span, first))
+        return gathered(repeated.unionByName(by_windows(_windows(opened), span)), keep)
 
 
 def _kept(text: bytes, ranges: list[tuple[int, int]]) -> tuple[int, list[bytes]]:
