@@ -54,3 +54,28 @@ def test_large_groups_stay_whole(spark, limit):
     rows = [(k, " ".join([*base[:k], "x", *base[k + 1 :]])) for k in range(100)] + [(100 + k, " ".join(draw.choices(base, k=60))) for k in range(20)]
     got = shingle_neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), limit=limit).collect()
     assert {r.doc_id: r.component for r in got} == {k: 0 if k < 100 else k for k in range(120)}
+
+
+def test_odd_columns_and_rows(spark, docs, rows):
+    """Column names that stages use themselves, dots, null and repeated ids with other texts, and a long text."""
+    from pyspark.sql import functions as F
+
+    from panelloom.llm import covering_lsh, mixing, pii_labels
+
+    long = " ".join(f"word{k}" for k in range(300_000))  # over 2 MB
+    more = spark.createDataFrame([(None, long), (None, "null id " * 30), (1000, "one id " * 30 + "a"), (1000, "quite another text of the same id"), (1000, None)], "doc_id long, text string")
+    odd = docs.select("doc_id", "text", "lang", "source", "n_chars").unionByName(more, allowMissingColumns=True)
+    odd = odd.withColumns({c: F.lit(k) for k, c in enumerate(("m_takes", "m_size", "m_take", "m_draws", "row", "a.b", "k_text", "own_id", "key", "bucket", "fp"))})
+    kept = covering_lsh.keep_one(odd)
+    assert kept.columns == odd.columns and kept.where("doc_id = 1000 AND length(text) > 0").count() == 2
+    assert kept.where("doc_id IS NULL").count() == 2 and shingle_neardup.keep_one(odd).columns == odd.columns
+    mixed = mixing.mix(odd)
+    assert mixed.columns == odd.columns and mixed.where("`a.b` = 5 AND m_take = 2 AND row = 4").count() == mixed.count() > 0
+    clean = pii_labels.redact_documents(odd, pii_labels.fit(odd))
+    assert clean.columns == odd.columns and clean.where("`a.b` = 5").count() == odd.count()
+
+
+def test_no_documents(spark, empty, tmp_path):
+    empty.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.run(spark, f"file://{tmp_path}").count() == 0
