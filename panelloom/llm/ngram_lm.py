@@ -47,7 +47,9 @@ _U = np.uint64
 BEGIN, END = 0x9AE16A3B2F90404F, 0xC3A5C85C97CB3127  # of no word's bytes; a clash is as likely as any of two hashes
 SEED = 42
 ORDER = 3
-CHUNK = 1_500_000  # tokens that a worker counts or looks up at once
+CHUNK = 1_500_000  # tokens that a worker counts at once
+LOOKUP = 750_000  # tokens that a worker looks up at once
+KEEP = 300_000  # words whose hashes a worker keeps
 PIECE_CHARS = 4_000_000  # characters of corpus for each piece
 FAN = 8192  # pieces that a task's blocks go to in one step
 MOST = 16  # words of a gram
@@ -338,7 +340,7 @@ def train(docs: DataFrame, text: str = "text", order: int = ORDER, piece_chars:
     sent = spark.sparkContext.broadcast(common_words(source, chars, Words))  # at most coding.COMMON numbers
 
     def count(batches):
-        words, held, size, coding = Words(), [], 0, Coding(sent.value)
+        words, held, size, coding = Words(KEEP), [], 0, Coding(sent.value)
 
         def sends(docs):
             return _blocks(*_count(docs, order, coding), pieces, len(coding.common), first)
@@ -531,7 +533,7 @@ def score_texts(docs: DataFrame, info: dict, id_col: str = "doc_id", text: str =
     """(id, *also, n_tokens, n_known, train_tokens, base_score, score)."""
 
     def make():
-        words, model = Words(), Model(info)
+        words, model = Words(KEEP), Model(info)
 
         def run(_, texts):
             out = [[] for _ in range(5)]
@@ -547,7 +549,7 @@ def score_texts(docs: DataFrame, info: dict, id_col: str = "doc_id", text: str =
             for t in texts:
                 held.append(words.of(t))
                 size += len(held[-1]) + 1
-                if size >= CHUNK:
+                if size >= LOOKUP:
                     flush()
                     size = 0
             flush()
