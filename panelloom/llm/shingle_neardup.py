@@ -6,8 +6,9 @@ similarity of 0.8, though, about a seventh of a SimHash's bits differ, and masks
 tables). So BANDS keys, each over ROWS minima of the set under random permutations, bring a pair of similarity s together
 with probability 1 - (1 - s^ROWS)^BANDS: 0.9999 at 0.8. All pairs are then compared by the two sets, and linked from
 LEAST on. Equal sets are merged first. A bucket with more members than `limit` is not paired: its members are compared with a
-few hubs, and go on to the buckets of two bands, which are paired up to `limit` and compared with hubs above. So within
-groups of over `limit` texts that agree on two bands some pairs are linked through others, or not at all.
+few hubs, and those that no link has reached by then go on to the buckets of two bands, which are paired up to `limit` and
+compared with hubs above. So within groups of over `limit` texts that agree on a band some pairs are linked through
+others, or not at all.
 
 Defined cases: a text without words has an empty set and links to its like; a text of fewer words than a
 shingle is one shingle; null ids, repeated rows, long texts, other columns and empty tables are as in covering_lsh.
@@ -53,7 +54,7 @@ class MinHash:
 
 
 def sketches(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, k_text, fp, sim, keys, terms): a hash of the set, its SimHash, the bands' keys, and the set as sorted 32-bit hashes."""
+    """(id, k_text, fp, sim, keys, terms): a hash of the set, its SimHash, the bands' keys, and the set as 32-bit hashes."""
 
     def make():
         import xxhash
@@ -67,12 +68,12 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Dat
                 fps.append(signed(xxhash.xxh64_intdigest(h.tobytes())) if len(h) else 0)
                 sims.append(signed(majority(h)))
                 keys.append(maker.keys(h))
-                terms.append(np.unique((h >> _U(32)).astype(np.uint32)).tobytes())
+                terms.append(np.unique((h >> _U(32)).astype(np.uint32)).view(np.int32))
             return [fps, sims, keys, terms]
 
         return of
 
-    return map_texts(with_hash(docs, id_col, text), make, "fp long, sim long, keys array<long>, terms binary", id_col, text, ("k_text",))
+    return map_texts(with_hash(docs, id_col, text), make, "fp long, sim long, keys array<long>, terms array<int>", id_col, text, ("k_text",))
 
 
 def by_simhash(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -85,49 +86,44 @@ def by_simhash(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
     return same.unionByName(near)
 
 
-def candidates(nodes: DataFrame, limit: int = 32) -> DataFrame:
-    """Pairs (a, b), a < b, of nodes (fp, keys) that meet in a bucket, or with a hub of a large one."""
-    pairs = None
-    rows = nodes.select("fp", F.posexplode("keys").alias("path", "bucket"))
-    for level in range(2):
-        sizes = rows.groupBy("path", "bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        rows = materialise(rows.join(sizes, ["path", "bucket"]), "buckets")
-        few, many = rows.where(F.col("n") <= limit), rows.where(F.col("n") > limit)
-        x, y = (few.select("path", "bucket", F.col("fp").alias(c)) for c in "ab")
-        found = x.join(y, ["path", "bucket"]).where("a < b").select("a", "b")
-        if many.isEmpty():
-            return found if pairs is None else pairs.unionByName(found)
-        # The hubs' order is the same in all buckets, so that members meet the same few.
-        hubs = many.groupBy("path", "bucket").agg(*[F.min_by("fp", F.xxhash64(F.lit(s), "fp")).alias(f"h{s}") for s in range(HUBS)])
-        stars = many.join(hubs, ["path", "bucket"]).select("fp", F.explode(F.array(*[f"h{s}" for s in range(HUBS)])).alias("hub"))
-        found = found.unionByName(stars.where("fp != hub").select(F.least("fp", "hub").alias("a"), F.greatest("fp", "hub").alias("b")))
-        pairs = found if pairs is None else pairs.unionByName(found)
-        if level == 0:  # a pair that agrees on two bands meets in a bucket of the lower, or in one of both
-            again = many.select("fp", "path", "bucket").join(nodes.select("fp", "keys"), "fp").select("fp", "path", "bucket", F.posexplode("keys").alias("p", "key"))
-            rows = again.where("p > path").select("fp", (F.col("path") * BANDS + F.col("p")).alias("path"), F.xxhash64("bucket", "key").alias("bucket"))
-    return pairs
+def bucket_pairs(rows: DataFrame, limit: int = 32) -> tuple[DataFrame, DataFrame]:
+    """From rows (fp, path, bucket): pairs (a, b), a < b, that meet in a bucket, or with a hub of one above limit; and the rows of these."""
+    sizes = rows.groupBy("path", "bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    rows = materialise(rows.join(sizes, ["path", "bucket"]), "buckets")
+    few, many = rows.where(F.col("n") <= limit), rows.where(F.col("n") > limit)
+    x, y = (few.select("path", "bucket", F.col("fp").alias(c)) for c in "ab")
+    found = x.join(y, ["path", "bucket"]).where("a < b").select("a", "b")
+    # The hubs' order is the same in all buckets, so that members meet the same few.
+    hubs = many.groupBy("path", "bucket").agg(*[F.min_by("fp", F.xxhash64(F.lit(s), "fp")).alias(f"h{s}") for s in range(HUBS)])
+    stars = many.join(hubs, ["path", "bucket"]).select("fp", F.explode(F.array(*[f"h{s}" for s in range(HUBS)])).alias("hub"))
+    return found.unionByName(stars.where("fp != hub").select(F.least("fp", "hub").alias("a"), F.greatest("fp", "hub").alias("b"))), many
+
+
+def links_of(nodes: DataFrame, least: float = LEAST, limit: int = 32) -> DataFrame:
+    """Links (a, b) of nodes (fp, sim, keys, terms): candidates from SimHashes and bands that the sets confirm."""
+    pairs, many = bucket_pairs(nodes.select("fp", F.posexplode("keys").alias("path", "bucket")), limit)
+    found = materialise(alike(pairs.unionByName(by_simhash(nodes)).distinct(), nodes, least), "found")
+    reached = found.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
+    left = many.select("fp", "path", "bucket").join(reached, "fp", "left_anti")
+    if left.isEmpty():
+        return found
+    # A pair that agrees on two bands meets in a bucket of the lower.
+    again = left.join(nodes.select("fp", "keys"), "fp").select("fp", "path", "bucket", F.posexplode("keys").alias("p", "key")).where("p > path")
+    more, _ = bucket_pairs(again.select("fp", (F.col("path") * BANDS + F.col("p")).alias("path"), F.xxhash64("bucket", "key").alias("bucket")), limit)
+    return found.unionByName(alike(more.distinct(), nodes, least))
 
 
 def alike(pairs: DataFrame, nodes: DataFrame, least: float = LEAST) -> DataFrame:
     """Those pairs (a, b) of nodes (fp, terms) whose sets have a Jaccard similarity of at least `least`."""
+    pairs = materialise(pairs, "pairs")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
     sets = materialise(nodes.select("fp", "terms").join(wanted, "fp", "left_semi"), "sets")
-
-    def run(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both >= least * (len(x) + len(y) - both) - 1e-9)
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
-
     x, y = sets.select(F.col("fp").alias("a"), F.col("terms").alias("x")), sets.select(F.col("fp").alias("b"), F.col("terms").alias("y"))
-    size = F.octet_length
+    size = F.size
     possible = F.least(size("x"), size("y")) >= least * F.greatest(size("x"), size("y")) - 1e-6
-    return pairs.join(x, "a").join(y, "b").where(possible).select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    both = size(F.array_intersect("x", "y"))
+    enough = F.when(possible, both >= least * (size("x") + size("y") - both) - 1e-9).otherwise(F.lit(False))
+    return pairs.join(x, "a").join(y, "b").where(enough).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", least: float = LEAST, limit: int = 32) -> DataFrame:
@@ -135,8 +131,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     made = materialise(sketches(docs, id_col, text), "sketches")
     nodes = made.groupBy("fp").agg(F.min(id_col).alias("least"), F.any_value("sim").alias("sim"), F.any_value("keys").alias("keys"), F.any_value("terms").alias("terms"))
     nodes = materialise(nodes, "nodes")
-    pairs = materialise(candidates(nodes, limit).unionByName(by_simhash(nodes)).distinct(), "pairs")
-    return join_components(made.select(id_col, "k_text", "fp"), nodes.select("fp", "least"), alike(pairs, nodes, least), id_col)
+    return join_components(made.select(id_col, "k_text", "fp"), nodes.select("fp", "least"), links_of(nodes, least, limit), id_col)
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", least: float = LEAST) -> DataFrame:
