@@ -48,7 +48,7 @@ BEGIN, END = 0x9AE16A3B2F90404F, 0xC3A5C85C97CB3127  # of no word's bytes; a cla
 SEED = 42
 ORDER = 3
 CHUNK = 1_500_000  # tokens that a worker counts at once
-LOOKUP = 750_000  # tokens that a worker looks up at once
+LOOKUP = 1_200_000  # tokens that a worker looks up at once
 KEEP = 300_000  # words whose hashes a worker keeps
 PIECE_CHARS = 4_000_000  # characters of corpus for each piece
 FAN = 8192  # pieces that a task's blocks go to in one step
@@ -478,7 +478,7 @@ class Model:
         """The counts of grams in the files of each name, zero where a gram is unknown."""
         out = [[np.zeros(len(key), np.int64) for _ in range(w)] for w in widths]
         piece = gram_piece(columns, self.info["pieces"]).astype(np.int64)
-        order = np.argsort(piece, kind="stable")
+        order = np.argsort(piece.astype(np.uint16) if self.info["pieces"] <= 1 << 16 else piece, kind="stable")
         cuts = np.r_[_heads(piece[order]), len(piece)]
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             own = order[a:b]
