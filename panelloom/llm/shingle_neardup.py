@@ -5,10 +5,10 @@ covering_lsh.py give every pair of SimHashes of these sets within RADIUS bits; s
 similarity of 0.8, though, about a seventh of a SimHash's bits differ, and masks for such a radius are too many (2^(r + 1)
 tables). So BANDS keys, each over ROWS minima of the set under random permutations, bring a pair of similarity s together
 with probability 1 - (1 - s^ROWS)^BANDS: 0.9999 at 0.8. All pairs are then compared by the two sets, and linked from
-LEAST on. Equal sets are merged first. A bucket with more members than `limit` is not paired: its members are compared with a
-few hubs, and those that no link has reached by then go on to the buckets of two bands, which are paired up to `limit` and
-compared with hubs above. So within groups of over `limit` texts that agree on a band some pairs are linked through
-others, or not at all.
+LEAST on. Equal sets are merged first. A bucket with more members than `limit` is not paired at once: its members are
+compared with a few hubs, and the links found join most of them into classes. What is asked for are the classes, so pairs
+within one need no comparing; those across classes are compared unless their sizes, or the hashes that only one of all these
+sets has, rule a link out. So every pair that a bucket brings together is decided.
 
 Defined cases: a text without words has an empty set and links to its like; a text of fewer words than a
 shingle is one shingle; null ids, repeated rows, long texts, other columns and empty tables are as in covering_lsh.
@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_texts, materialise, scratch
+from .components import connected_components
 from .covering_lsh import join_components, keep_chosen, least_of, links, majority, shingle_hashes, signed, with_hash
 
 WIDTH = 5
@@ -93,24 +94,47 @@ def bucket_pairs(rows: DataFrame, limit: int = 32) -> tuple[DataFrame, DataFrame
     few, many = rows.where(F.col("n") <= limit), rows.where(F.col("n") > limit)
     x, y = (few.select("path", "bucket", F.col("fp").alias(c)) for c in "ab")
     found = x.join(y, ["path", "bucket"]).where("a < b").select("a", "b")
-    # The hubs' order is the same in all buckets, so that members meet the same few.
-    hubs = many.groupBy("path", "bucket").agg(*[F.min_by("fp", F.xxhash64(F.lit(s), "fp")).alias(f"h{s}") for s in range(HUBS)])
+    # Hubs are members of many large buckets: the least edited ones of a group of copies, to which most others link.
+    reach = many.groupBy("fp").agg(F.count(F.lit(1)).alias("reach"))
+    turn = F.xxhash64(F.lit(1), "fp")
+    first = [F.max_by("fp", F.when(F.pmod(turn, F.lit(HUBS)) == s, F.struct("reach", turn))).alias(f"h{s}") for s in range(HUBS)]
+    hubs = many.join(reach, "fp").groupBy("path", "bucket").agg(*first)
     stars = many.join(hubs, ["path", "bucket"]).select("fp", F.explode(F.array(*[f"h{s}" for s in range(HUBS)])).alias("hub"))
     return found.unionByName(stars.where("fp != hub").select(F.least("fp", "hub").alias("a"), F.greatest("fp", "hub").alias("b"))), many
 
 
 def links_of(nodes: DataFrame, least: float = LEAST, limit: int = 32) -> DataFrame:
-    """Links (a, b) of nodes (fp, sim, keys, terms): candidates from SimHashes and bands that the sets confirm."""
+    """Links (a, b) that join the nodes (fp, sim, keys, terms) into classes: candidates from SimHashes and bands that the sets confirm."""
     pairs, many = bucket_pairs(nodes.select("fp", F.posexplode("keys").alias("path", "bucket")), limit)
     found = materialise(alike(pairs.unionByName(by_simhash(nodes)).distinct(), nodes, least), "found")
-    reached = found.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
-    left = many.select("fp", "path", "bucket").join(reached, "fp", "left_anti")
-    if left.isEmpty():
+    if many.isEmpty():
         return found
-    # A pair that agrees on two bands meets in a bucket of the lower.
-    again = left.join(nodes.select("fp", "keys"), "fp").select("fp", "path", "bucket", F.posexplode("keys").alias("p", "key")).where("p > path")
-    more, _ = bucket_pairs(again.select("fp", (F.col("path") * BANDS + F.col("p")).alias("path"), F.xxhash64("bucket", "key").alias("bucket")), limit)
-    return found.unionByName(alike(more.distinct(), nodes, least))
+    stars = materialise(connected_components(found), "classes")
+    more = alike(across(many, nodes, stars, least), nodes, least)
+    return stars.select(F.col("node").alias("a"), F.col("root").alias("b")).where("a != b").unionByName(more)
+
+
+def across(many: DataFrame, nodes: DataFrame, stars: DataFrame, least: float = LEAST) -> DataFrame:
+    """Pairs (a, b), a < b, that meet in a bucket of many, are of different classes (node, root), and may be alike by sizes and own hashes.
+
+    Sets x and y are alike only if they differ in at most (|x| + |y|) * (1 - least) / (1 + least) hashes, and the hashes that
+    no other set has are among these.
+    """
+    sets = nodes.select("fp", "terms").join(many.select("fp").distinct(), "fp", "left_semi")
+    single = sets.select("fp", F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("fp")).where("n = 1")
+    own = single.groupBy("fp").agg(F.count(F.lit(1)).alias("own"))
+    size = F.size("terms")
+    slack = size * F.lit((1 - least) / (1 + least)) - F.coalesce("own", F.lit(0))
+    known = sets.join(own, "fp", "left").select("fp", size.alias("size"), slack.alias("slack"))
+    known = known.where(F.col("slack") >= F.col("size") * F.lit((least - 1) / least / (1 + least)) - 1e-6)  # else below -slack of any set not too long
+    known = known.join(stars.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    rows = materialise(many.select("fp", "path", "bucket").join(known, "fp"), "open")
+    classes = rows.groupBy("path", "bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("path", "bucket")
+    rows = rows.join(classes, ["path", "bucket"], "left_semi")
+    x, y = (rows.select("path", "bucket", *[F.col(c).alias(f"{c}_{k}") for c in ("fp", "size", "slack", "root")]) for k in "ab")
+    may = (F.col("fp_a") < F.col("fp_b")) & (F.col("root_a") != F.col("root_b")) & (F.col("slack_a") + F.col("slack_b") >= -1e-6)
+    may &= F.least("size_a", "size_b") >= least * F.greatest("size_a", "size_b") - 1e-6
+    return x.join(y, ["path", "bucket"]).where(may).select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b")).distinct()
 
 
 def alike(pairs: DataFrame, nodes: DataFrame, least: float = LEAST) -> DataFrame:

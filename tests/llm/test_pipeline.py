@@ -56,6 +56,29 @@ def test_large_groups_stay_whole(spark, limit):
     assert {r.doc_id: r.component for r in got} == {k: 0 if k < 100 else k for k in range(120)}
 
 
+@pytest.mark.parametrize("limit", [2, 1000])
+def test_group_of_edited_copies(spark, limit):
+    """Copies of one text with more or fewer edits each, some alike and some not: classes as of all pairs, at either side of the limit."""
+    draw = random.Random(10)
+    base = [f"w{draw.randrange(5000)}" for _ in range(150)]
+    texts = []
+    for k in range(120):
+        words = list(base[: 150 - k % 30])
+        for i in draw.sample(range(len(words)), draw.choice([1, 2, 2, 3, 3, 4])):
+            words[i] = f"x{k}.{i}"
+        texts.append(words)
+    class_of = list(range(len(texts)))
+    for j in range(len(texts)):
+        for i in range(j):
+            if _jaccard(texts[i], texts[j]) >= 0.8 and class_of[i] != class_of[j]:
+                old, new = max(class_of[i], class_of[j]), min(class_of[i], class_of[j])
+                class_of = [new if c == old else c for c in class_of]
+    assert 1 < len(set(class_of)) < len(texts)
+    docs = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(texts)], "doc_id long, text string")
+    got = shingle_neardup.near_duplicates(docs, limit=limit).collect()
+    assert {r.doc_id: r.component for r in got} == dict(enumerate(class_of))
+
+
 def test_odd_columns_and_rows(spark, docs, rows):
     """Column names that stages use themselves, dots, null and repeated ids with other texts, and a long text."""
     from pyspark.sql import functions as F
