@@ -7,8 +7,8 @@ tables). So BANDS keys, each over ROWS minima of the set under random permutatio
 with probability 1 - (1 - s^ROWS)^BANDS: 0.9999 at 0.8. All pairs are then compared by the two sets, and linked from
 LEAST on. Equal sets are merged first. A bucket with more members than `limit` is not paired at once: its members are
 compared with a few hubs, and the links found join most of them into classes. What is asked for are the classes, so pairs
-within one need no comparing; those across classes are compared unless their sizes, or the hashes that only one of all these
-sets has, rule a link out. So every pair that a bucket brings together is decided.
+within one need no comparing; those across classes are compared, block by block, unless their sizes, or the hashes that only
+one of all these sets has, rule a link out. So every pair that a bucket brings together is decided, and no list of pairs is made.
 
 Defined cases: a text without words has an empty set and links to its like; a text of fewer words than a
 shingle is one shingle; null ids, repeated rows, long texts, other columns and empty tables are as in covering_lsh.
@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, materialise, scratch
+from .common import map_texts, materialise, scratch, small_join
 from .components import connected_components
 from .covering_lsh import join_components, keep_chosen, least_of, links, majority, shingle_hashes, signed, with_hash
 
@@ -29,6 +29,8 @@ LEAST = 0.8
 RADIUS = 2
 BANDS, ROWS = 24, 5
 HUBS = 4
+#: Members, and hashes, of a block of a large bucket; two blocks are compared at a time.
+BLOCK, BLOCK_TERMS = 256, 50_000
 _U = np.uint64
 
 
@@ -110,15 +112,16 @@ def links_of(nodes: DataFrame, least: float = LEAST, limit: int = 32) -> DataFra
     if many.isEmpty():
         return found
     stars = materialise(connected_components(found), "classes")
-    more = alike(across(many, nodes, stars, least), nodes, least)
+    more = across(many, nodes, stars, least)
     return stars.select(F.col("node").alias("a"), F.col("root").alias("b")).where("a != b").unionByName(more)
 
 
 def across(many: DataFrame, nodes: DataFrame, stars: DataFrame, least: float = LEAST) -> DataFrame:
-    """Pairs (a, b), a < b, that meet in a bucket of many, are of different classes (node, root), and may be alike by sizes and own hashes.
+    """Links (a, b), a < b, of nodes (fp, keys, terms) that meet in a bucket of many and are of different classes (node, root).
 
     Sets x and y are alike only if they differ in at most (|x| + |y|) * (1 - least) / (1 + least) hashes, and the hashes that
-    no other set has are among these.
+    no other set has are among these. A bucket's members are dealt to blocks, and two blocks at a time are compared in one
+    group of bounded size; only links leave it.
     """
     sets = nodes.select("fp", "terms").join(many.select("fp").distinct(), "fp", "left_semi")
     single = sets.select("fp", F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("fp")).where("n = 1")
@@ -129,12 +132,38 @@ def across(many: DataFrame, nodes: DataFrame, stars: DataFrame, least: float = L
     known = known.where(F.col("slack") >= F.col("size") * F.lit((least - 1) / least / (1 + least)) - 1e-6)  # else below -slack of any set not too long
     known = known.join(stars.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     rows = materialise(many.select("fp", "path", "bucket").join(known, "fp"), "open")
-    classes = rows.groupBy("path", "bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("path", "bucket")
-    rows = rows.join(classes, ["path", "bucket"], "left_semi")
-    x, y = (rows.select("path", "bucket", *[F.col(c).alias(f"{c}_{k}") for c in ("fp", "size", "slack", "root")]) for k in "ab")
-    may = (F.col("fp_a") < F.col("fp_b")) & (F.col("root_a") != F.col("root_b")) & (F.col("slack_a") + F.col("slack_b") >= -1e-6)
-    may &= F.least("size_a", "size_b") >= least * F.greatest("size_a", "size_b") - 1e-6
-    return x.join(y, ["path", "bucket"]).where(may).select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b")).distinct()
+    heaps = rows.groupBy("path", "bucket").agg(
+        F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("n"), F.sum("size").alias("terms")
+    )
+    blocks = F.lit(1) + F.greatest(F.floor(F.col("n") / BLOCK), F.floor(F.col("terms") / BLOCK_TERMS))
+    heaps = heaps.where("low < high").select("path", "bucket", blocks.cast("int").alias("blocks"))
+    dealt = small_join(rows, heaps, ["path", "bucket"], "inner").withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
+    dealt = dealt.join(nodes.select("fp", "keys", "terms"), "fp").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")}).drop("blocks", "other")
+    return dealt.groupBy("path", "bucket", "low", "high").applyInPandas(lambda g: links_between(g, least), "a long, b long").distinct()
+
+
+def links_between(group, least: float):
+    """Links of one block's members, or of those of two blocks, that first meet in this bucket."""
+    import pandas as pd
+
+    low, high, path = int(group["low"].iat[0]), int(group["high"].iat[0]), int(group["path"].iat[0])
+    fp, size, slack, root, block = (group[c].to_numpy() for c in ("fp", "size", "slack", "root", "block"))
+    keys = np.stack(group["keys"].to_list())
+    sets = [frozenset(t.tolist()) for t in group["terms"]]
+    second = np.flatnonzero(block == high)
+    out = []
+    for i in np.flatnonzero(block == low):
+        j = second[(root[second] != root[i]) & (slack[second] + slack[i] >= -1e-6)]
+        if low == high:
+            j = j[j > i]
+        j = j[np.minimum(size[j], size[i]) >= least * np.maximum(size[j], size[i]) - 1e-6]
+        j = j[~(keys[j, :path] == keys[i, :path]).any(axis=1)]
+        for k in j.tolist():
+            both = len(sets[i] & sets[k])
+            if both >= least * (len(sets[i]) + len(sets[k]) - both) - 1e-9:
+                out.append((min(fp[i], fp[k]), max(fp[i], fp[k])))
+    return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
 
 def alike(pairs: DataFrame, nodes: DataFrame, least: float = LEAST) -> DataFrame:
