@@ -70,21 +70,31 @@ def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFram
         yield keep
     finally:
         for path in _MADE.pop():
-            at = spark._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+            discard(spark, path)
         if _MADE:  # an outer one decides about what is kept here
             _MADE[-1] += kept
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it again: cuts lineage and survives lost executors."""
+def write_table(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """df as Parquet in the shared folder, read again, and its path; it stays until discard()."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    if _MADE:
-        _MADE[-1].append(path)
     with _freeing_shuffles(spark):
         df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """Write df as Parquet in the shared folder and read it again: cuts lineage and survives lost executors."""
+    out, path = write_table(df, name)
+    if _MADE:
+        _MADE[-1].append(path)
+    return out
 
 
 def small_join(df: DataFrame, small: DataFrame, on: str | list[str], how: str = "left", max_rows: int = 20_000) -> DataFrame:
