@@ -54,7 +54,7 @@ def _up(square: int) -> int:
 
 def balls(centroids: list[list[int]], radii: list[int | None]) -> Balls:
     """radii: an upper bound for each ball, or None where nothing is known; neighbours are within twice the radius."""
-    c = np.array(centroids, np.int64).reshape(len(centroids), -1)
+    c = np.array(centroids, np.int64)
     near, gaps = [], []
     for i, r in enumerate(radii):
         d = ((c - c[i]) ** 2).sum(axis=1)
@@ -187,6 +187,8 @@ def ball_kmeans(points: DataFrame, k: int = K, rounds: int = ROUNDS, seed: int =
     spark = points.sparkSession
     state, path = write_table(_packed(points), "vectors")
     centroids, found = seeds(state, k, seed), {}
+    if not centroids:
+        return Clustering(state.withColumn("distance", F.lit(0).cast("long")), [], found)
     radii: list[int | None] = [None] * len(centroids)
     for t in range(rounds + 1):
         table, new = write_table(assign(state, balls(centroids, radii)), "members")
