@@ -45,8 +45,9 @@ def flagged(docs: DataFrame, labels: DataFrame, part: str = "source", text: str
     """(part, A to E, good, toxic): a row for each document."""
     own = materialise(own_flags(docs, part, text, id_col), "flags")  # texts are read once
     copied = own.groupBy("digest").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1 AND first IS NOT NULL")
+    copied = materialise(copied.select("digest", "first"), "copied")  # a table of its own, as the join of an aggregate is not split where it is skewed
     later = F.col("first").isNotNull() & (F.col("id").isNull() | (F.col("id") > F.col("first")))
-    marked = own.join(copied.select("digest", "first"), "digest", "left").select("id", "part", *"ABCD", later.alias("E"))
+    marked = own.join(copied, "digest", "left").select("id", "part", *"ABCD", later.alias("E"))
     is_one = lambda c: F.max(F.coalesce(F.col(c) == 1, F.lit(False)))
     said = labels.where(F.col(f"`{id_col}`").isNotNull()).groupBy(F.col(f"`{id_col}`").alias("id")).agg(is_one("quality").alias("good"), is_one("toxic").alias("toxic")).where("good OR toxic")
     return marked.join(said, "id", "left").select("part", *FILTERS, F.coalesce("good", F.lit(False)).alias("good"), F.coalesce("toxic", F.lit(False)).alias("toxic"))
@@ -106,7 +107,8 @@ def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: Order by order and document by document, without subsets.
 _ORACLE = r"""
 WITH t AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text FROM documents),
-w AS (SELECT *, regexp_extract_all(text, '[^ 	-]+') AS words FROM t),
+w AS (SELECT *, regexp_extract_all(text, '[^ 	-
+]+') AS words FROM t),
 f AS (SELECT rid, part, [len(words) < 50, 100 * len(list_distinct(words)) < 65 * len(words), 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 5 * length(text), regexp_matches(text, '[#$%&*|]'),
   coalesce(coalesce(doc_id, 9223372036854775807) > min(doc_id) OVER (PARTITION BY text), false)] AS fails,
   doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) AS good, doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1) AS toxic FROM w),
