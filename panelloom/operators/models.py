@@ -1,6 +1,8 @@
 """Regularised logistic models, feature selection and walk-forward validation.
 
-Many models are fitted in one job. A model's rows are one for each period, so a group is small and one task solves it.
+Many models are fitted together by Newton steps: a step is one aggregate over all rows that sums gradients and second
+derivatives by model, combined within tasks before anything is shuffled, and the driver solves the small systems. A model may
+have any number of rows; what is collected and broadcast has a row for each model.
 """
 
 from __future__ import annotations
@@ -8,7 +10,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import sigmoid
@@ -30,58 +32,67 @@ class Fitted:
     means: tuple[float, ...]
     stds: tuple[float, ...]
 
-    def linear(self) -> Column:
-        out = F.lit(self.intercept)
-        for c, b, m, s in zip(self.features, self.coefficients, self.means, self.stds, strict=True):
-            out = out + F.lit(b) * ((F.col(c) - F.lit(m)) / F.lit(s))
-        return out
-
-
-def newton(x: np.ndarray, y: np.ndarray, l2: float = L2, max_iter: int = 200, tol: float = 1e-8) -> np.ndarray:
-    """Intercept and coefficients: mean logistic loss plus l2 / 2 times the squared coefficients, the intercept free."""
-    a = np.column_stack([np.ones(len(x)), x])
-    penalty = np.r_[0.0, np.full(x.shape[1], l2)]
-    beta = np.zeros(a.shape[1])
-    for _ in range(max_iter):
-        p = 1.0 / (1.0 + np.exp(-np.clip(a @ beta, -35, 35)))
-        gradient = a.T @ (p - y) / len(y) + penalty * beta
-        hessian = (a * (p * (1 - p))[:, None]).T @ a / len(y) + np.diag(penalty) + 1e-12 * np.eye(len(beta))
-        step = np.linalg.solve(hessian, gradient)
-        beta -= step
-        if np.abs(step).max() < tol:
-            break
-    return beta
-
 
-def fit_many(rows: DataFrame, uses: dict[str, tuple[str, ...]], label: str = "label", columns: tuple[str, ...] = COMPONENTS, l2: float = L2) -> dict[str, Fitted]:
-    """A model for each value of rows.fit, with the features that `uses` names for it.
+def model_table(spark: SparkSession, models: dict[str, Fitted], columns: tuple[str, ...] = COMPONENTS) -> DataFrame:
+    """(fit, _b, _w, _m, _s): intercept, and arrays of coefficients (zero where unused), means and deviations by column."""
+    rows = []
+    for f, m in models.items():
+        at = [m.features.index(c) if c in m.features else None for c in columns]
+        pick = lambda values, none, at=at: [none if k is None else float(values[k]) for k in at]
+        rows.append((f, float(m.intercept), pick(m.coefficients, 0.0), pick(m.means, 0.0), pick(m.stds, 1.0)))
+    return spark.createDataFrame(rows, "fit string, _b double, _w array<double>, _m array<double>, _s array<double>")
 
-    All are fitted in one job, each by one task: a model's rows are one for each period.
-    """
 
-    def solve(pdf):
-        import pandas as pd
+def with_probability(rows: DataFrame, models: dict[str, Fitted], name: str = "score", columns: tuple[str, ...] = COMPONENTS) -> DataFrame:
+    """rows (fit, columns) of the given models, with the probability by the model that `fit` names."""
+    both = rows.join(F.broadcast(model_table(rows.sparkSession, models, columns)), "fit")  # a row for each model
+    return both.withColumn(name, sigmoid(_line(columns))).drop("_b", "_w", "_m", "_s")
 
-        own = uses[pdf["fit"].iloc[0]]
-        x = pdf[list(own)].to_numpy(float)
-        mean, std = x.mean(axis=0), x.std(axis=0)
-        std[std == 0] = 1.0
-        beta = newton((x - mean) / std, pdf["y"].to_numpy(float), l2)
-        return pd.DataFrame({"fit": [pdf["fit"].iloc[0]], "beta": [beta.tolist()], "mean": [mean.tolist()], "std": [std.tolist()]})
 
-    each = rows.select("fit", F.col(label).cast("double").alias("y"), *columns).groupBy("fit")
-    got = each.applyInPandas(solve, "fit string, beta array<double>, mean array<double>, std array<double>").collect()
-    return {r["fit"]: Fitted(uses[r["fit"]], r["beta"][0], tuple(r["beta"][1:]), tuple(r["mean"]), tuple(r["std"])) for r in got}
+def _standard(columns: tuple[str, ...]) -> list[Column]:
+    return [(F.col(c) - F.get("_m", F.lit(k))) / F.get("_s", F.lit(k)) for k, c in enumerate(columns)]
 
 
-def predict(rows: DataFrame, models: dict[str, Fitted], by: str = "fit") -> Column:
-    """Probability by the model that rows.<by> names."""
-    out = F.lit(None).cast("double")
-    for f, m in models.items():
-        out = F.when(F.col(by) == f, sigmoid(m.linear())).otherwise(out)
+def _line(columns: tuple[str, ...]) -> Column:
+    out = F.col("_b")
+    for k, z in enumerate(_standard(columns)):
+        # A column that a model does not use may be missing.
+        out = out + F.when(F.get("_w", F.lit(k)) != 0, F.get("_w", F.lit(k)) * z).otherwise(F.lit(0.0))
     return out
 
 
+def fit_many(rows: DataFrame, uses: dict[str, tuple[str, ...]], label: str = "label", columns: tuple[str, ...] = COMPONENTS, l2: float = L2, max_iter: int = 200, tol: float = 1e-10) -> dict[str, Fitted]:
+    """A model for each value of rows.fit, with the features that `uses` names for it.
+
+    The loss is the mean logistic loss plus l2 / 2 times the squared coefficients of standardised features, the intercept
+    free. rows are read once for their moments and once for each step (about seven), so the caller keeps them.
+    """
+    spark, k = rows.sparkSession, len(columns)
+    facts = rows.groupBy("fit").agg(*[F.avg(c).alias(f"m_{c}") for c in columns], *[F.stddev_pop(c).alias(f"s_{c}") for c in columns])
+    models = {r["fit"]: Fitted(own := uses[r["fit"]], 0.0, (0.0,) * len(own), tuple(r[f"m_{c}"] for c in own), tuple(r[f"s_{c}"] or 1.0 for c in own)) for r in facts.collect()}  # a row for each model
+    terms = ["_one", *[f"_z{i}" for i in range(k)]]
+    upper = [(i, j) for i in range(k + 1) for j in range(i, k + 1)]
+    left = dict(models)
+    for _ in range(max_iter if left else 0):
+        both = rows.select("fit", F.col(label).cast("double").alias("_y"), *columns).join(F.broadcast(model_table(spark, left, columns)), "fit")  # a row for each model
+        both = both.select("fit", "_y", F.lit(1.0).alias("_one"), *[F.coalesce(z, F.lit(0.0)).alias(f"_z{i}") for i, z in enumerate(_standard(columns))], sigmoid(_line(columns)).alias("_p"))
+        miss, weight = F.col("_p") - F.col("_y"), F.col("_p") * (1.0 - F.col("_p"))
+        sums = both.groupBy("fit").agg(*[F.avg(miss * F.col(t)).alias(f"g{i}") for i, t in enumerate(terms)], *[F.avg(weight * F.col(terms[i]) * F.col(terms[j])).alias(f"h{i}_{j}") for i, j in upper])
+        for r in sums.collect():  # a row for each model
+            m = left[r["fit"]]
+            at = [0, *[1 + columns.index(c) for c in m.features]]
+            beta, penalty = np.array([m.intercept, *m.coefficients]), np.r_[0.0, np.full(len(m.features), l2)]
+            hessian = np.array([[r[f"h{min(i, j)}_{max(i, j)}"] for j in at] for i in at]) + np.diag(penalty) + 1e-12 * np.eye(len(at))
+            step = np.linalg.solve(hessian, np.array([r[f"g{i}"] for i in at]) + penalty * beta)
+            beta = beta - step
+            models[r["fit"]] = left[r["fit"]] = Fitted(m.features, float(beta[0]), tuple(map(float, beta[1:])), m.means, m.stds)
+            if np.abs(step).max() < tol:
+                del left[r["fit"]]
+        if not left:
+            break
+    return models
+
+
 def candidates(columns: tuple[str, ...] = COMPONENTS, anchor: str = ANCHOR) -> list[tuple[str, ...]]:
     return [*[(c,) for c in columns], *[(anchor, c) for c in columns if c != anchor], tuple(columns)]
 
@@ -107,34 +118,22 @@ def select_features(train: DataFrame, horizon: int = 7, folds: int = 3, margin:
     kinds = lambda c: F.count_if(c & (F.col("label") == 1)).over(key) * F.count_if(c & (F.col("label") == 0)).over(key)
     t = t.withColumns({"k1": kinds(F.col("tested")), "k2": kinds(F.col("learns") & ~F.col("tested")), "k3": F.count_if(F.col("learns") & ~F.col("tested")).over(key)})
     t = t.where("k1 > 0 AND k2 > 0 AND k3 >= 150").drop("k1", "k2", "k3", "cut")
-    names = {"+".join(c): c for c in candidates()}
-    t = t.withColumn("features", F.explode(F.array(*[F.lit(n) for n in names])))
-    t = t.withColumn("fit", F.concat_ws("|", "task", F.col("fold").cast("string"), "features")).persist()
+    t = t.persist()  # read by every step
     try:
-        learn = t.where("learns AND NOT tested")
-        uses = {r[0]: names[r[0].rsplit("|", 1)[1]] for r in learn.select("fit").distinct().collect()}  # tasks x folds x candidates
+        own = ["+".join(c) for c in candidates()]
+        each = t.withColumn("features", F.explode(F.array(*[F.lit(n) for n in own]))).withColumn("fit", F.concat_ws("|", "task", F.col("fold").cast("string"), "features"))
+        learn = each.where("learns AND NOT tested")
+        uses = {r[0]: tuple(r[1]) for r in learn.select("fit", F.split("features", r"\+")).distinct().collect()}  # tasks x folds x candidates
         models = fit_many(learn, uses)
-        if not models:
-            return {}, train.sparkSession.createDataFrame([], "task string, features string, n_features int, mean_average_precision double, folds int, selected boolean")
-        flat = train.sparkSession.createDataFrame([(f, m.intercept, dict(zip(m.features, m.coefficients, strict=True)), dict(zip(m.features, m.means, strict=True)), dict(zip(m.features, m.stds, strict=True))) for f, m in models.items()], "fit string, b double, c map<string,double>, m map<string,double>, s map<string,double>")
-        line = F.col("b")
-        for c in COMPONENTS:
-            line = line + F.coalesce(F.col("c")[c] * ((F.col(c) - F.col("m")[c]) / F.col("s")[c]), F.lit(0.0))
-        scored = t.where("tested").join(F.broadcast(flat), "fit").withColumn("score", sigmoid(line))  # one row for each model
-        found = rank_metrics(scored, ["task", "features", "fold"]).collect()
+        scored = with_probability(each.where("tested"), models)
+        found = rank_metrics(scored, ["task", "features", "fold"]).groupBy("task", "features").agg(F.size(F.split(F.first("features"), r"\+")).alias("n_features"), F.avg("average_precision").alias("mean_average_precision"), F.count("average_precision").cast("int").alias("folds"))
+        best = F.max("mean_average_precision").over(Window.partitionBy("task"))
+        rank = F.row_number().over(Window.partitionBy("task").orderBy(F.col("mean_average_precision") < best - margin, "n_features", F.desc("mean_average_precision"), "features"))
+        rows = found.withColumn("selected", rank == 1).collect()  # tasks x candidates
     finally:
         t.unpersist()
-    held: dict[tuple[str, str], list[float]] = {}
-    for r in found:
-        held.setdefault((r["task"], r["features"]), []).append(r["average_precision"])
-    rows, chosen = [], {}
-    for task in sorted({k[0] for k in held}):
-        own = [(n, len(names[n]), float(np.mean(held[task, n])), len(held[task, n])) for n in names if (task, n) in held]
-        best = max(x[2] for x in own)
-        pick = min((x for x in own if x[2] >= best - margin), key=lambda x: (x[1], -x[2]))
-        chosen[task] = names[pick[0]]
-        rows += [(task, *x, x[0] == pick[0]) for x in own]
-    return chosen, train.sparkSession.createDataFrame(rows, "task string, features string, n_features int, mean_average_precision double, folds int, selected boolean")
+    table = train.sparkSession.createDataFrame(rows, "task string, features string, n_features int, mean_average_precision double, folds int, selected boolean")
+    return {r["task"]: tuple(r["features"].split("+")) for r in rows if r["selected"]}, table
 
 
 def score_models(frame: DataFrame, selected: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
@@ -149,7 +148,7 @@ def score_models(frame: DataFrame, selected: dict[str, tuple[str, ...]] | None =
     each = frame.where("role <> 'purge'").withColumn("model", F.explode(F.array(*[F.lit(k) for k in kinds]))).withColumn("fit", F.concat_ws("|", "task", "model"))
     each = each.where(F.col("fit").isin(sorted(specs)))
     models = fit_many(each.where("role = 'train'"), specs)
-    return out.unionByName(each.withColumn("score", predict(each, models)).select("task", "period", "role", "label", "model", "score"))
+    return out.unionByName(with_probability(each, models).select("task", "period", "role", "label", "model", "score"))
 
 
 def outer_folds(frame: DataFrame, horizon: int = 7, folds: int = 4, least: int = 500) -> DataFrame:
@@ -173,28 +172,32 @@ def pooled(scores: DataFrame, by_fold: DataFrame) -> DataFrame:
     return every.join(spread, "model")
 
 
+def coefficients(spark: SparkSession, models: dict[str, Fitted], columns: tuple[str, ...] = COMPONENTS) -> DataFrame:
+    """(fit, component, coefficient): a row for each model and term, the intercept among them."""
+    terms = [F.struct(F.lit("intercept").alias("component"), F.col("_b").alias("coefficient")), *[F.struct(F.lit(c).alias("component"), F.get("_w", F.lit(k)).alias("coefficient")) for k, c in enumerate(columns)]]
+    return model_table(spark, models, columns).select("fit", F.inline(F.array(*terms)))
+
+
 def coefficient_stability(frame: DataFrame) -> DataFrame:
     """Coefficients of the full model on training and on holdout rows, and whether their signs agree."""
     rows = frame.where("role <> 'purge'").withColumn("fit", F.col("role"))
-    models = fit_many(rows, {r: tuple(COMPONENTS) for r in ("train", "test")})
-    out = []
-    for c in ("intercept", *COMPONENTS):
-        value = {r: m.intercept if c == "intercept" else m.coefficients[m.features.index(c)] for r, m in models.items()}
-        same = None if c == "intercept" or len(value) < 2 else bool(np.sign(value["train"]) == np.sign(value["test"]))
-        out += [(r, c, v, same) for r, v in value.items()]
-    return frame.sparkSession.createDataFrame(out, "role string, component string, coefficient double, sign_stable boolean")
+    own = coefficients(frame.sparkSession, fit_many(rows, {r: tuple(COMPONENTS) for r in ("train", "test")})).withColumnRenamed("fit", "role")
+    other = own.where("component <> 'intercept'").select(F.when(F.col("role") == "train", "test").otherwise("train").alias("role"), "component", F.col("coefficient").alias("_c"))
+    both = own.join(other, ["role", "component"], "left")
+    return both.select("role", "component", "coefficient", (F.signum("coefficient") == F.signum("_c")).alias("sign_stable"))
 
 
 def incremental_tests(frame: DataFrame, anchor: str = ANCHOR) -> DataFrame:
     """Logistic models of the anchor alone, with each other component, and of all; gain in holdout average precision."""
-    import json
-
     specs = {f"{anchor}_only": (anchor,)} | {f"{anchor}_plus_{c}": (anchor, c) for c in COMPONENTS if c != anchor} | {"all_components": tuple(COMPONENTS)}
     rows = frame.where("role <> 'purge'").withColumn("fit", F.explode(F.array(*[F.lit(s) for s in specs])))
     models = fit_many(rows.where("role = 'train'"), specs)
-    m = rank_metrics(rows.withColumn("score", predict(rows, models)), ["fit", "role"])
+    m = rank_metrics(with_probability(rows, models), ["fit", "role"])
     wide = m.groupBy("fit").agg(*[F.max(F.when(F.col("role") == r, F.col("average_precision"))).alias(f"{r}_average_precision") for r in ("train", "test")], F.max(F.when(F.col("role") == "test", F.col("roc_auc"))).alias("test_roc_auc"))
-    text = frame.sparkSession.createDataFrame([(s, "+".join(f.features), json.dumps(dict(zip(f.features, f.coefficients, strict=True)), sort_keys=True)) for s, f in models.items()], "fit string, features string, coefficients string")
+    used = frame.sparkSession.createDataFrame([(s, k, c) for s, own in specs.items() for k, c in enumerate(own)], "fit string, k int, component string")
+    terms = coefficients(frame.sparkSession, models).join(used, ["fit", "component"])
+    item = F.struct("component", F.round("coefficient", 6).alias("coefficient"))
+    text = terms.groupBy("fit").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "component"))), lambda x: x["component"]), "+").alias("features"), F.to_json(F.map_from_entries(F.array_sort(F.collect_list(item)))).alias("coefficients"))  # up to five terms
     base = wide.where(F.col("fit") == f"{anchor}_only").select(F.col("test_average_precision").alias("base"))
     out = wide.join(text, "fit").crossJoin(F.broadcast(base))  # one row
     return out.withColumn("gain", F.col("test_average_precision") - F.col("base")).drop("base").withColumnRenamed("fit", "specification")

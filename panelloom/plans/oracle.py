@@ -42,7 +42,25 @@ def rank_sql(source: str, keys: str, label: str = "label", score: str = "score")
     WINDOW d AS (PARTITION BY {keys} ORDER BY x DESC), u AS (PARTITION BY {keys} ORDER BY x)) GROUP BY {keys}"""
 
 
-def _long(source: str, scores: dict[str, str], keep: str, name: str = "model", value: str = "score") -> str:
+def metric_sql(scores: str, thresholds: str, keys: str) -> str:
+    """Nineteen metrics of the test rows at the thresholds, by keys."""
+    return (
+        f"""SELECT *, (recall + specificity) / 2 AS balanced_accuracy FROM (SELECT *, coalesce(2 * "precision" * recall / nullif("precision" + recall, 0), 0) AS f1, coalesce(5 * "precision" * recall / nullif(4 * "precision" + recall, 0), 0) AS f2, (tp + fp) / observations::DOUBLE AS alert_rate, tn / nullif(tn + fp, 0)::DOUBLE AS specificity FROM
+    (SELECT *, tp + fp AS alerts, events / observations::DOUBLE AS prevalence, coalesce(tp / nullif(tp + fp, 0)::DOUBLE, 0) AS "precision", coalesce(tp / nullif(tp + fn, 0)::DOUBLE, 0) AS recall FROM (SELECT {keys}, threshold, count(*) FILTER (label = 1 AND score >= threshold) AS tp, count(*) FILTER (label = 0 AND score >= threshold) AS fp, count(*) FILTER (label = 1 AND score < threshold) AS fn, count(*) FILTER (label = 0 AND score < threshold) AS tn, avg((least(greatest(score, 0), 1) - label) ** 2) AS brier_score FROM {scores} JOIN {thresholds} USING ({keys}) WHERE role = 'test' GROUP BY {keys}, threshold) JOIN ("""
+        + rank_sql(f"(SELECT * FROM {scores} WHERE role = 'test')", keys)
+        + f") USING ({keys})))"
+    )
+
+
+def threshold_sql(scores: str, keys: str) -> str:
+    """(keys, threshold) of the training rows."""
+    at = "[" + ", ".join(repr(i / 300) for i in range(301)) + "]"
+    share = lambda a, b: f"coalesce(count(*) FILTER ({a}) / nullif(count(*) FILTER ({b}), 0)::DOUBLE, 0)"
+    each = f"SELECT {keys}, x, count(*) FILTER (score >= x)::DOUBLE AS k, count(*)::DOUBLE AS n, {share('score >= x AND label = 1', 'score >= x')} AS pr, {share('score >= x AND label = 1', 'label = 1')} AS re FROM (SELECT DISTINCT {keys}, unnest(quantile_cont(score, {at})) AS x FROM {scores} WHERE role = 'train' GROUP BY {keys}) JOIN {scores} USING ({keys}) WHERE role = 'train' GROUP BY {keys}, x"
+    return f"SELECT {keys}, coalesce(max(CASE WHEN k / n <= 0.30::DOUBLE THEN {{'f2': f2, 're': re, 'pr': pr, 'x': x}} END).x, max(x)) AS threshold FROM (SELECT *, coalesce(5 * pr * re / nullif(4 * pr + re, 0), 0) AS f2 FROM ({each})) GROUP BY {keys}"
+
+
+def long_sql(source: str, scores: dict[str, str], keep: str, name: str = "model", value: str = "score") -> str:
     return " UNION ALL ".join(f"SELECT {keep}, '{k}' AS {name}, {v} AS {value} FROM {source}" for k, v in scores.items())
 
 
@@ -127,19 +145,17 @@ CTE = {
     "split": _roles("(SELECT *, max(CASE WHEN i = least(greatest(CAST(floor(k * 0.7::DOUBLE) AS INTEGER), 1), k - 1) THEN period END) OVER () AS holdout_start FROM (SELECT *, row_number() OVER (ORDER BY period) - 1 AS i, count(*) OVER () AS k FROM valid))"),
     "limits": f"SELECT {_limits(_ALL)} FROM split WHERE role = 'train'",
     "scaled": f"SELECT period, role, label, {', '.join(_z(c) for c in _ALL)} FROM split, limits",
-    "scores": _long("(SELECT * FROM scaled WHERE role <> 'purge')", SIMPLE, "period, role, label"),
-    "thresholds": """SELECT model, coalesce(max(CASE WHEN k / n <= 0.30::DOUBLE THEN {'f2': f2, 're': re, 'pr': pr, 'x': x} END).x, max(x)) AS threshold FROM
-      (SELECT *, coalesce(5 * pr * re / nullif(4 * pr + re, 0), 0) AS f2 FROM (SELECT model, x, count(*) FILTER (score >= x)::DOUBLE AS k, count(*)::DOUBLE AS n, coalesce(count(*) FILTER (score >= x AND label = 1) / nullif(count(*) FILTER (score >= x), 0)::DOUBLE, 0) AS pr, coalesce(count(*) FILTER (score >= x AND label = 1) / nullif(count(*) FILTER (label = 1), 0)::DOUBLE, 0) AS re
-      FROM (SELECT DISTINCT model, unnest(quantile_cont(score, [i / 300.0::DOUBLE for i in range(0, 301)])) AS x FROM scores WHERE role = 'train' GROUP BY model) JOIN scores USING (model) WHERE role = 'train' GROUP BY model, x)) GROUP BY model""".replace("[i / 300.0::DOUBLE for i in range(0, 301)]", "[" + ", ".join(repr(i / 300) for i in range(301)) + "]"),
-    "comps": _long("split", {c: c for c in COMPONENTS}, "period, role, label", "component", "x"),
+    "scores": long_sql("(SELECT * FROM scaled WHERE role <> 'purge')", SIMPLE, "period, role, label"),
+    "thresholds": threshold_sql("scores", "model"),
+    "comps": long_sql("split", {c: c for c in COMPONENTS}, "period, role, label", "component", "x"),
     "alerts": "SELECT s.period, s.label, s.score, CAST(s.score >= t.threshold AS INTEGER) AS alert FROM scores s JOIN thresholds t USING (model) WHERE model = 'heuristic' AND role = 'test'",
     "stress": "SELECT *, sum(new) OVER (ORDER BY period) AS episode FROM (SELECT *, CASE WHEN label = 1 AND lag(label, 1, 0) OVER (ORDER BY period) = 0 THEN 1 ELSE 0 END AS new FROM alerts)",
     "onsets": "SELECT episode::BIGINT AS episode, min(period) AS onset, max(period) AS \"end\", count(*) AS duration, max(alert) AS alert_from_onset FROM stress WHERE label = 1 GROUP BY episode",
     "lagged": _lags(),
     "laglim": f"SELECT horizon, lag, {_limits(COMPONENTS)} FROM lagged WHERE role = 'train' GROUP BY horizon, lag",
     "lagz": f"SELECT horizon, lag, period, label, {', '.join(_z(c) for c in COMPONENTS)} FROM lagged JOIN laglim USING (horizon, lag) WHERE role = 'test'",
-    "lagscores": _long("lagz", {"heuristic": HEURISTIC} | {c: f"z_{c}" for c in COMPONENTS}, "horizon, lag, period, label"),
-    "ablscores": _long("(SELECT * FROM scaled WHERE role <> 'purge')", _ablation(), "period, role, label", "specification"),
+    "lagscores": long_sql("lagz", {"heuristic": HEURISTIC} | {c: f"z_{c}" for c in COMPONENTS}, "horizon, lag, period, label"),
+    "ablscores": long_sql("(SELECT * FROM scaled WHERE role <> 'purge')", _ablation(), "period, role, label", "specification"),
     "wins": "SELECT model, period, label, score, CAST(w AS INTEGER) AS w FROM (SELECT *, row_number() OVER (PARTITION BY model ORDER BY period) AS r, count(*) OVER (PARTITION BY model) AS n FROM scores), range(0, 100) t(w) WHERE 180 + 30 * w <= n AND r > 30 * w AND r <= 180 + 30 * w",
     "bl": f"SELECT period, 1 - exp({_rolling('sum', 'r', 7)}) AS loss FROM (SELECT period, n, avg(ret) AS r FROM cells GROUP BY ALL)",
     "losses": f"SELECT entity, period, n, 1 - exp({_rolling('sum', 'ret', 7, 'PARTITION BY entity')}) AS loss FROM cells",

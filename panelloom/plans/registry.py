@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,8 @@ from pyspark.sql import functions as F
 from ..functions.scalar import log_drawdown, tidy
 from ..operators import baskets, diagnostics, episodes, features, metrics, models, network, panel, quality, scoring, simulate, timeindex, validation
 from ..sources import panels, raw
-from .oracle import NEEDED, THRESHOLD, WINDOW, build, rank_sql
+from . import logit_sql
+from .oracle import NEEDED, SIMPLE, THRESHOLD, WINDOW, build, long_sql, metric_sql, rank_sql, threshold_sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -335,13 +337,10 @@ def threshold_f2(spark, sf):
 _METRICS = "threshold average_precision roc_auc brier_score prevalence precision recall alert_rate f1 f2 specificity balanced_accuracy"
 
 
-@query(
-    """SELECT *, (recall + specificity) / 2 AS balanced_accuracy FROM (SELECT *, coalesce(2 * "precision" * recall / nullif("precision" + recall, 0), 0) AS f1, coalesce(5 * "precision" * recall / nullif(4 * "precision" + recall, 0), 0) AS f2, (tp + fp) / observations::DOUBLE AS alert_rate, tn / nullif(tn + fp, 0)::DOUBLE AS specificity FROM
-    (SELECT *, tp + fp AS alerts, events / observations::DOUBLE AS prevalence, coalesce(tp / nullif(tp + fp, 0)::DOUBLE, 0) AS "precision", coalesce(tp / nullif(tp + fn, 0)::DOUBLE, 0) AS recall FROM (SELECT model, threshold, count(*) FILTER (label = 1 AND score >= threshold) AS tp, count(*) FILTER (label = 0 AND score >= threshold) AS fp, count(*) FILTER (label = 1 AND score < threshold) AS fn, count(*) FILTER (label = 0 AND score < threshold) AS tn, avg((least(greatest(score, 0), 1) - label) ** 2) AS brier_score FROM scores JOIN thresholds USING (model) WHERE role = 'test' GROUP BY model, threshold) JOIN ("""
-    + rank_sql("(SELECT * FROM scores WHERE role = 'test')", "model")
-    + ") USING (model)))",
-    " ".join(f'"{c}"' if c == "precision" else c for c in _METRICS.split()),
-)
+_DOUBLES = " ".join(f'"{c}"' if c == "precision" else c for c in _METRICS.split())
+
+
+@query(metric_sql("scores", "thresholds", "model"), _DOUBLES)
 def metric_rows(spark, sf):
     s = _scores(spark, sf)
     return metrics.metric_rows(s.where("role = 'test'"), _thresholds(s), ["model"])
@@ -463,14 +462,23 @@ def event_study_z(spark, sf):
     return episodes.event_study_z(_episodes(spark, sf), s.select("period", *features.COMPONENTS), s.where("role = 'train'"))
 
 
-# Fitted models: no closed form in SQL; tests hold them against plain solvers.
+# Fitted models. SQL descends the gradient to the optimum that Newton steps find.
+
+_MAIN = "(SELECT 'main' AS task, * FROM split)"
 
 
 def _task(df: DataFrame, name: str = "main") -> DataFrame:
     return df.withColumn("task", F.lit(name))
 
 
-@query()
+def _fit_rows(name: str, where: str, features: tuple[str, ...] = features.COMPONENTS) -> str:
+    return f"SELECT {name} AS fit, {logit_sql.mask(features)} AS mask, label, {logit_sql.X} AS x FROM split WHERE {where}"
+
+
+@query(
+    f"SELECT component AS term, coefficient, CASE WHEN component <> 'intercept' THEN mean END AS mean, CASE WHEN component <> 'intercept' THEN std END AS std FROM (SELECT unnest({['intercept', *features.COMPONENTS]!r}) AS component, unnest(b) AS coefficient, unnest([0.0::DOUBLE] || m) AS mean, unnest([0.0::DOUBLE] || s) AS std FROM {logit_sql.fits('(' + _fit_rows(repr('all'), 'role = ' + repr('train')) + ')')})",
+    "coefficient mean std",
+)
 def logistic_fit(spark, sf):
     """Coefficients of the full model."""
     rows = _split(spark, sf).where("role = 'train'").withColumn("fit", F.lit("all"))
@@ -478,12 +486,15 @@ def logistic_fit(spark, sf):
     return spark.createDataFrame([("intercept", m.intercept, None, None), *zip(m.features, m.coefficients, m.means, m.stds, strict=True)], "term string, coefficient double, mean double, std double")
 
 
-@query()
+@query(f"SELECT * EXCLUDE (mask, best) FROM {logit_sql.selection('(SELECT * FROM ' + _MAIN + ' WHERE role = ' + repr('train') + ')')}", "mean_average_precision")
 def feature_selection(spark, sf):
     return models.select_features(_task(_split(spark, sf).where("role = 'train'")))[1]
 
 
-@query()
+_SIX = logit_sql.all_scores(_MAIN, "(SELECT 'main' AS task, * FROM scores)")
+
+
+@query(f"WITH six AS MATERIALIZED (SELECT * FROM {_SIX}), cut AS MATERIALIZED ({threshold_sql('six', 'model')}) SELECT * FROM ({metric_sql('six', 'cut', 'model')})", _DOUBLES)
 def model_metrics(spark, sf):
     """Holdout metrics of all six models."""
     s = _task(_split(spark, sf))
@@ -492,7 +503,33 @@ def model_metrics(spark, sf):
     return metrics.metric_rows(scores.where("role = 'test'"), _thresholds(scores), ["model"])
 
 
-@query()
+#: Test rows of each of four folds, and training rows before the purge.
+_OUTER = "(SELECT * EXCLUDE (i, size, a, b, cut), CASE WHEN i >= a AND i < b THEN 'test' WHEN period < cut - 7 THEN 'train' END AS role FROM (SELECT *, min(period) FILTER (i >= a AND i < b) OVER (PARTITION BY task) AS cut FROM (SELECT *, floor(start + (size - start) * lo) AS a, floor(start + (size - start) * hi) AS b FROM (SELECT *, greatest(300, floor(size * 0.5::DOUBLE)) AS start FROM (SELECT *, row_number() OVER (ORDER BY period) - 1 AS i, count(*) OVER () AS size FROM valid)), (VALUES " + ", ".join(f"('{k + 1}', {k / 4!r}::DOUBLE, {(k + 1) / 4!r}::DOUBLE)" for k in range(4)) + ") AS v(task, lo, hi))))"
+
+
+def _own_scale(frame: str) -> str:
+    """Simple scores of a frame (task, role, period, label, components), each task scaled by its own training rows."""
+    names = (*features.COMPONENTS, features.MOMENTUM)
+    z = ", ".join(f"(least(greatest({c}, low_{c}), high_{c}) - low_{c}) / (high_{c} - low_{c}) AS z_{c}" for c in names)
+    low, high = (lambda c: f"quantile_cont({c}, 0.05)"), (lambda c: f"quantile_cont({c}, 0.95)")
+    limits = ", ".join(f"{low(c)} AS low_{c}, CASE WHEN {high(c)} > {low(c)} THEN {high(c)} ELSE {low(c)} + 1 END AS high_{c}" for c in names)
+    return f"({long_sql(f'(SELECT task, period, role, label, {z} FROM {frame} JOIN (SELECT task, {limits} FROM {frame} WHERE role = {chr(39)}train{chr(39)} GROUP BY task) USING (task))', SIMPLE, 'task, period, role, label')})"
+
+
+def _pooled_sql() -> str:
+    each = metric_sql("six", "cut", "task, model")
+    names = "task, model, threshold, tp, fp, fn, tn, observations, events, average_precision, roc_auc, brier_score, alerts, prevalence, \"precision\", recall, alert_rate, f1, f2, specificity, balanced_accuracy"
+    every = rank_sql("(SELECT * FROM six WHERE role = 'test')", "model")
+    none = names.replace("task, model", "'all' AS task, model")
+    for c in names.split(", ")[2:]:
+        if c not in ("observations", "events", "average_precision", "roc_auc"):
+            none = re.sub(rf'(?<![\w"]){re.escape(c)}(?![\w"])', f"NULL AS {c}", none)
+    return f"""WITH o AS MATERIALIZED (SELECT * FROM {_OUTER} WHERE role IS NOT NULL), base AS MATERIALIZED (SELECT * FROM {_own_scale("o")}), six AS MATERIALIZED (SELECT * FROM {logit_sql.all_scores("o", "base")}), cut AS MATERIALIZED ({threshold_sql("six", "task, model")}),
+      each_ AS MATERIALIZED ({each})
+      SELECT {names}, NULL::DOUBLE AS fold_ap_mean, NULL::DOUBLE AS fold_ap_std FROM each_ UNION ALL SELECT {none}, fold_ap_mean, fold_ap_std FROM ({every}) JOIN (SELECT model, avg(average_precision) AS fold_ap_mean, stddev_samp(average_precision) AS fold_ap_std FROM each_ GROUP BY model) USING (model)"""
+
+
+@query(_pooled_sql(), _DOUBLES + " fold_ap_mean fold_ap_std")
 def walk_forward(spark, sf):
     """Metrics by fold and model, and pooled over folds as task 'all'."""
     f = models.outer_folds(features.valid_rows(_frame(spark, sf)), least=300).persist()
@@ -503,7 +540,16 @@ def walk_forward(spark, sf):
     return each.unionByName(models.pooled(scores, each).withColumn("task", F.lit("all")), allowMissingColumns=True)
 
 
-@query()
+def _targets_sql() -> str:
+    some = " AND ".join(f"{c} IS NOT NULL" for c in (*features.COMPONENTS, features.MOMENTUM, "label"))
+    one = lambda k: f"SELECT '{k}' AS task, f.* EXCLUDE (label), t.label FROM frame f JOIN (SELECT period, CASE WHEN count({k}) OVER w >= 7 THEN CAST(sum({k}) OVER w <= ln(0.95) AS INTEGER) END AS label FROM baskets WINDOW w AS (ORDER BY n ROWS BETWEEN 1 FOLLOWING AND 7 FOLLOWING)) t USING (period)"
+    rows = " UNION ALL ".join(map(one, baskets.BASKETS))
+    roles = f"SELECT *, CASE WHEN period >= start THEN 'test' WHEN period < start - 7 THEN 'train' ELSE 'purge' END AS role FROM ({rows}), (SELECT max(holdout_start) AS start FROM split) WHERE {some}"
+    scores = f"(SELECT * FROM {logit_sql.all_scores('tg', 'base')} WHERE role = 'test' AND model NOT IN ('equal_component', 'momentum'))"
+    return f"WITH tg AS MATERIALIZED ({roles}), base AS MATERIALIZED (SELECT * FROM {_own_scale('tg')} WHERE role <> 'purge') {rank_sql(scores, 'task, model')}"
+
+
+@query(f"SELECT * FROM ({_targets_sql()})", "average_precision roc_auc")
 def target_sensitivity(spark, sf):
     """Holdout metrics under each of the five basket targets."""
     start = _split(spark, sf).agg(F.max("holdout_start").alias("holdout_start"))
@@ -524,14 +570,33 @@ def variance_inflation(spark, sf):
     return models.variance_inflation(diagnostics.component_correlations(_split(spark, sf).where("role <> 'purge'")))
 
 
-@query()
+@query(f"SELECT role, component, coefficient, CASE WHEN component <> 'intercept' THEN sign(coefficient) = sign(other) END AS sign_stable FROM (SELECT fit AS role, component, coefficient, sum(coefficient) OVER (PARTITION BY component) - coefficient AS other FROM {logit_sql.terms(logit_sql.fits('(' + _fit_rows('role', 'role <> ' + repr('purge')) + ')'))})", "coefficient")
 def coef_stability(spark, sf):
     return models.coefficient_stability(_split(spark, sf))
 
 
-@query()
+_SPECS = {"contraction_only": ("contraction",)} | {f"contraction_plus_{c}": ("contraction", c) for c in features.COMPONENTS if c != "contraction"} | {"all_components": features.COMPONENTS}
+_INC_ROWS = "(SELECT specification AS fit, label, role, x, mask, features FROM (SELECT label, role, " + logit_sql.X + " AS x FROM split WHERE role <> 'purge'), (VALUES " + ", ".join(f"('{s}', '{'+'.join(c)}', {logit_sql.mask(c)})" for s, c in _SPECS.items()) + ") AS v(specification, features, mask))"
+
+
+def _incremental_sql() -> str:
+    order = sorted(range(len(features.COMPONENTS)), key=lambda k: features.COMPONENTS[k])
+    parts = "list_filter([" + ", ".join(f"CASE WHEN mask[{k + 1}] = 1 THEN {{'k': '{features.COMPONENTS[k]}', 'v': round(b[{k + 2}], 6) + 0.0::DOUBLE}} END" for k in order) + "], lambda e: e IS NOT NULL)"
+    ranks = rank_sql(f"(SELECT iw.fit, role, label, features, {logit_sql.probability()} AS score FROM (SELECT * EXCLUDE (mask) FROM iw) iw JOIN il USING (fit))", "fit, features, role")
+    return f"""WITH iw AS MATERIALIZED (SELECT * FROM {_INC_ROWS}), il AS MATERIALIZED (SELECT * FROM {logit_sql.fits("(SELECT * FROM iw WHERE role = 'train')")}),
+      ir AS MATERIALIZED (SELECT fit, features, max(average_precision) FILTER (role = 'train') AS train_average_precision, max(average_precision) FILTER (role = 'test') AS test_average_precision, max(roc_auc) FILTER (role = 'test') AS test_roc_auc FROM ({ranks}) GROUP BY ALL)
+      SELECT fit AS specification, train_average_precision, test_average_precision, test_roc_auc, features, test_average_precision - (SELECT test_average_precision FROM ir WHERE fit = 'contraction_only') AS gain,
+        list_transform({parts}, lambda e: e.k) AS components, list_transform({parts}, lambda e: e.v) AS fitted_coefficients FROM ir JOIN il USING (fit)"""
+
+
+@query(f"SELECT specification, train_average_precision, test_average_precision, test_roc_auc, features, gain, array_to_string(components, '+') AS components, array_to_string(list_transform(fitted_coefficients, lambda e: CAST(CAST(round(e * 1000000) AS BIGINT) AS VARCHAR)), '+') AS micro_coefficients FROM ({_incremental_sql()})", "train_average_precision test_average_precision test_roc_auc gain")
 def incremental_logistic(spark, sf):
-    return models.incremental_tests(_split(spark, sf))
+    """The JSON of the coefficients is told apart into its names, and values in millionths."""
+    out = models.incremental_tests(_split(spark, sf))
+    own = F.from_json("coefficients", "map<string, double>")
+    text = lambda c: F.array_join(c, "+")
+    out = out.withColumns({"components": text(F.map_keys(own)), "micro_coefficients": text(F.transform(F.map_values(own), lambda v: F.round(v * 1000000).cast("long").cast("string")))})
+    return out.drop("coefficients")
 
 
 _RF = """(SELECT *, CASE WHEN count(rr) OVER f >= 7 THEN CAST(sum(rr) OVER f <= ln(0.95) AS INTEGER) END AS residual_label, CASE WHEN count(rr) OVER v >= 30 THEN stddev_samp(rr) OVER v END AS volatility FROM
@@ -756,7 +821,7 @@ def _summary(spark: SparkSession, sf: str) -> DataFrame:
     return out
 
 
-@query()
+@query(f"SELECT quantity, value FROM (WITH six AS MATERIALIZED (SELECT * FROM {_SIX}) SELECT 'holdout_' || model || '_average_precision' AS quantity, average_precision AS value FROM ({rank_sql("(SELECT * FROM six WHERE role = 'test')", 'model')})) UNION ALL SELECT 'walk_forward_' || model || '_average_precision', average_precision FROM ({_pooled_sql()}) WHERE task = 'all'", "value")
 def model_summary_fitted(spark, sf):
     """The summary's figures of fitted models: holdout and walk-forward average precision."""
     m = model_metrics(spark, sf).select(F.concat(F.lit("holdout_"), "model", F.lit("_average_precision")).alias("quantity"), F.col("average_precision").alias("value"))
@@ -764,12 +829,15 @@ def model_summary_fitted(spark, sf):
     return m.unionByName(w)
 
 
-@query()
+_ALL_MODELS = (*scoring.SIMPLE, "logistic_all", "logistic_selected")
+
+
+@query(f"WITH six AS MATERIALIZED (SELECT * FROM {_SIX}), cut AS MATERIALIZED ({threshold_sql('six', 'model')}) SELECT period, label, " + ", ".join(f"max(CASE WHEN model = '{m}' THEN score END) AS score_{m}, max(CASE WHEN model = '{m}' THEN CAST(score >= threshold AS INTEGER) END) AS alert_{m}" for m in _ALL_MODELS) + " FROM six JOIN cut USING (model) WHERE role = 'test' GROUP BY period, label", " ".join(f"score_{m}" for m in _ALL_MODELS))
 def predictions_models(spark, sf):
     """Holdout scores and alerts of all six models, a column for each."""
     s = _task(_split(spark, sf))
     chosen, _ = models.select_features(s.where("role = 'train'"))
-    return _predictions(models.score_models(s, chosen).persist(), (*scoring.SIMPLE, "logistic_all", "logistic_selected"))
+    return _predictions(models.score_models(s, chosen).persist(), _ALL_MODELS)
 
 
 @query("""SELECT "check", passed FROM (SELECT 'panel keys are unique' AS "check", count(*) = count(DISTINCT (entity, period)) AS passed FROM p1 UNION ALL SELECT 'raw keys are unique', count(*) = count(DISTINCT (entity, period)) FROM r1 UNION ALL SELECT 'labels of the last rows are null', count(label) = 0 FROM frame WHERE n > (SELECT max(n) FROM frame) - 7 UNION ALL SELECT 'the calendar has no gap', count(*) = max(period) - min(period) + 1 FROM f1 UNION ALL SELECT 'five targets are there', true UNION ALL SELECT 'the grid has 64 scenarios', true UNION ALL SELECT 'training ends before the purge of each fold', true UNION ALL SELECT 'out-of-fold rows are unique', true UNION ALL SELECT 'summary agrees with metrics', true)""")

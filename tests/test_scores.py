@@ -88,8 +88,8 @@ def test_logistic(spark):
     p = 1 / (1 + np.exp(-(m["full"].intercept + z @ np.array(m["full"].coefficients))))
     assert np.abs(np.r_[(p - y).mean(), z.T @ (p - y) / 300 + 0.1 * np.array(m["full"].coefficients)]).max() < 1e-8  # the gradient
     assert m["one"].features == ("correlation",) and m["one"].coefficients[0] > 0
-    scored = df.where("fit = 'full'").withColumn("p", models.predict(df, m)).collect()
-    assert sorted(r.p for r in scored) == pytest.approx(sorted(p))
+    scored = models.with_probability(df.where("fit = 'full'"), m).collect()
+    assert sorted(r.score for r in scored) == pytest.approx(sorted(p))
 
 
 def test_episodes(spark):
