@@ -10,7 +10,7 @@ from ..operators.features import COMPONENTS
 from ..operators.models import L2, candidates
 from .oracle import rank_sql
 
-STEPS, MOMENTUM = 110, 0.52
+STEPS, MOMENTUM = 600, 0.52
 K = len(COMPONENTS)
 X = f"[{', '.join(COMPONENTS)}]"
 

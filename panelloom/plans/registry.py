@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import log_drawdown, tidy
 from ..operators import baskets, diagnostics, episodes, features, metrics, models, network, panel, quality, scoring, simulate, timeindex, validation
-from ..sources import panels, raw
+from ..sources import panels, raw, stage
 from . import logit_sql
 from .oracle import NEEDED, SIMPLE, THRESHOLD, WINDOW, build, long_sql, metric_sql, rank_sql, threshold_sql
 
@@ -25,7 +25,8 @@ def query(select: str | None = None, doubles: str = "") -> Callable:
         names = tuple(doubles.split())
 
         def rounded(spark: SparkSession, sf_dir: str) -> DataFrame:
-            df = f(spark, sf_dir)
+            with stage.one_query():
+                df = f(spark, sf_dir)
             return df.withColumns({c: tidy(F.col(c)) for c, kind in df.dtypes if kind == "double"})
 
         rounded.__doc__, rounded.__name__ = f.__doc__, f.__name__
@@ -48,10 +49,12 @@ def _wide(spark: SparkSession, sf: str) -> DataFrame:
     return timeindex.scaffold(_returns(spark, sf), ["category", "value", "log_return"])
 
 
+@stage.part
 def _cells(spark: SparkSession, sf: str) -> DataFrame:
     return baskets.cells(_wide(spark, sf))
 
 
+@stage.part
 def _flows(spark: SparkSession, sf: str) -> DataFrame:
     return panel.series_flow(panels.order_series(spark, sf))
 
@@ -68,37 +71,44 @@ def _members(spark: SparkSession, sf: str) -> DataFrame:
     return panel.common_history(_wide(spark, sf), _system(spark, sf).agg(F.min("period").alias("start")))
 
 
+@stage.part
 def _baskets(spark: SparkSession, sf: str) -> DataFrame:
     return baskets.all_baskets(_cells(spark, sf), _members(spark, sf))
 
 
+@stage.part
 def _residuals(spark: SparkSession, sf: str) -> DataFrame:
     return network.residuals(_cells(spark, sf), _factor(spark, sf))
 
 
+@stage.part
 def _net(spark: SparkSession, sf: str) -> DataFrame:
     return network.network(_cells(spark, sf), "ret", WINDOW, THRESHOLD)
 
 
+@stage.part
 def _frame(spark: SparkSession, sf: str) -> DataFrame:
-    """The feature frame; a row for each period, kept as later steps fan out from it."""
+    """The feature frame, a row for each period."""
     c = _cells(spark, sf)
-    return features.feature_frame(c, _net(spark, sf), baskets.equal_weight(c), _flows(spark, sf)).persist()
+    return features.feature_frame(c, _net(spark, sf), baskets.equal_weight(c), _flows(spark, sf))
 
 
+@stage.part
 def _residual_frame(spark: SparkSession, sf: str) -> DataFrame:
     c, r = _cells(spark, sf), _residuals(spark, sf)
     net = network.network(r, "residual", WINDOW, THRESHOLD, prefix="residual_")
-    return features.feature_frame(c, _net(spark, sf), baskets.equal_weight(c), _flows(spark, sf), residual=(net, r)).persist()
+    return features.feature_frame(c, _net(spark, sf), baskets.equal_weight(c), _flows(spark, sf), residual=(net, r))
 
 
+@stage.part
 def _split(spark: SparkSession, sf: str) -> DataFrame:
-    return scoring.purged_split(features.valid_rows(_frame(spark, sf))).persist()
+    return scoring.purged_split(features.valid_rows(_frame(spark, sf)))
 
 
+@stage.part
 def _scores(spark: SparkSession, sf: str) -> DataFrame:
     z = scoring.scaled(_split(spark, sf))
-    return scoring.long_scores(z.where("role <> 'purge'"), scoring.simple_scores()).persist()
+    return scoring.long_scores(z.where("role <> 'purge'"), scoring.simple_scores())
 
 
 def _thresholds(s: DataFrame) -> DataFrame:
@@ -499,7 +509,7 @@ def model_metrics(spark, sf):
     """Holdout metrics of all six models."""
     s = _task(_split(spark, sf))
     chosen, _ = models.select_features(s.where("role = 'train'"))
-    scores = models.score_models(s, chosen).persist()
+    scores = stage.staged(models.score_models(s, chosen), "scores")
     return metrics.metric_rows(scores.where("role = 'test'"), _thresholds(scores), ["model"])
 
 
@@ -532,11 +542,12 @@ def _pooled_sql() -> str:
 @query(_pooled_sql(), _DOUBLES + " fold_ap_mean fold_ap_std")
 def walk_forward(spark, sf):
     """Metrics by fold and model, and pooled over folds as task 'all'."""
-    f = models.outer_folds(features.valid_rows(_frame(spark, sf)), least=300).persist()
+    f = stage.staged(models.outer_folds(features.valid_rows(_frame(spark, sf)), least=300), "folds")
     chosen, _ = models.select_features(f.where("role = 'train'"))
-    scores = models.score_models(f, chosen).persist()
+    scores = stage.staged(models.score_models(f, chosen), "scores")
     keys = ["task", "model"]
-    each = metrics.metric_rows(scores.where("role = 'test'"), metrics.choose_thresholds(scores.where("role = 'train'"), keys), keys).persist()
+    each = metrics.metric_rows(scores.where("role = 'test'"), metrics.choose_thresholds(scores.where("role = 'train'"), keys), keys)
+    each = stage.staged(each, "metrics")
     return each.unionByName(models.pooled(scores, each).withColumn("task", F.lit("all")), allowMissingColumns=True)
 
 
@@ -553,13 +564,13 @@ def _targets_sql() -> str:
 def target_sensitivity(spark, sf):
     """Holdout metrics under each of the five basket targets."""
     start = _split(spark, sf).agg(F.max("holdout_start").alias("holdout_start"))
-    b, f = _baskets(spark, sf).persist(), _frame(spark, sf).drop("label")
+    b, f = _baskets(spark, sf), _frame(spark, sf).drop("label")
     out = None
     for k in baskets.BASKETS:
         label = b.withColumn("label", timeindex.stress_label(timeindex.forward_sum(k, 7), log_drawdown(0.05))).select("period", "label")
         one = _task(features.valid_rows(f.join(label, "period")), k)
         out = one if out is None else out.unionByName(one)
-    out = scoring.with_roles(out.crossJoin(F.broadcast(start)), 7).persist()  # one row
+    out = stage.staged(scoring.with_roles(out.crossJoin(F.broadcast(start)), 7), "targets")  # start has one row
     chosen, _ = models.select_features(out.where("role = 'train'"))
     scores = models.score_models(out, chosen).where("role = 'test' AND model <> 'equal_component' AND model <> 'momentum'")
     return metrics.rank_metrics(scores, ["task", "model"])
@@ -623,7 +634,7 @@ _RESIDUAL = "(SELECT 'raw' AS specification, label, score FROM scores WHERE mode
 def residual_models(spark, sf):
     """The heuristic on raw and on residual components, against the raw and the residual target."""
     f = _residual_frame(spark, sf)
-    s = scoring.purged_split(features.valid_rows(f)).persist()
+    s = stage.staged(scoring.purged_split(features.valid_rows(f)), "split")
     start = s.agg(F.max("holdout_start").alias("holdout_start"))
     raw = scoring.scaled(s, features.COMPONENTS).where("role = 'test'").select(F.lit("raw").alias("specification"), "label", scoring.weighted(features.WEIGHTS).alias("score"))
     own = f.select("period", "n", F.col("residual_correlation").alias("correlation"), F.col("residual_density").alias("density"), "contraction", F.col("residual_volatility").alias("volatility"), F.col("residual_breadth").alias("breadth"), "label", timeindex.stress_label(timeindex.forward_sum("residual_return", 7), log_drawdown(0.05)).alias("residual_label"))
@@ -654,7 +665,7 @@ _BOOT = f"""(SELECT rep, label, score FROM (SELECT rep, {_draw_sql(_S, "rep", "s
 
 @query(f"SELECT point_estimate, quantile_cont(average_precision, 0.025) AS ci_lower_95, quantile_cont(average_precision, 0.975) AS ci_upper_95, count(average_precision) AS replications, count(*) - count(average_precision) AS without_events FROM ({rank_sql(_BOOT, 'rep')}), (SELECT average_precision AS point_estimate FROM ({rank_sql('(SELECT 1 AS a, * FROM alerts)', 'a')})) GROUP BY point_estimate", "point_estimate ci_lower_95 ci_upper_95")
 def block_bootstrap(spark, sf):
-    return simulate.block_bootstrap(_alerts(spark, sf).persist())
+    return simulate.block_bootstrap(_alerts(spark, sf))
 
 
 @query("SELECT entity, k, size, loss FROM (SELECT entity, row_number() OVER (PARTITION BY entity ORDER BY loss, period) - 1 AS k, count(*) OVER (PARTITION BY entity) AS size, loss FROM (SELECT entity, period, least(greatest(loss, 0), 0.5::DOUBLE) AS loss FROM losses WHERE loss > 0) JOIN (SELECT entity, quantile_cont(least(loss, 0.5::DOUBLE), 0.85) AS low FROM losses WHERE loss > 0 GROUP BY entity) USING (entity) WHERE loss >= low)", "loss")
@@ -837,7 +848,7 @@ def predictions_models(spark, sf):
     """Holdout scores and alerts of all six models, a column for each."""
     s = _task(_split(spark, sf))
     chosen, _ = models.select_features(s.where("role = 'train'"))
-    return _predictions(models.score_models(s, chosen).persist(), _ALL_MODELS)
+    return _predictions(stage.staged(models.score_models(s, chosen), "scores"), _ALL_MODELS)
 
 
 @query("""SELECT "check", passed FROM (SELECT 'panel keys are unique' AS "check", count(*) = count(DISTINCT (entity, period)) AS passed FROM p1 UNION ALL SELECT 'raw keys are unique', count(*) = count(DISTINCT (entity, period)) FROM r1 UNION ALL SELECT 'labels of the last rows are null', count(label) = 0 FROM frame WHERE n > (SELECT max(n) FROM frame) - 7 UNION ALL SELECT 'the calendar has no gap', count(*) = max(period) - min(period) + 1 FROM f1 UNION ALL SELECT 'five targets are there', true UNION ALL SELECT 'the grid has 64 scenarios', true UNION ALL SELECT 'training ends before the purge of each fold', true UNION ALL SELECT 'out-of-fold rows are unique', true UNION ALL SELECT 'summary agrees with metrics', true)""")
