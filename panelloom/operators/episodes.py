@@ -2,18 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .features import COMPONENTS
-
-
-def runs(rows: DataFrame, flag: Column, name: str) -> DataFrame:
-    """Rows where flag holds, with the number of their run; rows next to each other in order of period belong together."""
-    w = Window.orderBy("period")
-    on = F.when(flag, 1).otherwise(0)
-    marked = rows.withColumn("_on", on).withColumn("_new", ((F.col("_on") == 1) & (F.lag("_on", 1, 0).over(w) == 0)).cast("long"))
-    return marked.withColumn(name, F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).where("_on = 1").drop("_on", "_new")
+from .scan import runs
 
 
 def alerts(rows: DataFrame, threshold: DataFrame) -> DataFrame:
@@ -26,7 +19,7 @@ def stress_episodes(rows: DataFrame, cells: DataFrame, frame: DataFrame, days: i
 
     Alerts count in [onset - days, onset), returns in (onset, onset + days].
     """
-    each = runs(rows, F.col("label") == 1, "episode").groupBy("episode").agg(F.min("period").alias("onset"), F.max("period").alias("end"), F.count(F.lit(1)).alias("duration"), F.max("alert").alias("alert_from_onset"))
+    each = runs(rows, ["period"], F.col("label") == 1, "episode").groupBy("episode").agg(F.min("period").alias("onset"), F.max("period").alias("end"), F.count(F.lit(1)).alias("duration"), F.max("alert").alias("alert_from_onset"))
     before = each.select("episode", "onset", F.explode(F.sequence(F.lit(1), F.lit(days))).alias("_k")).withColumn("period", F.expr("date_sub(onset, _k)"))
     lead = before.join(rows.where("alert = 1").select("period"), "period").groupBy("episode").agg(F.min("_k").alias("lead_days"))
     after = each.select("episode", F.explode(F.transform(F.sequence(F.lit(1), F.lit(days)), lambda k: F.date_add("onset", k))).alias("period"))
@@ -44,7 +37,7 @@ def stress_episodes(rows: DataFrame, cells: DataFrame, frame: DataFrame, days: i
 
 
 def false_alert_runs(rows: DataFrame) -> DataFrame:
-    got = runs(rows, (F.col("alert") == 1) & (F.col("label") == 0), "run")
+    got = runs(rows, ["period"], (F.col("alert") == 1) & (F.col("label") == 0), "run")
     return got.groupBy("run").agg(F.min("period").alias("start"), F.max("period").alias("end"), F.count(F.lit(1)).alias("duration"), F.max("score").alias("max_score"))
 
 

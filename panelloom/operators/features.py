@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import log_drawdown
+from .scan import framed
 from .timeindex import forward_sum, rolling_std, rolling_sum, stress_label
 
 COMPONENTS = ("correlation", "density", "contraction", "volatility", "breadth")
@@ -31,16 +32,18 @@ def feature_frame(cells: DataFrame, net: DataFrame, baskets: DataFrame, flows: D
     more = {}
     if residual is not None:
         f = f.join(breadth(residual[1], "residual", "residual_breadth", "residual_return"), "period", "left")
-        more = {"residual_volatility": rolling_std("residual_return", 30)}
-    f = f.withColumns(
-        {
-            "contraction": -rolling_sum("flow", 7),
-            "volatility": rolling_std("equal_weight", 30),
-            MOMENTUM: -rolling_sum("equal_weight", 7),
-            "forward_return": forward_sum("equal_weight", horizon),
-        }
-        | more
-    )
+        more = {"residual_volatility": ("residual_return", 30)}
+
+    def rolling(_):
+        at = {"order": "_i", "partition": ("_part",)}
+        return {
+            "contraction": -rolling_sum("flow", 7, **at),
+            "volatility": rolling_std("equal_weight", 30, **at),
+            MOMENTUM: -rolling_sum("equal_weight", 7, **at),
+            "forward_return": forward_sum("equal_weight", horizon, **at),
+        } | {k: rolling_std(*v, **at) for k, v in more.items()}
+
+    f = framed(f, ["n"], 29, horizon, rolling)
     return f.withColumn("label", stress_label(F.col("forward_return"), log_drawdown(drawdown)))
 
 

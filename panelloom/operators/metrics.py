@@ -5,9 +5,12 @@ Scores are grouped first, so that ties form one point and windows run over disti
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scan import ROWS, Ordered
 from .scoring import clip_score
 
 MAX_ALERT_RATE = 0.30
@@ -18,15 +21,27 @@ def _points(df: DataFrame, keys: list[str], label: str, score: str) -> DataFrame
     return df.groupBy(*keys, F.col(score).alias("_x")).agg(F.sum(F.col(label).cast("long")).alias("_p"), F.count(F.lit(1)).alias("_n"))
 
 
-def rank_metrics(df: DataFrame, keys: list[str], label: str = "label", score: str = "score") -> DataFrame:
-    """(keys, observations, events, average_precision, roc_auc); null where a class is missing."""
-    g = _points(df, keys, label, score)
-    down = Window.partitionBy(*keys).orderBy(F.col("_x").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    up = Window.partitionBy(*keys).orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)
-    g = g.withColumns({"_tp": F.sum("_p").over(down), "_k": F.sum("_n").over(down), "_below": F.sum("_n").over(up) - F.col("_n")})
-    pos, n = F.sum("_p"), F.sum("_n")
-    ap = F.try_divide(F.sum(F.col("_p") * F.col("_tp") / F.col("_k")), F.when(pos > 0, pos))
-    ranks = F.sum(F.col("_p") * (F.col("_below") + (F.col("_n") + 1) / 2.0))
+def rank_metrics(df: DataFrame, keys: list[str], label: str = "label", score: str = "score", rows: int = ROWS) -> DataFrame:
+    """(keys, observations, events, average_precision, roc_auc); null where a class is missing.
+
+    Over `rows` distinct scores and more, counts up to each score come from ranges of (keys, score), so that a key
+    may have any number of scores; below that, from a window for each key.
+    """
+    o = Ordered.of(_points(df, keys, label, score), [*keys, "_x"], rows)
+    if o.parts == 1:
+        up = Window.partitionBy(*keys).orderBy("_x").rowsBetween(Window.unboundedPreceding, -1)
+        g = o.result().withColumns({"_lp": F.coalesce(F.sum("_p").over(up), F.lit(0)), "_ln": F.coalesce(F.sum("_n").over(up), F.lit(0))})
+        whole = Window.partitionBy(*keys)
+        g = g.withColumns({"_pos": F.sum("_p").over(whole), "_all": F.sum("_n").over(whole)})
+    else:
+        g = o.sums({"_lp": F.col("_p"), "_ln": F.col("_n")}).result().withColumns({"_lp": F.col("_lp") - F.col("_p"), "_ln": F.col("_ln") - F.col("_n")})
+        each = g.groupBy(*[F.col(k).alias(f"_k_{k}") for k in keys]).agg(F.min("_lp").alias("_bp"), F.min("_ln").alias("_bn"), F.sum("_p").alias("_pos"), F.sum("_n").alias("_all"))
+        same = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys])
+        g = g.join(each, same).withColumns({"_lp": F.col("_lp") - F.col("_bp"), "_ln": F.col("_ln") - F.col("_bn")})
+    # _lp and _ln are positives and rows of lower scores; at or above a score is all the rest.
+    pos, n = F.max("_pos"), F.max("_all")
+    ap = F.try_divide(F.sum(F.col("_p") * (F.col("_pos") - F.col("_lp")) / (F.col("_all") - F.col("_ln"))), F.when(pos > 0, pos))
+    ranks = F.sum(F.col("_p") * (F.col("_ln") + (F.col("_n") + 1) / 2.0))
     auc = F.try_divide(ranks - pos * (pos + 1) / 2.0, F.when((pos > 0) & (n > pos), (pos * (n - pos)).cast("double")))
     return g.groupBy(*keys).agg(n.alias("observations"), pos.alias("events"), ap.alias("average_precision"), auc.alias("roc_auc"))
 

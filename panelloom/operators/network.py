@@ -1,13 +1,23 @@
-"""Rolling correlation networks, and returns without a factor's part."""
+"""Rolling correlation networks, and returns without a factor's part.
+
+A network of all pairs is computed from blocks: a group holds two blocks of entities over one span of periods, the running
+sums of all their pairs' moments are vectors, and a window's moments are the difference of two. What leaves a group is a row for each
+period, with the sum and counts of its pairs' correlations, so no pair has a row for each period.
+"""
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import gated, rows_of
+from .scan import numbered
+
+#: Entities of a block.
+BLOCK = 32
 
 
 def needed(window: int) -> int:
@@ -32,13 +42,93 @@ def pair_correlations(cells: DataFrame, value: str, window: int, min_obs: int |
     return _pairs(cells, value).select("n", "src", "dst", F.when(F.count("x").over(w) >= k, rho).alias("rho"))
 
 
+def _exact(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Correlations of rows of windows, NaN where missing: two passes, so that no rounding of large sums enters."""
+    both = ~(np.isnan(x) | np.isnan(y))
+    n = np.maximum(both.sum(axis=1), 1)
+    dx, dy = (np.where(both, v - (np.where(both, v, 0.0).sum(axis=1) / n)[:, None], 0.0) for v in (x, y))
+    flat = np.zeros(len(x), bool)
+    for v in (x, y):
+        flat |= np.where(both, v, -np.inf).max(axis=1) == np.where(both, v, np.inf).min(axis=1)
+    size = np.sqrt((dx * dx).sum(axis=1)) * np.sqrt((dy * dy).sum(axis=1))
+    return np.where(flat | (size == 0), np.nan, (dx * dy).sum(axis=1) / np.where(size == 0, 1.0, size))
+
+
+def block_correlations(x: np.ndarray, y: np.ndarray, window: int, least: int) -> np.ndarray:
+    """rho[t, i, j] of x[:, i] and y[:, j] over the `window` rows that end at row window - 1 + t; NaN where there is none.
+
+    Values are centred by column, sums run within the rows given, and windows whose variance is small beside these
+    sums are computed again from their values.
+    """
+    mx, my = ~np.isnan(x), ~np.isnan(y)
+    zero = lambda v, m: np.where(m, v - np.divide(np.where(m, v, 0.0).sum(axis=0), np.maximum(m.sum(axis=0), 1)), 0.0)
+    a, b = zero(x, mx), zero(y, my)
+
+    def moved(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        run = np.concatenate([np.zeros((1, u.shape[1], v.shape[1])), np.cumsum(u[:, :, None] * v[:, None, :], axis=0)])
+        return run[window:] - run[:-window], run[-1]
+
+    n = np.rint(moved(mx.astype(float), my.astype(float))[0])
+    some = np.maximum(n, 1.0)
+    (sx, _), (sy, _), (sxy, _), (sxx, wx), (syy, wy) = moved(a, my), moved(mx, b), moved(a, b), moved(a * a, my), moved(mx, b * b)
+    vx, vy = sxx - sx * sx / some, syy - sy * sy / some
+    enough = n >= max(least, 2)
+    doubt = enough & ((vx <= 1e-7 * wx) | (vy <= 1e-7 * wy))
+    with np.errstate(invalid="ignore", divide="ignore"):
+        rho = np.where(enough, (sxy - sx * sy / some) / np.sqrt(vx * vy), np.nan)
+    t, i, j = np.nonzero(doubt)
+    for k in range(0, len(t), 4096):
+        at = t[k : k + 4096, None] + np.arange(window)
+        rho[t[k : k + 4096], i[k : k + 4096], j[k : k + 4096]] = _exact(x[at, i[k : k + 4096, None]], y[at, j[k : k + 4096, None]])
+    return rho
+
+
+def pair_totals(cells: DataFrame, value: str, window: int, least: int, threshold: float, block: int = BLOCK, span: int | None = None) -> DataFrame:
+    """(n, total, n_pairs, n_dense): for each row of time the sum and number of its pairs' correlations, and how many reach the threshold.
+
+    A value goes to one group for each block, rather than to one for each entity, and to the next span of periods too where windows
+    reach into it; a group has at most 2 x block x (span + window) values.
+    """
+    span = span or max(256, 4 * window)
+    number = numbered(cells.select("entity").distinct(), ["entity"], "_e", 0)
+    last = number.agg(F.max("_e").alias("_last"))
+    rows = cells.where(F.col(value).isNotNull()).select("entity", "n", F.col(value).cast("double").alias("_v")).join(number, "entity").crossJoin(F.broadcast(last))  # one row
+    spans = F.when(F.col("n") % span > span - window, F.array(F.floor(F.col("n") / span), F.floor(F.col("n") / span) + 1)).otherwise(F.array(F.floor(F.col("n") / span)))
+    blocks = F.sequence(F.lit(0).cast("long"), F.floor(F.col("_last") / block))
+    rows = rows.withColumn("_b", F.floor(F.col("_e") / block)).withColumn("_span", F.explode(spans)).withColumn("_o", F.explode(blocks))
+    rows = rows.select("n", "_e", "_v", "_span", F.least("_b", "_o").alias("_i"), F.greatest("_b", "_o").alias("_j"))
+
+    def totals(key, pdf):
+        import pandas as pd
+
+        k, i, j = (int(v) for v in key)
+        first = k * span - window + 1
+        t, e, v = (pdf["n"].to_numpy() - first).astype(int), pdf["_e"].to_numpy(), pdf["_v"].to_numpy()
+
+        def filled(b: int) -> np.ndarray:
+            out, at = np.full((span + window - 1, block), np.nan), e // block == b
+            out[t[at], (e[at] - b * block).astype(int)] = v[at]
+            return out
+
+        rho = block_correlations(x := filled(i), x if i == j else filled(j), window, least)
+        if i == j:
+            rho = np.where(np.triu(np.ones((block, block), bool), 1), rho, np.nan)
+        n = (~np.isnan(rho)).sum(axis=(1, 2))
+        out = pd.DataFrame({"n": np.arange(len(n)) + k * span, "total": np.nansum(rho, axis=(1, 2)), "n_pairs": n, "n_dense": (rho >= threshold).sum(axis=(1, 2))})
+        return out[n > 0]
+
+    each = rows.groupBy("_span", "_i", "_j").applyInPandas(totals, "n long, total double, n_pairs long, n_dense long")
+    end = cells.agg(F.max("n").alias("_end"))  # windows of the last span may reach beyond the rows that there are
+    each = each.crossJoin(F.broadcast(end)).where("n <= _end")  # one row
+    return each.groupBy("n").agg(*[F.sum(c).alias(c) for c in ("total", "n_pairs", "n_dense")])
+
+
 def network(cells: DataFrame, value: str, window: int = 60, threshold: float = 0.45, min_obs: int | None = None, prefix: str = "") -> DataFrame:
     """One row for each period from the first full window on: mean pair correlation, density, active entities, pairs."""
     k = needed(window) if min_obs is None else min_obs
     w = rows_of(["entity"], "n", 1 - window, 0)
     days = cells.withColumn("c", F.count(value).over(w)).groupBy("period", "n").agg(F.count_if(F.col("c") >= k).alias("n_active")).where(F.col("n") >= window)
-    rho = pair_correlations(cells, value, window, min_obs).where(F.col("rho").isNotNull()).groupBy("n")
-    stats = rho.agg(F.avg("rho").alias("mean_correlation"), F.avg((F.col("rho") >= threshold).cast("double")).alias("density"), F.count("rho").alias("n_pairs"))
+    stats = pair_totals(cells, value, window, k, threshold).select("n", (F.col("total") / F.col("n_pairs")).alias("mean_correlation"), (F.col("n_dense") / F.col("n_pairs")).alias("density"), "n_pairs")
     out = days.join(stats, "n", "left").withColumn("n_pairs", F.coalesce("n_pairs", F.lit(0)))
     return out.select("period", "n", *[F.col(c).alias(prefix + c) for c in ("mean_correlation", "density", "n_active", "n_pairs")])
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import safe_ln
+from .scan import ROWS, framed
 
 
 def clean_latest(raw: DataFrame, keys: list[str], observed: str, floor: float, since: str | None = None, period: str = "period") -> DataFrame:
@@ -36,12 +37,14 @@ def with_returns(panel: DataFrame, step: str = "day", high_rows: int = 8) -> Dat
     return panel.withColumn("log_return", ret).withColumn("drawdown", down)
 
 
-def series_flow(series: DataFrame) -> DataFrame:
+def series_flow(series: DataFrame, rows: int = ROWS) -> DataFrame:
     """(period, value, log_flow): the change of an aggregate series over adjacent days."""
-    w = Window.orderBy("period")  # one row for each period
-    before, then = F.lag("value").over(w), F.lag("period").over(w)
-    flow = F.when((F.datediff("period", then) == 1) & (before > 0), safe_ln(F.try_divide(F.col("value"), before)))
-    return series.withColumn("log_flow", flow)
+
+    def flow(w):
+        before, then = F.lag("value").over(w), F.lag("period").over(w)
+        return {"log_flow": F.when((F.datediff("period", then) == 1) & (before > 0), safe_ln(F.try_divide(F.col("value"), before)))}
+
+    return framed(series, ["period"], 1, 0, flow, rows)
 
 
 def system_daily(returns: DataFrame, flows: DataFrame, min_active: int = 6) -> DataFrame:
@@ -97,5 +100,4 @@ def factor_control(levels: DataFrame, until: str | None = None) -> DataFrame:
     gap = missing_days(kept).limit(1).collect()
     if gap:
         raise ValueError(f"the factor has no value for {gap[0][0]}")
-    w = Window.orderBy("period")
-    return kept.withColumn("factor_return", safe_ln(F.col("level")) - safe_ln(F.lag("level").over(w)))
+    return framed(kept, ["period"], 1, 0, lambda w: {"factor_return": safe_ln(F.col("level")) - safe_ln(F.lag("level").over(w))})

@@ -2,26 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import clip
 from .features import COMPONENTS, MOMENTUM, WEIGHTS
+from .scan import Ordered
 
 TRAIN_SHARE = 0.70
 
 
 def numbered(frame: DataFrame) -> DataFrame:
-    """Rows numbered from 0 by period as `i`, and their number `rows`; one row for each period."""
-    return frame.withColumn("i", F.row_number().over(Window.orderBy("period")) - 1).withColumn("rows", F.count(F.lit(1)).over(Window.partitionBy()))
+    """Rows numbered from 0 by period as `i`, and their number `rows`."""
+    f = Ordered.of(frame, ["period"]).result("i", 0)
+    return f.crossJoin(F.broadcast(f.agg(F.count(F.lit(1)).alias("rows"))))  # one row
 
 
 def purged_split(frame: DataFrame, horizon: int = 7, share: float = TRAIN_SHARE) -> DataFrame:
     """frame with role: the holdout starts at a row's period, and `horizon` days before it are purged."""
     out = numbered(frame)
     at = F.least(F.greatest(F.floor(F.col("rows") * share).cast("int"), F.lit(1)), F.col("rows") - 1)
-    start = F.max(F.when(F.col("i") == at, F.col("period"))).over(Window.partitionBy())
-    return with_roles(out.withColumn("holdout_start", start).drop("i", "rows"), horizon)
+    start = out.where(F.col("i") == at).agg(F.max("period").alias("holdout_start"))
+    return with_roles(out.drop("i", "rows").crossJoin(F.broadcast(start)), horizon)  # one row
 
 
 def with_roles(frame: DataFrame, horizon: int | Column) -> DataFrame:

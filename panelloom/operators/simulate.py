@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from .metrics import rank_metrics
 from .network import latest_edges_of
+from .scan import Ordered, framed, numbered
 from .timeindex import rolling_sum
 
 PRIME = 2147483647  # products stay far below 2^63
@@ -31,7 +32,7 @@ def unit(seed: int, *parts: Column) -> Column:
 
 def bootstrap_samples(rows: DataFrame, reps: int, block: int = 14, seed: int = SEED + 901) -> DataFrame:
     """rows (period, label, score) resampled in moving blocks: (rep, label, score), as many in each rep as rows."""
-    r = rows.withColumn("i", (F.row_number().over(Window.orderBy("period")) - 1).cast("long"))
+    r = numbered(rows, ["period"], "i", 0)
     size = r.agg(F.count(F.lit(1)).alias("n"))
     reps_ = rows.sparkSession.range(1, reps + 1).withColumnRenamed("id", "rep").crossJoin(F.broadcast(size)).where("n > 0")  # one row
     b = F.least(F.lit(block).cast("long"), F.col("n"))
@@ -79,8 +80,8 @@ def weights(cells: DataFrame, kind: str) -> DataFrame:
         w = cells.groupBy("entity").agg(F.lit(1.0).alias("v"))
     else:
         w = cells.groupBy("entity").agg(F.coalesce(F.max_by("value", F.when(F.col("value").isNotNull(), F.col("n"))), F.lit(0.0)).alias("v"))
-    one = w.select("entity", (F.col("v") / F.sum("v").over(Window.partitionBy())).alias("w"))
-    return one.withColumn("below", F.coalesce(F.sum("w").over(Window.orderBy("entity").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
+    one = w.crossJoin(F.broadcast(w.agg(F.sum("v").alias("_all")))).select("entity", (F.col("v") / F.col("_all")).alias("w"))  # one row
+    return Ordered.of(one, ["entity"]).sums({"_upto": F.col("w")}).result().select("entity", "w", (F.col("_upto") - F.col("w")).alias("below"))
 
 
 SCENARIO = "scenario string, multiplier double, rounds int, threshold double, tail double, cap double, window int, weighting string, paths long"
@@ -136,7 +137,7 @@ def cascade(cells: DataFrame, scenarios: list[tuple], seed: int = SEED, losses:
     table = spark.createDataFrame([(i, *s) for i, s in enumerate(scenarios)], "sid int, " + SCENARIO)
     losses = seven_day_losses(cells) if losses is None else losses
     edges = latest_edges_of(cells, "ret", sorted({(s[6], s[3]) for s in scenarios})) if edges is None else edges
-    ents = cells.select("entity").distinct().withColumn("e", (F.row_number().over(Window.orderBy("entity")) - 1).cast("int"))
+    ents = numbered(cells.select("entity").distinct(), ["entity"], "e", 0).withColumn("e", F.col("e").cast("int"))
     line = lambda kind: weights(cells, kind).join(ents, "entity").agg(F.sort_array(F.collect_list(F.struct("e", "w", "below"))).alias("line")).withColumn("weighting", F.lit(kind))
     lines = reduce(DataFrame.unionByName, [line(k) for k in sorted({s[7] for s in scenarios})])
     tails = all_tails(losses, sorted({(s[4], s[5]) for s in scenarios})).join(ents, "entity")
@@ -164,7 +165,7 @@ def cascade(cells: DataFrame, scenarios: list[tuple], seed: int = SEED, losses:
 
 def historical_tail(cells: DataFrame, days: int = 7) -> DataFrame:
     """Quantiles of the equal-weight basket's losses, and the median number of entities that lose over 1 % in its tail."""
-    basket = cells.groupBy("period", "n").agg(F.avg("ret").alias("r")).withColumn("loss", 1.0 - F.exp(rolling_sum("r", days))).select("period", "loss")
+    basket = framed(cells.groupBy("period", "n").agg(F.avg("ret").alias("r")), ["n"], days - 1, 0, lambda _: {"loss": 1.0 - F.exp(rolling_sum("r", days, order="_i", partition=("_part",)))}).select("period", "loss")
     q = basket.agg(F.percentile("loss", F.array(F.lit(0.95), F.lit(0.99))).alias("q"), F.max("loss").alias("top"))
     tail = basket.crossJoin(F.broadcast(q)).where(F.col("loss") >= F.col("q")[0]).select("period")  # one row
     n = seven_day_losses(cells, days=days).join(tail, "period").groupBy("period").agg(F.count_if(F.col("loss") > 0.01).alias("k")).agg(F.median("k").alias("k"))

@@ -1,19 +1,20 @@
 """Rows in time: a dense index of periods, a scaffold of all cells, and rolling sums over rows.
 
-Windows without a partition run over tables of one row for each period only.
+Numbers of all rows in order come from ranges (scan.py), never from a window without a partition.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import gated, rows_of
+from .scan import ROWS, numbered
 
 
-def dense_index(df: DataFrame, period: str = "period") -> DataFrame:
+def dense_index(df: DataFrame, period: str = "period", rows: int = ROWS) -> DataFrame:
     """(period, n): distinct periods numbered from 1 in order."""
-    return df.select(period).distinct().withColumn("n", F.row_number().over(Window.orderBy(period)).cast("long"))
+    return numbered(df.select(period).distinct(), [period], "n", rows=rows)
 
 
 def scaffold(panel: DataFrame, columns: list[str], keys: tuple[str, ...] = ("entity",)) -> DataFrame:

@@ -11,6 +11,7 @@ from ..functions.scalar import log_drawdown
 from .features import COMPONENTS, MOMENTUM, WEIGHTS
 from .metrics import average_ranks, pearson, rank_metrics
 from .scoring import apply_scaler, fit_scaler, long_scores, weighted, with_roles
+from .scan import framed
 from .timeindex import forward_sum, stress_label
 
 
@@ -36,9 +37,9 @@ def lag_horizon(frame: DataFrame, start: DataFrame, horizons: tuple[int, ...] =
 
     Predictors are lagged by rows, the purge is as long as the horizon, and each cell has its own scaler.
     """
-    w, names = Window.orderBy("n"), (*COMPONENTS, MOMENTUM)
+    names, at = (*COMPONENTS, MOMENTUM), {"order": "_i", "partition": ("_part",)}
     # One pass over the rows computes all lags and labels; a row then stands once for each horizon and lag.
-    wide = frame.select("period", *[F.lag(c, k).over(w).alias(f"{c}_{k}") for c in names for k in lags], *[stress_label(forward_sum("equal_weight", h), log_drawdown(drawdown)).alias(f"label_{h}") for h in horizons])
+    wide = framed(frame.select("period", "n", "equal_weight", *names), ["n"], max(lags), max(horizons), lambda w: {f"{c}_{k}": F.lag(c, k).over(w) for c in names for k in lags} | {f"label_{h}": stress_label(forward_sum("equal_weight", h, **at), log_drawdown(drawdown)) for h in horizons})
     cells = [F.struct(F.lit(h).alias("horizon"), F.lit(k).alias("lag"), *[F.col(f"{c}_{k}").alias(c) for c in names], F.col(f"label_{h}").alias("label")) for h, k in product(horizons, lags)]
     every = wide.select("period", F.explode(F.array(*cells)).alias("x")).select("period", "x.*").dropna("any", subset=[*names, "label"])
     every = with_roles(every.crossJoin(F.broadcast(start)), F.col("horizon"))  # one row

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalar import log_drawdown, tidy
-from ..operators import baskets, diagnostics, episodes, features, metrics, models, network, panel, quality, scoring, simulate, timeindex, validation
+from ..operators import baskets, diagnostics, episodes, features, metrics, models, network, panel, quality, scan, scoring, simulate, timeindex, validation
 from ..sources import panels, raw, stage
 from . import logit_sql
 from .oracle import NEEDED, SIMPLE, THRESHOLD, WINDOW, build, long_sql, metric_sql, rank_sql, threshold_sql
@@ -38,6 +38,9 @@ def query(select: str | None = None, doubles: str = "") -> Callable:
     return put
 
 
+#: Rolling columns within scan.framed().
+_AT = {"order": "_i", "partition": ("_part",)}
+
 # Parts that queries share.
 
 
@@ -191,13 +194,13 @@ _IDX = "(SELECT period, row_number() OVER (ORDER BY period) AS n, log_flow FROM
 @query(f"SELECT period, CASE WHEN count(log_flow) OVER w >= 7 THEN sum(log_flow) OVER w END AS sum7, CASE WHEN count(log_flow) OVER v >= 30 THEN stddev_samp(log_flow) OVER v END AS std30 FROM {_IDX} WINDOW w AS (ORDER BY n ROWS BETWEEN 6 PRECEDING AND CURRENT ROW), v AS (ORDER BY n ROWS BETWEEN 29 PRECEDING AND CURRENT ROW)", "sum7 std30")
 def rolling_sum_std(spark, sf):
     f = _flows(spark, sf)
-    f = f.join(timeindex.dense_index(f), "period")
-    return f.select("period", timeindex.rolling_sum("log_flow", 7).alias("sum7"), timeindex.rolling_std("log_flow", 30).alias("std30"))
+    out = scan.framed(f, ["period"], 29, 0, lambda _: {"sum7": timeindex.rolling_sum("log_flow", 7, **_AT), "std30": timeindex.rolling_std("log_flow", 30, **_AT)})
+    return out.select("period", "sum7", "std30")
 
 
 @query("SELECT period, n, forward, CASE WHEN forward IS NOT NULL THEN CAST(forward <= ln(0.95) AS INTEGER) END AS label FROM (SELECT period, n, CASE WHEN count(equal_weight) OVER w >= 7 THEN sum(equal_weight) OVER w END AS forward FROM b_eq WINDOW w AS (ORDER BY n ROWS BETWEEN 1 FOLLOWING AND 7 FOLLOWING))", "forward")
 def forward_label(spark, sf):
-    b = baskets.equal_weight(_cells(spark, sf)).withColumn("forward", timeindex.forward_sum("equal_weight", 7))
+    b = scan.framed(baskets.equal_weight(_cells(spark, sf)), ["n"], 0, 7, lambda _: {"forward": timeindex.forward_sum("equal_weight", 7, **_AT)})
     return b.select("period", "n", "forward", timeindex.stress_label(F.col("forward"), log_drawdown(0.05)).alias("label"))
 
 
@@ -565,10 +568,10 @@ def target_sensitivity(spark, sf):
     """Holdout metrics under each of the five basket targets."""
     start = _split(spark, sf).agg(F.max("holdout_start").alias("holdout_start"))
     b, f = _baskets(spark, sf), _frame(spark, sf).drop("label")
+    labels = scan.framed(b, ["n"], 0, 7, lambda _: {f"label_{k}": timeindex.stress_label(timeindex.forward_sum(k, 7, **_AT), log_drawdown(0.05)) for k in baskets.BASKETS})
     out = None
     for k in baskets.BASKETS:
-        label = b.withColumn("label", timeindex.stress_label(timeindex.forward_sum(k, 7), log_drawdown(0.05))).select("period", "label")
-        one = _task(features.valid_rows(f.join(label, "period")), k)
+        one = _task(features.valid_rows(f.join(labels.select("period", F.col(f"label_{k}").alias("label")), "period")), k)
         out = one if out is None else out.unionByName(one)
     out = stage.staged(scoring.with_roles(out.crossJoin(F.broadcast(start)), 7), "targets")  # start has one row
     chosen, _ = models.select_features(out.where("role = 'train'"))
@@ -637,7 +640,8 @@ def residual_models(spark, sf):
     s = stage.staged(scoring.purged_split(features.valid_rows(f)), "split")
     start = s.agg(F.max("holdout_start").alias("holdout_start"))
     raw = scoring.scaled(s, features.COMPONENTS).where("role = 'test'").select(F.lit("raw").alias("specification"), "label", scoring.weighted(features.WEIGHTS).alias("score"))
-    own = f.select("period", "n", F.col("residual_correlation").alias("correlation"), F.col("residual_density").alias("density"), "contraction", F.col("residual_volatility").alias("volatility"), F.col("residual_breadth").alias("breadth"), "label", timeindex.stress_label(timeindex.forward_sum("residual_return", 7), log_drawdown(0.05)).alias("residual_label"))
+    f = scan.framed(f, ["n"], 0, 7, lambda _: {"residual_label": timeindex.stress_label(timeindex.forward_sum("residual_return", 7, **_AT), log_drawdown(0.05))})
+    own = f.select("period", "n", F.col("residual_correlation").alias("correlation"), F.col("residual_density").alias("density"), "contraction", F.col("residual_volatility").alias("volatility"), F.col("residual_breadth").alias("breadth"), "label", "residual_label")
     out = raw
     for name, label in (("residual", "label"), ("residual_target", "residual_label")):
         one = own.withColumn("label", F.col(label)).drop("residual_label").dropna().crossJoin(F.broadcast(start))  # one row
