@@ -187,6 +187,7 @@ ASSUMPTIONS = [
 ]
 
 
-def assumptions(spark: SparkSession) -> DataFrame:
-    """What the scenarios assume, as a table."""
-    return spark.createDataFrame(ASSUMPTIONS, "assumption string, detail string")
+def assumptions(cells: DataFrame) -> DataFrame:
+    """What the scenarios assume, beside the extent of the panel that they are drawn from."""
+    extent = cells.agg(F.countDistinct("entity").alias("entities"), F.countDistinct("period").alias("periods"), F.count("ret").alias("n_returns"), F.count_if(F.col("ret").isNull()).alias("n_missing"))
+    return cells.sparkSession.createDataFrame(ASSUMPTIONS, "assumption string, detail string").crossJoin(F.broadcast(extent))  # one row

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import log_drawdown, tidy
 from ..operators import baskets, diagnostics, episodes, features, metrics, models, network, panel, quality, scan, scoring, simulate, timeindex, validation
-from ..sources import panels, raw, stage
+from ..sources import landed, panels, raw, stage
 from . import logit_sql
 from .oracle import NEEDED, SIMPLE, THRESHOLD, WINDOW, build, long_sql, metric_sql, rank_sql, threshold_sql
 
@@ -579,7 +580,16 @@ def target_sensitivity(spark, sf):
     return metrics.rank_metrics(scores, ["task", "model"])
 
 
-@query()
+def _inverse_sql() -> str:
+    """Diagonals of the inverses of the samples' correlation matrices, by elimination on rows beside the unit matrix."""
+    n = len(features.COMPONENTS)
+    row = lambda a, i: "[" + ", ".join([*[f"CASE WHEN '{a}' = '{b}' THEN 1.0::DOUBLE ELSE covar_samp({a}, {b}) / (stddev_samp({a}) * stddev_samp({b})) END" for b in features.COMPONENTS], *[f"{float(i == j)}::DOUBLE" for j in range(n)]]) + "]"
+    first = f"SELECT role, 1 AS k, [{', '.join(row(a, i) for i, a in enumerate(features.COMPONENTS))}] AS m FROM split WHERE role <> 'purge' GROUP BY role"
+    step = f"SELECT role, k + 1, list_transform(m, lambda r, i: CASE WHEN i = k THEN list_transform(m[k], lambda x: x / m[k][k]) ELSE list_transform(r, lambda x, j: x - r[k] * m[k][j] / m[k][k]) END) FROM g WHERE k <= {n}"
+    return f"WITH RECURSIVE g AS ({first} UNION ALL {step}) SELECT role, unnest({list(features.COMPONENTS)!r}) AS component, unnest([{', '.join(f'm[{k}][{n + k}]' for k in range(1, n + 1))}]) AS vif FROM g WHERE k = {n + 1}"
+
+
+@query(f"SELECT * FROM ({_inverse_sql()})", "vif")
 def variance_inflation(spark, sf):
     return models.variance_inflation(diagnostics.component_correlations(_split(spark, sf).where("role <> 'purge'")))
 
@@ -730,9 +740,10 @@ def historical_tail(spark, sf):
     return simulate.historical_tail(_cells(spark, sf))
 
 
-@query("SELECT * FROM (VALUES " + ", ".join("('{}', '{}')".format(*(x.replace("'", "''") for x in row)) for row in simulate.ASSUMPTIONS) + ") AS v(assumption, detail)")
+@query("SELECT * FROM (VALUES " + ", ".join("('{}', '{}')".format(*(x.replace("'", "''") for x in row)) for row in simulate.ASSUMPTIONS) + ") AS v(assumption, detail), (SELECT count(DISTINCT entity) AS entities, count(DISTINCT period) AS periods, count(ret) AS n_returns, count(*) - count(ret) AS n_missing FROM cells)")
 def scenario_assumptions(spark, sf):
-    return simulate.assumptions(spark)
+    """What the cascades assume, beside the extent of the panel that they are drawn from."""
+    return simulate.assumptions(_cells(spark, sf))
 
 
 # Raw documents, checks, report tables.
@@ -744,37 +755,51 @@ def raw_flatten(spark, sf):
     return panels.table(spark, sf, "events").select("event_id", F.from_json("props", "k bigint")["k"].alias("k"))
 
 
+def _landed(spark: SparkSession, documents: DataFrame, name: str, says: dict | None = None) -> str:
+    """The documents (kind, stem, document) landed as a snapshot in the shared folder, beside one that holds nothing of use."""
+    folder = f"{stage.shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    landed.land(documents, folder, "new", says)
+    landed.land(documents.limit(1).withColumn("document", F.lit('{"not": "read"}')), folder, "old")
+    return folder
+
+
 _LANDED = "SELECT entity, category, period, value, 86400 * CAST(period - DATE '1970-01-01' AS BIGINT) + 3600 AS observed_at FROM p1 WHERE period IS NOT NULL"
 
 
 @query(f"SELECT period, observed_at, entity, 'entity ' || entity AS name, 'category ' || category AS category, value FROM ({_LANDED})", "value")
 def landed_history(spark, sf):
-    """JSON documents, one for each entity with its whole history, taken apart again; the documents have no names."""
-    p = panels.lineitem_panel(spark, sf)
+    """Documents of an entity's year each, landed as files and read from there; the documents have no names."""
+    p = panels.lineitem_panel(spark, sf).where("period IS NOT NULL")
     item = F.struct((F.unix_date("period").cast("long") * 86400 + 3600).alias("date"), F.col("value").alias("totalLiquidityUSD"))
-    text = p.groupBy("entity", "category").agg(F.to_json(F.struct(F.collect_list(item).alias("tvl"))).alias("text"))  # a document is one entity's periods
-    docs = text.select("entity", "category", F.from_json("text", raw.HISTORY).alias("d")).select("entity", "category", "d.*")
+    own = p.groupBy("entity", "category", F.year("period").alias("y")).agg(F.collect_list(item).alias("tvl"))  # a year's days
+    folder = _landed(spark, own.select(F.lit("raw").alias("kind"), F.concat_ws("-", "entity", "category", "y").alias("stem"), F.to_json(F.struct("tvl")).alias("document")), "history")
+    docs = landed.read_landed(spark, folder, "new").withColumn("d", F.from_json("document", raw.HISTORY)).withColumn("at", F.split("file", "-"))
+    docs = docs.select(F.col("at")[0].cast("int").alias("entity"), F.col("at")[1].alias("category"), "d.*")
     return raw.entity_history(docs, F.col("entity"), F.concat(F.lit("entity "), "entity"), F.concat(F.lit("category "), "category"))
 
 
 @query("SELECT period, 86400 * CAST(period - DATE '1970-01-01' AS BIGINT) AS observed_at, value FROM s1", "value")
 def landed_series(spark, sf):
-    """JSON rows of a nested aggregate series, taken apart again; every seventh has no value beside its own and is left out."""
-    rows = panels.order_series(spark, sf).select(F.struct((F.unix_date("period").cast("long") * 86400).alias("date"), F.struct(F.col("value").alias("peggedUSD")).alias("totalCirculatingUSD")).alias("r"))
-    empty = rows.select(F.struct(F.col("r.date"), F.struct(F.lit(None).cast("double").alias("peggedUSD")).alias("totalCirculatingUSD")).alias("r")).where("pmod(r.date div 86400, 7) = 0")
-    text = rows.unionByName(empty).select(F.to_json("r").alias("text"))
-    return raw.aggregate_series(text.select(F.from_json("text", raw.SERIES).alias("d")).select("d.*"))
+    """A nested aggregate series, landed by year and read from there; every seventh has no value beside its own and is left out."""
+    day = F.struct((F.unix_date("period").cast("long") * 86400).alias("date"), F.struct(F.col("value").alias("peggedUSD")).alias("totalCirculatingUSD"))
+    rows = panels.order_series(spark, sf).select(F.year("period").alias("y"), day.alias("r"))
+    empty = rows.select("y", F.struct(F.col("r.date"), F.struct(F.lit(None).cast("double").alias("peggedUSD")).alias("totalCirculatingUSD")).alias("r")).where("pmod(r.date div 86400, 7) = 0")
+    years = rows.unionByName(empty).groupBy("y").agg(F.to_json(F.collect_list("r")).alias("document"))  # a year's days
+    folder = _landed(spark, years.select(F.lit("raw").alias("kind"), F.concat(F.lit("series-"), "y").alias("stem"), "document"), "series")
+    docs = landed.read_landed(spark, folder, "new")
+    return raw.aggregate_series(docs.select(F.inline(F.from_json("document", f"array<struct<{raw.SERIES.replace('date bigint', 'date: bigint').replace('totalCirculatingUSD struct', 'totalCirculatingUSD: struct')}>>"))))
 
 
 @query("SELECT period, level, 86400 * CAST(period - DATE '1970-01-01' AS BIGINT) - 60 AS observed_at FROM f1 WHERE period <= DATE '2000-12-31'", "level")
 def landed_factor(spark, sf):
-    """Factor prices a minute before midnight, in JSON chunks by year and single gap documents, up to a cut-off day."""
+    """Factor prices a minute before midnight, landed as chunks by year and single gap files, up to the manifest's cut-off day."""
     f = panels.quantity_factor(spark, sf).withColumn("timestamp", F.unix_date("period").cast("long") * 86400 - 60)
     alone = F.dayofmonth("period") == 13
-    chunk = f.where(~alone).groupBy(F.year("period").alias("y")).agg(F.collect_list(F.struct("timestamp", F.col("level").alias("price"))).alias("prices"))  # a year's days
-    docs = [chunk.select(F.struct("prices").alias("x")), f.where(alone).select(F.struct("timestamp", F.col("level").alias("price")).alias("x"))]
-    chunks, gaps = (d.select(F.from_json(F.to_json(F.struct(F.create_map(F.lit("q"), "x").alias("coins"))), raw.FACTOR).alias("d")).select("d.*") for d in docs)
-    return raw.factor_prices(chunks, gaps, "q", "2000-12-31").select("period", "level", "observed_at")
+    chunk = f.where(~alone).groupBy(F.year("period").cast("string").alias("stem")).agg(F.collect_list(F.struct("timestamp", F.col("level").alias("price"))).alias("prices"))  # a year's days
+    docs = [chunk.select(F.lit("raw").alias("kind"), "stem", F.struct("prices").alias("x")), f.where(alone).select(F.lit("gap").alias("kind"), F.concat(F.lit("gap-"), F.col("period").cast("string")).alias("stem"), F.struct("timestamp", F.col("level").alias("price")).alias("x"))]
+    chunks, gaps = (d.select("kind", "stem", F.to_json(F.struct(F.create_map(F.lit("q"), "x").alias("coins"))).alias("document")) for d in docs)
+    folder = _landed(spark, chunks.unionByName(gaps), "factor", {"coin_identifier": "q", "sample_cutoff": "2000-12-31"})
+    return raw.factor_from_landed(spark, folder, "new").select("period", "level", "observed_at")
 
 
 # The summary: one row for each figure.
@@ -864,7 +889,9 @@ def dq_report(spark, sf):
     told = _facts(_summary_scores(spark, sf), **{f"{k}_average_precision": f"{k}_average_precision" for k in ("heuristic", "series_only")})
     found = metrics.metric_rows(s.where("role = 'test'"), _thresholds(s), ["model"]).where("model IN ('heuristic', 'series_only')")
     found = found.select(F.concat("model", F.lit("_average_precision")).alias("quantity"), F.col("average_precision").alias("value"))
-    grid = spark.createDataFrame([(s[0],) for s in simulate.scenario_rows() if s[0].startswith("grid")], "scenario string")
+    kinds = [(x[0], x[6], x[3]) for x in simulate.scenario_rows() if x[0].startswith("grid")]
+    edges = network.latest_edges_of(_cells(spark, sf), "ret", sorted({x[1:] for x in kinds})).groupBy("window", "threshold").agg(F.count(F.lit(1)).alias("edges"))
+    grid = spark.createDataFrame(kinds, "scenario string, window int, threshold double").join(edges, ["window", "threshold"], "left").groupBy("scenario").agg(F.coalesce(F.sum("edges"), F.lit(0)).alias("edges")).where("edges >= 0")
     return quality.report(
         [
             quality.unique(panels.lineitem_panel(spark, sf), ["entity", "period"], "panel keys are unique"),

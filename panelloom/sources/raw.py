@@ -78,6 +78,15 @@ def factor_from_manifest(spark: SparkSession, folder: str, manifest: str) -> Dat
     return factor_prices(read_json(spark, at(m["raw_files"]), FACTOR), gaps, m["coin_identifier"], m.get("sample_cutoff"))
 
 
+def factor_from_landed(spark: SparkSession, folder: str, snapshot: str) -> DataFrame:
+    """The factor series of a landed snapshot: its manifest's coin_identifier, chunks, gap files and sample_cutoff."""
+    from .landed import manifest_of, read_landed
+
+    m = manifest_of(folder, snapshot)
+    chunks, gaps = (read_landed(spark, folder, snapshot, k).select(F.from_json("document", FACTOR).alias("d")).select("d.*") for k in ("raw", "gap"))
+    return factor_prices(chunks, gaps if m.get("gap_files") else None, m["coin_identifier"], m.get("sample_cutoff"))
+
+
 def write_snapshot(df: DataFrame, folder: str, keys: list[str], stamp: str | None = None) -> tuple[str, dict[str, Any]]:
     """Write df to a new snapshot folder, never over an old one; returns its path and the counts for a manifest."""
     from ..operators.panel import duplicate_keys
@@ -96,13 +105,34 @@ def register(tables: dict[str, DataFrame]) -> None:
 
 
 def full_refresh(tables: dict[str, DataFrame], folder: str) -> dict[str, str]:
-    """Every table written anew in place of its last version; returns their paths."""
-    paths = {name: f"{folder}/{name}" for name in tables}
+    """All tables written as one new version of folder; returns their paths.
+
+    A version is a folder of its own; readers follow the pointer `_current`, which is replaced only after every table is
+    there. A refresh that fails leaves the version before as it was.
+    """
+    from .landed import _at
+
+    version = f"version={datetime.now(UTC).strftime('%Y%m%dT%H%M%S%fZ')}"
+    paths = {name: f"{folder}/{version}/{name}" for name in tables}
     for name, df in tables.items():
-        df.write.mode("overwrite").parquet(paths[name])
+        df.write.mode("errorifexists").parquet(paths[name])
+    system, top = _at(folder)
+    with system.open_output_stream(f"{top}/_next") as f:
+        f.write(json.dumps({"version": version, "tables": sorted(tables)}).encode())
+    system.move(f"{top}/_next", f"{top}/_current")
     return paths
 
 
+def current(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """The tables of the last complete refresh."""
+    from .landed import _at
+
+    system, top = _at(folder)
+    with system.open_input_stream(f"{top}/_current") as f:
+        m = json.loads(f.read())
+    return {name: spark.read.parquet(f"{folder}/{m['version']}/{name}") for name in m["tables"]}
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     """One CSV file with a header, for small results."""
     df.coalesce(1).write.mode("overwrite").csv(path, header=True)

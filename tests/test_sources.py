@@ -43,3 +43,42 @@ def test_snapshots(spark, tmp_path):
     assert raw.read_csv(spark, str(tmp_path / "csv"), "k string, n int").count() == 3
     raw.write_summary({"b": 1, "a": dt.date(2024, 1, 1)}, str(tmp_path / "x.json"))
     assert json.loads((tmp_path / "x.json").read_text()) == {"a": "2024-01-01", "b": 1}
+
+
+def test_landed_snapshots(spark, tmp_path):
+    from panelloom.sources import landed
+
+    docs = spark.createDataFrame([("raw", "a", '{"x": 1}'), ("raw", "b", '{"x": 2}'), ("gap", "c", '{"x": 3}')], "kind string, stem string, document string").repartition(3)
+    for s in ("s1", "s2"):
+        landed.land(docs, str(tmp_path), s, {"note": s})
+    df = landed.read_landed(spark, str(tmp_path))
+    assert df.rdd.getNumPartitions() == 6 and df.count() == 6
+    own = landed.read_landed(spark, str(tmp_path), "s2", "raw")
+    assert own.rdd.getNumPartitions() == 2  # files of other snapshots and kinds are not even planned
+    assert sorted((r.file, r.document) for r in own.collect()) == [("a.json.gz", '{"x": 1}'), ("b.json.gz", '{"x": 2}')]
+    assert df.where("kind = 'gap'").unionByName(df.where("kind = 'raw'")).count() == 6 and landed.read_landed(spark, str(tmp_path), "none").count() == 0
+    at = tmp_path / "snapshot_id=s1"
+    (at / "a.json").write_text('{"x": "plain"}')
+    assert df.where("file = 'a.json'").count() == 0  # the compressed one comes first
+    (at / "a.json.gz").unlink()
+    assert [r.document for r in df.where("file = 'a.json'").collect()] == ['{"x": "plain"}']
+    (at / "a.json").write_text(" \n")
+    with pytest.raises(Exception, match="is empty"):
+        df.collect()
+    (at / "a.json").unlink()
+    with pytest.raises(Exception, match="no .*a.json.gz or"):
+        df.collect()
+    assert landed.read_landed(spark, str(tmp_path), "s2").count() == 3  # the broken snapshot is left alone
+
+
+def test_refresh_is_one(spark, tmp_path):
+    at = str(tmp_path)
+    raw.full_refresh({"a": spark.range(3), "b": spark.range(4)}, at)
+    broken = spark.range(2).selectExpr("raise_error('no luck') AS id")
+    with pytest.raises(Exception, match="no luck"):
+        raw.full_refresh({"a": spark.range(9), "b": broken}, at)
+    assert {k: df.count() for k, df in raw.current(spark, at).items()} == {"a": 3, "b": 4}
+    paths = raw.full_refresh({"a": spark.range(9), "b": spark.range(1)}, at)
+    assert {k: df.count() for k, df in raw.current(spark, at).items()} == {"a": 9, "b": 1} and spark.read.parquet(paths["a"]).count() == 9
+    with pytest.raises(FileNotFoundError):
+        raw.current(spark, str(tmp_path / "none"))
