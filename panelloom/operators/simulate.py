@@ -9,6 +9,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.stage import staged
 from .metrics import rank_metrics
 from .network import latest_edges_of
 from .scan import Ordered, framed, numbered
@@ -124,43 +125,88 @@ def _struck(r: int, seed: int, jitter: bool) -> Column:
     return F.when(F.col("rounds") >= r, F.transform("incoming", struck)).otherwise(F.transform("line", lambda x: F.lit(None).cast("double")))
 
 
-def cascade(cells: DataFrame, scenarios: list[tuple], seed: int = SEED, losses: DataFrame | None = None, edges: DataFrame | None = None, jitter: bool = True) -> DataFrame:
+#: Entities, and rows of loss tails, up to which a path is a row with arrays of all entities (a graph of at most WHOLE squared edges is broadcast).
+WHOLE, WHOLE_TAILS = 400, 1_000_000
+
+
+def cascade(cells: DataFrame, scenarios: list[tuple], seed: int = SEED, losses: DataFrame | None = None, edges: DataFrame | None = None, jitter: bool = True, whole: int = WHOLE) -> DataFrame:
     """One row for each scenario: mean, 95th and 99th percentile of the weighted loss, P(loss > 10 %), mean number hit.
 
     An entity is drawn by weight and a shock from its tail; in each round the entities hit last pass it on along edges
     to those not hit yet, and several shocks combine to 1 - prod(1 - v). Shocks are capped; an entity is hit once.
-    A path is a row that holds a shock for each entity, so rounds run in place without a shuffle; edges and
-    weights come along as arrays, which grow with the entities, not with the paths. If a path draws an entity without a
-    tail, the query fails.
+    Counts decide how: a small graph comes along with each path as arrays (_in_rows), a larger one stays a table of edges
+    that the last round's hits are joined with (_by_edges). If a path draws an entity without a tail, the query fails.
     """
     spark: SparkSession = cells.sparkSession
     table = spark.createDataFrame([(i, *s) for i, s in enumerate(scenarios)], "sid int, " + SCENARIO)
     losses = seven_day_losses(cells) if losses is None else losses
     edges = latest_edges_of(cells, "ret", sorted({(s[6], s[3]) for s in scenarios})) if edges is None else edges
-    ents = numbered(cells.select("entity").distinct(), ["entity"], "e", 0).withColumn("e", F.col("e").cast("int"))
-    line = lambda kind: weights(cells, kind).join(ents, "entity").agg(F.sort_array(F.collect_list(F.struct("e", "w", "below"))).alias("line")).withColumn("weighting", F.lit(kind))
-    lines = reduce(DataFrame.unionByName, [line(k) for k in sorted({s[7] for s in scenarios})])
-    tails = all_tails(losses, sorted({(s[4], s[5]) for s in scenarios})).join(ents, "entity")
-    tails = tails.groupBy("e", "tail", "cap").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "loss"))), lambda x: x["loss"]).alias("losses"))  # at most an entity's periods
+    ents = staged(numbered(cells.select("entity").distinct(), ["entity"], "e", 0).withColumn("e", F.col("e").cast("int")), "entities")
+    tails = staged(all_tails(losses, sorted({(s[4], s[5]) for s in scenarios})).join(ents, "entity"), "tails")
+    size, kinds = ents.count(), sorted({s[7] for s in scenarios})  # counts come from the files' footers
+    shares = staged(reduce(DataFrame.unionByName, [weights(cells, k).join(ents, "entity").withColumn("weighting", F.lit(k)) for k in kinds]), "weights")
+    rounds = max(s[2] for s in scenarios)
+    # The paths are dealt over all tasks.
+    paths = table.select("sid", F.explode(F.expr("sequence(1L, paths)")).alias("path")).repartition(spark.sparkContext.defaultParallelism * 2, "sid", "path")
+    few = size <= whole and tails.count() <= WHOLE_TAILS
+    per = (_in_rows if few else _by_edges)(table, paths, ents, edges, tails, shares, rounds, size, seed, jitter)
+    q = F.percentile("loss", F.array(F.lit(0.95), F.lit(0.99)))
+    got = per.groupBy("sid").agg(F.avg("loss").alias("mean_loss"), q.alias("q"), F.avg((F.col("loss") > 0.10).cast("double")).alias("probability_over_10pct"), F.avg("hit").alias("mean_hit"))
+    return table.join(got, "sid").select("scenario", "multiplier", "rounds", "threshold", "tail", "cap", "window", "weighting", "paths", "mean_loss", F.col("q")[0].alias("p95_loss"), F.col("q")[1].alias("p99_loss"), "probability_over_10pct", "mean_hit")
+
+
+def _no_tail(missing: Column, value: Column) -> Column:
+    return F.when(missing, F.raise_error(F.lit("a path draws an entity without a loss tail"))).otherwise(value)
+
+
+def _in_rows(table: DataFrame, paths: DataFrame, ents: DataFrame, edges: DataFrame, tails: DataFrame, shares: DataFrame, rounds: int, size: int, seed: int, jitter: bool) -> DataFrame:
+    """(sid, path, loss, hit) where a path is a row that holds a shock for each entity: rounds run in place, without a shuffle."""
+    lines = shares.groupBy("weighting").agg(F.sort_array(F.collect_list(F.struct("e", "w", "below"))).alias("line"))
+    tails = tails.groupBy("e", "tail", "cap").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "loss"))), lambda x: x["loss"]).alias("losses"))
     facts = table.join(lines, "weighting").join(_incoming(ents, edges), ["window", "threshold"], "left")
     facts = facts.withColumn("incoming", F.coalesce("incoming", F.transform("line", lambda x: F.array().cast("array<struct<src:int,rho:double>>"))))
-    # One row for each scenario until here; the paths are dealt over all tasks.
-    paths = table.select("sid", F.explode(F.expr("sequence(1L, paths)")).alias("path")).repartition(spark.sparkContext.defaultParallelism * 2, "sid", "path")
-    paths = paths.join(F.broadcast(facts), "sid").withColumn("u", unit(seed, F.col("sid"), F.col("path"), F.lit(0)))  # as many rows as scenarios
+    paths = paths.join(F.broadcast(facts), "sid").withColumn("u", unit(seed, F.col("sid"), F.col("path"), F.lit(0)))  # a row for each scenario, of at most WHOLE entities
     # The last entity whose interval begins at or below the number: the last interval is open.
     drawn = F.element_at(F.filter("line", lambda x: (x["w"] > 0) & (x["below"] <= F.col("u"))), -1)["e"]
-    paths = paths.withColumn("e", drawn).join(F.broadcast(tails), ["e", "tail", "cap"], "left")  # as many rows as entities x kinds of tails
+    paths = paths.withColumn("e", drawn).join(F.broadcast(tails), ["e", "tail", "cap"], "left")  # at most WHOLE_TAILS losses
     k = draw(seed, F.col("sid"), F.col("path"), F.lit(1)) % F.size("losses")
-    shock = F.when(F.col("losses").isNull(), F.raise_error(F.lit("a path draws an entity without a loss tail"))).otherwise(F.least(F.get("losses", k.cast("int")), F.col("cap")))
-    paths = paths.withColumn("shock", shock)
+    paths = paths.withColumn("shock", _no_tail(F.col("losses").isNull(), F.least(F.get("losses", k.cast("int")), F.col("cap"))))
     paths = paths.withColumn("hit", F.transform("line", lambda x: F.when(x["e"] == F.col("e"), F.col("shock")))).withColumn("front", F.col("hit"))
-    for r in range(1, max(s[2] for s in scenarios) + 1):
+    for r in range(1, rounds + 1):
         paths = paths.withColumn("front", _struck(r, seed, jitter)).withColumn("hit", F.zip_with("hit", "front", lambda a, b: F.coalesce(a, b)))
     loss = F.aggregate(F.zip_with("line", "hit", lambda x, h: x["w"] * F.coalesce(h, F.lit(0.0))), F.lit(0.0), lambda a, x: a + x)
-    per = paths.select("sid", loss.alias("loss"), F.size(F.filter("hit", lambda h: h > 0)).alias("hit"))
-    q = F.percentile("loss", F.array(F.lit(0.95), F.lit(0.99)))
-    got = per.groupBy("sid").agg(F.avg("loss").alias("mean_loss"), q.alias("q"), F.avg((F.col("loss") > 0.10).cast("double")).alias("probability_over_10pct"), F.avg("hit").alias("mean_hit"))
-    return table.join(got, "sid").select("scenario", "multiplier", "rounds", "threshold", "tail", "cap", "window", "weighting", "paths", "mean_loss", F.col("q")[0].alias("p95_loss"), F.col("q")[1].alias("p99_loss"), "probability_over_10pct", "mean_hit")
+    return paths.select("sid", "path", loss.alias("loss"), F.size(F.filter("hit", lambda h: h > 0)).alias("hit"))
+
+
+def _by_edges(table: DataFrame, paths: DataFrame, ents: DataFrame, edges: DataFrame, tails: DataFrame, shares: DataFrame, rounds: int, size: int, seed: int, jitter: bool) -> DataFrame:
+    """(sid, path, loss, hit) where an entity hit is a row: each round joins the last hits with the edges and leaves out who was hit before."""
+    number = lambda c: ents.select(F.col("entity").alias(c), F.col("e").alias(f"{c}_e"))
+    links = edges.where("rho > 0").join(number("src"), "src").join(number("dst"), "dst").select("window", "threshold", F.col("src_e").alias("e"), F.col("dst_e").alias("dst"), "rho")
+    links = staged(links, "links")
+    own = "sid path multiplier rounds cap window threshold".split()
+    paths = paths.join(F.broadcast(table), "sid").withColumn("u", unit(seed, F.col("sid"), F.col("path"), F.lit(0)))  # a row for each scenario
+    # As many bins of [0, 1) as entities: an entity stands in each bin that its interval meets, a path in one.
+    bin_of = lambda c: F.least(F.greatest(F.floor(c * size), F.lit(0)), F.lit(size - 1))
+    lasts = shares.where("w > 0").groupBy("weighting").agg(F.max("e").alias("last"))
+    some = shares.where("w > 0").join(F.broadcast(lasts), "weighting")  # a row for each weighting
+    end = F.when(F.col("e") == F.col("last"), F.lit(1.0)).otherwise(F.col("below") + F.col("w"))
+    cover = some.select("weighting", "e", "below", F.explode(F.sequence(bin_of(F.col("below")), bin_of(end))).alias("bin"))
+    met = paths.withColumn("bin", bin_of(F.col("u"))).join(cover, ["weighting", "bin"]).where("below <= u")
+    drawn = met.groupBy(*own, "tail", "weighting").agg(F.max("e").alias("e"))
+    sizes = tails.select("e", "tail", "cap", "size").distinct()
+    drawn = drawn.join(sizes, ["e", "tail", "cap"], "left").withColumn("k", _no_tail(F.col("size").isNull(), draw(seed, F.col("sid"), F.col("path"), F.lit(1)) % F.col("size")))
+    front = drawn.join(tails.select("e", "tail", "cap", "k", "loss"), ["e", "tail", "cap", "k"]).select(*own, "e", F.least("loss", "cap").alias("shock"))
+    front = staged(front, "front")
+    hit = front.select("sid", "path", "e", "shock")
+    for r in range(1, rounds + 1):
+        factor = F.lit(0.75) + 0.5 * unit(seed, F.col("sid"), F.col("path"), F.lit(r + 1), F.col("e").cast("long") * size + F.col("dst")) if jitter else F.lit(1.0)
+        v = F.least(F.col("shock") * F.col("multiplier") * F.col("rho") * factor, F.col("cap"))
+        passed = front.where(F.col("rounds") >= r).join(links, ["window", "threshold", "e"]).withColumn("v", v).drop("e").withColumnRenamed("dst", "e").where("v > 0")
+        passed = passed.join(hit.select("sid", "path", "e"), ["sid", "path", "e"], "left_anti")
+        front = staged(passed.groupBy(*own, "e").agg(F.sum(F.ln(1.0 - F.col("v"))).alias("left")).select(*own, "e", F.least(1.0 - F.exp("left"), "cap").alias("shock")), "front")
+        hit = hit.unionByName(front.select("sid", "path", "e", "shock"))
+    each = hit.join(F.broadcast(table.select("sid", "weighting")), "sid").join(shares.select("weighting", "e", "w"), ["weighting", "e"])  # a row for each scenario
+    return each.groupBy("sid", "path").agg(F.sum(F.col("w") * F.col("shock")).alias("loss"), F.count_if(F.col("shock") > 0).alias("hit"))
 
 
 def historical_tail(cells: DataFrame, days: int = 7) -> DataFrame:
