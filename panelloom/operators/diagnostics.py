@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .features import COMPONENTS, WEIGHTS
 from .metrics import pearson, rank_metrics
+from .quantiles import percentiles
 from .scoring import fit_scaler, long_scores, mean_of, scaled, weighted
 
 
@@ -32,8 +33,8 @@ def associations(frame: DataFrame, columns: tuple[str, ...] = COMPONENTS) -> Dat
 
 
 def distributions(frame: DataFrame, columns: tuple[str, ...] = COMPONENTS) -> DataFrame:
-    q = F.percentile("x", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    got = unpivot(frame, columns).where("label IS NOT NULL").groupBy("role", "component", F.col("label").alias("event")).agg(F.count(F.lit(1)).alias("observations"), F.avg("x").alias("mean"), q.alias("q"))
+    x, keys = unpivot(frame, columns).where("label IS NOT NULL").withColumnRenamed("label", "event"), ["role", "component", "event"]
+    got = x.groupBy(*keys).agg(F.count(F.lit(1)).alias("observations"), F.avg("x").alias("mean")).join(percentiles(x, keys, ("x",), [0.25, 0.5, 0.75]), keys, "left")
     return got.select("role", "component", "event", "observations", "mean", F.col("q")[1].alias("median"), F.col("q")[0].alias("p25"), F.col("q")[2].alias("p75"))
 
 

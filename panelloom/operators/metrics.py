@@ -5,12 +5,11 @@ Scores are grouped first, so that ties form one point and windows run over disti
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scan import ROWS, Ordered
+from .quantiles import percentiles
+from .scan import ROWS, below_and_all
 from .scoring import clip_score
 
 MAX_ALERT_RATE = 0.30
@@ -27,21 +26,11 @@ def rank_metrics(df: DataFrame, keys: list[str], label: str = "label", score: st
     Over `rows` distinct scores and more, counts up to each score come from ranges of (keys, score), so that a key
     may have any number of scores; below that, from a window for each key.
     """
-    o = Ordered.of(_points(df, keys, label, score), [*keys, "_x"], rows)
-    if o.parts == 1:
-        up = Window.partitionBy(*keys).orderBy("_x").rowsBetween(Window.unboundedPreceding, -1)
-        g = o.result().withColumns({"_lp": F.coalesce(F.sum("_p").over(up), F.lit(0)), "_ln": F.coalesce(F.sum("_n").over(up), F.lit(0))})
-        whole = Window.partitionBy(*keys)
-        g = g.withColumns({"_pos": F.sum("_p").over(whole), "_all": F.sum("_n").over(whole)})
-    else:
-        g = o.sums({"_lp": F.col("_p"), "_ln": F.col("_n")}).result().withColumns({"_lp": F.col("_lp") - F.col("_p"), "_ln": F.col("_ln") - F.col("_n")})
-        each = g.groupBy(*[F.col(k).alias(f"_k_{k}") for k in keys]).agg(F.min("_lp").alias("_bp"), F.min("_ln").alias("_bn"), F.sum("_p").alias("_pos"), F.sum("_n").alias("_all"))
-        same = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys])
-        g = g.join(each, same).withColumns({"_lp": F.col("_lp") - F.col("_bp"), "_ln": F.col("_ln") - F.col("_bn")})
-    # _lp and _ln are positives and rows of lower scores; at or above a score is all the rest.
-    pos, n = F.max("_pos"), F.max("_all")
-    ap = F.try_divide(F.sum(F.col("_p") * (F.col("_pos") - F.col("_lp")) / (F.col("_all") - F.col("_ln"))), F.when(pos > 0, pos))
-    ranks = F.sum(F.col("_p") * (F.col("_ln") + (F.col("_n") + 1) / 2.0))
+    g = below_and_all(_points(df, keys, label, score), keys, ["_x"], {"_lp": "_p", "_ln": "_n"}, rows)
+    # At or above a score is all that is not below it.
+    pos, n = F.max("_lp_all"), F.max("_ln_all")
+    ap = F.try_divide(F.sum(F.col("_p") * (F.col("_lp_all") - F.col("_lp_below")) / (F.col("_ln_all") - F.col("_ln_below"))), F.when(pos > 0, pos))
+    ranks = F.sum(F.col("_p") * (F.col("_ln_below") + (F.col("_n") + 1) / 2.0))
     auc = F.try_divide(ranks - pos * (pos + 1) / 2.0, F.when((pos > 0) & (n > pos), (pos * (n - pos)).cast("double")))
     return g.groupBy(*keys).agg(n.alias("observations"), pos.alias("events"), ap.alias("average_precision"), auc.alias("roc_auc"))
 
@@ -72,8 +61,7 @@ def choose_thresholds(df: DataFrame, keys: list[str], label: str = "label", scor
     Cumulative counts over distinct scores take the place of comparing all scores with all candidates.
     """
     g = _points(df, keys, label, score)
-    at = [F.lit(k / (points - 1)) for k in range(points)]
-    candidates = df.groupBy(*keys).agg(F.array_distinct(F.percentile(score, F.array(*at))).alias("_c")).select(*keys, F.explode("_c").alias("_x"))
+    candidates = percentiles(df, keys, (score,), [k / (points - 1) for k in range(points)]).select(*keys, F.explode(F.array_distinct("q")).alias("_x"))
     both = g.select(*keys, "_x", "_p", "_n", F.lit(False).alias("_ask")).unionByName(candidates.select(*keys, "_x", F.lit(0).cast("long").alias("_p"), F.lit(0).cast("long").alias("_n"), F.lit(True).alias("_ask")))
     # A candidate alerts on the scores at or above it: in descending order, all before it and its equals.
     down = Window.partitionBy(*keys).orderBy(F.col("_x").desc()).rangeBetween(Window.unboundedPreceding, Window.currentRow)

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -89,3 +90,20 @@ def runs(df: DataFrame, order: list[str], flag: Column, name: str, rows: int = R
     o = Ordered.of(df.withColumn("_on", F.coalesce(flag, F.lit(False))), order, rows)
     o = o.frames(1, 0, lambda w: {"_new": (F.col("_on") & ~F.lag("_on", 1, False).over(w)).cast("long")})
     return o.sums({name: F.col("_new")}).result().where("_on").drop("_on", "_new")
+
+
+def below_and_all(df: DataFrame, keys: list[str], order: list[str], values: dict[str, str], rows: int = ROWS) -> DataFrame:
+    """df with sums of columns within each key: `<name>_below` over the rows before this one in order, `<name>_all` over all.
+
+    values: names and the columns that they sum; order must tell the rows of a key apart. Above `rows` rows sums come from ranges of
+    (keys, order), so that one key may have any number of rows; up to that, from a window for each key.
+    """
+    o = Ordered.of(df, [*keys, *order], rows)
+    if o.parts == 1:
+        whole = Window.partitionBy(*keys)
+        before = whole.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        return o.result().withColumns({f"{n}_below": F.coalesce(F.sum(c).over(before), F.lit(0)) for n, c in values.items()} | {f"{n}_all": F.sum(c).over(whole) for n, c in values.items()})
+    g = o.sums({f"{n}_below": F.col(c) for n, c in values.items()}).result().withColumns({f"{n}_below": F.col(f"{n}_below") - F.col(c) for n, c in values.items()})
+    each = g.groupBy(*[F.col(k).alias(f"_k_{k}") for k in keys]).agg(*[F.min(f"{n}_below").alias(f"_from_{n}") for n in values], *[F.sum(c).alias(f"{n}_all") for n, c in values.items()])
+    same = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys])
+    return g.join(each, same).withColumns({f"{n}_below": F.col(f"{n}_below") - F.col(f"_from_{n}") for n in values}).drop(*[f"_k_{k}" for k in keys], *[f"_from_{n}" for n in values])

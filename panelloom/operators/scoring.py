@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import clip
 from .features import COMPONENTS, MOMENTUM, WEIGHTS
+from .quantiles import percentiles
 from .scan import Ordered
 
 TRAIN_SHARE = 0.70
@@ -34,13 +35,10 @@ def with_roles(frame: DataFrame, horizon: int | Column) -> DataFrame:
 
 def fit_scaler(train: DataFrame, columns: tuple[str, ...], by: tuple[str, ...] = ()) -> DataFrame:
     """One row (for each group) with low_<c> and high_<c>: exact 5th and 95th percentiles, apart by 1 if they are equal."""
-    p = {c: F.percentile(c, F.array(F.lit(0.05), F.lit(0.95))) for c in columns}
-    got = train.groupBy(*by).agg(*[p[c].alias(f"p_{c}") for c in columns])
-    out = []
-    for c in columns:
-        low, high = F.col(f"p_{c}")[0], F.col(f"p_{c}")[1]
-        out += [low.alias(f"low_{c}"), F.when(high > low, high).otherwise(low + 1.0).alias(f"high_{c}")]
-    return got.select(*by, *out)
+    got = percentiles(train, list(by), columns, [0.05, 0.95])
+    low, high = F.col("q")[0], F.col("q")[1]
+    got = got.select(*by, "column", low.alias("low"), F.when(high > low, high).otherwise(low + 1.0).alias("high"))
+    return got.groupBy(*by).agg(*[F.max(F.when(F.col("column") == c, F.col(k))).alias(f"{k}_{c}") for c in columns for k in ("low", "high")])
 
 
 def apply_scaler(frame: DataFrame, scaler: DataFrame, columns: tuple[str, ...], by: tuple[str, ...] = (), clipped: bool = True) -> DataFrame:

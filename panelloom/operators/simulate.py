@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..sources.stage import staged
 from .metrics import rank_metrics
 from .network import latest_edges_of
+from .quantiles import percentiles
 from .scan import Ordered, framed, numbered
 from .timeindex import rolling_sum
 
@@ -69,7 +70,7 @@ def all_tails(losses: DataFrame, kinds: list[tuple[float, float]]) -> DataFrame:
     cutoffs = sorted({t for t, _ in kinds})
     at = F.array_position(F.array(*[F.lit(t) for t in cutoffs]), F.col("tail")).cast("int")
     keys = ["entity", "tail", "cap"]
-    low = p.groupBy(*keys).agg(F.percentile("loss", F.array(*[F.lit(t) for t in cutoffs])).alias("q")).withColumn("low", F.element_at("q", at)).drop("q")
+    low = percentiles(p, keys, ("loss",), cutoffs).select(*keys, F.element_at("q", at).alias("low"))
     tail = p.join(low, keys).where("loss >= low")
     by = Window.partitionBy(*keys)
     return tail.select(*keys, (F.row_number().over(by.orderBy("loss", "period")) - 1).cast("long").alias("k"), F.count(F.lit(1)).over(by).alias("size"), "loss")
