@@ -8,13 +8,14 @@ languages, so that each broadcast is at most bins x block numbers, and workers s
 Defined cases: a null text, or one without a letter (a character of a Unicode category L), is `und` with score 0;
 a null language teaches nothing; a null id hashes like an empty one; without any training document everything is
 `und`; of languages of equal posterior the first in code-point order is predicted; a text of any length is scored in
-pieces of 2^20 characters, whose n-grams don't reach across; repeated rows each get their row; columns other than those
+pieces of 2^20 characters that overlap, so that every n-gram of the whole text counts once; an empty text has no n-grams; repeated rows each get their row; columns other than those
 named are never read.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -35,22 +36,35 @@ def has_letter(text: str) -> bool:
     return bool(_PLAIN.search(text)) or any(map(str.isalpha, text))
 
 
-def gram_bins(text: str, bins: int = BINS) -> np.ndarray:
-    """The bin of each n-gram of the text, repeats included."""
-    points = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "surrogatepass"), np.uint32)
+def pieces(text: str) -> Iterator[str]:
+    """The text in lower case with a space at both ends, in pieces that share the characters of n-grams across their ends."""
+    padded = f" {text.lower()} "
+    for i in range(0, len(padded) if text else 0, _CHUNK):
+        yield padded[i : i + _CHUNK + max(ORDERS) - 1]
+
+
+def piece_bins(piece: str, bins: int = BINS) -> np.ndarray:
+    """The bin of each n-gram that starts among the piece's first _CHUNK characters, repeats included."""
+    points = np.frombuffer(piece.encode("utf-32-le", "surrogatepass"), np.uint32)
     shift = np.uint32(32 - bins.bit_length() + 1)
     out = []
     for n in ORDERS:
-        if len(points) < n:
+        size = min(_CHUNK, len(points) - n + 1)
+        if size <= 0:
             continue
-        h = np.full(len(points) - n + 1, np.uint32(n * 0x9E3779B1 & 0xFFFFFFFF), np.uint32)
+        h = np.full(size, np.uint32(n * 0x9E3779B1 & 0xFFFFFFFF), np.uint32)
         for k in range(n):
-            h = (h ^ points[k : len(points) - n + 1 + k]) * _MIX[k]
+            h = (h ^ points[k : size + k]) * _MIX[k]
             h ^= h >> np.uint32(15)
         out.append((h * np.uint32(2654435761)) >> shift)
     return np.concatenate(out)
 
 
+def gram_bins(text: str, bins: int = BINS) -> np.ndarray:
+    """The bin of each n-gram of a text."""
+    return np.concatenate([piece_bins(p, bins) for p in pieces(text)] or [np.empty(0, np.uint32)])
+
+
 def _train_counts(docs: DataFrame, id_col: str, text: str, lang: str, bins: int) -> DataFrame:
     """(lang, bin, n), with bin -1 for the number of documents; summed up within each task first."""
 
@@ -70,8 +84,8 @@ def _train_counts(docs: DataFrame, id_col: str, text: str, lang: str, bins: int)
                 own = sums.setdefault(la, np.zeros(bins + 1, np.int64))
                 own[bins] += 1
                 t = (t or b"").decode("utf-8", "replace")
-                for i in range(0, len(t), _CHUNK):
-                    own[:bins] += np.bincount(gram_bins(t[i : i + _CHUNK], bins), minlength=bins)
+                for p in pieces(t):
+                    own[:bins] += np.bincount(piece_bins(p, bins), minlength=bins)
             if len(sums) > 256:  # of very many languages a task sends what it has, and starts anew
                 yield from sent()
         yield from sent()
@@ -112,8 +126,8 @@ def score_batch(texts: list[str], matrix: np.ndarray) -> np.ndarray:
         at.clear()
 
     for k, t in enumerate(texts):
-        for i in range(0, len(t), _CHUNK):
-            held.append(gram_bins(t[i : i + _CHUNK], len(matrix)))
+        for p in pieces(t):
+            held.append(piece_bins(p, len(matrix)))
             at.append(k)
             size += len(held[-1])
             if size > _CHUNK:
