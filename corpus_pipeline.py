@@ -12,7 +12,6 @@ empty one, with the same columns; further columns pass through to the last stage
 
 from __future__ import annotations
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from panelloom.llm import mixing, pii_labels, piece_codec, quality_gate, shingle_neardup
@@ -49,7 +48,9 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, source, n_tokens, ids_sha256, decoded_sha256, ids) of each document."""
+    """(doc_id, source, n_tokens, ids_sha256, decoded_sha256, ids) of each document; of further columns only the source stays."""
+    import public_tokenizers
+
     return piece_codec.encode_decode(docs, public_tokenizers.path("piece_bpe_32k.model"), also=("source",), with_ids=True, keep=KEEP)
 
 
