@@ -496,8 +496,9 @@ def _fit_rows(name: str, where: str, features: tuple[str, ...] = features.COMPON
 def logistic_fit(spark, sf):
     """Coefficients of the full model."""
     rows = _split(spark, sf).where("role = 'train'").withColumn("fit", F.lit("all"))
-    m = models.fit_many(rows, {"all": features.COMPONENTS})["all"]
-    return spark.createDataFrame([("intercept", m.intercept, None, None), *zip(m.features, m.coefficients, m.means, m.stds, strict=True)], "term string, coefficient double, mean double, std double")
+    found = models.fit_many(rows, {"all": features.COMPONENTS})  # none without training rows
+    terms = [t for m in found.values() for t in (("intercept", m.intercept, None, None), *zip(m.features, m.coefficients, m.means, m.stds, strict=True))]
+    return spark.createDataFrame(terms, "term string, coefficient double, mean double, std double")
 
 
 @query(f"SELECT * EXCLUDE (mask, best) FROM {logit_sql.selection('(SELECT * FROM ' + _MAIN + ' WHERE role = ' + repr('train') + ')')}", "mean_average_precision")
