@@ -13,6 +13,11 @@ blocks, in proportion. A shard then draws its quota from its own part of the blo
 and the blocks that are drawn follow from the tree. Of a round's last block only the words are taken that
 meet the target, so it is met to the word. Within a shard documents stand in the order of a hash (m_pos).
 
+What is written is what is counted: a document appears whole once for each full round, and once more with as many of its
+words as the last round draws of it, as one run of the text with its own white space. In a document that spans at most two
+blocks these are the drawn words themselves, unless the cut block lies in it; in a longer one they are as many words in one run
+from the first block drawn, so that texts are not spliced.
+
 The tree has two levels, as colours of a multivariate-hypergeometric draw may be pooled and split again: the driver
 splits the sums of GROUPS groups of sources, and one task for each group splits its own, given the group's share of
 every shard. Neither the number of sources nor that of documents is bounded; the driver sees GROUPS rows.
@@ -31,7 +36,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, documents, materialise, small_join, text_of
+from .common import SPACE, WORD, documents, materialise, small_join, text_of
 
 WEIGHTS = (5.0, 2.0, 1.0)
 BUDGET = 1.5
@@ -164,8 +169,9 @@ def _tag(c: Column) -> Column:
 def assign(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", keep: tuple[str, ...] = ("doc_id",), budget: float = BUDGET, most: float = MOST, shards: int = SHARDS, blocks: int = BLOCKS, seed: int = 2011, buckets: int | None = None) -> DataFrame:
     """(row, m_size, m_source_size, m_target, m_taken, m_draws): row is a struct of the columns in keep.
 
-    m_taken is the number of words that the mix takes; m_draws has a struct (shard, pos) for each time
-    that the document's middle word is taken, pos being its place in the shard's order.
+    m_taken is the number of words that the mix takes; m_draws has a struct (shard, pos, start, words) for each time that
+    words of the document are taken: how many from which word on (from 0), and their place in the shard's order. Their
+    words add up to m_taken.
     """
     col = lambda c: F.col(f"`{c}`")
     ident = F.coalesce(col(id_col).cast("string"), F.lit(""))
@@ -202,27 +208,48 @@ def assign(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source:
     taken_to = lambda p, at: p["upto"] + F.least(p["part"], at % block_words)  # noqa: E731  of the last round, before `at`
     end = F.col("start") + F.col("size") - 1
     of_last = F.least(F.col("last.part"), end % block_words + 1) + F.col("last.upto") - taken_to(F.col("first"), F.col("start"))
+    of_last = F.when(some, of_last).otherwise(F.lit(0)).cast("long")
     taken = F.when(some, F.size("mid.shards") * F.col("size") + of_last).otherwise(F.lit(0)).cast("long")
-    mid = (F.col("start") + F.expr("(size - 1) div 2")) % block_words < F.col("mid.part")
-    places = F.concat("mid.shards", F.when(mid, F.array("mid.part_shard")).otherwise(F.array().cast("array<bigint>")))
-    draws = F.transform(F.coalesce(places, F.array().cast("array<bigint>")), lambda s, k: F.struct(s.alias("shard"), F.xxhash64(F.lit(seed), s, k, "pos").alias("pos")))
+    # The run that the last round takes starts with the document, or ends where the draw of its last block does, or fills middle blocks.
+    ahead = F.lit(block_words) - F.col("start") % block_words  # words up to the first edge of a block
+    in_last = end % block_words + 1
+    head, tail = F.col("start") % block_words < F.col("first.part"), F.col("last.part") > 0
+    begin = F.when(head, F.lit(0)).when(tail, F.col("size") - in_last + F.least(F.col("last.part"), in_last) - of_last).otherwise(ahead)
+    middle = F.when(F.col("mid.part") > 0, F.col("mid.part_shard")).otherwise(F.pmod(F.col("pos"), F.lit(shards)))
+    to = F.when(head, F.col("first.part_shard")).when(tail, F.col("last.part_shard")).otherwise(middle)
+    place = lambda shard, k, begin, words: F.struct(shard.cast("long").alias("shard"), F.xxhash64(F.lit(seed), shard.cast("long"), k, "pos").alias("pos"), begin.cast("long").alias("start"), words.cast("long").alias("words"))
+    whole = F.transform(F.coalesce(F.col("mid.shards"), F.array().cast("array<bigint>")), lambda s, k: place(s, k, F.lit(0), F.col("size")))
+    draws = F.concat(whole, F.when(of_last > 0, F.array(place(to, F.size(whole), begin, of_last))).otherwise(F.slice(whole, 1, 0)))
     return out.select("row", F.col("size").alias("m_size"), F.col("source_size").alias("m_source_size"), F.col("target").alias("m_target"), taken.alias("m_taken"), draws.alias("m_draws"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", shards: int = SHARDS, seed: int = 2011, places: bool = False) -> DataFrame:
-    """The mixed documents, whole: one appears for each time that the mix takes its middle word.
+def words_of(text: Column, start: Column, words: Column) -> Column:
+    """So many words of a text from one on (from 0), with the white space between them."""
+    each = F.regexp_extract_all(text, F.lit(f"{WORD}(?:{SPACE})?"), F.lit(0))
+    return F.rtrim(F.array_join(F.slice(each, (start + 1).cast("int"), words.cast("int")), ""), F.lit(" \t\n\x0b\f\r"))
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", shards: int = SHARDS, seed: int = 2011, places: bool = False, n_chars: str = "n_chars") -> DataFrame:
+    """The mixed documents: one row for each draw, whole or with the words that the last round takes of it.
 
-    Rows of a shard stand together in tasks of about TASK_BYTES, dealt to them by a hash and sorted by another: the
-    local shuffle. With places, columns m_shard and m_pos are added.
+    So the words written of each document are its m_taken. n_chars, if there, follows where a text is cut; all other columns
+    pass through. Rows of a shard stand together in tasks of about TASK_BYTES, dealt to them by a hash and sorted by
+    another: the local shuffle. With places, columns m_shard and m_pos are added.
     """
     columns = list(docs.columns)
     out = assign(docs, id_col, text, source, tuple(columns), shards=shards, seed=seed)
     size = docs.agg(F.sum(F.octet_length(F.col(f"`{text}`")))).first()[0] or 0
     parts = max(1, -(-int(BUDGET * size) // (shards * TASK_BYTES)))  # of a shard
-    out = out.select("row", F.explode("m_draws").alias("d")).select("row", F.col("d.shard").alias("shard"), F.pmod(F.xxhash64(F.lit(seed + 1), "d.pos"), F.lit(parts)).alias("part"), F.col("d.pos").alias("pos"))
+    cut = F.col("d.words") < F.col("m_size")
+    of_row = lambda c: F.col("row").getField(c)
+    held = [F.when(cut, words_of(of_row(c), F.col("d.start"), F.col("d.words"))).otherwise(of_row(c)) if c == text else of_row(c) for c in columns]
+    out = out.select("row", "m_size", F.explode("m_draws").alias("d"))
+    out = out.select(*[c.alias(f"c{k}") for k, c in enumerate(held)], cut.alias("cut"), F.col("d.shard").alias("shard"), F.pmod(F.xxhash64(F.lit(seed + 1), "d.pos"), F.lit(parts)).alias("part"), F.col("d.pos").alias("pos"))
     tasks = max(1, min(shards * parts, max(-(-int(BUDGET * size) // TASK_BYTES), 4 * docs.sparkSession.sparkContext.defaultParallelism)))
     out = out.repartition(tasks, "shard", "part").sortWithinPartitions("shard", "part", "pos")
-    return out.select(*[F.col("row").getField(c).alias(c) for c in columns], *([F.col("shard").alias("m_shard"), F.col("pos").alias("m_pos")] if places else []))
+    new_length = F.length(f"c{columns.index(text)}")
+    last = [F.when(F.col("cut"), new_length.cast(docs.schema[c].dataType)).otherwise(F.col(f"c{k}")) if c == n_chars else F.col(f"c{k}") for k, c in enumerate(columns)]
+    return out.select(*[c.alias(columns[k]) for k, c in enumerate(last)], *([F.col("shard").alias("m_shard"), F.col("pos").alias("m_pos")] if places else []))
 
 
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -196,6 +196,27 @@ def test_written_mix(docs, empty):
     assert mixing.mix(empty).count() == 0 and mixing.mix(docs).columns == docs.columns
 
 
+def test_written_words(spark):
+    """The words written of each source meet its target, those of each document are what is counted, as runs of its own text."""
+    draw = random.Random(4)
+    gap = lambda: draw.choice([" ", "\n", "  ", "\t"])
+    rows = []
+    for k in range(300):
+        n = draw.choice([0, 1, 7, 40, 60, 90, 200, 3000 if k % 50 == 0 else 30])
+        rows.append((k, "".join(f"{gap()}w{k}.{i}" for i in range(n)), f"src{k % 7}", 5))
+    docs = spark.createDataFrame([*rows, (900, None, "src1", 0)], "doc_id long, text string, source string, n_chars int")
+    counted = {r.row.doc_id: r for r in mixing.assign(docs, keep=("doc_id", "source")).collect()}
+    words, by_source, cut = Counter(), Counter(), 0
+    for r in mixing.mix(docs).collect():
+        words[r.doc_id] += len(r.text.split())
+        by_source[r.source] += len(r.text.split())
+        whole = rows[r.doc_id][1]
+        cut += r.text != whole
+        assert r.text in whole and r.n_chars == (5 if r.text == whole else len(r.text))
+    assert cut > 20 and all(words[d] == c.m_taken == sum(x.words for x in c.m_draws) for d, c in counted.items())
+    assert all(abs(by_source[c.row.source] - c.m_target) <= 1 for c in counted.values())
+
+
 # Fingerprints
 
 
