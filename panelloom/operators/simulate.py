@@ -6,6 +6,7 @@ from __future__ import annotations
 from functools import reduce
 from itertools import product
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -32,21 +33,175 @@ def unit(seed: int, *parts: Column) -> Column:
     return draw(seed, *parts) / F.lit(float(PRIME))
 
 
+def _blocks(spark: SparkSession, n: int, reps: int, block: int, seed: int) -> DataFrame:
+    """(rep, start, size): the blocks of each replication of n rows; the last one is cut so that sizes add up to n."""
+    if not n:
+        return spark.createDataFrame([], "rep long, start long, size long")
+    b = min(block, n)
+    slots = -(-n // b)
+    slot = F.col("id") % slots
+    at = spark.range(reps * slots).select((F.expr(f"id div {slots}") + 1).alias("rep"), slot.alias("slot"))
+    return at.select("rep", (draw(seed, F.col("rep"), F.col("slot")) % (n - b + 1)).alias("start"), F.least(F.lit(b), n - F.col("slot") * b).cast("long").alias("size"))
+
+
 def bootstrap_samples(rows: DataFrame, reps: int, block: int = 14, seed: int = SEED + 901) -> DataFrame:
     """rows (period, label, score) resampled in moving blocks: (rep, label, score), as many in each rep as rows."""
-    r = numbered(rows, ["period"], "i", 0)
-    size = r.agg(F.count(F.lit(1)).alias("n"))
-    reps_ = rows.sparkSession.range(1, reps + 1).withColumnRenamed("id", "rep").crossJoin(F.broadcast(size)).where("n > 0")  # one row
-    b = F.least(F.lit(block).cast("long"), F.col("n"))
-    slots = reps_.withColumn("b", b).withColumn("slot", F.explode(F.sequence(F.lit(0).cast("long"), F.expr("(n + b - 1) div b - 1"))))
-    slots = slots.withColumn("start", draw(seed, F.col("rep"), F.col("slot")) % (F.col("n") - F.col("b") + 1))
-    picks = slots.withColumn("k", F.explode(F.expr("sequence(0L, b - 1)"))).where("slot * b + k < n").select("rep", (F.col("start") + F.col("k")).alias("i"))
-    return picks.join(r.select("i", "label", "score"), "i").select("rep", "label", "score")
+    r = staged(numbered(rows, ["period"], "i", 0).select("i", "label", "score"), "rows")
+    picks = _blocks(rows.sparkSession, r.count(), reps, block, seed).select("rep", F.explode(F.expr("sequence(start, start + size - 1)")).alias("i"))
+    return picks.join(r, "i").select("rep", "label", "score")
+
+
+#: Rows in order that one task counts the blocks of, rows with counts in one range of scores, and rows whose counts are unpacked at once.
+PIECE = 4096
+RANGE = 1 << 16
+CHUNK = 1024
+
+
+def _packed(w: np.ndarray) -> list[bytes]:
+    """Rows of counts, a byte each where that holds all of a row."""
+    small = w.max(axis=1) < 256
+    return [(x.astype(np.uint8) if s else x.astype(np.uint32)).tobytes() for x, s in zip(w, small, strict=True)]
+
+
+def _unpacked(rows: list[bytes], reps: int) -> np.ndarray:
+    return np.stack([np.frombuffer(x, np.uint8 if len(x) == reps else np.uint32) for x in rows]).astype(np.int64)
+
+
+def multiplicities(rows: DataFrame, reps: int, block: int = 14, seed: int = SEED + 901, piece: int = PIECE) -> DataFrame:
+    """(score, label, times) of rows (period, label, score): times holds, for each replication, how often it has them.
+
+    A piece of rows that follow each other meets the blocks that reach into it and counts them by running sums of
+    starts and ends; its rows of one score and label become one. A null label counts as 0, a null score as the lowest.
+    """
+    label, score = F.coalesce(F.col("label").cast("int"), F.lit(0)), F.coalesce(F.col("score").cast("double"), F.lit(float("-inf")))
+    r = staged(numbered(rows, ["period"], "i", 0).select("i", label.alias("label"), score.alias("score")), "rows")
+    n = r.count()
+    reach = F.explode(F.expr(f"sequence(start div {piece}, (start + size - 1) div {piece})"))
+    blocks = _blocks(rows.sparkSession, n, reps, block, seed).withColumn("piece", reach)
+
+    def count(key, own, met):
+        import pandas as pd
+
+        low = int(key[0]) * piece
+        long = min(piece, n - low)
+        steps = np.zeros((long + 1, reps), np.int32)
+        start, rep = met["start"].to_numpy() - low, met["rep"].to_numpy() - 1
+        np.add.at(steps, (np.maximum(start, 0), rep), 1)
+        np.add.at(steps, (np.minimum(start + met["size"].to_numpy(), long), rep), -1)
+        times = np.cumsum(steps[:long], axis=0)[own["i"].to_numpy() - low]
+        groups = own.groupby(["score", "label"], dropna=False, sort=False)
+        each = groups.ngroup().to_numpy()
+        total = np.zeros((groups.ngroups, reps), np.int32)
+        np.add.at(total, each, times)
+        first = own.iloc[np.unique(each, return_index=True)[1]]
+        return pd.DataFrame({"score": first["score"].to_numpy(), "label": first["label"].to_numpy(), "times": _packed(total)})
+
+    own = r.withColumn("piece", F.expr(f"i div {piece}"))
+    out = own.groupBy("piece").cogroup(blocks.groupBy("piece")).applyInPandas(count, "score double, label int, times binary")
+    return out.withColumn("score", F.coalesce("score", F.lit(float("nan"))))  # pandas gives NaN back as null
+
+
+def _by_part(batches, reps: int):
+    """(part, carried counts or None, scores, labels, times) in chunks, from batches ordered by part."""
+    for b in batches:
+        for lo in range(0, b.num_rows, CHUNK):
+            part, kind, score, label, times = (c.to_pylist() for c in b.slice(lo, CHUNK).columns)
+            cuts = [0, *[k for k in range(1, len(part)) if (part[k], kind[k]) != (part[k - 1], kind[k - 1])], len(part)]
+            for x, y in zip(cuts, cuts[1:]):
+                if kind[x] == 0:
+                    yield part[x], np.frombuffer(times[x], np.int64).reshape(2, reps), None, None, None
+                else:
+                    yield part[x], None, np.array(score[x:y]), np.array(label[x:y], np.int64), _unpacked(times[x:y], reps)
+
+
+def resampled_precision(rows: DataFrame, reps: int, block: int = 14, seed: int = SEED + 901, piece: int = PIECE, span: int = RANGE) -> DataFrame:
+    """(rep, average_precision) of the replications, null without events, in one pass over the scores in order.
+
+    Rows go with their counts to ranges of descending scores. Each range's sums, and so what all replications have above
+    it, are carried into it as its first row; a task then streams through its ranges, whose size is not bounded by
+    memory, and adds every score's share of all replications at once. Rows of replications are never made.
+    """
+    counted = staged(multiplicities(rows, reps, block, seed, piece), "counted")
+    parts = max(1, -(-counted.count() // span))
+    dealt = counted.repartitionByRange(parts, F.desc("score")) if parts > 1 else counted.coalesce(1)
+    # Written, as the edges of ranges come from a sample and must not move between the passes.
+    dealt = staged(dealt.select(F.spark_partition_id().alias("part"), F.lit(1).alias("kind"), "score", "label", "times"), "ranges")
+    fields = "part int, kind int, score double, label int, times binary"
+
+    def total(batches):
+        import pyarrow as pa
+
+        sums: dict[int, np.ndarray] = {}
+        for part, _, _, label, times in _by_part(batches, reps):
+            s = sums.setdefault(part, np.zeros((2, reps), np.int64))
+            s += np.stack([label @ times, times.sum(axis=0)])
+        for part, s in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([s[0].tolist()], pa.list_(pa.int64())), pa.array([s[1].tolist()], pa.list_(pa.int64()))], ["part", "events", "all"])
+
+    if parts > 1:
+        each = dealt.mapInArrow(total, "part int, events array<long>, all array<long>").select("part", F.posexplode(F.arrays_zip("events", "all")).alias("rep", "s"))
+        each = each.groupBy("rep", "part").agg(F.sum("s.events").alias("events"), F.sum("s.all").alias("all"))
+        above = Window.partitionBy("rep").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+        each = each.select("rep", "part", *[F.coalesce(F.sum(c).over(above), F.lit(0)).alias(c) for c in ("events", "all")])
+        lists = each.groupBy("part").agg(F.sort_array(F.collect_list(F.struct("rep", "events", "all"))).alias("x"))  # reps entries
+
+        def pack(batches):
+            import pyarrow as pa
+
+            for b in batches:
+                packed = [np.array([[r[c] for r in x] for c in ("events", "all")], np.int64).tobytes() for x in b.column(1).to_pylist()]
+                none = pa.nulls(b.num_rows)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([0] * b.num_rows, pa.int32()), none.cast(pa.float64()), none.cast(pa.int32()), pa.array(packed, pa.binary())], ["part", "kind", "score", "label", "times"])
+
+        dealt = dealt.unionByName(lists.mapInArrow(pack, fields)).repartition(parts, "part")
+    ordered = dealt.sortWithinPartitions("part", "kind", F.desc("score"))
+
+    def stream(batches):
+        import pyarrow as pa
+
+        def closed(part):
+            arrays = [pa.array(range(1, reps + 1), pa.int64()), pa.array(share + _share(tie, above)), pa.array(found + tie[0])]
+            return pa.RecordBatch.from_arrays(arrays, ["rep", "share", "events"])
+
+        now = None
+        for part, carried, score, label, times in _by_part(batches, reps):
+            if part != now:
+                if now is not None:
+                    yield closed(now)
+                now, last = part, None
+                above, tie = np.zeros((2, reps), np.int64), np.zeros((2, reps), np.int64)
+                share, found = np.zeros(reps), np.zeros(reps, np.int64)
+            if carried is not None:
+                above = carried.copy()
+                continue
+            same = (score[1:] == score[:-1]) | (np.isnan(score[1:]) & np.isnan(score[:-1]))
+            first = np.flatnonzero(np.concatenate([[True], ~same]))
+            sums = np.stack([np.add.reduceat(times * label[:, None], first), np.add.reduceat(times, first)])
+            if last is not None and (score[0] == last or (np.isnan(score[0]) and np.isnan(last))):
+                sums[:, 0] += tie
+            elif last is not None:
+                share, found, above = share + _share(tie, above), found + tie[0], above + tie
+            upto = above[:, None] + np.cumsum(sums[:, :-1], axis=1)
+            if upto.shape[1]:
+                share = share + (sums[0, :-1] * upto[0] / np.maximum(upto[1], 1)).sum(axis=0)
+                found, above = found + sums[0, :-1].sum(axis=0), upto[:, -1]
+            tie, last = sums[:, -1], score[-1]  # open, as more rows of this score may follow
+        if now is not None:
+            yield closed(now)
+
+    each = ordered.mapInArrow(stream, "rep long, share double, events long").groupBy("rep").agg(F.sum("share").alias("share"), F.sum("events").alias("events"))
+    return each.select("rep", F.try_divide("share", F.when(F.col("events") > 0, F.col("events"))).alias("average_precision"))
+
+
+def _share(tie: np.ndarray, above: np.ndarray) -> np.ndarray:
+    """What one score adds: its events times the precision at it."""
+    upto = above + tie
+    return tie[0] * upto[0] / np.maximum(upto[1], 1)
 
 
 def block_bootstrap(rows: DataFrame, reps: int = 1000, block: int = 14, seed: int = SEED + 901) -> DataFrame:
     """Average precision and its 95 % interval; replicates without an event are left out and counted."""
-    each = rank_metrics(bootstrap_samples(rows, reps, block, seed), ["rep"])
+    each = resampled_precision(rows, reps, block, seed)
     q = F.percentile("average_precision", F.array(F.lit(0.025), F.lit(0.975)))
     out = each.agg(q.alias("q"), F.count("average_precision").alias("replications"), F.count_if(F.col("average_precision").isNull()).alias("without_events"))
     point = rank_metrics(rows.withColumn("all", F.lit(1)), ["all"]).select(F.col("average_precision").alias("point_estimate"))
