@@ -1,10 +1,13 @@
 """Document fingerprints by SimHash, and the search for all fingerprints within a Hamming radius.
 
-Terms are runs of three words (and, in short texts, of four characters); each distinct term votes on
-128 signed bits with the weight 1 + ln(its count). For the search, the bits are dealt to radius + 2 blocks
+Terms are runs of three words and of four characters; each distinct term votes on 128 signed bits with the weight
+1 + ln(its count). That of characters is multiplied by 1 in a text of one word, and by evenly less for each further word, down to
+0 at FADE words; so texts of n and n + 1 words have terms of nearly the same weights, and no length parts
+neighbours. For the search, the bits are dealt to radius + 2 blocks
 by a permutation; two fingerprints within the radius agree on at least two blocks, so there is one table
 for each pair of blocks, keyed by the two blocks' bits. No pair within the radius is missed, and each is
-counted in the first table where it agrees. The index holds distinct fingerprints with their numbers of documents.
+found once, in the first table where it agrees. The index holds distinct fingerprints with their numbers of documents;
+what leaves it for a query is a pair of fingerprints, counted, with the nearest one's smallest id.
 
 The query also gives each text an edited version whose end comes from the next document in descending
 order of ids. Documents are dealt out by ranges of ids; a worker pairs neighbours of its range as they
@@ -21,7 +24,7 @@ import hashlib
 from itertools import combinations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import documents, materialise
@@ -29,7 +32,7 @@ from .covering_lsh import signed
 
 BITS = 128
 SHINGLE = 3
-SHORT = 16  # words; below, runs of characters vote too
+FADE = 64  # words; from there on runs of characters have no weight left
 RADIUS = 3
 _U = np.uint64
 
@@ -40,6 +43,16 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
+def _runs(x: np.ndarray, n: int, salt: int) -> np.ndarray:
+    """Hashes of the runs of n numbers."""
+    if len(x) < n:
+        return x[:0]
+    h = np.zeros(len(x) - n + 1, np.uint64)
+    for k in range(n):
+        h = _mix(h + x[k : len(x) - n + 1 + k] + _U(salt))
+    return h
+
+
 class SimHash:
     """Fingerprints of texts; keeps the hashes of frequent words up to a bound."""
 
@@ -48,27 +61,22 @@ class SimHash:
 
         self.words = Words(keep)
 
-    def terms(self, text: str) -> np.ndarray:
+    def terms(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of distinct terms and their weights."""
         w = self.words.of(text.encode("utf-8", "replace"))
-        n = max(1, min(SHINGLE, len(w)))
         if not len(w):
-            return w
-        h = np.zeros(len(w) - n + 1, np.uint64)
-        for k in range(n):
-            h = _mix(h + w[k : len(w) - n + 1 + k])
-        if len(w) < SHORT:
+            return w, np.zeros(0, np.float32)
+        kinds = [(_runs(w, max(1, min(SHINGLE, len(w))), 0), 1.0)]
+        faded = 1 - (len(w) - 1) / FADE
+        if faded > 0:
             points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-            if len(points) >= 4:
-                g = np.zeros(len(points) - 3, np.uint64)
-                for k in range(4):
-                    g = _mix(g + points[k : len(points) - 3 + k] + _U(1 << 40))
-                h = np.concatenate([h, g])
-        return h
+            kinds.append((_runs(points, 4, 1 << 40), faded))
+        found = [(*np.unique(h, return_counts=True), f) for h, f in kinds]
+        return np.concatenate([h for h, _, _ in found]), np.concatenate([f * (1 + np.log(n)) for _, n, f in found]).astype(np.float32)
 
     def of(self, text: str, chunk: int = 1 << 15) -> np.ndarray:
         """The bits, packed into 16 bytes."""
-        h, n = np.unique(self.terms(text), return_counts=True)
-        weight = (1 + np.log(n)).astype(np.float32)
+        h, weight = self.terms(text)
         votes = np.zeros(BITS)
         for i in range(0, len(h), chunk):
             part = np.stack([h[i : i + chunk], _mix(h[i : i + chunk] + _U(0x5851F42D4C957F2D))], axis=1)
@@ -159,9 +167,9 @@ def block_masks(radius: int, seed: int = 5) -> list[tuple[int, int]]:
     return [(signed((x | y) & (1 << 64) - 1), signed((x | y) >> 64)) for x, y in combinations(blocks, 2)]
 
 
-def count_within(queries: DataFrame, index: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """(lo, hi, n_within) of the queries' distinct fingerprints (lo, hi): how many documents of the index
-    (lo, hi, n) lie within the radius, the query's own among them."""
+def pairs_within(queries: DataFrame, index: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(q_lo, q_hi, distance, and the index's columns) of all pairs of a query (lo, hi) and a row of the index
+    (lo, hi, ...) within the radius, once each; rows of either are distinct fingerprints."""
     masks = block_masks(radius)
 
     def keyed(df: DataFrame, lo: str, hi: str) -> DataFrame:
@@ -171,22 +179,45 @@ def count_within(queries: DataFrame, index: DataFrame, radius: int = RADIUS) ->
     q = keyed(queries.select(F.col("lo").alias("q_lo"), F.col("hi").alias("q_hi")), "q_lo", "q_hi")
     x, y = F.col("lo").bitwiseXOR(F.col("q_lo")), F.col("hi").bitwiseXOR(F.col("q_hi"))
     agree = F.array(*[(x.bitwiseAND(F.lit(a)) == 0) & (y.bitwiseAND(F.lit(b)) == 0) for a, b in masks])
-    near = (F.bit_count(x) + F.bit_count(y) <= radius) & (F.array_position(agree, True) == F.col("t") + 1)
-    pairs = q.join(keyed(index, "lo", "hi"), ["t", "k"]).where(near)
-    return pairs.groupBy(F.col("q_lo").alias("lo"), F.col("q_hi").alias("hi")).agg(F.sum("n").alias("n_within"))
+    distance = F.bit_count(x) + F.bit_count(y)
+    pairs = q.join(keyed(index, "lo", "hi"), ["t", "k"]).where((distance <= radius) & (F.array_position(agree, True) == F.col("t") + 1))
+    return pairs.withColumn("distance", distance).drop("t", "k")
+
+
+def count_within(queries: DataFrame, index: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(lo, hi, n_within) of the queries' distinct fingerprints (lo, hi): how many documents of the index
+    (lo, hi, n) lie within the radius, the query's own among them."""
+    return pairs_within(queries, index, radius).groupBy(F.col("q_lo").alias("lo"), F.col("q_hi").alias("hi")).agg(F.sum("n").alias("n_within"))
+
+
+def search(rows: DataFrame, asked: Column, radius: int = RADIUS, id_col: str = "doc_id") -> DataFrame:
+    """rows (id, lo, hi, ...) with n_within, near_id and near_bits where asked holds, null elsewhere.
+
+    n_within counts the documents within the radius, itself included; near_id is the nearest other one: the smallest id of those
+    of the same fingerprint (for that one itself the largest), else of those of the nearest fingerprint; near_bits its distance. Null ids are counted but never named.
+    """
+    ids = F.col(id_col)
+    index = rows.groupBy("lo", "hi").agg(F.count(F.lit(1)).alias("n"), F.min(ids).alias("least"), F.max(ids).alias("most"))
+    index = materialise(index, "index")
+    # Only fingerprints go to all tables; what else is known of them is joined to the pairs found.
+    pairs = pairs_within(rows.where(asked).select("lo", "hi").distinct(), index.select("lo", "hi"), radius).join(index, ["lo", "hi"])
+    same = F.col("distance") == 0
+    other = F.min(F.when(~same & F.col("least").isNotNull(), F.struct("distance", "least")))
+    found = pairs.groupBy(F.col("q_lo").alias("lo"), F.col("q_hi").alias("hi")).agg(F.sum("n").alias("n_within"), other.alias("other"), F.min(F.when(same, F.struct("least", "most"))).alias("own"))
+    twin = F.when(ids == F.col("own.least"), F.nullif("own.most", "own.least")).otherwise(F.col("own.least"))
+    given = rows.join(found, ["lo", "hi"], "left").withColumn("twin", twin)
+    added = {"n_within": F.col("n_within"), "near_id": F.coalesce("twin", "other.least"), "near_bits": F.when(F.col("twin").isNotNull(), F.lit(0)).otherwise(F.col("other.distance"))}
+    return given.withColumns({c: F.when(asked, v) for c, v in added.items()}).drop("other", "own", "twin")
 
 
 def op6_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fingerprints of all documents; n_within, on ids divisible by 100, counts the documents within the radius."""
+    """Fingerprints of all documents; those whose ids are divisible by 100 are searched for among all (n_within, near_id, near_bits)."""
     rows = materialise(with_next(documents(spark, sf_dir)), "fingerprints")
-    index = rows.groupBy("lo", "hi").agg(F.count(F.lit(1)).alias("n"))
-    asked = rows.where("doc_id % 100 = 0")
-    found = count_within(asked.select("lo", "hi").distinct(), index)
+    out = search(rows, F.col("doc_id") % 100 == 0)
     # The packed bytes in order, low word first, as in edited_fingerprint.
     word = lambda c: F.lpad(F.lower(F.hex(c)), 16, "0")
     turned = lambda c: F.array_join(F.transform(F.sequence(F.lit(15), F.lit(1), F.lit(-2)), lambda i: F.substring(word(c), i, F.lit(2))), "")
-    out = rows.join(found, ["lo", "hi"], "left").withColumn("n_within", F.when(F.col("doc_id") % 100 == 0, F.col("n_within")))
-    return out.select("doc_id", "n_chars", "edited_sha256", F.concat(turned("lo"), turned("hi")).alias("fingerprint"), "edited_fingerprint", "near_edited", "near_next", "n_within")
+    return out.select("doc_id", "n_chars", "edited_sha256", F.concat(turned("lo"), turned("hi")).alias("fingerprint"), "edited_fingerprint", "near_edited", "near_next", "n_within", "near_id", "near_bits")
 
 
 QUERIES = {"op6_document_fingerprints": op6_document_fingerprints}
