@@ -7,8 +7,10 @@ tables). So BANDS keys, each over ROWS minima of the set under random permutatio
 with probability 1 - (1 - s^ROWS)^BANDS: 0.9999 at 0.8. All pairs are then compared by the two sets, and linked from
 LEAST on. Equal sets are merged first. A bucket with more members than `limit` is not paired at once: its members are
 compared with a few hubs, and the links found join most of them into classes. What is asked for are the classes, so pairs
-within one need no comparing; those across classes are compared, block by block, unless their sizes, or the hashes that only
-one of all these sets has, rule a link out. So every pair that a bucket brings together is decided, and no list of pairs is made.
+within one need no comparing. A set alike to one of another class shares one of the rarest fifth of its hashes, so sets meet
+over these alone (prefixes), which texts that have no more than a common passage don't share; sizes, and the hashes that no
+other class has, rule out more. So every alike pair across the classes is found. Hashes of sets have 32 bits: of a set of n, another's
+random ones meet n / 2^32, so similarities of texts of a million words come out about 0.02 % too high.
 
 Defined cases: a text without words has an empty set and links to its like; a text of fewer words than a
 shingle is one shingle; null ids, repeated rows, long texts, other columns and empty tables are as in covering_lsh.
@@ -112,44 +114,63 @@ def links_of(nodes: DataFrame, least: float = LEAST, limit: int = 32) -> DataFra
     if many.isEmpty():
         return found
     stars = materialise(connected_components(found), "classes")
-    more = across(many, nodes, stars, least)
+    more = across(many, nodes, stars, least, limit)
     return stars.select(F.col("node").alias("a"), F.col("root").alias("b")).where("a != b").unionByName(more)
 
 
-def across(many: DataFrame, nodes: DataFrame, stars: DataFrame, least: float = LEAST) -> DataFrame:
-    """Links (a, b), a < b, of nodes (fp, keys, terms) that meet in a bucket of many and are of different classes (node, root).
+def prefixes(sets: DataFrame, least: float) -> DataFrame:
+    """(term, fp, root, size, slack): of each set (fp, root, size, terms) the terms of which an alike set of another class has at least one.
 
-    Sets x and y are alike only if they differ in at most (|x| + |y|) * (1 - least) / (1 + least) hashes, and the hashes that
-    no other set has are among these. A bucket's members are dealt to blocks, and two blocks at a time are compared in one
-    group of bounded size; only links leave it.
+    A set alike to x has least * |x| of its terms, so it has one of any (1 - least) * |x| + 1 of them. Those are taken that
+    come first in one order of all terms: terms of one class only, which no other class has, then by the number of sets.
+    The former are counted, not returned; slack is the number of terms in which x may differ from others, less them.
     """
-    sets = nodes.select("fp", "terms").join(many.select("fp").distinct(), "fp", "left_semi")
-    single = sets.select("fp", F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("fp")).where("n = 1")
-    own = single.groupBy("fp").agg(F.count(F.lit(1)).alias("own"))
-    size = F.size("terms")
-    slack = size * F.lit((1 - least) / (1 + least)) - F.coalesce("own", F.lit(0))
-    known = sets.join(own, "fp", "left").select("fp", size.alias("size"), slack.alias("slack"))
-    known = known.where(F.col("slack") >= F.col("size") * F.lit((least - 1) / least / (1 + least)) - 1e-6)  # else below -slack of any set not too long
-    known = known.join(stars.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    rows = materialise(many.select("fp", "path", "bucket").join(known, "fp"), "open")
-    heaps = rows.groupBy("path", "bucket").agg(
-        F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("n"), F.sum("size").alias("terms")
-    )
+    terms = sets.select("fp", "root", F.explode("terms").alias("term"))
+    shared = terms.groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
+    met = terms.select("fp", "term").join(shared.select("term", "n"), "term")
+    order = met.groupBy("fp").agg(F.sort_array(F.collect_list(F.struct("n", "term"))).alias("order"))  # a text's own terms
+    size = F.col("size")
+    own = size - F.size("order")
+    take = (size - F.ceil(size * F.lit(least) - 1e-6) + 1 - own).cast("int")
+    slack = size * F.lit((1 - least) / (1 + least)) - own
+    rows = order.join(sets.select("fp", "root", "size"), "fp").where(take > 0).withColumn("slack", slack)
+    return rows.select("fp", "root", "size", "slack", F.explode(F.slice("order", F.lit(1), take)["term"]).alias("term"))
+
+
+def across(many: DataFrame, nodes: DataFrame, stars: DataFrame, least: float = LEAST, limit: int = 32) -> DataFrame:
+    """Links (a, b), a < b, of nodes (fp, terms) that are in a bucket of many and of different classes (node, root).
+
+    Such nodes share a term of their prefixes. Those of a term in few prefixes are paired, and the sets decide. Where more
+    prefixes have a term, their sets are dealt to blocks, and two blocks at a time are compared in one group of bounded
+    size; only links leave it.
+    """
+    sets = nodes.select("fp", F.size("terms").alias("size"), "terms").join(many.select("fp").distinct(), "fp", "left_semi")
+    sets = sets.join(stars.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    sets = materialise(sets, "open")
+    rows = materialise(prefixes(sets, least), "prefixes")
     blocks = F.lit(1) + F.greatest(F.floor(F.col("n") / BLOCK), F.floor(F.col("terms") / BLOCK_TERMS))
-    heaps = heaps.where("low < high").select("path", "bucket", blocks.cast("int").alias("blocks"))
-    dealt = small_join(rows, heaps, ["path", "bucket"], "inner").withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
-    dealt = dealt.join(nodes.select("fp", "keys", "terms"), "fp").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    heaps = rows.groupBy("term").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("n"), F.sum("size").alias("terms"))
+    heaps = materialise(heaps.where("low < high").select("term", "n", blocks.cast("int").alias("blocks")), "heaps")
+    few = rows.join(heaps.where(F.col("n") <= limit).select("term"), "term")
+    x, y = (few.select("term", *[F.col(k).alias(f"{k}_{c}") for k in ("fp", "root", "size", "slack")]) for c in "ab")
+    fit = (F.least("size_a", "size_b") >= least * F.greatest("size_a", "size_b") - 1e-6) & (F.col("slack_a") + F.col("slack_b") >= -1e-6)
+    pairs = x.join(y, "term").where(F.expr("fp_a < fp_b AND root_a != root_b") & fit).select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b"))
+    found = alike(pairs.distinct(), nodes, least)
+    heaps = heaps.where(F.col("n") > limit).select("term", "blocks")
+    if heaps.isEmpty():
+        return found
+    dealt = small_join(rows, heaps, "term", "inner").withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
+    dealt = dealt.join(sets.select("fp", "terms"), "fp").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")}).drop("blocks", "other")
-    return dealt.groupBy("path", "bucket", "low", "high").applyInPandas(lambda g: links_between(g, least), "a long, b long").distinct()
+    return found.unionByName(dealt.groupBy("term", "low", "high").applyInPandas(lambda g: links_between(g, least), "a long, b long").distinct())
 
 
 def links_between(group, least: float):
-    """Links of one block's members, or of those of two blocks, that first meet in this bucket."""
+    """Links of one block's members, or of those of two blocks."""
     import pandas as pd
 
-    low, high, path = int(group["low"].iat[0]), int(group["high"].iat[0]), int(group["path"].iat[0])
+    low, high = int(group["low"].iat[0]), int(group["high"].iat[0])
     fp, size, slack, root, block = (group[c].to_numpy() for c in ("fp", "size", "slack", "root", "block"))
-    keys = np.stack(group["keys"].to_list())
     sets = [frozenset(t.tolist()) for t in group["terms"]]
     second = np.flatnonzero(block == high)
     out = []
@@ -158,7 +179,6 @@ def links_between(group, least: float):
         if low == high:
             j = j[j > i]
         j = j[np.minimum(size[j], size[i]) >= least * np.maximum(size[j], size[i]) - 1e-6]
-        j = j[~(keys[j, :path] == keys[i, :path]).any(axis=1)]
         for k in j.tolist():
             both = len(sets[i] & sets[k])
             if both >= least * (len(sets[i]) + len(sets[k]) - both) - 1e-9:
