@@ -1,19 +1,23 @@
 """Personal data by weak supervision.
 
 Base spans follow fixed patterns; they are certain and always stay. Beyond them, candidates (long mixed tokens,
-numbers of the social-security form, other long digit groups) get votes from labelers of four sorts: strict
-patterns, gazetteers of prefixes, cue words in the CONTEXT characters before, and shape. One pass over the
-corpus counts how often each pattern of votes and discrete features occurs; the number of patterns is bounded
-by the labelers, not by the data. Expectation-maximisation over those counts estimates, kind by kind, each
-labeler's reliability and the probability that a pattern is personal data; a labeler's reliability starts from,
-and is held near, a prior that is better than chance (PRIORS), so that few candidates can't turn the classes
-round. A logistic span classifier is trained on the features against these probabilities, and a second pass
-adds the candidates that it accepts and that touch no base span.
+numbers of the social-security form, other long digit groups) get votes from labelers of five sorts: strict
+patterns; gazetteers of key prefixes and of number ranges that are or aren't given out; cue words in the CONTEXT
+characters before; shape; and forms of things that are no personal data (UUIDs, slugs, names with a number, dates,
+book numbers). One pass over the corpus counts how often each pattern of votes and discrete features occurs; the number of
+patterns is bounded by the labelers, not by the data. Expectation-maximisation over those counts estimates, kind by
+kind, each labeler's reliability and the probability that a pattern is personal data; a labeler's reliability starts
+from a prior that is better than chance (PRIORS), which weighs STRENGTH votes and HOLD times those seen. So few
+candidates can't turn the classes round, and a corpus in which all candidates are personal can't make labelers
+worthless that never had to vote against one. Each kind has its logistic span classifier, trained on the features against
+these probabilities, and on every pattern of votes once, so that patterns that the corpus lacks, and kinds
+without candidates, are decided by the labelers' reliabilities. A second pass adds the candidates that are accepted
+and that touch no base span.
 
 Defined cases: a null or empty text has no spans; positions are code points, ends exclusive; a candidate or a
 text may have any length, and time is linear in it; repeated rows each get their row; of candidates that overlap
 the one that starts first counts, at a tie the one first in KINDS; a probability of exactly one half is accepted; a
-corpus without candidates trains nothing and adds nothing; other columns stay as they are, whatever their names.
+corpus without candidates adds nothing; other columns stay as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,6 +26,7 @@ import hashlib
 import re
 from bisect import bisect_left
 from dataclasses import dataclass
+from itertools import product
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -39,7 +44,19 @@ _RANK = {k: i for i, k in enumerate(KINDS)}
 # Gazetteers and cue words.
 SECRET_PREFIXES = ("AKIA", "ASIA", "ghp_", "gho_", "github_pat_", "sk-", "pk-", "xoxb-", "xoxp-", "AIza", "eyJ")
 CUES = re.compile(r"(?i)\b(?:pass(?:word|wd|code)?|pwd|token|secret|api[_ -]?key|key|auth|credential|card|visa|iban|account|tel|phone|call|mobile|fax|mail|contact|ssn|ip|host|login)\b\W*\Z")
-ANTI_CUES = re.compile(r"(?i)\b(?:version|v|isbn|page|pages|section|chapter|fig|figure|table|no|rfc|commit|license|copyright|sha1|md5)\b\W*\Z")
+ANTI_CUES = re.compile(
+    r"(?i)\b(?:version|v|isbn|issn|doi|page|pages|section|chapter|fig|figure|table|no|rfc|commit|revision|rev|license|copyright|sha1|sha-1|sha256|sha-256|sha512|md5"
+    r"|checksum|digest|hash|etag|blob|tree|build|release|branch|tag|uuid|guid|slug|url|sku|order|invoice|ticket|issue)\b\W*\Z"
+)
+_UUID = re.compile(r"[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
+#: Lengths of hexadecimal digests (MD5, SHA-1, SHA-224, SHA-256, SHA-384, SHA-512); keys have these lengths too.
+DIGESTS = frozenset((32, 40, 56, 64, 96, 128))
+#: Between dashes or underscores: a word, a word with a number, or a short number; of one piece only, a word with a short number.
+_SLUG_PART = re.compile(r"[A-Za-z]{2,}[0-9]{0,4}|[0-9]{1,4}|[A-Za-z]")
+_NAMED = re.compile(r"(?=[^0-9]*[aeiouyAEIOUY])[A-Za-z]{6,}[0-9]{1,4}")
+#: North American telephone numbers: area and exchange start with 2 to 9, and don't end in 11.
+_NANP = re.compile(r"(?:1[ .-])?([2-9][0-9]{2})[ .-]([2-9][0-9]{2})[ .-][0-9]{4}")
+_DATE = re.compile(r"(?:1[89]|20)[0-9]{2}([-. ]?)(?:0[1-9]|1[0-2])\1(?:0[1-9]|[12][0-9]|3[01])(?:[ -]?[0-2][0-9][0-5][0-9](?:[0-5][0-9])?)?")
 
 _ANY = re.compile(r"[0-9@]")
 _AT = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -117,16 +134,56 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, i
     return out
 
 
+def _given_out(ssn: str) -> bool:
+    return not (ssn[:3] in ("000", "666") or ssn[0] == "9" or ssn[4:6] == "00" or ssn[7:] == "0000")
+
+
+def _strict(name: str, v: str) -> str:
+    if name == "secret":
+        found = _STRICT_SECRET.fullmatch(v)
+        return "0" if found and len(v) in DIGESTS and v[0] in "0123456789abcdef" else "+" if found else "-"
+    if name == "ssn":
+        return "+" if _given_out(v) else "0"
+    digits = _DIGITS.sub("", v)
+    return "+" if _NANP.fullmatch(v) or len(digits) == 13 and digits[0] == "4" and luhn(digits) else "-"
+
+
+def _gazette(name: str, v: str) -> str:
+    """Prefixes of keys; areas and groups of social-security numbers that are never given out; area codes and exchanges."""
+    if name == "secret":
+        return "+" if v.startswith(SECRET_PREFIXES) else "0"
+    if name == "ssn":
+        return "+" if _given_out(v) else "-"
+    if found := _NANP.fullmatch(v):
+        return "-" if "11" in (found[1][1:], found[2][1:]) or found[2] == "555" and v[-4:-2] == "01" else "+"
+    return "0"
+
+
+def _form(name: str, v: str) -> str:
+    """Forms that are no personal data; for tokens, many changes between letters and digits speak for a key."""
+    if name == "ssn":
+        return "0"
+    if name == "number":
+        digits = _DIGITS.sub("", v)
+        book = len(digits) == 13 and digits[:3] in ("978", "979") and sum(int(c) * (1 + i % 2 * 2) for i, c in enumerate(digits)) % 10 == 0
+        return "-" if book or _DATE.fullmatch(v) else "0"
+    parts = re.split("[-_]", v) if len(v) <= 128 else [v]
+    slug = len(parts) > 1 and all(_SLUG_PART.fullmatch(p) for p in parts if p) and any(p.isalpha() and len(p) > 2 for p in parts)
+    if _UUID.fullmatch(v) or slug or _NAMED.fullmatch(v):
+        return "-"
+    if _STRICT_SECRET.fullmatch(v):
+        return "0"
+    return "+" if sum(x.isdigit() != y.isdigit() for x, y in zip(v, v[1:])) * 5 >= len(v) else "0"
+
+
 def votes(text: str, span: tuple[int, int, int]) -> str:
     """A letter of + (personal), - (not) or 0 (no opinion) from each labeler, for a candidate."""
     start, kind, end = span
     name, v, before = KINDS[kind], text[start:end], text[max(0, start - CONTEXT) : start]
-    strict = "+" if name == "ssn" or name == "secret" and _STRICT_SECRET.fullmatch(v) else "-"
-    gazette = "+" if name == "secret" and v.startswith(SECRET_PREFIXES) else "0"
     context = "+" if CUES.search(before) else "-" if ANTI_CUES.search(before) else "0"
     kinds = len({*v.lower()} - {" ", "-", "."})
     shape = "-" if kinds <= 3 else "+" if kinds >= 7 else "0"
-    return strict + gazette + context + shape
+    return _strict(name, v) + _gazette(name, v) + context + shape + _form(name, v)
 
 
 def features(text: str, span: tuple[int, int, int]) -> str:
@@ -140,40 +197,46 @@ def features(text: str, span: tuple[int, int, int]) -> str:
     return f"{kind - len(BASE)}{min(3, (end - start) // 8)}{int(digits * 2.99)}{case}{joined}{''.join(map(str, vote))}"
 
 
-_WIDTHS = (len(KINDS) - len(BASE), 4, 3, 4, 2, 3, 3, 3, 3)
+#: Values of each feature after the kind; the last ones are the votes.
+_WIDTHS = (4, 3, 4, 2, 3, 3, 3, 3, 3)
 #: What is held of a labeler before any vote is seen: chances of +, - and 0 for personal data, and for other spans.
 PRIORS = (
-    ((0.8, 0.1, 0.1), (0.1, 0.8, 0.1)),  # strict patterns
+    ((0.55, 0.15, 0.3), (0.1, 0.5, 0.4)),  # strict patterns
     ((0.4, 0.1, 0.5), (0.1, 0.4, 0.5)),  # gazetteers
-    ((0.4, 0.1, 0.5), (0.1, 0.4, 0.5)),  # context
-    ((0.6, 0.1, 0.3), (0.3, 0.4, 0.3)),  # shape
+    ((0.6, 0.03, 0.37), (0.05, 0.5, 0.45)),  # context
+    ((0.6, 0.1, 0.3), (0.45, 0.25, 0.3)),  # shape
+    ((0.5, 0.05, 0.45), (0.2, 0.4, 0.4)),  # form
 )
-#: As many votes as the prior of a labeler, or of the share of personal data, weighs.
+LABELERS = len(PRIORS)
+#: The prior of a labeler weighs STRENGTH votes and HOLD times those seen, that of the share of personal data STRENGTH candidates and those seen.
 STRENGTH = 20.0
+HOLD = 3.0
 SHARE = 0.3
 
 
 def _one_hot(codes: list[str]) -> np.ndarray:
+    """Features of codes without their kind; a dot is a feature that is not known."""
     out = np.zeros((len(codes), 1 + sum(_WIDTHS)))
     out[:, 0] = 1
     for r, code in enumerate(codes):
         at = 1
         for w, c in zip(_WIDTHS, code, strict=True):
-            out[r, at + int(c)] = 1
+            if c != ".":
+                out[r, at + int(c)] = 1
             at += w
     return out
 
 
 @dataclass
 class SpanModel:
-    """Weights of the span classifier, and what expectation-maximisation found of each kind."""
+    """Weights of each kind's span classifier, and what expectation-maximisation found of it."""
 
-    weights: np.ndarray
+    weights: dict[str, np.ndarray]
     share: dict[str, float]  # of personal data among the kind's candidates
     reliability: dict[str, np.ndarray]  # labelers x class (other, personal) x vote (+, -, 0)
 
     def accepts(self, code: str) -> bool:
-        return bool(_one_hot([code])[0] @ self.weights >= 0)
+        return bool(_one_hot([code[1:]])[0] @ self.weights[KINDS[len(BASE) + int(code[0])]] >= 0)
 
 
 def vote_counts(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -196,48 +259,65 @@ def vote_counts(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
     return each.groupBy("pattern").agg(F.sum("n").alias("n"))
 
 
+def _odds(which: np.ndarray, share: float, rel: np.ndarray) -> np.ndarray:
+    """Logarithmic odds of personal data for rows of votes."""
+    return np.log(share) - np.log(1 - share) + sum(np.log(rel[k, 1][which[:, k]]) - np.log(rel[k, 0][which[:, k]]) for k in range(LABELERS))
+
+
+def _posterior(which: np.ndarray, share: float, rel: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(_odds(which, share, rel), -35, 35)))
+
+
+def _which(patterns: list[str]) -> np.ndarray:
+    return np.array([["+-0".index(c) for c in p[:LABELERS]] for p in patterns], int).reshape(-1, LABELERS)
+
+
 def estimate(patterns: list[str], counts: np.ndarray, rounds: int = 50) -> tuple[np.ndarray, float, np.ndarray]:
     """For one kind: the posterior of each pattern of votes, the share of personal data, and labeler reliabilities.
 
-    Expectation-maximisation with Dirichlet priors: each reliability is PRIORS with the weight of STRENGTH votes,
-    and the votes seen.
+    Expectation-maximisation with Dirichlet priors: each reliability is PRIORS with the weight of STRENGTH votes and
+    HOLD times those seen, and the votes seen; the share's prior has the weight of STRENGTH candidates and those seen.
     """
-    which = np.array([["+-0".index(c) for c in p[:4]] for p in patterns])
+    which = _which(patterns)
     held = np.array(PRIORS)[:, ::-1]  # other, personal
     share, rel = SHARE, held
     for _ in range(rounds):
-        odds = np.log(share) - np.log(1 - share) + sum(np.log(rel[k, 1][which[:, k]]) - np.log(rel[k, 0][which[:, k]]) for k in range(4))
-        post = 1 / (1 + np.exp(-np.clip(odds, -35, 35)))
+        post = _posterior(which, share, rel)
         both = np.stack([(1 - post) * counts, post * counts])
-        share = float((both[1].sum() + SHARE * STRENGTH) / (counts.sum() + STRENGTH))
-        seen = np.array([[np.bincount(which[:, k], weights=both[y], minlength=3) for y in range(2)] for k in range(4)])
-        rel = (seen + STRENGTH * held) / (seen.sum(axis=2, keepdims=True) + STRENGTH)
+        share = float((both[1].sum() + SHARE * (STRENGTH + counts.sum())) / (2 * counts.sum() + STRENGTH))
+        seen = np.array([[np.bincount(which[:, k], weights=both[y], minlength=3) for y in range(2)] for k in range(LABELERS)])
+        n = seen.sum(axis=2, keepdims=True)
+        rel = (seen + (STRENGTH + HOLD * n) * held) / (n + STRENGTH + HOLD * n)
     return post, share, rel
 
 
 def train(patterns: list[str], counts: np.ndarray, l2: float = 0.1) -> SpanModel:
-    """Expectation-maximisation for each kind, then one classifier against all posteriors, by Newton steps."""
-    post, share, rel = np.zeros(len(patterns)), {}, {}
+    """Expectation-maximisation for each kind, then its classifier against the posteriors, by Newton steps."""
+    every = ["".join(p) for p in product("+-0", repeat=LABELERS)]
+    codes = ["." * (len(_WIDTHS) - LABELERS) + "".join(str("0-+".index(c)) for c in p) for p in every]
+    weights, share, rel = {}, {}, {}
     for k, name in enumerate(KINDS[len(BASE) :]):
-        own = [i for i, p in enumerate(patterns) if p[4] == str(k)]
-        if own:
-            post[own], share[name], rel[name] = estimate([patterns[i] for i in own], counts[own])
-    x = _one_hot([p[4:] for p in patterns])
-    w = np.zeros(x.shape[1])
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -35, 35)))
-        gradient = x.T @ (counts * (p - post)) + l2 * w
-        hessian = (x * (counts * p * (1 - p))[:, None]).T @ x + l2 * np.eye(len(w))
-        step = np.linalg.solve(hessian, gradient)
-        w = w - step
-        if np.abs(step).max() < 1e-9:
-            break
-    return SpanModel(w, share, rel)
+        own = [i for i, p in enumerate(patterns) if p[LABELERS] == str(k)]
+        post, share[name], rel[name] = estimate([patterns[i] for i in own], counts[own])
+        x = _one_hot([*(patterns[i][LABELERS + 1 :] for i in own), *codes])
+        n = np.concatenate([counts[own], np.ones(len(every))])
+        post = np.concatenate([post, _posterior(_which(every), share[name], rel[name])])
+        w = np.zeros(x.shape[1])
+        for _ in range(50):
+            p = 1 / (1 + np.exp(-np.clip(x @ w, -35, 35)))
+            gradient = x.T @ (n * (p - post)) + l2 * w
+            hessian = (x * (n * p * (1 - p))[:, None]).T @ x + l2 * np.eye(len(w))
+            step = np.linalg.solve(hessian, gradient)
+            w = w - step
+            if np.abs(step).max() < 1e-9:
+                break
+        weights[name] = w
+    return SpanModel(weights, share, rel)
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text: str = "text", l2: float = 0.1) -> SpanModel | None:
     """The span classifier, from vote patterns of all documents; None if there are no candidates."""
-    # The votes are among the features, so there are at most 3 x 4 x 3 x 4 x 2 x 3^4 = 23,328 patterns, whatever the corpus.
+    # The votes are among the features, so there are at most 3 x 4 x 3 x 4 x 2 x 3^5 = 69,984 patterns, whatever the corpus.
     rows = sorted(vote_counts(docs, id_col, text).collect(), key=lambda r: r["pattern"])
     if not rows:
         return None
