@@ -160,3 +160,38 @@ def test_tables_by_name_and_full_refresh(spark, tmp_path):
     for n in (3, 1):
         paths = raw.full_refresh({"t": spark.range(n)}, str(tmp_path))
         assert spark.read.parquet(paths["t"]).count() == n
+
+
+def _sql_fit(rows):
+    """Coefficients by name from the SQL of fits, on rows (label, *components)."""
+    import duckdb
+
+    from panelloom.plans import logit_sql
+
+    names = ", ".join(models.COMPONENTS)
+    values = ", ".join(f"({int(r[0])}, {', '.join(f'{v!r}::DOUBLE' for v in map(float, r[1:]))})" for r in rows)
+    source = f"(SELECT 'f' AS fit, {logit_sql.mask(models.COMPONENTS)} AS mask, label, {logit_sql.X} AS x FROM (VALUES {values}) AS v(label, {names}))"
+    return duckdb.connect().execute(f"SELECT b FROM {logit_sql.fits(source)}").fetchone()[0]
+
+
+@pytest.mark.parametrize("kind", ["none", "all", "rare", "outlier"])
+def test_rare_labels_and_one_class(spark, kind):
+    """Query and SQL reach the same optimum however rare the label is; of one class it is at the bound, without coefficients."""
+    draw = np.random.default_rng(5)
+    x = draw.normal(size=(3000, 5))
+    y = np.full(len(x), int(kind == "all"))
+    if kind in ("rare", "outlier"):
+        y[[7, 1900]] = 1
+    if kind == "outlier":
+        x[7], x[1900] = 40.0, -3.0
+    rows = [(int(b), *map(float, a)) for a, b in zip(x, y, strict=True)]
+    df = spark.createDataFrame(rows, "label int, " + ", ".join(f"{c} double" for c in models.COMPONENTS)).withColumn("fit", F.lit("f"))
+    m = models.fit_many(df, {"f": models.COMPONENTS}, max_iter=30)["f"]
+    found = [m.intercept, *m.coefficients]
+    assert found == pytest.approx(_sql_fit(rows), abs=1e-7)
+    if kind in ("none", "all"):
+        assert found == [35.0 if kind == "all" else -35.0, 0.0, 0.0, 0.0, 0.0, 0.0]
+    else:  # the gradient is zero there
+        z = (x - x.mean(axis=0)) / x.std(axis=0)
+        e = 1 / (1 + np.exp(-(found[0] + z @ found[1:]))) - y
+        assert abs(e.mean()) < 1e-9 and np.abs(z.T @ e / len(y) + 0.1 * np.array(found[1:])).max() < 1e-9
