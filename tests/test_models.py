@@ -195,3 +195,9 @@ def test_rare_labels_and_one_class(spark, kind):
         z = (x - x.mean(axis=0)) / x.std(axis=0)
         e = 1 / (1 + np.exp(-(found[0] + z @ found[1:]))) - y
         assert abs(e.mean()) < 1e-9 and np.abs(z.T @ e / len(y) + 0.1 * np.array(found[1:])).max() < 1e-9
+
+
+def test_signs_without_events(spark, frame):
+    s = scoring.purged_split(frame.withColumn("label", F.lit(0)))
+    rows = models.coefficient_stability(s).collect()
+    assert len(rows) == 12 and {r.sign_stable for r in rows} == {None, True} and {r.coefficient for r in rows} == {-35.0, 0.0}
