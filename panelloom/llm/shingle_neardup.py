@@ -110,11 +110,15 @@ def bucket_pairs(rows: DataFrame, limit: int = 32) -> tuple[DataFrame, DataFrame
 def links_of(nodes: DataFrame, least: float = LEAST, limit: int = 32) -> DataFrame:
     """Links (a, b) that join the nodes (fp, sim, keys, terms) into classes: candidates from SimHashes and bands that the sets confirm."""
     pairs, many = bucket_pairs(nodes.select("fp", F.posexplode("keys").alias("path", "bucket")), limit)
-    found = materialise(alike(pairs.unionByName(by_simhash(nodes)).distinct(), nodes, least), "found")
+    pairs = materialise(pairs.unionByName(by_simhash(nodes)).distinct(), "pairs")
+    # The sets that any comparison needs are taken from the nodes once, not for each one.
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("fp"), F.lit(False).alias("crowded")).unionByName(many.select("fp", F.lit(True).alias("crowded")))
+    sets = materialise(nodes.select("fp", "terms").join(wanted.groupBy("fp").agg(F.max("crowded").alias("crowded")), "fp"), "sets")
+    found = materialise(confirmed(pairs, sets, least), "found")
     if many.isEmpty():
         return found
     stars = materialise(connected_components(found), "classes")
-    more = across(many, nodes, stars, least, limit)
+    more = across(sets.where("crowded").select("fp", "terms"), stars, least, limit)
     return stars.select(F.col("node").alias("a"), F.col("root").alias("b")).where("a != b").unionByName(more)
 
 
@@ -137,14 +141,14 @@ def prefixes(sets: DataFrame, least: float) -> DataFrame:
     return rows.select("fp", "root", "size", "slack", F.explode(F.slice("order", F.lit(1), take)["term"]).alias("term"))
 
 
-def across(many: DataFrame, nodes: DataFrame, stars: DataFrame, least: float = LEAST, limit: int = 32) -> DataFrame:
-    """Links (a, b), a < b, of nodes (fp, terms) that are in a bucket of many and of different classes (node, root).
+def across(nodes: DataFrame, stars: DataFrame, least: float = LEAST, limit: int = 32) -> DataFrame:
+    """Links (a, b), a < b, of nodes (fp, terms), those of large buckets, of different classes (node, root).
 
     Such nodes share a term of their prefixes. Those of a term in few prefixes are paired, and the sets decide. Where more
     prefixes have a term, their sets are dealt to blocks, and two blocks at a time are compared in one group of bounded
     size; only links leave it.
     """
-    sets = nodes.select("fp", F.size("terms").alias("size"), "terms").join(many.select("fp").distinct(), "fp", "left_semi")
+    sets = nodes.select("fp", F.size("terms").alias("size"), "terms")
     sets = sets.join(stars.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     sets = materialise(sets, "open")
     rows = materialise(prefixes(sets, least), "prefixes")
@@ -155,7 +159,7 @@ def across(many: DataFrame, nodes: DataFrame, stars: DataFrame, least: float = L
     x, y = (few.select("term", *[F.col(k).alias(f"{k}_{c}") for k in ("fp", "root", "size", "slack")]) for c in "ab")
     fit = (F.least("size_a", "size_b") >= least * F.greatest("size_a", "size_b") - 1e-6) & (F.col("slack_a") + F.col("slack_b") >= -1e-6)
     pairs = x.join(y, "term").where(F.expr("fp_a < fp_b AND root_a != root_b") & fit).select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b"))
-    found = alike(pairs.distinct(), nodes, least)
+    found = confirmed(materialise(pairs.distinct(), "pairs"), sets, least)
     heaps = heaps.where(F.col("n") > limit).select("term", "blocks")
     if heaps.isEmpty():
         return found
@@ -186,11 +190,8 @@ def links_between(group, least: float):
     return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
 
-def alike(pairs: DataFrame, nodes: DataFrame, least: float = LEAST) -> DataFrame:
-    """Those pairs (a, b) of nodes (fp, terms) whose sets have a Jaccard similarity of at least `least`."""
-    pairs = materialise(pairs, "pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
-    sets = materialise(nodes.select("fp", "terms").join(wanted, "fp", "left_semi"), "sets")
+def confirmed(pairs: DataFrame, sets: DataFrame, least: float = LEAST) -> DataFrame:
+    """Those pairs (a, b) whose sets (fp, terms) have a Jaccard similarity of at least `least`."""
     x, y = sets.select(F.col("fp").alias("a"), F.col("terms").alias("x")), sets.select(F.col("fp").alias("b"), F.col("terms").alias("y"))
     size = F.size
     possible = F.least(size("x"), size("y")) >= least * F.greatest(size("x"), size("y")) - 1e-6
