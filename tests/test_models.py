@@ -201,3 +201,21 @@ def test_signs_without_events(spark, frame):
     s = scoring.purged_split(frame.withColumn("label", F.lit(0)))
     rows = models.coefficient_stability(s).collect()
     assert len(rows) == 12 and {r.sign_stable for r in rows} == {None, True} and {r.coefficient for r in rows} == {-35.0, 0.0}
+
+
+def test_candidates_share_their_rows(frame, monkeypatch):
+    """Fits get a row once for each fold, not once for each candidate, and find what they find alone."""
+    fit, seen = models.fit_many, []
+
+    def counted(rows, uses, **kw):
+        seen.append((rows.count(), len(uses)))
+        return fit(rows, uses, **kw)
+
+    monkeypatch.setattr(models, "fit_many", counted)
+    models.select_features(frame.withColumn("task", F.lit("t")))
+    n = 620
+    assert seen == [(sum(cut(n // 2, n, k, 3) - 7 for k in range(3)), 3 * len(models.candidates()))]
+    both = fit(frame.withColumn("fit", F.lit("s")), {"a": ("contraction",), "b": models.COMPONENTS}, samples={"a": "s", "b": "s"})
+    for name, own in (("a", ("contraction",)), ("b", models.COMPONENTS)):
+        alone = fit(frame.withColumn("fit", F.lit(name)), {name: own})[name]
+        assert (both[name].intercept, *both[name].coefficients) == pytest.approx((alone.intercept, *alone.coefficients), abs=1e-12)

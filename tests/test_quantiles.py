@@ -27,3 +27,12 @@ def test_a_million_distinct_values(spark):
 
 def test_no_values(spark):
     assert percentiles(spark.createDataFrame([], "x double"), [], ("x",), AT).count() == 0
+
+
+def test_many_shares(spark):
+    """A row meets only the shares near its ranks; ties, groups of one row and unordered shares lose none."""
+    at = [k / 300 for k in range(301)][::-1]
+    df = spark.createDataFrame([(0, float(k // 40) if k % 3 else float(k)) for k in range(1000)] + [(1, 5.0), (2, 1.0), (2, 2.0)], "g int, x double")
+    got = {r.g: r.q for r in percentiles(df, ["g"], ("x",), at).collect()}
+    want = {r.g: r.q for r in df.groupBy("g").agg(F.percentile("x", F.array(*[F.lit(p) for p in at])).alias("q")).collect()}
+    assert set(got) == set(want) and all(got[g] == pytest.approx(want[g], rel=1e-12) for g in want)
